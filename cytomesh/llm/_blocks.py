@@ -31,11 +31,14 @@ def range_of(doc_ids, bounds: list[int]) -> np.ndarray:
 
 
 def range_column(column: str, bounds: list[int]) -> Column:
-    """The same as a column expression."""
+    """The same as a column expression: a search in two steps of the square root of the ranges."""
     if not bounds:
         return F.lit(0)
-    x = F.coalesce(F.col(column), F.lit(-(2**63)))
-    return F.aggregate(F.array(*[F.lit(b).cast("long") for b in bounds]), F.lit(0), lambda a, b: a + F.when(x >= b, 1).otherwise(0))
+    x = f"coalesce({column}, {-(2**63) + 1}L)"
+    step = max(1, int(len(bounds) ** 0.5))
+    array = lambda v: "array(" + ",".join(f"{b}L" for b in v) + ")"
+    coarse = f"size(filter({array(bounds[step - 1 :: step])}, b -> b <= {x}))"
+    return F.expr(f"transform(array({coarse}), c -> c * {step} + size(filter(slice({array(bounds)}, c * {step} + 1, {step}), b -> b <= {x})))[0]")
 
 
 def before_each(totals: DataFrame, key: str, value: str, out: str) -> DataFrame:

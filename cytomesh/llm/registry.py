@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import packing, records, token_scan
+from cytomesh.llm import packing, records, substring, token_scan
 
 QUERIES = {
     "op1_token_counts": token_scan.op1_token_counts,
     "op5_packing": packing.op5_packing,
     "op9_records": records.op9_records,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_token_counts": token_scan.OP1_SQL,
+    "op10_substring_dedup": substring.OP10_SQL,
 }
