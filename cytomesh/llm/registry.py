@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import packing, records, substring, token_scan
+from cytomesh.llm import near_dedup, packing, records, substring, token_scan
 
 QUERIES = {
     "op1_token_counts": token_scan.op1_token_counts,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_packing": packing.op5_packing,
     "op9_records": records.op9_records,
     "op10_substring_dedup": substring.op10_substring_dedup,
