@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import near_dedup, packing, records, substring, token_scan
+from cytomesh.llm import near_dedup, packing, quality, records, substring, token_scan
 
 QUERIES = {
     "op1_token_counts": token_scan.op1_token_counts,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_quality": quality.op6_quality,
     "op9_records": records.op9_records,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_token_counts": token_scan.OP1_SQL,
+    "op6_quality": quality.OP6_SQL,
     "op10_substring_dedup": substring.OP10_SQL,
 }
