@@ -30,7 +30,7 @@ HALF = 8192  # buckets of 1-grams, and as many of 2-grams
 BUCKETS = 2 * HALF
 TRUSTED = 20_000
 #: Thousandths of a nat per n-gram; clean text is near 0, junk far below.
-THRESHOLD = -250
+THRESHOLD = -120
 
 
 def _words(text: Column) -> Column:
