@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, bytes_each: str = "8m") -> None:
+    """Arrow batches by bytes: with long texts, batches by rows alone would grow with them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_each)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is named (tests) a local one is set."""
     base = spark.conf.get(CHECKPOINT_KEY, None)
