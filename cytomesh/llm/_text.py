@@ -75,6 +75,14 @@ def slabs(offs: np.ndarray, limit: int = SLAB) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * SLAB) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose text column has up to limit bytes, or one longer text."""
+    for batch in batches:
+        _, offs = buffers(batch.column(column))
+        for lo, hi in slabs(offs, limit):
+            yield batch.slice(lo, hi - lo)
+
+
 @dataclass
 class Words:
     """The words of some documents: byte ranges, and words before each document."""

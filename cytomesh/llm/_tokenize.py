@@ -26,10 +26,10 @@ _ODD_BYTES = tuple(c.encode() for c in _ODD_SPACE)
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[sorted({b[0] for b in _ODD_BYTES})] = True
 
-_SLOT_BITS = 22
+_SLOT_BITS = 21
 _SLOTS = 1 << _SLOT_BITS
 _PROBES = 4
-_MOST = 2_000_000  # pieces kept by a worker; beyond them it starts anew
+_MOST = 1_200_000  # pieces kept by a worker; beyond them it starts anew
 _coders: dict[str, "Coder"] = {}
 
 

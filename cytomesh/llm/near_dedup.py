@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cytomesh.llm import _packed, _text
 from cytomesh.llm.components import components
-from cytomesh.session import table, written
+from cytomesh.session import bound_batches, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -240,6 +240,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
+    bound_batches(docs.sparkSession)
     signed = written(signatures(docs), "signatures")
     named = signed.where("class <> 0 and doc_id is not null")
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")

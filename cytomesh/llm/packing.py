@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _text, _tokenize
 from cytomesh.llm.records import tokenizer_path
-from cytomesh.session import table, written
+from cytomesh.session import bound_batches, table, written
 
 SEQUENCE = 2048
 END_ID = 1
@@ -36,7 +36,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenize.coder(tokenizer)
         before = 0
-        for batch in batches:
+        for batch in _text.bounded(batches, 1):
             ids, cuts = _tokenize.with_end(*coder.encode(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(cuts[:-1] + before), _text.pack_binary(ids.astype("<u2"), cuts)], ["part", "doc_id", "before", "ids"])
             before += int(cuts[-1])
@@ -46,6 +46,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
 
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents, see PIECES."""
+    bound_batches(docs.sparkSession)
     ids = written(tokenized(docs, tokenizer, end_id), "packing")
     totals = ids.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
     base = _blocks.before_each(totals, "part", "n", "base")

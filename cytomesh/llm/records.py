@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _text, _tokenize
-from cytomesh.session import scratch_path, table
+from cytomesh.session import bound_batches, scratch_path, table
 
 END_ID = 1
 FILE_BYTES = 32 << 20
@@ -67,12 +67,13 @@ def frames(content, name: str = "") -> Iterator[tuple[int, memoryview]]:
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Tokenise every text and write path/records, one file for each range of doc_id, and path/index."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     bounds = _blocks.range_bounds(docs, file_bytes)
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenize.coder(tokenizer)
-        for batch in batches:
+        for batch in _text.bounded(batches, 1):
             ids, cuts = _tokenize.with_end(*coder.encode(batch.column(1)), end_id)
             ids = ids.astype("<u2")
             doc_ids = batch.column(0).to_pylist()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _packed, _text
-from cytomesh.session import table
+from cytomesh.session import bound_batches, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -139,6 +139,7 @@ def removals(texts: pa.ChunkedArray, doc_ids: np.ndarray, has_id: np.ndarray, bi
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """See REPEATS: the maximal repeats (in words of the input) and the text that is kept."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     bounds = _blocks.range_bounds(docs, block_bytes)
     groups = len(bounds) + 1

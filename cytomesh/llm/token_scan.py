@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _text
-from cytomesh.session import scratch_path, table
+from cytomesh.session import bound_batches, scratch_path, table
 
 END_ID = 1
 #: Text bytes of the documents of one token file.
@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, encode=word_ids, end_id: int =
     bounds = _blocks.range_bounds(docs, file_bytes)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.bounded(batches, 1):
             ids, cuts = encode(batch.column(1))
             file = _blocks.range_of(batch.column(0), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(file), batch.column(0), _text.pack_binary(ids.astype("<u2"), cuts)], ["file", "doc_id", "ids"])
@@ -117,6 +117,7 @@ def scan_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_toke
 
 def token_counts(docs: DataFrame, file_bytes: int = FILE_BYTES, encode=word_ids) -> DataFrame:
     """doc_id, start and n_tokens (with the end id) of every document, from its token files."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     bounds = write_token_files(docs, path, encode, file_bytes=file_bytes)
