@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import language_model, near_dedup, packing, quality, records, substring, token_scan
+from cytomesh.llm import language_model, near_dedup, packing, quality, records, substring, token_scan, toxicity
 
 QUERIES = {
     "op1_token_counts": token_scan.op1_token_counts,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_records": records.op9_records,
     "op10_substring_dedup": substring.op10_substring_dedup,
