@@ -100,8 +100,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
-def find_words(data: np.ndarray, offs: np.ndarray) -> Words:
-    ws = _WS[data]
+#: Bytes outside ASCII letters, ASCII digits and non-ASCII characters.
+PLAIN_BLANK = np.ones(256, bool)
+PLAIN_BLANK[48:58] = PLAIN_BLANK[65:91] = PLAIN_BLANK[97:123] = PLAIN_BLANK[128:] = False
+
+
+def find_words(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = _WS) -> Words:
+    ws = blank[data]
     start = ~ws
     end = start.copy()
     if len(data):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import language_model, near_dedup, packing, quality, records, substring, token_scan, toxicity
+from cytomesh.llm import decontaminate, language_model, near_dedup, packing, quality, records, substring, token_scan, toxicity
 
 QUERIES = {
     "op1_token_counts": token_scan.op1_token_counts,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,

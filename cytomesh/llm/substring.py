@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _packed, _text
-from cytomesh.session import bound_batches, table
+from cytomesh.session import bound_batches, table, written
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -66,6 +66,7 @@ def frequent_prefixes(docs: DataFrame, groups: int) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([size, value, count], ["size", "value", "count"])
 
     found = docs.select("text").mapInArrow(local, "size long, value long, count long").groupBy("size", "value").agg(F.sum("count").alias("count"))
+    found = written(found, "prefixes")  # some thousand rows for each task
     total = found.where("size = 0").agg(F.sum("count")).first()[0] or 0
     rows = found.where((F.col("size") > 0) & (F.col("count") * (2 * groups) > total)).collect()  # at most 2 * groups of a size
     return [np.array(sorted(r["value"] for r in rows if r["size"] == size), np.int64).view(np.uint64) for size in range(1, PREFIX_WORDS)]

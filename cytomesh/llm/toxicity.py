@@ -99,7 +99,7 @@ class Classifier:
     def train(self, bag: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, steps: int = STEPS) -> None:
         """Adam on the mean cross entropy of the two classes, each with half the weight.
 
-        Buckets of fewer than LEAST documents are left out: they can only be memorised. The
+        Buckets of fewer than LEAST documents (less with few toxic ones) are left out: they can only be memorised. The
         weights kept are those of the step that is best on every CHECK-th document, which
         take no part in the gradients.
         """
@@ -107,8 +107,9 @@ class Classifier:
         share = np.concatenate([b[1] / max(1, b[2]) for b in bag]) * SCALE
         doc = np.repeat(np.arange(len(bag)), [len(b[0]) for b in bag])
         seen = np.bincount(ids, minlength=BUCKETS)
-        used = np.flatnonzero(seen >= LEAST)
-        keep = seen[ids] >= LEAST
+        least = int(np.clip(labels.sum() // 20, 2, LEAST))
+        used = np.flatnonzero(seen >= least)
+        keep = seen[ids] >= least
         ids, share, doc = np.searchsorted(used, ids[keep]).astype(np.int32), share[keep].astype(np.float32), doc[keep].astype(np.int32)
         test = np.zeros(len(bag), bool)
         for label in (0, 1):  # of either class
