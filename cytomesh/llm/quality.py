@@ -71,12 +71,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[int] | None:
     return [floor(1000 * (log((t + 1) / (r + 1)) + base) + 0.5) for t, r in zip(target, raw, strict=True)]
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
+def base_rules(docs: DataFrame, *carried: str) -> DataFrame:
     """docs (doc_id, text) with the base columns and codes, the words' hashes."""
     out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", _words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.select(
         "doc_id",
+        *carried,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -92,19 +93,26 @@ def base_rules(docs: DataFrame) -> DataFrame:
     covered = f"aggregate(p, struct(0 as t, 0 as e), (a, x) -> struct(a.t + x + {WINDOW} - greatest(a.e, x) as t, x + {WINDOW} as e), a -> a.t)"
     out = out.withColumn("n_repeat_words", F.expr(covered).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "codes")
+    return out.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "codes")
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return judge(whole, labels, threshold, "doc").where("kept").select("doc.*")
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, *carried: str) -> DataFrame:
     """Base columns, kept, n_grams and llr (the summed log ratio in thousandths) of every row."""
     ratios = log_ratios(docs, trusted_ids(labels))
-    out = base_rules(docs.select("doc_id", "text"))
+    out = base_rules(docs.select("doc_id", "text", *carried), *carried)
     out = out.withColumn("grams", _grams("codes")) if ratios else out.withColumn("grams", F.expr("cast(array() as array<int>)"))
     weights = F.from_json(F.lit(str(ratios or [0] * BUCKETS)), "array<int>")
     out = out.withColumn("llr", F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b)))
     out = out.withColumn("n_grams", F.size("grams").cast("long"))
-    kept = ~F.col("base_failed") & (F.col("llr") >= threshold * F.col("n_grams"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr", "n_grams")
+    # The last term is always true; with it Catalyst doesn't copy all of the above into a filter on kept.
+    kept = ~F.col("base_failed") & (F.col("llr") >= threshold * F.col("n_grams")) & (F.spark_partition_id() >= 0)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr", "n_grams", *carried)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

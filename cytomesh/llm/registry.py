@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import decontaminate, language_model, near_dedup, packing, quality, records, substring, token_scan, toxicity
+import corpus_pipeline
+from cytomesh.llm import decontaminate, language_model, near_dedup, packing, pii, quality, records, substring, token_scan, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_counts": token_scan.op1_token_counts,
+    "op2_pii": pii.op2_pii,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_packing": packing.op5_packing,
