@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from cytomesh.plans import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
