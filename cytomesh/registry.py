@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.plans import relational
+from cytomesh.plans import relational, spatial
 
-QUERIES: dict = {**relational.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **spatial.ORACLE_SQL}
