@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.plans import relational, spatial
+from cytomesh.plans import folds, relational, spatial
 
-QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **spatial.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES, **folds.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **spatial.ORACLE_SQL, **folds.ORACLE_SQL}
