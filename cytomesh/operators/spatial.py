@@ -12,13 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_AROUND = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
 
 def _bucketed(points: DataFrame, size: Column | str, spread: bool) -> DataFrame:
     out = points.withColumn("bx", F.floor(F.col("x") / size).cast("int")).withColumn("by", F.floor(F.col("y") / size).cast("int"))
     if spread:
-        out = out.withColumn("bx", F.explode(F.transform(_AROUND, lambda i: F.col("bx") + i))).withColumn("by", F.explode(F.transform(_AROUND, lambda i: F.col("by") + i)))
+        out = out.withColumn("bx", F.explode(F.expr("sequence(bx - 1, bx + 1)"))).withColumn("by", F.explode(F.expr("sequence(by - 1, by + 1)")))
     return out
 
 

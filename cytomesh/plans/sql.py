@@ -41,6 +41,9 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view or driver table by name."""
+    from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
+
     return frame(spark, sf_dir, VIEWS[name]) if name in VIEWS else table(spark, sf_dir, name)
 
 
