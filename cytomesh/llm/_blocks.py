@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges are cut at quantiles of doc_id; so many at most are asked of one aggregate.
@@ -45,3 +45,9 @@ def before_each(totals: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """totals (one row for each file or partition) with the sum of value over smaller keys."""
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(key, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long").alias(out))
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (the partition column) and content of a folder that the text writer made, perhaps an empty one."""
+    found = spark.read.format("binaryFile").load(path)
+    return (found if "file" in found.columns else found.withColumn("file", F.lit(0))).select("file", "content")

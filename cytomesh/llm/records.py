@@ -107,7 +107,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW, strict=True)], [f.split()[0] for f in SCAN.split(", ")])
 
-    return spark.read.format("binaryFile").load(f"{path}/records").select("file", "content").mapInArrow(decoded, SCAN)
+    return _blocks.binary_files(spark, f"{path}/records").mapInArrow(decoded, SCAN)
 
 
 _ARROW = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -125,7 +125,7 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     wanted is grouped by file, so each file is read once however its rows are shuffled.
     """
-    files = spark.read.format("binaryFile").load(f"{path}/records").select("file", "content")
+    files = _blocks.binary_files(spark, f"{path}/records")
     asked = wanted.groupBy("file").agg(F.collect_list("offset").alias("offsets"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,7 +90,7 @@ def scan_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_toke
                     )
 
     schema = "file int, block long, n_tokens long, n_ends long, last_end long, ends binary"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("file", "content").mapInArrow(blocks, schema)
+    found = _blocks.binary_files(spark, path).mapInArrow(blocks, schema)
     # Inside each file: documents and the last end before each block.
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("ends_before", F.coalesce(F.sum("n_ends").over(earlier), F.lit(0))).withColumn("end_before", F.max("last_end").over(earlier))
@@ -121,8 +121,6 @@ def token_counts(docs: DataFrame, file_bytes: int = FILE_BYTES, encode=word_ids)
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     bounds = write_token_files(docs, path, encode, file_bytes=file_bytes)
-    if docs.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long")
 
     def file_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
