@@ -45,13 +45,12 @@ select event_id as job_id, user_id % 10 as session_id, case event_type when 'pur
   cast(event_id as double) * cast(0.25 as double) as t_capture, value
 from @events""",
     # Reference size of each image: two medians, the second without outliers.
+    # Every step is a window over the same key as the cells', so one shuffle serves them all.
     "scope": "select * from (select *, sum(case when touches_border then 0 else 1 end) over (partition by image_id) as interior from @cells) s where interior = 0 or not touches_border",
-    "first_median": "select image_id, MEDIAN(area) as m, count(*) as n from @scope group by image_id",
+    "first_median": "select *, MEDIAN(area) over (partition by image_id) as m, count(*) over (partition by image_id) as n from @scope",
     "core": """
-select s.image_id, s.area from (
-  select s.image_id, s.area, (s.area >= 0.25 * f.m and s.area <= 4 * f.m) as inside, f.n,
-    sum(case when s.area >= 0.25 * f.m and s.area <= 4 * f.m then 1 else 0 end) over (partition by s.image_id) as survivors
-  from @scope s join @first_median f on s.image_id = f.image_id
+select image_id, area from (
+  select *, area >= 0.25 * m and area <= 4 * m as inside, sum(case when area >= 0.25 * m and area <= 4 * m then 1 else 0 end) over (partition by image_id) as survivors from @first_median
 ) s where inside or survivors < greatest(3, cast(floor(n / 10.0) as bigint))""",
     "ref_stats": """
 select image_id, MEDIAN(area) as median_area, sqrt(4 * MEDIAN(area) / pi()) as median_diameter, PCT(75, area) - PCT(25, area) as iqr_area, count(*) as n_stats_cells
