@@ -38,12 +38,12 @@ def pairs_within(points: DataFrame, radius: Column, group: str = "image_id", key
 def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ("r",)) -> DataFrame:
     """Each point's nearest other point of its group: nn (key), d and the carried columns as c2.
 
-    Buckets hold about four points. A neighbour found no farther than a bucket's side is proven;
+    Buckets hold about two points. A neighbour found no farther than a bucket's side is proven;
     the few other points are compared with their whole group. Ties go to the smaller key.
     A group of one point has no row.
     """
     extent = points.groupBy(group).agg(F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
-    extent = extent.select(group, F.greatest(F.lit(1e-6), 2 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"))
+    extent = extent.select(group, F.greatest(F.lit(1e-6), 1.4 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"))
     sized = points.select(group, key, "x", "y", *carry).join(extent, group)
     pick = F.min(F.struct("d", F.col(f"{key}2").alias("nn"), *[f"{c}2" for c in carry])).alias("best")
     distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("d")

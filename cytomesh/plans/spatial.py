@@ -157,6 +157,18 @@ select n.image_id, n.n, coalesce(k, 0) as n_contact, coalesce(k, 0) / n.n as con
 left join (select p.image_id, count(distinct p.instance_id) as k from @points p join @points q on {_PAIR} and {_D} <= p.r + q.r + 0.15 * p.median_diameter group by p.image_id) c on c.image_id = n.image_id""",
     "near": f"select p.image_id, p.instance_id as a, q.instance_id as b from @points p join @points q on {_PAIR} and {_D} <= 1.5 * p.median_diameter",
 }
+VIEWS |= {"roi_points": "select image_id, instance_id, x, y, r, area, median_diameter from @flagged where candidate and x >= 192 and x < 1728 and y >= 108 and y < 972"}
+VIEWS |= {f"roi_{name}": VIEWS[name].replace("@points", "@roi_points") for name in ("nn", "contact", "near")}
+
+
+def _tri_sql(x: str, lo: float, hi: float, wing: float) -> str:
+    return f"case when {x} is null then 0 when {x} >= {lo} and {x} <= {hi} then 1 when {x} < {lo} then greatest(0, 1 - ({lo} - {x}) / {wing}) else greatest(0, 1 - ({x} - {hi}) / {wing}) end"
+
+
+def _free_sql(x: str) -> str:
+    return f"case when {x} is null then 0 else 1 - least(1, greatest(0, {x})) end"
+
+
 _R = lambda e, n, k=6: f"round({e}, {k}) as {n}"
 _ROI = "x >= 192 and x < 1728 and y >= 108 and y < 972"
 _CLUSTERS = """
@@ -189,6 +201,27 @@ select image_id, round(100.0 * avg(cast(deg = 0 as int)), 6) as pct_0, round(100
 from (select p.image_id, p.instance_id, count(n.b) as deg, count(n.b) filter (where n.b > n.a) as fwd from @points p left join @near n on n.image_id = p.image_id and n.a = p.instance_id group by p.image_id, p.instance_id) t group by image_id"""),
     "clusters": duck(_CLUSTERS.format(points="@points", near="@near") + _SIZES),
     "image_features": duck(f"select c.image_id, n_total, n_candidate, {_R('nn_median', 'nn_median')}, {_R('gap_median_norm', 'gap_median_norm')}, {_R('contact_ratio', 'contact_ratio')} from @image_counts c left join (select image_id, MEDIAN(d) as nn_median, MEDIAN(gap) / max(median_diameter) as gap_median_norm from @nn group by image_id) n on n.image_id = c.image_id left join @contact k on k.image_id = c.image_id"),
+    "classify_field": duck(
+        _CLUSTERS.format(points="@roi_points", near="@roi_near")
+        + f""", big as (select image_id, max(size)::double / sum(size) as largest_fraction from sizes group by image_id),
+tile as (select image_id, least(3, floor((x - 192) * 4 / 1536)) as tx, least(3, floor((y - 108) * 4 / 864)) as ty, count(*) as k from @roi_points group by all),
+cv as (select image_id, sqrt(greatest(0, sum(k * k) / 16.0 - (sum(k) / 16.0) * (sum(k) / 16.0))) / (sum(k) / 16.0) as density_cv from tile group by image_id),
+deg as (select p.image_id, count(n.b)::double / count(distinct p.instance_id) as mean_degree from @roi_points p left join @roi_near n on n.image_id = p.image_id and n.a = p.instance_id group by p.image_id),
+nnm as (select image_id, MEDIAN(d) / max(median_diameter) as spacing from @roi_nn group by image_id),
+base as (select image_id, count(*) as n_valid, sum(area) / 1327104.0 as coverage from @roi_points group by image_id),
+f as (
+  select c.image_id, c.n_candidate as n_candidates, coalesce(n_valid, 0) as n_valid, coalesce(n_valid, 0) / 1.327104 as density, coverage, density_cv, largest_fraction, mean_degree, spacing, contact_ratio
+  from @image_counts c left join base b on b.image_id = c.image_id left join big g on g.image_id = c.image_id left join cv on cv.image_id = c.image_id
+  left join deg d on d.image_id = c.image_id left join nnm m on m.image_id = c.image_id left join @roi_contact k on k.image_id = c.image_id
+), s as (
+  select *, least(1, greatest(0, 0.25 * {_tri_sql("density", *CONFIG.density)} + 0.2 * {_tri_sql("coverage", *CONFIG.coverage)} + 0.2 * {_tri_sql("spacing", *CONFIG.spacing)} + 0.15 * {_free_sql("contact_ratio")} + 0.1 * {_free_sql("largest_fraction")} + 0.1 * {_free_sql("density_cv / 0.25")})) as score,
+    cast(n_candidates > 620 as bigint) + cast(coalesce(coverage > 0.45, false) as bigint) + cast(coalesce(mean_degree > 1.8, false) as bigint) + cast(coalesce(largest_fraction > 0.75, false) as bigint) as thick_signals,
+    cast(n_candidates < 560 as bigint) + cast(coalesce(coverage < 0.12, false) as bigint) + cast(coalesce(spacing > 1.2, false) as bigint) as thin_signals
+  from f
+)
+select image_id, n_candidates, n_valid, round(density, 5) as density, round(coverage, 5) as coverage, round(density_cv, 5) as density_cv, round(largest_fraction, 5) as largest_fraction, round(mean_degree, 5) as mean_degree, round(score, 5) as score, thick_signals, thin_signals,
+  case when thick_signals >= 2 then 'TOO_THICK' when thin_signals >= 2 then 'TOO_THIN' when score >= 0.6 and n_candidates between 560 and 620 then 'MONOLAYER' else 'UNCERTAIN' end as class
+from s"""),
     "union_area": duck("""
 with r as (select session_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields where raw_class = 'MONOLAYER' and job_id <= 120),
 xs as (select session_id, v, lead(v) over (partition by session_id order by v) as nx from (select session_id, x0 as v from r union select session_id, x1 from r) t),
