@@ -187,5 +187,81 @@ SQL["natural_sort"] = """
 select p_partkey as id, cast(row_number() over (order by p_partkey % 7, p_partkey % 100, p_partkey) as bigint) as place,
   concat('img', cast(p_partkey % 7 as varchar(10)), '_', cast(p_partkey % 100 as varchar(10)), '.png') as file_name from @part where p_partkey <= 500"""
 
+# ---- more ordered, set and scalar operators
+VIEWS |= {
+    "accepted": "select session_id, frame_index, t_sec, sharpness, row_number() over (partition by session_id order by frame_index) as k from @frames where sharpness >= 5 and frame_index % 7 = 0",
+    "attempts": """
+select cast(o_orderkey % 200 as bigint) as pair, cast(row_number() over (partition by o_orderkey % 200 order by o_orderkey) as bigint) as attempt, (o_orderkey * 31) % 97 as inliers,
+  cast((o_orderkey * 17) % 100 as double) / 100 as ratio, cast((o_orderkey * 13) % 50 as double) / 10 as reproj from @orders""",
+    "shifts": "select user_id as pair, event_id, cast((event_id * 7) % 41 - 20 as double) as dx, cast((event_id * 11) % 31 - 15 as double) as dy from @events",
+    "sweep_starts": "select session_id, job_id as start_job, cast(row_number() over (partition by session_id order by job_id) as bigint) as sweep_id from @fields where job_id % 37 = 1",
+}
+SQL["last_keyframes"] = """
+select session_id, frame_index, cast(row_number() over (partition by session_id order by frame_index) as bigint) as place from (
+  select session_id, frame_index, row_number() over (partition by session_id order by frame_index desc) as k from @accepted
+) t where k <= 5"""
+SQL["best_attempt"] = """
+select pair, attempt, inliers, good from (
+  select *, row_number() over (partition by pair order by inliers desc, ratio desc, reproj, attempt) as k from (
+    select *, inliers >= 60 and ratio >= 0.5 and reproj <= 2 as good, max(case when inliers >= 60 and ratio >= 0.5 and reproj <= 2 then 1 else 0 end) over (partition by pair order by attempt rows between unbounded preceding and 1 preceding) as stopped from @attempts
+  ) a where coalesce(stopped, 0) = 0
+) b where k = 1"""
+SQL["median_translation"] = """
+select s.pair, count(*) as n, max(m.mx) as dx, max(m.my) as dy, count(*) filter (where sqrt((s.dx - m.mx) * (s.dx - m.mx) + (s.dy - m.my) * (s.dy - m.my)) <= 20) as inliers,
+  round(1.0 * count(*) filter (where sqrt((s.dx - m.mx) * (s.dx - m.mx) + (s.dy - m.my) * (s.dy - m.my)) <= 20) / count(*), 6) as inlier_ratio
+from @shifts s join (select pair, MEDIAN(dx) as mx, MEDIAN(dy) as my from @shifts group by pair) m on m.pair = s.pair group by s.pair"""
+SQL["registration_state"] = """
+select event_id, case when inliers >= 20 and ratio >= 0.5 then 'GOOD' when response >= 0.3 and ncc >= 0.5 then 'GOOD' when inliers >= 8 then 'WEAK' when response >= 0.1 and ncc >= 0.3 then 'WEAK' else 'FAILED' end as state,
+  case when inliers >= 20 and ratio >= 0.5 then 'FEATURES' when response >= 0.3 and ncc >= 0.5 then 'PHASE' when inliers >= 8 then 'FEATURES' when response >= 0.1 and ncc >= 0.3 then 'PHASE' end as method
+from (select event_id, (event_id * 13) % 40 as inliers, ((event_id * 7) % 100) * 0.01 as ratio, ((event_id * 3) % 50) * 0.01 as response, ((event_id * 11) % 100) * 0.01 as ncc from @events) e"""
+SQL["orientation_difference"] = "select event_id, round(least(d, 180 - d), 6) as difference from (select event_id, abs(value - 90.0) - 180 * floor(abs(value - 90.0) / 180) as d from @events) e"
+SQL["view_transform"] = """
+select session_id, job_id, round(400 + (x - 3000) * zoom * 0.1 + 12, 6) as view_x, round(300 + (y - 2000) * zoom * 0.1 - 7, 6) as view_y, zoom
+from (select *, least(8, greatest(0.25, score * 10)) as zoom from @fields) f"""
+SQL["feather_weight"] = "select session_id, job_id, round(least(1, least(least(px, w - px) / (0.25 * w), least(py, h - py) / (0.25 * h))) + 0.02, 6) as weight from (select *, w * score as px, h * (1 - score) as py from @fields) f"
+SQL["label_names"] = "select session_id, job_id, case raw_class when 'MONOLAYER' then 'm' when 'TOO_THICK' then 't' when 'TOO_THIN' then 'n' else 'u' end as letter, human_label, coalesce(human_label, raw_class) as effective from @fields"
+SQL["file_names"] = "select session_id, job_id, concat('field_', lpad(cast(job_id as varchar(10)), 5, '0'), '.png') as file_name, cast(regexp_extract(concat('field_', lpad(cast(job_id as varchar(10)), 5, '0'), '.png'), '([0-9]+)', 1) as bigint) as parsed from @fields"
+SQL["asof_positions"] = """
+select session_id, event_id, max(net_x) as net_x from (
+  select a.session_id, a.event_id, a.frame_index, round(sum(b.dx0) over (partition by a.session_id, a.event_id order by b.frame_index rows unbounded preceding), 4) as running, b.frame_index as at_frame,
+    round(sum(b.dx0) over (partition by a.session_id, a.event_id), 4) as net_x
+  from @frames a join @frame_steps b on b.session_id = a.session_id and b.frame_index <= a.frame_index where a.frame_index < 30
+) t group by session_id, event_id"""
+SQL["sweep_membership"] = """
+select f.session_id, f.job_id, coalesce(max(s.sweep_id), 0) as sweep_id, coalesce(max(s.start_job), 0) as anchor_job from @fields f left join @sweep_starts s on s.session_id = f.session_id and s.start_job <= f.job_id group by f.session_id, f.job_id"""
+SQL["sweep_trails"] = """
+select session_id, sweep_id, count(*) as n, min(job_id) as first_job, max(job_id) as last_job, round(sum(step), 4) as length from (
+  select f.session_id, f.job_id, s.sweep_id, coalesce(sqrt((x - lag(x) over (partition by f.session_id, s.sweep_id order by f.job_id)) * (x - lag(x) over (partition by f.session_id, s.sweep_id order by f.job_id)) + (y - lag(y) over (partition by f.session_id, s.sweep_id order by f.job_id)) * (y - lag(y) over (partition by f.session_id, s.sweep_id order by f.job_id))), 0) as step
+  from @fields f join (select session_id, start_job, sweep_id, lead(start_job) over (partition by session_id order by start_job) as next_job from @sweep_starts) s on s.session_id = f.session_id and f.job_id >= s.start_job and (s.next_job is null or f.job_id < s.next_job)
+) t group by session_id, sweep_id"""
+SQL["carried_timings"] = "select c.image_id, n_total, t.ms from @image_counts c left join (select s_suppkey as image_id, round(s_suppkey * 1.5, 3) as ms from @supplier where s_suppkey % 4 <> 0) t on t.image_id = c.image_id"
+SQL["label_lookup"] = "select j.job_id, j.priority, f.session_id, f.raw_class, f.human_label from (select job_id, min(priority) as priority from @jobs group by job_id) j join @fields f on f.job_id = j.job_id and f.session_id = j.job_id % 50"
+SQL["edge_set"] = "select session_id, y - h / 2 as edge from @fields where job_id <= 50 union select session_id, y + h / 2 from @fields where job_id <= 50"
+SQL["uncommitted"] = "select session_id, job_id from @jobs where value > 100 except select session_id, job_id from @jobs where priority = 'AUTO'"
+SQL["both_layers"] = "select session_id, count(*) as both_n from (select session_id, job_id from @fields where raw_class = 'MONOLAYER' intersect select session_id, job_id from @fields where reg_state = 'REGISTRATION_GOOD') t group by session_id"
+SQL["all_logs"] = "select 'field' as kind, session_id, job_id as id from @fields where job_id <= 5 union all select 'job', session_id, job_id from @jobs where job_id <= 50"
+SQL["gate_inference"] = "select screen, count(*) as frames, count(*) filter (where screen <> 'LIKELY_THIN' and sharpness >= 5) as analysed from @motion_class group by screen"
+SQL["mosaic_blend"] = """
+select session_id, gx, gy, round(sum(wt * score) / sum(wt), 6) as blended, count(*) as n from (
+  select session_id, cast(floor(x / 400) as bigint) as gx, cast(floor(y / 224) as bigint) as gy, score, reg_confidence * 0.5 + 0.02 as wt from @fields where reg_state <> 'REGISTRATION_FAILED'
+) t group by session_id, gx, gy having sum(wt) > 0.02"""
+SQL["valid_region"] = "select image_id, count(*) filter (where x >= 192 and x < 1728 and y >= 108 and y < 972) as inside, count(*) as n from @points group by image_id"
+SQL["run_performance"] = "select session_id, round(avg(value), 6) as mean_ms, MEDIAN(value) as median_ms, min(value) as min_ms, max(value) as max_ms, round(1000 / nullif(MEDIAN(value), 0), 6) as fps from @jobs group by session_id"
+SQL["superseded_jobs"] = """
+select session_id, job_id, coalesce(next_job is not null and next_at < t_capture + value / 100, false) as superseded from (
+  select *, lead(job_id) over (partition by session_id order by job_id) as next_job, lead(t_capture) over (partition by session_id order by job_id) as next_at from @jobs where priority = 'AUTO') t"""
+SQL["revisit_cursor"] = "select session_id, job_id, (job_id * 7) % 6 as target from @fields where job_id <= 30"
+SQL["boundary_evidence"] = """
+select session_id, gx, gy, round(avg(evidence), 6) as evidence, avg(evidence) >= 0.5 as inside from (
+  select session_id, cast(floor(x / 100) as bigint) as gx, cast(floor(y / 100) as bigint) as gy, (agree + score) / (agree + disagree + 1) as evidence
+  from (select *, cast(job_id % 4 as double) as agree, cast(job_id % 3 as double) as disagree from @fields where raw_class = 'MONOLAYER') f
+) t group by session_id, gx, gy"""
+SQL["centroid_revisit"] = """
+select session_id, job_id from (
+  select f.session_id, f.job_id, row_number() over (partition by f.session_id order by round((f.x - m.mx) * (f.x - m.mx) + (f.y - m.my) * (f.y - m.my), 3), f.job_id) as k
+  from @fields f join (select session_id, avg(x) as mx, avg(y) as my from @fields where raw_class = 'MONOLAYER' group by session_id) m on m.session_id = f.session_id where f.raw_class = 'MONOLAYER'
+) t where k = 1"""
+SQL["field_state_counts"] = "select raw_class, reg_state, count(*) as n, min(score) as lo, MEDIAN(score) as mid, max(score) as hi from @fields group by raw_class, reg_state"
+
 QUERIES = {name: query(text) for name, text in SQL.items()}
 ORACLE_SQL = {name: duck(text) for name, text in SQL.items()}
