@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _text
-from cytomesh.session import bound_batches, table
+from cytomesh.session import bound_batches, table, written
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 3000
@@ -86,6 +86,30 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
     return out
 
 
+class Part:
+    """Some training documents: buckets and their shares of each document, one after another."""
+
+    def __init__(self, ids: list[np.ndarray], shares: list[np.ndarray], labels: list[int]):
+        self.count = np.array([len(i) for i in ids])
+        self.ids, self.shares, self.labels = np.concatenate(ids), np.concatenate(shares), np.array(labels, np.int64)
+
+    def only(self, place: np.ndarray) -> "Part":
+        """The buckets that have a place, renumbered."""
+        keep = place[self.ids] >= 0
+        doc = np.repeat(np.arange(len(self.count)), self.count)[keep]
+        self.count = np.bincount(doc, minlength=len(self.count))
+        self.ids, self.shares = place[self.ids[keep]], self.shares[keep]
+        return self
+
+    def sums(self, along: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.shares * along[self.ids], dtype=np.float64)])
+        end = np.cumsum(self.count)
+        return total[end] - total[end - self.count]
+
+    def pull(self, error: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.ids, weights=np.repeat(error, self.count) * self.shares, minlength=n)
+
+
 class Classifier:
     """Bucket vectors and a two-class softmax along one direction."""
 
@@ -96,22 +120,24 @@ class Classifier:
         self.prior = prior
         self.bias = 0.0
 
-    def train(self, bag: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, steps: int = STEPS) -> None:
+    def train(self, parts: list[Part], steps: int = STEPS) -> None:
         """Adam on the mean cross entropy of the two classes, each with half the weight.
 
-        Buckets of fewer than LEAST documents (less with few toxic ones) are left out: they can only be memorised. The
-        weights kept are those of the step that is best on every CHECK-th document, which
-        take no part in the gradients.
+        Buckets of fewer than LEAST documents (less with few toxic ones) are left out: they can
+        only be memorised. The weights kept are those of the step that is best on every
+        CHECK-th document, which take no part in the gradients. Only parts' arrays stay in
+        memory; each step goes over them one by one.
         """
-        ids = np.concatenate([b[0] for b in bag])
-        share = np.concatenate([b[1] / max(1, b[2]) for b in bag]) * SCALE
-        doc = np.repeat(np.arange(len(bag)), [len(b[0]) for b in bag])
-        seen = np.bincount(ids, minlength=BUCKETS)
+        labels = np.concatenate([p.labels for p in parts])
         least = int(np.clip(labels.sum() // 20, 2, LEAST))
+        seen = sum(np.bincount(p.ids, minlength=BUCKETS) for p in parts)
         used = np.flatnonzero(seen >= least)
-        keep = seen[ids] >= least
-        ids, share, doc = np.searchsorted(used, ids[keep]).astype(np.int32), share[keep].astype(np.float32), doc[keep].astype(np.int32)
-        test = np.zeros(len(bag), bool)
+        if not len(used):
+            return
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        parts = [p.only(place) for p in parts]
+        test = np.zeros(len(labels), bool)
         for label in (0, 1):  # of either class
             test[np.flatnonzero(labels == label)[::CHECK]] = True
         if len(np.unique(labels[~test])) < 2:
@@ -122,14 +148,17 @@ class Classifier:
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, direction, np.zeros(1))]
         best = (np.inf, vectors, direction, bias)
         for step in range(1, steps + 1):
-            along = vectors @ direction
-            logit = np.clip(np.bincount(doc, weights=share * along[ids], minlength=len(bag)) + bias, -30, 30)
-            p = 1 / (1 + np.exp(-logit))
-            loss = -(judged * np.where(labels == 1, np.log(p), np.log1p(-p))).sum()
+            along = (vectors @ direction).astype(np.float32)
+            logit = np.clip(np.concatenate([p.sums(along) for p in parts]) + bias, -30, 30)
+            chance = 1 / (1 + np.exp(-logit))
+            loss = -(judged * np.where(labels == 1, np.log(chance), np.log1p(-chance))).sum()
             if loss < best[0]:
                 best = (loss, vectors, direction, bias)
-            error = weight * (p - labels)
-            pull = np.bincount(ids, weights=error[doc] * share, minlength=len(used))
+            error = weight * (chance - labels)
+            pull, at = np.zeros(len(used)), 0
+            for p in parts:
+                pull += p.pull(error[at : at + len(p.labels)], len(used))
+                at += len(p.labels)
             gradients = (np.outer(pull, direction) + DECAY * vectors, pull @ vectors, np.array([error.sum()]))
             change = []
             for g, (m, v) in zip(gradients, moments, strict=True):
@@ -160,17 +189,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = bags(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b[0].tobytes() for b in got], pa.binary()), pa.array([b[1].astype(np.int32).tobytes() for b in got], pa.binary())], ["doc_id", "toxic", "ids", "counts"])
-
-    rows = text.select("doc_id", "text", "toxic").mapInArrow(bagged, "doc_id long, toxic int, ids binary, counts binary").orderBy("doc_id", "toxic", F.xxhash64("ids", "counts")).limit(2 * sample).collect()
-    bag = []
-    for r in rows:
-        counts = np.frombuffer(bytes(r["counts"]), np.int32)
-        bag.append((np.frombuffer(bytes(r["ids"]), np.int32), counts, int(counts.sum())))
-    marks = np.array([r["toxic"] for r in rows], np.int64)
-    if any(b[2] and t == 1 for b, t in zip(bag, marks, strict=True)) and any(b[2] and t == 0 for b, t in zip(bag, marks, strict=True)):
-        model.train(bag, marks)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                got = bags(part.column(1))
+                shares = [(SCALE * b[1] / max(1, b[2])).astype(np.float32).tobytes() for b in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b[0].tobytes() for b in got], pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "toxic", "ids", "shares"])
+
+    found = text.select("doc_id", "text", "toxic").mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary")
+    found = written(found.where("octet_length(ids) > 0"), "bags").orderBy("doc_id", "toxic", F.xxhash64("ids", "shares")).limit(2 * sample)
+    parts, held = [], ([], [], [])
+    for r in found.toLocalIterator():  # at most 2 * sample rows, a partition at a time
+        for into, value in zip(held, (np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["shares"]), np.float32), r["toxic"]), strict=True):
+            into.append(value)
+        if len(held[0]) == 250:
+            parts.append(Part(*held))
+            held = ([], [], [])
+    if held[0]:
+        parts.append(Part(*held))
+    if parts and len(np.unique(np.concatenate([p.labels for p in parts]))) == 2:
+        model.train(parts)
     return model
 
 
