@@ -8,7 +8,7 @@ so on to the depth where it fits, so depth adapts to how dense a region is. Neig
 the order always stay candidates, and a region still too large at the last depth is tied to
 its first row as well. Orders are sorted by range, so one dense region spreads over tasks.
 
-Candidates are confirmed on full sets. First the three candidates that meet a class in the
+Candidates are confirmed on full sets. First the two candidates that meet a class in the
 most orders; classes then known to be connected need no further comparison between them,
 and every other candidate is confirmed in the second pass.
 
@@ -40,7 +40,6 @@ HASHES = 128
 ORDERS = 32
 FIRST_DEPTH, LAST_DEPTH = 4, 8
 REGION = 8
-BEST = 3
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,8 +246,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(candidates(classes), "pairs")
     sets = written(_sets_of(docs, classes, pairs), "sets")
     ends = pairs.select("u", "v", "met").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "met"))
-    # The BEST neighbours of each class, found with a bounded state for each class.
-    best = ends.groupBy("u").agg(*[F.expr("max_by(v, struct(met, -v))").alias("v1")])
+    # The two best neighbours of each class, found with a bounded state for each class.
+    best = ends.groupBy("u").agg(F.expr("max_by(v, struct(met, -v))").alias("v1"))
     second = ends.join(best, "u").where("v <> v1").groupBy("u").agg(F.expr("max_by(v, struct(met, -v))").alias("v2"))
     chosen = best.select("u", F.col("v1").alias("v")).unionByName(second.select("u", F.col("v2").alias("v")))
     chosen = written(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "chosen")
