@@ -178,16 +178,25 @@ def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.F
         owner = items.owner[_text.spread(a[found], many)]
         pairs |= set(zip(np.repeat(part[found // (WALKS * TABLES)], many).tolist(), owner.tolist(), strict=True))
     out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    rest = []
     for w, item in sorted(pairs):
         target = items.words[item]
-        if len(target) != length[w]:
-            continue
+        if len(target) == length[w]:
+            if np.array_equal(hashes[start[w] : start[w] + length[w]], target):
+                out.setdefault((int(doc[w]), item), []).append((int(start[w]), len(target), 0))
+            else:
+                rest.append((w, item, target))
+    for w, item, target in rest:
+        begin, n = int(start[w]), len(target)
+        if any(begin < a + k and a < begin + n for a, k, distance in out.get((int(doc[w]), item), ()) if not distance):
+            continue  # over a verbatim passage
         text = hashes[low[w] : high[w]]
+        if np.isin(target, text).sum() < n - slack[w]:
+            continue  # each edit loses one word of the item at most
         distance, end = passage_distance(target, text)
         if distance <= slack[w]:
             _, back = passage_distance(target[::-1], text[:end][::-1])
-            span = (int(low[w]) + end - back, back, distance)
-            out.setdefault((int(doc[w]), item), []).append(span)
+            out.setdefault((int(doc[w]), item), []).append((int(low[w]) + end - back, back, distance))
     rows = []
     for (d, item), spans in sorted(out.items()):
         taken: list[tuple[int, int]] = []
