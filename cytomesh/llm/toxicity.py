@@ -19,6 +19,7 @@ doc_id is not held out; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -196,12 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b[0].tobytes() for b in got], pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "toxic", "ids", "shares"])
 
     found = text.select("doc_id", "text", "toxic").mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary")
-    found = written(found.where("octet_length(ids) > 0"), "bags").orderBy("doc_id", "toxic", F.xxhash64("ids", "shares")).limit(2 * sample)
+    found = written(found.where("octet_length(ids) > 0"), "bags").select("toxic", "ids", "shares")
     parts, held = [], ([], [], [])
-    for r in found.toLocalIterator():  # at most 2 * sample rows, a partition at a time
+    for r in islice(found.toLocalIterator(), 2 * sample):  # a partition of the written table at a time
         for into, value in zip(held, (np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["shares"]), np.float32), r["toxic"]), strict=True):
             into.append(value)
-        if len(held[0]) == 250:
+        if len(held[0]) == 100:
             parts.append(Part(*held))
             held = ([], [], [])
     if held[0]:
