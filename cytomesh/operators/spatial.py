@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,50 @@ def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id"
     return near.unionByName(far)
 
 
+def nearest_target(points: DataFrame, targets: DataFrame, group: str, key: str, target: str, digits: int) -> DataFrame:
+    """Each point's nearest target of its group: the target's key and d, rounded to digits; ties go to the smaller key.
+
+    As in nearest, a target within a bucket's side is proven, and only the other points are compared
+    with their whole group. A point of a group without targets has no row.
+    """
+    extent = targets.groupBy(group).agg(F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
+    extent = extent.select(group, F.greatest(F.lit(1e-6), 1.4 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"))
+    sized = points.select(group, key, "x", "y").join(extent, group)
+    other = targets.select(group, target, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    here = _bucketed(targets.select(group, target, "x", "y").join(extent, group), F.col("_size"), False).select(group, "bx", "by", target, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    pick = F.min(F.struct(F.round("d", digits).alias("d"), F.col(target))).alias("best")
+    near = _bucketed(sized, F.col("_size"), True).join(here, [group, "bx", "by"]).withColumn("d", distance)
+    # One unit of the last digit is left, so that no target beyond the buckets can round to the same d.
+    near = near.groupBy(group, key).agg(pick, F.first("_size").alias("_size")).where(F.col("best.d") <= F.col("_size") - 10.0**-digits).select(group, key, "best.*")
+    rest = sized.join(near.select(group, key), [group, key], "left_anti")
+    far = rest.join(other, group).withColumn("d", distance).groupBy(group, key).agg(pick).select(group, key, "best.*")
+    return near.unionByName(far)
+
+
+def clipped_union(k: np.ndarray) -> float:
+    """The area of the union of the rectangles (x0, y0, x1, y1), one a row.
+
+    Rectangles inside another are dropped first; then bands between y edges, as in union_bands.
+    """
+    k = k[np.argsort(-(k[:, 2] - k[:, 0]) * (k[:, 3] - k[:, 1]), kind="stable")]
+    kept = k[:0]
+    while len(k):
+        a = k[0]
+        kept = np.concatenate([kept, k[:1]])
+        k = k[(k[:, 0] < a[0]) | (k[:, 1] < a[1]) | (k[:, 2] > a[2]) | (k[:, 3] > a[3])]
+    kept = kept[np.argsort(kept[:, 0], kind="stable")]
+    edges = np.unique(kept[:, [1, 3]])
+    total = 0.0
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        row = kept[(kept[:, 1] <= low) & (kept[:, 3] >= high)]
+        if len(row):
+            reach = np.maximum.accumulate(row[:, 2])
+            before = np.concatenate([row[:1, 0], reach[:-1]])
+            total += float((high - low) * np.maximum(0.0, reach - np.maximum(before, row[:, 0])).sum())
+    return total
+
+
 def group_components(edges: DataFrame, group: str = "image_id", key: str = "instance_id") -> DataFrame:
     """group, key and component (smallest key) of all points that have an edge.
 
@@ -82,13 +127,17 @@ def group_components(edges: DataFrame, group: str = "image_id", key: str = "inst
 def union_bands(rects: DataFrame, group: str) -> DataFrame:
     """Disjoint rectangles (x0, y0, x1, y1) that cover the union of each group's rectangles.
 
-    Bands between neighbouring y edges; in a band, x intervals that meet are merged.
+    Bands between neighbouring y edges; in a band, x intervals that meet are merged. Bands meet
+    rectangles by buckets along y, as high as the group's highest rectangle.
     """
     from pyspark.sql import Window
 
     edges = rects.select(group, F.explode(F.array("y0", "y1")).alias("b0")).distinct()
     bands = edges.withColumn("b1", F.lead("b0").over(Window.partitionBy(group).orderBy("b0"))).where("b1 is not null")
-    inside = bands.join(rects, group).where("y0 <= b0 and y1 >= b1 and x1 > x0")
+    side = rects.groupBy(group).agg(F.greatest(F.lit(1e-6), F.max(F.col("y1") - F.col("y0"))).alias("_side"))
+    bands = bands.join(side, group).withColumn("_by", F.floor(F.col("b0") / F.col("_side")))
+    spread = rects.where("x1 > x0 and y1 > y0").join(side, group).withColumn("_by", F.explode(F.sequence(F.floor(F.col("y0") / F.col("_side")), F.floor(F.col("y1") / F.col("_side"))))).drop("_side")
+    inside = bands.drop("_side").join(spread, [group, "_by"]).where("y0 <= b0 and y1 >= b1").drop("_by")
     order = Window.partitionBy(group, "b0").orderBy("x0", "x1")
     inside = inside.withColumn("reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     inside = inside.withColumn("island", F.sum(F.when(F.col("x0") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

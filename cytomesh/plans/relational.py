@@ -263,5 +263,20 @@ select session_id, job_id from (
 ) t where k = 1"""
 SQL["field_state_counts"] = "select raw_class, reg_state, count(*) as n, min(score) as lo, MEDIAN(score) as mid, max(score) as hi from @fields group by raw_class, reg_state"
 
-QUERIES = {name: query(text) for name, text in SQL.items()}
+# ---- whole tables: the queries whose SQL above compares a prefix of their rows only (ids, frames or images)
+WHOLE: dict[str, str] = {name: SQL[name].replace("@mask_runs", "@all_mask_runs") for name in ("mask_geometry", "instance_count", "roi_mask_coverage")}
+WHOLE["sampled_scan"] = "select session_id, frame_index, t_sec, round(disp, 6) as disp from @frame_steps where frame_index % 10 = 0 and frame_index >= 20"
+# Ids modulo 7 and 100 make 700 groups, so the place is a group's start and the place within it, without one global sort.
+WHOLE["natural_sort"] = """
+select p.id, cast(g.before + row_number() over (partition by p.a, p.b order by p.id) as bigint) as place,
+  concat('img', cast(p.a as varchar(10)), '_', cast(p.b as varchar(10)), '.png') as file_name
+from (select p_partkey as id, p_partkey % 7 as a, p_partkey % 100 as b from @part) p
+join (select a, b, coalesce(sum(n) over (order by a, b rows between unbounded preceding and 1 preceding), 0) as before
+  from (select p_partkey % 7 as a, p_partkey % 100 as b, count(*) as n from @part group by p_partkey % 7, p_partkey % 100) c) g on g.a = p.a and g.b = p.b"""
+WHOLE["asof_positions"] = "select session_id, event_id, round(sum(dx0) over (partition by session_id order by frame_index rows unbounded preceding), 4) as net_x from @frame_steps"
+WHOLE["edge_set"] = "select session_id, y - h / 2 as edge from @fields union select session_id, y + h / 2 from @fields"
+WHOLE["all_logs"] = "select 'field' as kind, session_id, job_id as id from @fields union all select 'job', session_id, job_id from @jobs"
+WHOLE["revisit_cursor"] = "select session_id, job_id, (job_id * 7) % 6 as target from @fields"
+
+QUERIES = {name: query(text) for name, text in (SQL | WHOLE).items()}
 ORACLE_SQL = {name: duck(text) for name, text in SQL.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ def classify_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rects = view(spark, sf_dir, "fields").where("raw_class = 'MONOLAYER' and job_id <= 120").selectExpr("session_id", "x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1")
+    rects = view(spark, sf_dir, "fields").where("raw_class = 'MONOLAYER'").selectExpr("session_id", "x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1")
     bands = spatial.union_bands(rects, "session_id")
     return bands.groupBy("session_id").agg(F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 0).alias("union_area"))
 
@@ -88,7 +91,7 @@ def semantic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interior components (4 neighbours) of at least 2 uncovered grid cells."""
-    grid = _grid(spark, sf_dir).where("job_id <= 60")
+    grid = _grid(spark, sf_dir)
     sizes = view(spark, sf_dir, "grid_geometry").selectExpr("session_id", "cast(ceil((gx1 - gx0) / cell) as int) as gw", "cast(ceil((gy1 - gy0) / cell) as int) as gh")
     spine = sizes.withColumn("gx", F.explode(F.sequence(F.lit(1), F.col("gw") - 2))).withColumn("gy", F.explode(F.sequence(F.lit(1), F.col("gh") - 2)))
     covered = grid.where("reg_state <> 'REGISTRATION_FAILED'").select("session_id", "gx", "gy").distinct()
@@ -103,14 +106,32 @@ def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field against the fields before it: best overlap, exact union overlap, state."""
-    fields = view(spark, sf_dir, "fields").where("job_id <= 100").selectExpr("session_id", "job_id", "x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1")
-    new = fields.selectExpr("session_id", "job_id", "x0 as cx0", "y0 as cy0", "x1 as cx1", "y1 as cy1")
-    both = new.join(fields.withColumnRenamed("job_id", "other"), "session_id").where("other < job_id")
-    both = both.withColumns({"ix": F.expr("greatest(0D, least(cx1, x1) - greatest(cx0, x0))"), "iy": F.expr("greatest(0D, least(cy1, y1) - greatest(cy0, y0))"), "gap": F.expr("hypot(greatest(x0 - cx1, cx0 - x1, 0D), greatest(y0 - cy1, cy0 - y1, 0D))")})
-    best = both.groupBy("session_id", "job_id").agg(F.max("gap").alias("_"), F.min("gap").alias("gap"), F.max(F.struct(F.expr("ix * iy").alias("a"), F.expr("-other").alias("o"))).alias("best")).drop("_")
-    clipped = both.where("ix > 0 and iy > 0").selectExpr("struct(session_id, job_id) as k", "greatest(cx0, x0) as x0", "greatest(cy0, y0) as y0", "least(cx1, x1) as x1", "least(cy1, y1) as y1")
-    union = spatial.union_bands(clipped, "k").groupBy("k").agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias("u")).select("k.session_id", "k.job_id", "u")
-    out = new.select("session_id", "job_id").join(best, ["session_id", "job_id"], "left").join(union, ["session_id", "job_id"], "left")
+    fields = view(spark, sf_dir, "fields").selectExpr("session_id", "job_id", "x", "y", "w", "h", "x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1")
+    fields = written(fields, "fields")
+    new = fields.selectExpr("session_id", "job_id", "x", "y", "x0 as cx0", "y0 as cy0", "x1 as cx1", "y1 as cy1")
+    old = fields.selectExpr("session_id", "job_id as other", "x as ox", "y as oy", "x0", "y0", "x1", "y1")
+    # Buckets as large as a session's largest field: fields that meet are in the same or in neighbouring ones.
+    size = fields.groupBy("session_id").agg(F.max("w").alias("bw"), F.max("h").alias("bh"))
+    here = old.join(size, "session_id").withColumns({"bx": F.expr("floor(ox / bw)"), "by": F.expr("floor(oy / bh)")}).drop("ox", "oy", "bw", "bh")
+    around = new.join(size, "session_id").withColumn("bx", F.explode(F.expr("sequence(floor(x / bw) - 1, floor(x / bw) + 1)"))).withColumn("by", F.explode(F.expr("sequence(floor(y / bh) - 1, floor(y / bh) + 1)"))).drop("bw", "bh")
+    measures = {"ix": F.expr("greatest(0D, least(cx1, x1) - greatest(cx0, x0))"), "iy": F.expr("greatest(0D, least(cy1, y1) - greatest(cy0, y0))"), "gap": F.expr("hypot(greatest(x0 - cx1, cx0 - x1, 0D), greatest(y0 - cy1, cy0 - y1, 0D))")}
+    met = around.join(here, ["session_id", "bx", "by"]).where("other < job_id").withColumns(measures).where("gap = 0")
+    clip = F.when(F.expr("ix > 0 and iy > 0"), F.expr("array(greatest(cx0, x0), greatest(cy0, y0), least(cx1, x1), least(cy1, y1))"))
+    met = written(met.groupBy("session_id", "job_id").agg(F.max(F.struct(F.expr("ix * iy").alias("a"), F.expr("-other").alias("o"))).alias("best"), F.flatten(F.collect_list(clip)).alias("clips")), "met")
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clips = batch.column(2)
+            flat, at = clips.values.to_numpy(), clips.offsets.to_numpy()
+            area = [spatial.clipped_union(flat[a:b].reshape(-1, 4)) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(area, pa.float64())], ["session_id", "job_id", "u"])
+
+    union = met.select("session_id", "job_id", "clips").mapInArrow(united, "session_id long, job_id long, u double")
+    # Fields that meet none before them, the first ones of a session and those on new ground, are compared with all before them.
+    apart = new.join(met.select("session_id", "job_id"), ["session_id", "job_id"], "left_anti").join(old, "session_id").where("other < job_id").withColumns(measures)
+    apart = apart.groupBy("session_id", "job_id").agg(F.min("gap").alias("gap"))
+    gap = met.select("session_id", "job_id", F.lit(0.0).alias("gap")).unionByName(apart)
+    out = new.select("session_id", "job_id").join(met.drop("clips"), ["session_id", "job_id"], "left").join(union, ["session_id", "job_id"], "left").join(gap, ["session_id", "job_id"], "left")
     area = 800.0 * 448.0
     out = out.select("session_id", "job_id", F.round(F.coalesce(F.col("best.a"), F.lit(0.0)) / area, 6).alias("overlap_prev"), F.round(F.coalesce("u", F.lit(0.0)) / area, 4).alias("overlap_total"), F.when(F.col("best.a") > 0, -F.col("best.o")).alias("best_job_id"), F.round("gap", 3).alias("gap"))
     state = F.when(F.col("gap").isNull(), "FIRST_FIELD").when(F.col("overlap_total") >= 0.9, "ALREADY_SCANNED").when((F.col("overlap_prev") > 0.3) | (F.col("overlap_total") > 0.3), "TOO_MUCH_OVERLAP").when(F.col("overlap_prev") < 0.2, "GAP_RISK").otherwise("CAPTURE_READY")
@@ -138,10 +159,9 @@ def revisit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each thick field against the nearest MONOLAYER centre: INSIDE, NEAR or OUTSIDE."""
     fields = view(spark, sf_dir, "fields")
-    green = fields.where("raw_class = 'MONOLAYER'").selectExpr("session_id", "job_id as green", "x as gx", "y as gy")
-    pairs = fields.where("raw_class = 'TOO_THICK' and job_id <= 60").join(green, "session_id")
-    near = pairs.groupBy("session_id", "job_id").agg(F.min(F.struct(F.round(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")), 6).alias("d"), F.col("green"))).alias("m"))
-    return near.select("session_id", "job_id", "m.green", F.col("m.d").alias("distance"), F.when(F.col("m.d") <= 100, "INSIDE").when(F.col("m.d") <= 220, "NEAR").otherwise("OUTSIDE").alias("state"))
+    green = fields.where("raw_class = 'MONOLAYER'").select("session_id", F.col("job_id").alias("green"), "x", "y")
+    near = spatial.nearest_target(fields.where("raw_class = 'TOO_THICK'"), green, "session_id", "job_id", "green", 6)
+    return near.select("session_id", "job_id", "green", F.col("d").alias("distance"), F.when(F.col("d") <= 100, "INSIDE").when(F.col("d") <= 220, "NEAR").otherwise("OUTSIDE").alias("state"))
 
 
 QUERIES = {f.__name__: f for f in (nn_features, contact_ratio, degree_distribution, clusters, image_features, classify_field, union_area, coverage_grid, semantic_grid, holes, coverage_eval, lowe_matches, revisit_points, containment)}
