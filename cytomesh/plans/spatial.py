@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from cytomesh.operators import field, spatial
 from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
 from cytomesh.plans.sql import VIEWS, duck, view
-from cytomesh.session import written
+from cytomesh.session import bound_batches, written
 
 #: For the queries on fields: counts of this data's images, about 300 in the valid region.
 CONFIG = field.FieldConfig(count_min=560, count_max=620, density=(180.0, 320.0, 100.0), coverage=(0.15, 0.25, 0.1), thin_coverage=0.12, thin_spacing=1.2)
@@ -139,15 +140,48 @@ def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lowe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd vectors matched to their nearest even vector if clearly nearer than the second."""
-    vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    child, parent = vectors.where("id % 2 = 1 and id < 200"), vectors.where("id % 2 = 0")
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    # The queries are a bounded set (100 child descriptors); every parent is compared with them.
-    pairs = parent.selectExpr("id as parent", "v as v2").join(F.broadcast(child), F.lit(True)).select("id", "parent", F.round(distance, 9).alias("d"))
-    best = pairs.groupBy("id").agg(F.min(F.struct("d", "parent")).alias("one"))
-    second = pairs.join(F.broadcast(best), "id").where("parent <> one.parent").groupBy("id").agg(F.first("one").alias("one"), F.min("d").alias("d2"))
-    return second.select(F.col("id").alias("child"), "one.parent", F.round("one.d", 5).alias("d1"), F.round("d2", 5).alias("d2"), (F.col("one.d") < 0.98 * F.col("d2")).alias("good"))
+    """Odd vectors matched to their nearest even vector if clearly nearer than the second.
+
+    Every odd vector meets every even one, block by block; a pair of blocks leaves two parents a child.
+    """
+    bound_batches(spark)
+    vectors = view(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def blocks(side: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    part = batch.slice(at, rows)
+                    ids, v = part.column(0).to_numpy().astype(np.int64), part.column(1).flatten().to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], [f"{side}_ids", f"{side}_v"])
+
+        return packed
+
+    def nearest_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                child, parent = (np.frombuffer(row[c], np.int64) for c in ("c_ids", "p_ids"))
+                c, p = (np.frombuffer(row[k]).reshape(len(ids), -1) for k, ids in (("c_v", child), ("p_v", parent)))
+                out = []
+                for one in c:
+                    d = np.sqrt(((p - one) ** 2).sum(axis=1)).round(9)
+                    few = np.flatnonzero(d <= np.partition(d, 1)[1]) if len(d) > 2 else np.arange(len(d))
+                    out.append([(d[i], parent[i]) for i in few[np.lexsort((parent[few], d[few]))][:2]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(child, [len(x) for x in out])), pa.array([d for x in out for d, _ in x], pa.float64()), pa.array([i for x in out for _, i in x], pa.int64())],
+                    ["child", "d", "parent"],
+                )
+
+    child = vectors.where("id % 2 = 1").mapInArrow(blocks("c", 512), "c_ids binary, c_v binary")
+    parent = vectors.where("id % 2 = 0").mapInArrow(blocks("p", 1024), "p_ids binary, p_v binary")
+    # Dealt by block numbers, not broadcast: each child block goes once to every parent block.
+    parent = written(parent.withColumn("block", F.monotonically_increasing_id()), "parents")
+    numbers = parent.agg(F.collect_list("block").alias("blocks"))
+    pairs = written(child, "children").crossJoin(F.broadcast(numbers)).withColumn("block", F.explode("blocks")).drop("blocks").join(parent.hint("shuffle_hash"), "block").drop("block")
+    found = pairs.mapInArrow(nearest_two, "child long, d double, parent long")
+    two = found.groupBy("child").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "parent"))), 1, 2).alias("two")).where("size(two) = 2")
+    one, other = F.col("two")[0], F.col("two")[1]
+    return two.select("child", one["parent"].alias("parent"), F.round(one["d"], 5).alias("d1"), F.round(other["d"], 5).alias("d2"), (one["d"] < 0.98 * other["d"]).alias("good"))
 
 
 def revisit_points(spark: SparkSession, sf_dir: str) -> DataFrame:

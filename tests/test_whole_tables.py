@@ -70,3 +70,11 @@ def test_holes_see_all_fields(spark, few):
             if len(part) >= 2:
                 want.append((session, min(x for _, x in part), min(y for y, _ in part), len(part)))
     assert got == sorted(want)
+
+
+def test_lowe_matches_takes_every_odd_vector(spark):
+    sql = registry.ORACLE_SQL["lowe_matches"]
+    assert " and c.vec_id < 200" in sql
+    got = registry.QUERIES["lowe_matches"](spark, "/root/testdata/sf0.001").toPandas()
+    assert rows(got) == rows(oracle("/root/testdata/sf0.001", sql.replace(" and c.vec_id < 200", "")))
+    assert rows(got[got.child < 200]) == rows(oracle("/root/testdata/sf0.001", sql))
