@@ -8,7 +8,6 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cytomesh.llm import decontaminate, near_dedup, packing, pii, quality
 from cytomesh.session import table, written
@@ -21,9 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id."""
-    groups = near_dedup.near_duplicates(docs)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.survivors(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), class (0: empty set), sig (binary, null for empty sets)."""
+    """doc_id, text_key, n (set size), class (0: empty set), sig (binary, null for empty sets)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +88,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sig = iter(minhash(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n", "class", "sig"],
+                    [batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "text_key", "n", "class", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, class long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(signed, "doc_id long, text_key long, n long, class long, sig binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
@@ -237,8 +237,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(checked, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, root, n_shingles, component_id for every document.
+
+    text_key tells the texts of a doc_id apart. Components of one doc_id differ by root, which is
+    null for texts without shingles.
+    """
     bound_batches(docs.sparkSession)
     signed = written(signatures(docs), "signatures")
     named = signed.where("class <> 0 and doc_id is not null")
@@ -261,11 +265,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = classes.select("class", "doc_id").join(groups.withColumnRenamed("node", "class"), "class", "left")
     label = label.select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "root").select("class", "component_id")
-    out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("class") != 0), F.col("class")).alias("class")).join(label, "class", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = label.join(least, "root").select("class", "root", "component_id")
+    out = signed.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull() & (F.col("class") != 0), F.col("class")).alias("class")).join(label, "class", "left")
+    return out.select("doc_id", "text_key", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    out = labelled(docs).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of each component: of its smallest doc_id, and of that the text of the smallest text_key.
+
+    Rows of one doc_id whose texts are alike by no rule all stay, and so does every null doc_id.
+    Texts without shingles of one doc_id are alike. Of rows with equal doc_id and text the one
+    whose columns come first as JSON stays.
+    """
+    rows = written(labelled(docs).where("doc_id is not null").groupBy("doc_id", "component_id", "text_key", F.coalesce("root", F.lit(0)).alias("root")).agg(F.count("*").alias("n")), "labelled")
+    kept = rows.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key"))
+    key = ["doc_id", "text_key"]
+    gone = rows.join(kept, [*key, "root"], "left_anti").select(key)
+    many = rows.where("n > 1").join(kept, [*key, "root"], "left_semi").select(key)
+    named = docs.where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    once = named.join(gone.unionByName(many).distinct(), key, "left_anti").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = named.join(many, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -53,3 +53,14 @@ def test_queries_with_sql(spark):
 
     for name, sql in registry.ORACLE_SQL.items():
         assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(oracle(SF, sql)), name
+
+
+def test_near_duplicates_drop_only_what_a_rule_rejects(spark):
+    import corpus_pipeline
+
+    long = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(None, long("a"), "en"), (None, long("b"), "en"), (None, long("a"), "de"), (7, long("c"), "en"), (7, long("d"), "en"), (8, long("e"), "en"), (8, long("e"), "de"), (9, long("c") + " more", "en"), (10, "", "en"), (11, None, "en")]
+    want = sorted(map(repr, [*rows[:5], (8, long("e"), "de"), *rows[8:]]))
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        assert sorted(repr(tuple(r)) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
