@@ -121,6 +121,24 @@ def test_neighbours_cover_a_dense_region():
     assert {(i, i + 1) for i in range(n - 1)} <= set(zip(u.tolist(), v.tolist())) and len(u) < 4 * n
 
 
+def test_one_heavily_edited_copy_in_a_dense_region(spark):
+    """A copy at 0.76 of the original, below 0.75 of the 2000 light copies around it."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(304)]
+    heavy = range(10, 90, 10)
+    texts = [base, [f"x{i}" if i in heavy else w for i, w in enumerate(base)]]
+    for k in range(2000):
+        light = rng.sample(range(110, 300, 8), 2)
+        texts.append([f"m{k}x{i}" if i in light else w for i, w in enumerate(base)])
+    sets = [shingles(" ".join(t)) for t in texts]
+    alike = [100 * len(sets[1] & s) >= 75 * len(sets[1] | s) for s in sets]
+    assert alike[:2] == [True, True] and not any(alike[2:])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(26, 50)], "doc_id long, quality int, toxic int")
     got = {(r.doc_id, r.n_words): r for r in quality.judge(docs, labels).collect()}
