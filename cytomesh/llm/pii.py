@@ -1,14 +1,15 @@
 """Op 2, personal data by patterns and information-theoretic sanitisation.
 
-Base spans come from four patterns. The method then asks which words near them give them
-away. A context is the CONTEXT words on either side of an entity (an address or number found
-by a pattern); equal contexts count once, so copies are no evidence. For a word t and an
-entity e, over the whole corpus of N documents,
-    PMI(t; e) = log2(N * contexts of e with t / (documents with t * contexts of e))
-    IC(e)     = log2(N / contexts of e)
-A word discloses e if at least SUPPORT contexts hold both and PMI >= SHARE * IC > 0. Where it
-stands near e it becomes a span of kind term. sanitize() generalises base spans to their
-kind and removes disclosing words.
+Base spans come from four patterns. The method then asks which words of their documents give
+them away. For a word t and an entity e (an address or number found by a pattern), over the
+whole corpus of N documents,
+    PMI(t; e) = log2(N * documents with e and t / (documents with t * documents with e))
+    IC(e)     = log2(N / documents with e)
+A context is the CONTEXT words on either side of an entity; equal contexts count once, so
+copies are no evidence. A word discloses e if documents with it hold at least SUPPORT
+contexts of e and PMI >= SHARE * IC > 0. It becomes a span of kind term wherever it stands
+outside base spans, in every document. sanitize() generalises base spans to their kind and
+removes disclosing words.
 
 Documents with a word are counted for candidate words only, found by a bit table of fixed
 size; if it fills up, more words are counted, and the result stays the same.
@@ -99,33 +100,44 @@ def _hashes(words: list[str]) -> np.ndarray:
     return _text.span_hash(data, offs[:-1], offs[1:]).view(np.int64) if words else np.zeros(0, np.int64)
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str, int, int]]:
-    """entity, context, word, start, end of the words around every span, without spans' own."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts, ends = [a for a, _ in words], [b for _, b in words]
+def _trimmed(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """word, start, end of the words of 3 letters or more, without marks at their ends and without spans' own."""
     taken = sorted((a, b) for _, a, b in spans)
     cut = [a for a, _ in taken]
     reach = 0
     reaches = [reach := max(reach, b) for _, b in taken]
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while x < y and text[x] in _EDGE:
+            x += 1
+        while x < y and text[y - 1] in _EDGE:
+            y -= 1
+        k = bisect_left(cut, y)
+        if y - x >= 3 and not (k and reaches[k - 1] > x):
+            yield _lower(text[x:y]), x, y
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str]]:
+    """entity and context of every span."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for kind, a, b in spans:
         lo, hi = bisect_right(ends, a), bisect_left(starts, b)
         around = [*range(max(0, lo - CONTEXT), lo), *range(hi, min(len(words), hi + CONTEXT))]
         entity = f"{kind}:{text[a:b].lower()}"
-        context = entity + "\n" + " ".join(text[words[i][0] : words[i][1]].lower() for i in around)
-        for i in around:
-            x, y = words[i]
-            while x < y and text[x] in _EDGE:
-                x += 1
-            while x < y and text[y - 1] in _EDGE:
-                y -= 1
-            k = bisect_left(cut, y)
-            if y - x >= 3 and not (k and reaches[k - 1] > x):
-                out.append((entity, context, _lower(text[x:y]), x, y))
+        out.append((entity, entity + "\n" + " ".join(text[words[i][0] : words[i][1]].lower() for i in around)))
     return out
 
 
-FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entity array<long>, context array<long>, term array<long>, first array<int>, last array<int>"
+def _row_keys(data: np.ndarray, offs: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """A name of each row's text and doc_id."""
+    row = _text.span_hash(data, offs[:-1], offs[1:])
+    ids = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _text.mix(row ^ _text.mix(ids.view(np.uint64))).view(np.int64)
+
+
+FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entity array<long>, context array<long>, words array<long>"
 
 
 def find(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -140,12 +152,11 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
             n = len(batch)
             maybe = np.concatenate([[0], np.cumsum(_MAYBE[data])])
             maybe = np.flatnonzero(maybe[offs[1:]] > maybe[offs[:-1]])
-            row = _text.span_hash(data, offs[:-1], offs[1:])
-            ids = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = _text.mix(row ^ _text.mix(ids.view(np.uint64))).view(np.int64)
+            row = _row_keys(data, offs, batch.column(1))
             counts = np.zeros((n, 4), np.int64)
             sha, base = [empty] * n, [""] * n
             pairs, owner = [], np.zeros(n, np.int64)
+            words, held = [], np.zeros(n, np.int64)
             for i in maybe.tolist():
                 text = batch.column(0)[i].as_py()
                 spans = base_spans(text)
@@ -155,12 +166,15 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
                     counts[i, KINDS.index(kind)] += 1
                 base[i] = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                 sha[i] = hashlib.sha256(base[i].encode()).hexdigest()
-                near = near_words(text, spans)
+                near = contexts(text, spans)
                 pairs += near
                 owner[i] = len(near)
-            bounds = pa.array(np.concatenate([[0], np.cumsum(owner)]).astype(np.int32))
-            columns = [_hashes([p[j] for p in pairs]) for j in range(3)] + [np.array([p[j] for p in pairs], np.int32) for j in (3, 4)]
-            arrays = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
+                own = {w for w, _, _ in _trimmed(text, spans)}
+                words.append(_hashes([*own]))
+                held[i] = len(own)
+            bounds, ends = (pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)) for k in (owner, held))
+            arrays = [pa.ListArray.from_arrays(bounds, pa.array(_hashes([p[j] for p in pairs]))) for j in range(2)]
+            arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *words]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(row), *(pa.array(c) for c in counts.T), pa.array(sha), pa.array(base), *arrays], [*names, *(c.split()[0] for c in FOUND.split(", "))])
 
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep)
@@ -168,13 +182,8 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     return source.mapInArrow(found, f"{schema}, {FOUND}")
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity and term (hashes) of the words that give an entity away."""
-    near = found.where("size(entity) > 0").select(F.explode(F.arrays_zip("entity", "context", "term")).alias("x")).select("x.entity", "x.context", "x.term").distinct()
-    near = written(near, "contexts")
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    of = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
-    both = written(both.join(of, "entity"), "disclosing")
+def _bit_table(terms: DataFrame) -> bytes:
+    """A packed table of 2 ** TABLE_BITS bits with the terms' marked."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << TABLE_BITS, bool)
@@ -189,10 +198,44 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
         return pa.table({"slice": group["slice"][:1], "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
     bits = np.zeros((16, (1 << TABLE_BITS) // 128), np.uint8)
-    terms = both.select("term").distinct()
     for r in terms.mapInArrow(marked, "slice int, bits binary").groupBy("slice").applyInArrow(merged, "slice int, bits binary").collect():  # 128 KB in all
         bits[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return bits.tobytes()
+
+
+def _found_words(seen: np.ndarray, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slab the hashes of its words that the bit table lets through, and their documents."""
+    for lo, hi in _text.slabs(offs):
+        part = data[offs[lo] : offs[hi]]
+        words = _text.find_words(part, offs[lo : hi + 1] - offs[lo])
+        # Trim the marks at a word's ends, as _trimmed does.
+        start, end = words.start.copy(), words.end.copy()
+        left = np.flatnonzero(_MARK[part[start]]) if len(start) else start
+        while len(left):
+            start[left] += 1
+            left = left[start[left] < end[left]]
+            left = left[_MARK[part[start[left]]]]
+        left = np.flatnonzero((end > start) & _MARK[part[end - 1]]) if len(start) else start
+        while len(left):
+            end[left] -= 1
+            left = left[start[left] < end[left]]
+            left = left[_MARK[part[end[left] - 1]]]
+        hashes = _text.span_hash(part, start, end, lower=True)
+        pick = np.flatnonzero(seen[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        yield hashes[pick], words.doc[pick] + lo
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """entity and term (hashes) of the words that give an entity away."""
+    occ = found.where("size(entity) > 0").select(F.monotonically_increasing_id().alias("n"), "words", F.explode(F.arrays_zip("entity", "context")).alias("x")).select("n", "words", "x.entity", "x.context").distinct()
+    of = found.where("size(entity) > 0").select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # Only entities with enough contexts can have a disclosing word.
+    rich = occ.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT).select("entity")
+    occ = written(occ.join(rich, "entity", "left_semi"), "contexts")
+    support = occ.select("entity", "context", F.explode("words").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    both = occ.select("n", "entity", "words").distinct().select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    both = written(both.join(support, ["entity", "term"]).join(of, "entity"), "disclosing")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(both.select("term").distinct()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
@@ -200,34 +243,16 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = _text.buffers(batch.column(0))
             all_terms = [none]
-            for lo, hi in _text.slabs(offs):
-                part = data[offs[lo] : offs[hi]]
-                words = _text.find_words(part, offs[lo : hi + 1] - offs[lo])
-                # Trim the marks at a word's ends, as near_words does.
-                start, end = words.start.copy(), words.end.copy()
-                left = np.flatnonzero(_MARK[part[start]]) if len(start) else start
-                while len(left):
-                    start[left] += 1
-                    left = left[start[left] < end[left]]
-                    left = left[_MARK[part[start[left]]]]
-                left = np.flatnonzero((end > start) & _MARK[part[end - 1]]) if len(start) else start
-                while len(left):
-                    end[left] -= 1
-                    left = left[start[left] < end[left]]
-                    left = left[_MARK[part[end[left] - 1]]]
-                hashes = _text.span_hash(part, start, end, lower=True)
-                pick = np.flatnonzero(seen[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-                doc = words.doc[pick]
-                key = np.unique(np.stack([hashes[pick], doc.astype(np.uint64)]), axis=1)[0] if len(pick) else none
-                all_terms.append(key)
+            for hashes, doc in _found_words(seen, data, offs):
+                all_terms.append(np.unique(np.stack([hashes, doc.astype(np.uint64)]), axis=1)[0] if len(doc) else none)
             values, count = np.unique(np.concatenate(all_terms), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["term", "docs"])
 
     have = docs.select("text").mapInArrow(counted, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
     total = docs.count()
     both = both.join(have, "term")
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.greatest("docs", "both") * F.col("contexts")))
-    worth = F.log2(F.lit(float(max(total, 1))) / F.col("contexts"))
+    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.greatest("docs", "both") * F.col("with_entity")))
+    worth = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity"))
     return both.where((worth > 0) & (pmi >= SHARE * worth)).select("entity", "term")
 
 
@@ -235,17 +260,35 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in _EDGE]] = True
 
 
-def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row and terms (sorted distinct spans) of documents with disclosing words."""
-    near = found.where("size(entity) > 0").select("row", F.explode(F.arrays_zip("entity", "term", "first", "last")).alias("x")).select("row", "x.entity", "x.term", "x.first", "x.last")
-    return near.join(pairs, ["entity", "term"], "left_semi").select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
+def term_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row and terms (sorted distinct spans) of all documents with disclosing words."""
+    terms = written(pairs.select("term").distinct(), "disclosing")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(terms))
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            data, offs = _text.buffers(batch.column(0))
+            row = _row_keys(data, offs, batch.column(1))
+            some = [doc for _, doc in _found_words(seen, data, offs)]
+            for i in np.unique(np.concatenate(some)).tolist() if some else ():
+                text = batch.column(0)[i].as_py()
+                words = [*_trimmed(text, base_spans(text))]
+                hashes = _hashes([w for w, _, _ in words])
+                pick = np.flatnonzero(seen[(hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(pick), row[i])), pa.array(hashes[pick]), *(pa.array([words[k][j] for k in pick], pa.int32()) for j in (1, 2))], ["row", "term", "first", "last"]
+                )
+
+    hits = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").mapInArrow(hit, "row long, term long, first int, last int")
+    return hits.join(terms, "term", "left_semi").select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_sha256, and spans: base ones, then terms."""
     bound_batches(docs.sparkSession)
     found = written(find(docs), "found")
-    out = found.join(term_spans(found, disclosing(docs, found)), "row", "left")
+    out = found.join(term_spans(docs, disclosing(docs, found)), "row", "left")
     terms = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["first"], F.lit(":"), t["last"])), ",")
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"))
@@ -254,7 +297,6 @@ def spans(docs: DataFrame) -> DataFrame:
 def sanitize(docs: DataFrame) -> DataFrame:
     """docs with base spans generalised to [KIND] and disclosing words removed in text.
 
-    Only documents with words near an entity are shuffled; the others go straight through.
     A null text stays null.
     """
     bound_batches(docs.sparkSession)
@@ -280,10 +322,10 @@ def sanitize(docs: DataFrame) -> DataFrame:
             fields[at_text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names=columns)], ["doc"])
 
-    plain = found.where("base = ''").select("doc")
-    private = found.where("base <> ''")
-    private = private.join(term_spans(private, pairs), "row", "left").select("doc", "base", "terms").mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
-    return plain.unionByName(private).select("doc.*")
+    marked = found.select("row", "doc", "base").join(term_spans(docs, pairs), "row", "left").select("doc", "base", "terms")
+    changed = "base <> '' or terms is not null"
+    private = marked.where(changed).mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
+    return marked.where(f"not ({changed})").select("doc").unionByName(private).select("doc.*")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
