@@ -8,7 +8,7 @@ whole corpus of N documents,
 A context is the CONTEXT words on either side of an entity; equal contexts count once, so
 copies are no evidence. A word discloses e if documents with it hold at least SUPPORT
 contexts of e and PMI >= SHARE * IC > 0. It becomes a span of kind term wherever it stands
-outside base spans, in every document. sanitize() generalises base spans to their kind and
+outside base spans in a document of e. sanitize() generalises base spans to their kind and
 removes disclosing words.
 
 Documents with a word are counted for candidate words only, found by a bit table of fixed
@@ -260,10 +260,11 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in _EDGE]] = True
 
 
-def term_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row and terms (sorted distinct spans) of all documents with disclosing words."""
-    terms = written(pairs.select("term").distinct(), "disclosing")
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(terms))
+def term_spans(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row and terms (sorted distinct spans) of documents with words that disclose one of their entities."""
+    told = found.where("size(entity) > 0").select("row", F.explode(F.array_distinct("entity")).alias("entity")).join(pairs, "entity")
+    terms = written(told.select("row", "term").distinct(), "disclosing")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(terms.select("term").distinct()))
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
@@ -273,7 +274,9 @@ def term_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             some = [doc for _, doc in _found_words(seen, data, offs)]
             for i in np.unique(np.concatenate(some)).tolist() if some else ():
                 text = batch.column(0)[i].as_py()
-                words = [*_trimmed(text, base_spans(text))]
+                if not (spans := base_spans(text)):
+                    continue
+                words = [*_trimmed(text, spans)]
                 hashes = _hashes([w for w, _, _ in words])
                 pick = np.flatnonzero(seen[(hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
                 yield pa.RecordBatch.from_arrays(
@@ -281,14 +284,14 @@ def term_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 )
 
     hits = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").mapInArrow(hit, "row long, term long, first int, last int")
-    return hits.join(terms, "term", "left_semi").select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
+    return hits.join(terms, ["row", "term"], "left_semi").select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_sha256, and spans: base ones, then terms."""
     bound_batches(docs.sparkSession)
     found = written(find(docs), "found")
-    out = found.join(term_spans(docs, disclosing(docs, found)), "row", "left")
+    out = found.join(term_spans(docs, found, disclosing(docs, found)), "row", "left")
     terms = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["first"], F.lit(":"), t["last"])), ",")
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"))
@@ -297,11 +300,13 @@ def spans(docs: DataFrame) -> DataFrame:
 def sanitize(docs: DataFrame) -> DataFrame:
     """docs with base spans generalised to [KIND] and disclosing words removed in text.
 
+    Only documents with base spans are shuffled; the others go straight through.
     A null text stays null.
     """
     bound_batches(docs.sparkSession)
     found = find(docs, whole=True)
-    pairs = written(disclosing(docs, written(find(docs), "found")), "terms")
+    listed = written(find(docs), "found")
+    pairs = written(disclosing(docs, listed), "terms")
     columns = docs.columns
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +327,10 @@ def sanitize(docs: DataFrame) -> DataFrame:
             fields[at_text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names=columns)], ["doc"])
 
-    marked = found.select("row", "doc", "base").join(term_spans(docs, pairs), "row", "left").select("doc", "base", "terms")
-    changed = "base <> '' or terms is not null"
-    private = marked.where(changed).mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
-    return marked.where(f"not ({changed})").select("doc").unionByName(private).select("doc.*")
+    plain = found.where("base = ''").select("doc")
+    private = found.where("base <> ''").select("row", "doc", "base").join(term_spans(docs, listed, pairs), "row", "left")
+    private = private.select("doc", "base", "terms").mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
+    return plain.unionByName(private).select("doc.*")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
