@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.session import written
+from cytomesh.session import drop_written, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        drop_written(old)
         after = _state(edges)
         if after == before:
             break

@@ -10,9 +10,13 @@ its first row as well. Orders are sorted by range, so one dense region spreads o
 
 Candidates are confirmed on full sets. First the two candidates that meet a class in the
 most orders; classes then known to be connected need no further comparison between them,
-and every other candidate is confirmed in the second pass. Pairs of the dense regions whose
-components still differ are confirmed in the third, if at least AGREE of the 128 MinHash
-values agree: at a similarity of 0.75 fewer do with probability 1e-7.
+and every other candidate is confirmed in the second pass. A region of more than REGION
+classes that are still in several components is then compared in full, block by block: the
+classes outside its largest component with all its classes, on MinHash values first (at a
+similarity of 0.75 fewer than AGREE of 128 agree with probability 3e-6) and at once on full
+sets. A block pair returns a spanning forest of the links it finds, so what is written grows
+with the classes, not with their pairs. The first FIRST_TREES orders go first; classes they
+connect need no comparison in the other orders.
 
 At a similarity of 0.75 two classes are neighbours at depth 4 in at least one of 32 orders
 with probability 1 - (1 - 0.75**4)**32 = 0.999995.
@@ -42,8 +46,12 @@ HASHES = 128
 ORDERS = 32
 FIRST_DEPTH, LAST_DEPTH = 4, 8
 REGION = 8
-AGREE = 70
-BLOCK = 1024
+AGREE = 74
+FIRST_TREES = 4
+#: Bytes of signatures and sets of one block of a dense region.
+BLOCK_BYTES = 4 << 20
+#: Rows of an order that are compared at once; a longer range goes in several steps.
+STEP_ROWS = 400_000
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,26 +164,36 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     depth, and of some smaller ones.
     """
     order = ["tree", "near", "deep", "class"]
-    rows = _orders(classes).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows = _orders(classes).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), STEP_ROWS):
+                held.append(batch.slice(at, STEP_ROWS))
+                n += len(held[-1])
+                if n >= STEP_ROWS:
+                    yield [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(4)]
+                    held, n = [], 0
+        if n:
+            yield [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(4)]
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)  # one range of the order, as large as Spark's partitions are
-        if not batches:
-            return
-        cols = [np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(5)]
-        u, v = neighbours(*cols[:4])
-        pair, met = np.unique(np.stack([u, v]), axis=1, return_counts=True) if len(u) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        # The ends of the range, for regions that go on in the next one.
-        edge = np.unique(np.concatenate([np.arange(min(REGION, len(cols[0]))), np.arange(max(0, len(cols[0]) - REGION), len(cols[0]))]))
+        names = ["u", "v", "met", "tree", "near", "deep"]
         none = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(met), none(len(met), pa.int32()), none(len(met), pa.int64()), none(len(met), pa.int64())], ["u", "v", "met", "tree", "near", "deep"])
-        yield pa.RecordBatch.from_arrays([pa.array(cols[3][edge]), none(len(edge), pa.int64()), none(len(edge), pa.int64()), pa.array(cols[0][edge]), pa.array(cols[1][edge]), pa.array(cols[2][edge])], ["u", "v", "met", "tree", "near", "deep"])
-        # Large regions, and those at the ends of the range, which can be parts of large ones.
-        region = np.concatenate([[0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))])
-        size = np.bincount(region)
-        size[[0, -1]] = REGION + 1
-        dense = np.flatnonzero(size[region] > REGION)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[3][dense]), none(len(dense), pa.int64()), none(len(dense), pa.int64()), pa.array(cols[0][dense]), pa.array(cols[1][dense]), none(len(dense), pa.int64())], ["u", "v", "met", "tree", "near", "deep"])
+        for tree, near, deep, node in steps(batches):
+            u, v = neighbours(tree, near, deep, node)
+            pair, met = np.unique(np.stack([u, v]), axis=1, return_counts=True) if len(u) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(met), none(len(met), pa.int32()), none(len(met), pa.int64()), none(len(met), pa.int64())], names)
+            # The ends of the step, for regions that go on in the next one.
+            edge = np.unique(np.concatenate([np.arange(min(REGION, len(tree))), np.arange(max(0, len(tree) - REGION), len(tree))]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[edge]), none(len(edge), pa.int64()), none(len(edge), pa.int64()), pa.array(tree[edge]), pa.array(near[edge]), pa.array(deep[edge])], names)
+            # Large regions, and those at the ends of the step, which can be parts of large ones.
+            region = np.concatenate([[0], np.cumsum((tree[1:] != tree[:-1]) | (near[1:] != near[:-1]))])
+            size = np.bincount(region)
+            size[[0, -1]] = REGION + 1
+            dense = np.flatnonzero(size[region] > REGION)
+            yield pa.RecordBatch.from_arrays([pa.array(node[dense]), none(len(dense), pa.int64()), none(len(dense), pa.int64()), pa.array(tree[dense]), pa.array(near[dense]), none(len(dense), pa.int64())], names)
 
     found = written(rows.mapInArrow(paired, "u long, v long, met long, tree int, near long, deep long"), "candidates")
     edges = found.where("v is null and deep is not null").select("tree", "near", "deep", F.col("u").alias("class"))
@@ -185,48 +203,89 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         u, v = neighbours(*(group[c].to_numpy() for c in order))
         return pa.table({"u": u, "v": v, "met": np.ones(len(u), np.int64)})
 
-    # At most 2 * REGION rows of each range; a region's rows at range ends meet in one group.
+    # At most 2 * REGION rows of each step; a region's rows at the ends of steps meet in one group.
     across = edges.groupBy("tree").applyInArrow(stitched, "u long, v long, met long").where("u <> v")
     pairs = found.where("v is not null and u <> v").select("u", "v", "met").unionByName(across).groupBy("u", "v").agg(F.sum("met").alias("met"))
     return pairs, found.where("v is null and deep is null").select("tree", "near", F.col("u").alias("class"))
 
 
-def dense_pairs(classes: DataFrame, dense: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs u < v of one dense region, of different components, that agree in AGREE values.
+def overlaps(one: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many members of one (sorted) each of the sets flat[start : start + length] has."""
+    value = flat[_text.spread(start, length)]
+    hit = one[np.minimum(np.searchsorted(one, value), len(one) - 1)] == value
+    return np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(length)])])
+
+
+def block_links(tree: int, left: tuple, right: tuple, percent: int = PERCENT) -> tuple[list[int], list[int]]:
+    """Links of one block of a dense region with another that join components, as a forest.
+
+    A side is (class, root, sig, first, members): members of set i are members[first[i] : first[i + 1]].
+    A pair counts in the first order in which it meets.
+    """
+    firsts = _ORDERS[:, :FIRST_DEPTH]
+    (a, ra, sa, fa, ma), (b, rb, sb, fb, mb) = left, right
+    nb = np.diff(fb)
+    of: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while of.setdefault(x, x) != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    us, vs = [], []
+    for j in range(len(a)):
+        one = ma[fa[j] : fa[j + 1]]
+        k = np.flatnonzero((rb != ra[j]) & (100 * np.minimum(nb, len(one)) >= percent * np.maximum(nb, len(one))))
+        k = k[(sb[k] == sa[j]).sum(axis=1) >= AGREE]
+        if len(k):
+            k = k[(sb[k][:, firsts] == sa[j][firsts]).all(axis=2).argmax(axis=1) == tree]
+        if not len(k):
+            continue
+        roots = np.array([find(r) for r in rb[k].tolist()])
+        k = k[roots != find(int(ra[j]))]
+        if not len(k):
+            continue
+        both = overlaps(one, mb, fb[k], nb[k])
+        for i in k[100 * both >= percent * (len(one) + nb[k] - both)].tolist():
+            x, y = find(int(ra[j])), find(int(rb[i]))
+            if x != y:
+                of[max(x, y)] = min(x, y)
+                us.append(min(int(a[j]), int(b[i])))
+                vs.append(max(int(a[j]), int(b[i])))
+    return us, vs
+
+
+def dense_links(classes: DataFrame, sets: DataFrame, dense: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links u < v between different components of one dense region, enough to join them.
 
     Of two components one at least is not the region's largest, so only classes outside the
-    largest are compared with the whole region, block by block. A pair counts in the first
-    order in which it meets; if it meets in a small region there, it was confirmed before.
+    largest are compared with the whole region, block by block.
     """
     key = ["tree", "near"]
-    rows = written(dense.join(groups.withColumnRenamed("node", "class"), "class", "left").select(*key, "class", F.coalesce("root", "class").alias("root")), "dense")
+    bytes_of = F.octet_length("set") + 2 * HASHES
+    rows = dense.join(groups.withColumnRenamed("node", "class"), "class", "left").select(*key, "class", F.coalesce("root", "class").alias("root"))
     mixed = rows.groupBy(*key, "root").agg(F.count("*").alias("k")).groupBy(*key).agg(F.sum("k").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("largest"))
-    mixed = mixed.where((F.col("n") > REGION) & (F.col("roots") > 1)).select(*key, "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, key).join(classes.select("class", "sig"), "class").withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
+    mixed = mixed.where((F.col("n") > REGION) & (F.col("roots") > 1)).select(*key, "largest")
+    rows = rows.join(mixed, key).join(classes.select("class", "sig"), "class").join(sets, "class")
     rows = written(rows, "dense")
-    packed = lambda p: [F.collect_list(F.struct("class", "root", "sig")).alias(p)]
+    blocks = rows.groupBy(*key).agg(F.ceil(F.sum(bytes_of) / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = rows.join(blocks, key).withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
+    packed = lambda p: [F.collect_list(F.struct("class", "root", "sig", "set")).alias(p)]
     members = rows.groupBy(*key, "block").agg(*packed("members"))
     outside = rows.where("root <> largest").groupBy(*key, F.col("block").alias("from"), "blocks").agg(*packed("outside"))
     outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     both = outside.join(members, [*key, "block"]).select("tree", "outside", "members")
-    firsts = _ORDERS[:, :FIRST_DEPTH]
+
+    def side(part: pa.StructArray) -> tuple:
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.field(3)]
+        sig = np.frombuffer(b"".join(part.field(2).to_pylist()), np.uint16).reshape(-1, HASHES)
+        return part.field(0).to_numpy(), part.field(1).to_numpy(), sig, np.cumsum([0, *map(len, held)]), np.concatenate(held)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                tree = batch.column(0)[i].as_py()
-                (a, ra, sa), (b, rb, sb) = (
-                    (part.field(0).to_numpy(), part.field(1).to_numpy(), np.frombuffer(b"".join(part.field(2).to_pylist()), np.uint16).reshape(-1, HASHES))
-                    for part in (batch.column(1)[i].values, batch.column(2)[i].values)
-                )
-                us, vs = [], []
-                for j in range(len(a)):
-                    k = np.flatnonzero(rb != ra[j])
-                    k = k[(sb[k] == sa[j]).sum(axis=1) >= AGREE]
-                    k = k[(sb[k][:, firsts] == sa[j][firsts]).all(axis=2).argmax(axis=1) == tree] if len(k) else k
-                    us.append(np.minimum(b[k], a[j]))
-                    vs.append(np.maximum(b[k], a[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                u, v = block_links(batch.column(0)[i].as_py(), *(side(batch.column(c)[i].values) for c in (1, 2)))
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return both.mapInArrow(compared, "u long, v long").distinct()
 
@@ -318,10 +377,12 @@ def labelled(docs: DataFrame) -> DataFrame:
     left = left.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     links = links.unionByName(written(confirm(left, sets), "links"))
     groups = written(components(links), "groups")
-    late = written(dense_pairs(classes, dense, groups), "late")
-    late = written(confirm(late, sets), "links")
-    if not late.isEmpty():
-        groups = written(components(links.unionByName(late)), "groups")
+    dense = written(dense.distinct(), "regions")
+    for some in (f"tree < {FIRST_TREES}", f"tree >= {FIRST_TREES}"):
+        late = written(dense_links(classes, sets, dense.where(some), groups), "late")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            groups = written(components(links), "groups")
     label = classes.select("class", "doc_id").join(groups.withColumnRenamed("node", "class"), "class", "left")
     label = label.select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -139,6 +139,38 @@ def test_one_heavily_edited_copy_in_a_dense_region(spark):
     assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize(("count", "edits"), [(400, 16), (400, 17)])
+def test_templated_pages(spark, count, edits):
+    """Pages of one template near the threshold: the components of all pairs, however dense the region."""
+    rng = np.random.default_rng(count + edits)
+    base = [f"t{i}" for i in range(0, 1000)]
+    texts = []
+    for d in range(count):
+        w = [" ".join(base[5 * i : 5 * i + 5]) for i in range(200)]
+        for i in rng.choice(200, edits, replace=False):
+            w[i] = f"n{d}x{i}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    hit = np.zeros((count, len(number)), np.float32)
+    for i, s in enumerate(sets):
+        hit[i, [number[g] for g in s]] = 1
+    both = hit @ hit.T
+    size = hit.sum(axis=1)
+    linked = 100 * both >= 75 * (size[:, None] + size[None] - both)
+    label = np.arange(count)
+    for _ in range(count):
+        new = np.where(linked, label[None], count).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(count)] == label.tolist()
+    i, j = np.nonzero(np.triu(linked, 1))  # every linked pair is in one component
+    assert all(got[a] == got[b] for a, b in zip(i.tolist(), j.tolist()))
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(26, 50)], "doc_id long, quality int, toxic int")
     got = {(r.doc_id, r.n_words): r for r in quality.judge(docs, labels).collect()}
