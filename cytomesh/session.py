@@ -21,10 +21,13 @@ def bound_batches(spark: SparkSession, bytes_each: str = "8m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a local one is set."""
+    """The cluster's shared folder. Where none is named one is set: local in local mode, else beside the warehouse."""
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cytomesh-")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="cytomesh-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cytomesh"
         spark.conf.set(CHECKPOINT_KEY, base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
