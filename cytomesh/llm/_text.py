@@ -6,7 +6,9 @@ a longer character, so working on bytes gives the same words as working on chara
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +37,33 @@ def _power(which: str, n: int) -> np.ndarray:
         have = np.full(max(n, SLAB + 1), base)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 8 * SLAB:
-            _powers[which] = have
+        if n <= SLAB + 1:
+            _powers[which] = have  # 8 MB
     return have
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that an idle worker keeps little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that releases what its task has freed."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

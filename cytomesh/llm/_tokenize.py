@@ -3,7 +3,8 @@
 A text is cut where its tokenizer's own pre-tokeniser always cuts: before a run of ASCII
 white space, and between an ASCII letter and ASCII punctuation. A piece's ids then don't
 depend on its neighbours, so they are looked up by the piece's hash, and only pieces not
-seen before are encoded. Texts with other white space, where such cuts can differ, are
+seen before are encoded. Texts with other white space, where such cuts can differ, and texts
+that spell one of the tokenizer's added tokens, which the library finds before it cuts, are
 encoded whole. tests/llm/ compares the ids with encode_batch on whole texts.
 """
 
@@ -53,7 +54,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Spellings that need the whole text, in lower case: a normaliser may change it.
+        self.added = tuple(sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()}))
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.alphabet = _byte_alphabet()
@@ -145,22 +147,29 @@ class Coder:
         parts, counts = [], np.zeros(len(offs) - 1, np.int64)
         for lo, hi in _text.slabs(offs):
             piece = data[offs[lo] : offs[hi]]
-            if _ODD_LEAD[piece].any() and any(b in piece.tobytes() for b in _ODD_BYTES):
-                for i in range(lo, hi):
-                    text = data[offs[i] : offs[i + 1]].tobytes()
-                    if any(b in text for b in _ODD_BYTES):
-                        ids = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-                        count = len(ids)
-                    else:
-                        ids, c = self._slab(data[offs[i] : offs[i + 1]], np.array([0, len(text)]))
-                        count = c[0]
-                    parts.append(ids)
-                    counts[i] = count
+            if not self.odd(piece):
+                ids, counts[lo:hi] = self._slab(piece, offs[lo : hi + 1] - offs[lo])
+                parts.append(ids)
                 continue
-            ids, counts[lo:hi] = self._slab(piece, offs[lo : hi + 1] - offs[lo])
-            parts.append(ids)
+            for i in range(lo, hi):
+                text = data[offs[i] : offs[i + 1]]
+                if self.odd(text):
+                    ids = np.array(self.tokenizer.encode(text.tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                    counts[i] = len(ids)
+                else:
+                    ids, count = self._slab(text, np.array([0, len(text)]))
+                    counts[i] = count[0]
+                parts.append(ids)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(counts)])
 
+    def odd(self, text: np.ndarray) -> bool:
+        """Whether the text has odd white space or spells an added token."""
+        raw = text.tobytes()
+        if _ODD_LEAD[text].any() and any(b in raw for b in _ODD_BYTES):
+            return True
+        low = raw.lower()
+        return any(t in low for t in self.added)
+
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with end_id after each document, and the new bounds."""

@@ -15,10 +15,14 @@ is contaminated by an item of n words if some passage is within floor(EDITS * n)
 Recall: for 15 % edits the chance to share a key is measured in tests/llm to be over 0.95;
 verbatim passages always share all keys.
 
-Items come in blocks of ITEM_BLOCK, each with its own scan, so what is broadcast is bounded.
-Defined results: items of fewer than MIN_WORDS words match nothing; null, empty or blank texts match nothing;
-repeated rows each match; a null doc_id is kept as null; empty tables give no rows; other
-columns are ignored.
+Items of fewer than MIN_WORDS words allow no edit, so they are looked up by the hashes of all
+passages of their lengths. Items come in blocks of at most ITEM_BLOCK items and about
+BLOCK_BYTES of text, each with its own scan, so what is broadcast is bounded.
+
+Defined results: items without words, and null, empty or blank texts match nothing; an item
+given twice counts once; repeated rows each match; a null doc_id is kept as null, and a null
+item_id likewise; empty tables give no rows; other columns are ignored by matches() and kept
+by clean().
 """
 
 from __future__ import annotations
@@ -39,9 +43,11 @@ MIN_WORDS = 5
 SEED = 3
 WALKS, TABLES, SAMPLES = 16, 12, 3
 ITEM_BLOCK = 20_000
+BLOCK_BYTES = 16 << 20
 MATCHES = "doc_id long, item_id long, start long, n_words long, distance int"
-#: Windows embedded at once.
-WINDOWS = 512
+#: Words of the windows embedded at once, places of items looked up at once.
+WINDOW_WORDS = 1 << 15
+PLACES = 1 << 20
 _PAD = np.uint64(0xA5A5A5A55A5A5A5B)
 
 
@@ -97,6 +103,7 @@ class Items:
     first: np.ndarray
     keys: np.ndarray  # hash keys, ascending
     owner: np.ndarray  # the item of each key
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length, the hashes of short items, ascending, and their items
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +114,22 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def prepare(ids: list[int | None], texts: list[str | None]) -> Items:
     hashes, first = words_of(*_text.buffers(pa.array(texts, pa.string())))
-    items = [(i, hashes[a:b]) for i, a, b in zip(ids, first[:-1], first[1:], strict=True) if b - a >= MIN_WORDS]
-    seed, place, keys, owner = [], [], [], []
-    for number, (_, w) in enumerate(items):
+    items = [(i, hashes[a:b]) for i, a, b in zip(ids, first[:-1], first[1:], strict=True) if b > a]
+    seed, place, keys, owner, short = [], [], [], [], {}
+    for size in range(1, MIN_WORDS):
+        of = [k for k, (_, w) in enumerate(items) if len(w) == size]
+        if of:
+            name = np.concatenate([_text.window_hash(items[k][1], size, size) for k in of])
+            order = np.argsort(name, kind="stable")
+            short[size] = name[order], np.array(of)[order]
+    for _, w in items:
+        if len(w) < MIN_WORDS:
+            continue
         grams = _text.window_hash(w, SEED)
         seed.append(grams)
         place.append((np.arange(len(grams)) << 32) | len(w))
-    order = sorted(range(len(items)), key=lambda k: len(items[k][1]))
-    for lo in range(0, len(order), WINDOWS):
-        part = order[lo : lo + WINDOWS]
+    order = sorted((k for k in range(len(items)) if len(items[k][1]) >= MIN_WORDS), key=lambda k: len(items[k][1]))
+    for part in _by_width(order, [len(items[k][1]) for k in order]):
         length = np.array([len(items[k][1]) for k in part])
         rows = np.full((len(part), length.max()), _PAD)
         for row, k in zip(rows, part, strict=True):
@@ -128,23 +142,26 @@ def prepare(ids: list[int | None], texts: list[str | None]) -> Items:
     seeds, begin = np.unique(pairs[0], return_index=True)
     keys, owner = np.concatenate(keys or [none]), np.concatenate(owner or [none.astype(np.int64)])
     order = np.argsort(keys, kind="stable")
-    return Items([i for i, _ in items], [w for _, w in items], seeds, pairs[1].astype(np.int64), np.append(begin, pairs.shape[1]), keys[order], owner[order])
+    return Items([i for i, _ in items], [w for _, w in items], seeds, pairs[1].astype(np.int64), np.append(begin, pairs.shape[1]), keys[order], owner[order], short)
+
+
+def _by_width(rows, width) -> Iterator:
+    """rows, of ascending width, in parts of up to WINDOW_WORDS words, or one longer row."""
+    lo = 0
+    while lo < len(rows):
+        hi = lo + 1
+        while hi < len(rows) and (hi + 1 - lo) * int(width[hi]) <= WINDOW_WORDS:
+            hi += 1
+        yield rows[lo:hi]
+        lo = hi
 
 
 def _allowed(n: np.ndarray | int):
     return np.floor(EDITS * np.asarray(n) + 1e-9).astype(np.int64)
 
 
-def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.Filter) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, start, words, distance) of every confirmed passage."""
-    grams = _text.window_hash(hashes, SEED)
-    at = seeds.members(grams)
-    doc = np.searchsorted(first, at, "right") - 1
-    inside = at + SEED <= first[doc + 1]
-    at, doc = at[inside], doc[inside]
-    if not len(at):
-        return []
-    seed = np.searchsorted(items.seeds, grams[at])
+def windows(items: Items, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray, seed: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """start, length and document of the windows that the items' 3-grams at `at` align, with enough of them."""
     many = items.first[seed + 1] - items.first[seed]
     code = items.places[_text.spread(items.first[seed], many)]
     start, length, doc = np.repeat(at, many) - (code >> 32), code & 0xFFFFFFFF, np.repeat(doc, many)
@@ -153,22 +170,49 @@ def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.F
     fits = (start >= first[doc] - slack) & (start + length <= first[doc + 1] + slack)
     start, length, doc = start[fits], length[fits], doc[fits]
     start = np.clip(start, first[doc], np.maximum(first[doc], first[doc + 1] - length))
-    if not len(start):
-        return []
-    window = np.unique(np.stack([start, length, doc]), axis=1)
-    start, length, doc = window
+    start, length, doc = np.unique(np.stack([start, length, doc]), axis=1) if len(start) else np.zeros((3, 0), np.int64)
     slack = _allowed(length)
     low, high = np.maximum(first[doc], start - slack), np.minimum(first[doc + 1], start + length + slack)
+    enough = hits[np.maximum(high - SEED + 1, low)] - hits[low] >= length - (SEED - 1) - SEED * slack
+    pick = enough & (high - low >= length - slack)
+    return np.stack([start[pick], length[pick], doc[pick]])
+
+
+def short_hits(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """document, item, start and words of the passages that are short items."""
+    for size, (names, of) in items.short.items():
+        grams = _text.window_hash(hashes, size, size)
+        at = _packed.Filter(names, 16).members(grams)
+        doc = np.searchsorted(first, at, "right") - 1
+        at, doc = at[at + size <= first[doc + 1]], doc[at + size <= first[doc + 1]]
+        a, b = np.searchsorted(names, grams[at]), np.searchsorted(names, grams[at], "right")
+        owner = of[_text.spread(a, b - a)]
+        yield from zip(np.repeat(doc, b - a).tolist(), owner.tolist(), np.repeat(at, b - a).tolist(), [size] * len(owner), strict=True)
+
+
+def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.Filter) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, start, words, distance) of every confirmed passage."""
+    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for d, item, begin, size in short_hits(items, hashes, first):
+        out.setdefault((d, item), []).append((begin, size, 0))
+    grams = _text.window_hash(hashes, SEED)
+    at = seeds.members(grams)
+    doc = np.searchsorted(first, at, "right") - 1
+    inside = at + SEED <= first[doc + 1]
+    at, doc = at[inside], doc[inside]
     hits = np.zeros(len(hashes) + 1, np.int64)
     hits[at] = 1
     hits = np.concatenate([[0], np.cumsum(hits)])
-    enough = hits[np.maximum(high - SEED + 1, low)] - hits[low] >= length - (SEED - 1) - SEED * slack
-    full = high - low >= length - slack
-    pick = np.flatnonzero(enough & full)
-    pick = pick[np.argsort(length[pick], kind="stable")]
+    seed = np.searchsorted(items.seeds, grams[at])
+    places = np.cumsum(items.first[seed + 1] - items.first[seed]) if len(at) else np.zeros(0, np.int64)
+    cuts = np.unique(np.searchsorted(places, np.arange(0, (places[-1] if len(at) else 0) + PLACES, PLACES)))
+    found = [windows(items, hashes, first, at[a:b], doc[a:b], seed[a:b], hits) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    start, length, doc = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+    slack = _allowed(length)
+    low, high = np.maximum(first[doc], start - slack), np.minimum(first[doc + 1], start + length + slack)
+    pick = np.argsort(length, kind="stable")
     pairs: set[tuple[int, int]] = set()
-    for lo in range(0, len(pick), WINDOWS):
-        part = pick[lo : lo + WINDOWS]
+    for part in _by_width(pick, length[pick]):
         place = start[part][:, None] + np.arange(length[part].max())
         beyond = (place >= first[doc[part] + 1][:, None]) | (place >= (start + length)[part][:, None])
         keys = embed_keys(np.where(beyond, _PAD, hashes[np.minimum(place, len(hashes) - 1)]), length[part]).ravel()
@@ -177,7 +221,6 @@ def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.F
         many = (b - a)[found]
         owner = items.owner[_text.spread(a[found], many)]
         pairs |= set(zip(np.repeat(part[found // (WALKS * TABLES)], many).tolist(), owner.tolist(), strict=True))
-    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     rest = []
     for w, item in sorted(pairs):
         target = items.words[item]
@@ -207,26 +250,39 @@ def search(items: Items, hashes: np.ndarray, first: np.ndarray, seeds: _packed.F
     return rows
 
 
+def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> Iterator[Items]:
+    """The prepared items, a bounded block at a time."""
+    items = benchmark.select("item_id", "text").distinct()
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // item_block), -(-(size or 0) // BLOCK_BYTES))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = sorted(part.collect(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"] or ""))  # one block
+        yield prepare([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def _slab_hits(known: Items, seeds: _packed.Filter, texts: pa.Array) -> Iterator[tuple[int, list]]:
+    """For each slab its first document and what search() finds in it."""
+    data, offs = _text.buffers(texts)
+    for lo, hi in _text.slabs(offs):
+        yield lo, search(known, *words_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), seeds)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Every passage of an item in a document, see MATCHES."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select("doc_id", "text")
-    blocks = max(1, -(-benchmark.count() // item_block))
     out = None
-    for block in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = part.select("item_id", "text").collect()  # about ITEM_BLOCK items
-        items = spark.sparkContext.broadcast(prepare([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    for block in item_blocks(benchmark, item_block):
+        items = spark.sparkContext.broadcast(block)
 
+        @_text.tidy
         def found(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             known = items.value
             seeds = _packed.Filter(known.seeds, 20)
             for batch in batches:
-                data, offs = _text.buffers(batch.column(1))
-                for lo, hi in _text.slabs(offs, 4 * _text.SLAB):
-                    hashes, first = words_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                    rows = search(known, hashes, first, seeds)
+                for lo, rows in _slab_hits(known, seeds, batch.column(1)):
                     if rows:
                         doc, item, *rest = zip(*rows, strict=True)
                         ids = batch.column(0).take(pa.array([lo + d for d in doc]))
@@ -237,5 +293,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """The rows of docs without a passage of an item, with all their columns; each row is judged by itself."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    at_text = docs.columns.index("text")
+    for block in item_blocks(benchmark, item_block):
+        items = spark.sparkContext.broadcast(block)
+
+        @_text.tidy
+        def kept(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            known = items.value
+            seeds = _packed.Filter(known.seeds, 20)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for lo, rows in _slab_hits(known, seeds, batch.column(at_text)):
+                    keep[[lo + row[0] for row in rows]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -68,6 +68,7 @@ def _unpack_ids(raw: bytes) -> list[int | None]:
 def _blocks(docs: DataFrame, groups: int) -> DataFrame:
     """For each block a row of documents (group -1), and rows of its dictionary by group."""
 
+    @_text.tidy
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         shift = np.uint64(64 - 24)
@@ -196,6 +197,7 @@ def train_round(coded: DataFrame, model: Model) -> np.ndarray:
     sent = coded.sparkSession.sparkContext.broadcast(model)
     slices = 16
 
+    @_text.tidy
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         weights = model.weights.copy()
@@ -260,6 +262,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         model.weights = train_round(coded, model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @_text.tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         unseen = np.log10(model.train_tokens + model.train_types + 1)

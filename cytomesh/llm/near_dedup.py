@@ -94,6 +94,7 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n (set size), class (0: empty set), sig (binary, null for empty sets)."""
 
+    @_text.tidy
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in shingle_sets(batch.column(1)):
@@ -110,6 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _orders(classes: DataFrame) -> DataFrame:
     """A row (tree, near, deep, class) for each class and order; near and deep are 4 values each."""
 
+    @_text.tidy
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
@@ -178,6 +180,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if n:
             yield [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(4)]
 
+    @_text.tidy
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["u", "v", "met", "tree", "near", "deep"]
         none = lambda k, t: pa.nulls(k, t)
@@ -281,6 +284,7 @@ def dense_links(classes: DataFrame, sets: DataFrame, dense: DataFrame, groups: D
         sig = np.frombuffer(b"".join(part.field(2).to_pylist()), np.uint16).reshape(-1, HASHES)
         return part.field(0).to_numpy(), part.field(1).to_numpy(), sig, np.cumsum([0, *map(len, held)]), np.concatenate(held)
 
+    @_text.tidy
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
@@ -300,6 +304,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     def slot(doc_id: np.ndarray, key: np.ndarray) -> np.ndarray:
         return (_text.mix(key.view(np.uint64) ^ _text.mix(doc_id.view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
 
+    @_text.tidy
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
@@ -317,6 +322,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
         table_bits[row["slice"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(table_bits.tobytes())
 
+    @_text.tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
@@ -333,6 +339,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
+    @_text.tidy
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []

@@ -33,6 +33,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """part, doc_id, before (ids earlier in the part), ids (binary, unsigned 16-bit)."""
 
+    @_text.tidy
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenize.coder(tokenizer)
         before = 0
@@ -51,6 +52,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     totals = ids.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
     base = _blocks.before_each(totals, "part", "n", "base")
 
+    @_text.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = _text.buffers(batch.column(2))

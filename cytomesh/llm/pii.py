@@ -145,6 +145,7 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     keep = [F.col("doc_id")] + [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * whole
     names = ["doc_id", "doc"][: len(keep)]
 
+    @_text.tidy
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
@@ -185,6 +186,7 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
 def _bit_table(terms: DataFrame) -> bytes:
     """A packed table of 2 ** TABLE_BITS bits with the terms' marked."""
 
+    @_text.tidy
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << TABLE_BITS, bool)
         for batch in batches:
@@ -237,6 +239,7 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     both = written(both.join(support, ["entity", "term"]).join(of, "entity"), "disclosing")
     sent = docs.sparkSession.sparkContext.broadcast(_bit_table(both.select("term").distinct()))
 
+    @_text.tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         none = np.zeros(0, np.uint64)
@@ -266,6 +269,7 @@ def term_spans(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame
     terms = written(told.select("row", "term").distinct(), "disclosing")
     sent = docs.sparkSession.sparkContext.broadcast(_bit_table(terms.select("term").distinct()))
 
+    @_text.tidy
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
@@ -309,6 +313,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
     pairs = written(disclosing(docs, listed), "terms")
     columns = docs.columns
 
+    @_text.tidy
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0)

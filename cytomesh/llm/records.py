@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm import _blocks, _text, _tokenize
-from cytomesh.session import bound_batches, scratch_path, table
+from cytomesh.session import bound_batches, drop_written, scratch_path, table, written
 
 END_ID = 1
 FILE_BYTES = 32 << 20
@@ -71,6 +71,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     docs = docs.select("doc_id", "text")
     bounds = _blocks.range_bounds(docs, file_bytes)
 
+    @_text.tidy
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenize.coder(tokenizer)
         for batch in _text.bounded(batches, 1):
@@ -82,11 +83,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
 
     rows = docs.mapInArrow(framed, "file int, doc_id long, frame binary").repartitionById(len(bounds) + 1, F.col("file"))
     rows.sortWithinPartitions("file", "doc_id").select("file", F.col("frame").cast("string")).write.partitionBy("file").text(f"{path}/records", lineSep="\n")
-    spark = docs.sparkSession
-    _scan(spark, path).write.parquet(f"{path}/scan")
-    scan = spark.read.parquet(f"{path}/scan")
+    scan = _scan(docs.sparkSession, path).drop("ids_crc32")
+    scan = written(scan, "scan")
     base = _blocks.before_each(scan.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file", "n", "base")
     scan.join(F.broadcast(base), "file").select("file", "offset", "length", "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens").write.parquet(f"{path}/index")
+    drop_written(scan)
 
 
 SCAN = "file int, offset long, length int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -95,6 +96,7 @@ SCAN = "file int, offset long, length int, doc_id long, start long, n_tokens lon
 def _scan(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the files, decoded and checked; start counts the tokens of its file."""
 
+    @_text.tidy
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -114,10 +116,12 @@ _ARROW = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record: the files give ids, the index places."""
-    index = spark.read.parquet(f"{path}/index").select("file", "offset", "start")
-    scan = spark.read.parquet(f"{path}/scan").drop("start")
-    return scan.join(index, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """doc_id, start, n_tokens, ids_crc32 of every record, decoded and checked again from the files.
+
+    The index gives each file's first place, one small row a file.
+    """
+    base = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.min("start").alias("base"))
+    return _scan(spark, path).join(F.broadcast(base), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -128,6 +132,7 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     files = _blocks.binary_files(spark, f"{path}/records")
     asked = wanted.groupBy("file").agg(F.collect_list("offset").alias("offsets"))
 
+    @_text.tidy
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, offsets in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):

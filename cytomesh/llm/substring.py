@@ -45,6 +45,7 @@ def frequent_prefixes(docs: DataFrame, groups: int) -> list[np.ndarray]:
     so slabs report those alone; at most 2 * groups prefixes of each length come back.
     """
 
+    @_text.tidy
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = _text.buffers(batch.column(0))

@@ -52,6 +52,7 @@ def write_token_files(docs: DataFrame, path: str, encode=word_ids, end_id: int =
     docs = docs.select("doc_id", "text")
     bounds = _blocks.range_bounds(docs, file_bytes)
 
+    @_text.tidy
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.bounded(batches, 1):
             ids, cuts = encode(batch.column(1))
@@ -75,6 +76,7 @@ def scan_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_toke
     are no document. A document may begin in one file and end in a later one.
     """
 
+    @_text.tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -100,6 +102,7 @@ def scan_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_toke
     files = files.select("file", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"), "last_end")
     files = files.select("file", "base", F.coalesce(F.max(F.col("base") + F.col("last_end")).over(earlier), F.lit(-1)).alias("carry"))
 
+    @_text.tidy
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -122,6 +125,7 @@ def token_counts(docs: DataFrame, file_bytes: int = FILE_BYTES, encode=word_ids)
     path = scratch_path(spark, "tokens")
     bounds = write_token_files(docs, path, encode, file_bytes=file_bytes)
 
+    @_text.tidy
     def file_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_blocks.range_of(batch.column(0), bounds))], ["doc_id", "file"])

@@ -12,14 +12,14 @@ Labels of documents with crc32(doc_id as text) mod 5 = 0 are never used, and lab
 source and doc_id are never inputs of a score.
 
 Defined results: null, empty and blank texts have no vectors and get the prior; without both
-classes among the labels every score is the prior; repeated rows get the same score; a null
+classes among the labels every score is the prior; repeated rows get the same score, and are
+learnt from once (the smallest of a doc_id's texts; toxic if any of its labels says so); a null
 doc_id is not held out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ SCALE = 100.0
 DECAY = 1e-4
 LEAST = 10
 CHECK = 6
+#: Partitions of the training rows.
+PARTS = 16
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _LETTER = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,7 +180,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """A classifier of documents marked toxic = 1, from the training folds only."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(fold != HELD_OUT).select("doc_id", "toxic")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(fold != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     model = Classifier(float(np.log((toxic + 1) / (clean + 1))))
@@ -186,8 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
         return model
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
+    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    # One text of each id, in an order that does not depend on the files.
+    text = text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(PARTS, "doc_id").sortWithinPartitions("doc_id")
 
+    @_text.tidy
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -199,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     found = text.select("doc_id", "text", "toxic").mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary")
     found = written(found.where("octet_length(ids) > 0"), "bags").select("toxic", "ids", "shares")
     parts, held = [], ([], [], [])
-    for r in islice(found.toLocalIterator(), 2 * sample):  # a partition of the written table at a time
+    for r in found.toLocalIterator():  # at most 2 * sample rows, a partition of the written table at a time
         for into, value in zip(held, (np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["shares"]), np.float32), r["toxic"]), strict=True):
             into.append(value)
         if len(held[0]) == 100:
@@ -218,9 +223,8 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     prior = model.prior
     sent = docs.sparkSession.sparkContext.broadcast(along)  # BUCKETS numbers
 
+    @_text.tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from cytomesh.llm.language_model import held_out
-
         along = sent.value
         for batch in batches:
             data, offs = _text.buffers(batch.column(1))
@@ -232,9 +236,10 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
                 logit = np.where(number > 0, total / np.maximum(number, 1) + offset, prior)
                 p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
                 ids = batch.column(0).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist(), FOLDS, HELD_OUT)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

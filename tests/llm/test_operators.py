@@ -44,7 +44,6 @@ def tokens(rows, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(records.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]
 
 
@@ -232,12 +231,48 @@ def test_base_patterns(text):
 
 def test_decontamination(spark, docs, rows, empty):
     passage = next(t for _, t, *_ in rows if t and len(words(t)) == 60)
-    items = spark.createDataFrame([(1, passage), (2, "too short"), (3, None), (4, "entirely other words that nobody wrote anywhere in here at all")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items).collect()}
-    assert got == {(i, 1, 0) for i, t, *_ in rows if t and passage in t}
-    blocked = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items, item_block=2).collect()}
+    items = spark.createDataFrame([(1, passage), (1, passage), (2, "too short"), (3, None), (4, "entirely other words that nobody wrote anywhere in here at all"), (5, "one TWO"), (6, "two"), (None, passage)], "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items).collect())
+    want = collections.Counter((i, k, 0) for i, t, *_ in rows if t and passage in t for k in (1, None))
+    want += collections.Counter((i, 5, 0) for i, t, *_ in rows if lower(t).split() == ["one", "two"])
+    want += collections.Counter((i, 6, 0) for i, t, *_ in rows for w in re.split("[^a-z0-9\x80-\U0010ffff]+", lower(t)) if w == "two")
+    assert got == want
+    blocked = collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items, item_block=2).collect())
     assert blocked == got
-    assert decontaminate.matches(empty, items).count() == 0
+    assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
+    clean = decontaminate.clean(docs, items)
+    hit = {(i, r) for i, _, r in got}
+    assert clean.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(r[:2] for r in rows if not any(k[0] == r[0] for k in got))
+    assert hit
+
+
+def test_edited_passages_against_all_windows():
+    """Documents found, and the least distance of each, against an edit distance over every window."""
+    rng = np.random.default_rng(3)
+    vocab = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    texts = [" ".join(f"w{rng.integers(300)}" for _ in range(rng.integers(8, 40))) for _ in range(12)]
+    items = decontaminate.prepare(list(range(12)), texts)
+    seeds = decontaminate._packed.Filter(items.seeds, 20)
+    parts = []
+    for _ in range(60):
+        target = list(items.words[rng.integers(12)])
+        for _ in range(rng.integers(0, 6)):
+            at = int(rng.integers(len(target)))
+            target[at : at + 1] = [[], [rng.choice(vocab)], [target[at], rng.choice(vocab)]][rng.integers(3)]
+        parts.append(np.concatenate([rng.choice(vocab, 25), np.array([int(x) for x in target], np.uint64), rng.choice(vocab, 25)]))
+    first = np.cumsum([0, *map(len, parts)])
+    got = {}
+    for d, item, _, _, distance in decontaminate.search(items, np.concatenate(parts), first, seeds):
+        got[d, item] = min(distance, got.get((d, item), 99))
+    want = {}
+    for d, part in enumerate(parts):
+        for item, target in enumerate(items.words):
+            least = decontaminate.passage_distance(target, part)[0]
+            if least <= int(0.15 * len(target) + 1e-9):
+                want[d, item] = least
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 20
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
 
 
 @pytest.mark.parametrize("share", [0.05, 0.15])
@@ -331,11 +366,13 @@ def test_substring_dedup(docs, rows, empty):
 
 
 def test_tokens_of_extremes():
+    from tokenizers import Tokenizer
+
     from cytomesh.llm import _tokenize
 
-    texts = ["", "a" * 50_000, "word " * 30_000, "\n" * 1000, "éé, ÀB.c;d'em", "x y", "'s 't we'll don't"]
+    texts = ["a<|endoftext|>b", "hello <|startoftext|> world", "<|ENDOFTEXT|>x <|endoftext|>", "plain | <| text", "", "a" * 50_000, "word " * 30_000, "\n" * 1000, "éé, ÀB.c;d'em", "x y", "'s 't we'll don't"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         coder = _tokenize.coder(records.tokenizer_path(name))
         ids, cuts = coder.encode(pa.array(texts))
-        for i, e in enumerate(coder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for i, e in enumerate(Tokenizer.from_file(records.tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)):
             assert ids[cuts[i] : cuts[i + 1]].tolist() == e.ids
