@@ -1,5 +1,10 @@
 """A corpus pipeline of five stages; each works on all that the stage before it kept.
 
+Rows are judged one by one, so a null or repeated doc_id loses no other row: near-dedup drops
+rows alike by its rule only, decontamination looks at each row's own text. Null and empty
+texts fail the quality rules. Extra columns pass through to the last stage; an empty table
+gives an empty result at every stage.
+
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result
 as Parquet in the shared folder and rereads it as the next stage's docs. All stages but the
 last return the columns of documents.
@@ -25,8 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
