@@ -1,18 +1,24 @@
 """Op 2, personal data by patterns and information-theoretic sanitisation.
 
-Base spans come from four patterns. The method then asks which words of their documents give
-them away. For a word t and an entity e (an address or number found by a pattern), over the
-whole corpus of N documents,
-    PMI(t; e) = log2(N * documents with e and t / (documents with t * documents with e))
-    IC(e)     = log2(N / documents with e)
-A context is the CONTEXT words on either side of an entity; equal contexts count once, so
-copies are no evidence. A word discloses e if documents with it hold at least SUPPORT
-contexts of e and PMI >= SHARE * IC > 0. It becomes a span of kind term wherever it stands
-outside base spans in a document of e. sanitize() generalises base spans to their kind and
+Base spans come from four patterns; secrets (values given to a password, token or key, and
+runs of letters and digits of high character entropy) are protected as well, in spans of kind
+secret. The method then asks which words of their documents give such entities away. An
+entity is a value that was found, what it generalises to (an address' domain, a number's
+country), or its kind. For a word t and an entity e, over the whole corpus of N documents,
+    P(e | t)  = (documents with e and t + SMOOTH * P(e)) / (documents with t + SMOOTH)
+    PMI(t; e) = log2(P(e | t) / P(e))
+    IC(e)     = log2(1 / P(e))
+Evidence is what copies don't add to, one piece a document: the distinct contexts (CONTEXT words
+on either side) of a value, and the distinct values of a kind or wider entity. A word discloses e if documents that
+hold it have at least SUPPORT pieces of evidence (WIDE_SUPPORT of a kind or wider entity, whose
+words are many) and the share COVER of all of e's, and PMI >= SHARE * IC > 0.
+It becomes a span of kind term wherever it stands outside other spans in a document of e;
+documents without e keep it. sanitize() generalises base spans and secrets to their kind and
 removes disclosing words.
 
-Documents with a word are counted for candidate words only, found by a bit table of fixed
-size; if it fills up, more words are counted, and the result stays the same.
+COVER bounds the words that can disclose an entity by (words in its documents) / COVER, at any
+size of the corpus. Entities and words are told apart by 64-bit hashes; bit tables of a fixed
+size only keep others out early, and if one fills up the result stays the same.
 
 Defined results: a null or empty text has no span; an empty table gives no rows; repeated
 rows get the same spans; a null doc_id stays null; other columns are kept by sanitize() and
@@ -22,8 +28,10 @@ ignored otherwise. Offsets count code points.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomesh.llm import _packed, _text
+from cytomesh.llm import _text
 from cytomesh.session import bound_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 8
-SUPPORT = 3
-SHARE = 0.5
+CONTEXT = 4
+SUPPORT, WIDE_SUPPORT = 3, 10
+COVER = 0.1
+SHARE = 0.7
+SMOOTH = 2.0
 TABLE_BITS = 20
+#: Pairs of entity and word that may be broadcast; more are joined by a shuffle.
+SENT_PAIRS = 100_000
+#: Names whose values are secrets.
+SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key")
+SECRET_LENGTH, SECRET_DIGITS, SECRET_LETTERS, SECRET_BITS = 16, 2, 4, 3.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -46,7 +61,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = ".,;:!?()[]{}<>\"'"
+_MARKS = ".,;:!?()[]{}<>\"'="
+_TERM = re.compile(r"[^\x20\x09-\x0D" + re.escape(_MARKS) + "]+")
+_GIVEN = re.compile(r"(?i)(?<![a-z0-9])(?:" + "|".join(SECRET_NAMES) + r")[ ]?[=:][ ]?[\"']?([^\s\"']{6,})")
+_RUN = re.compile(r"[A-Za-z0-9]{16,}+")
+_BLANK = _text._WS.copy()
+_BLANK[[ord(c) for c in _MARKS]] = True
 _MAYBE = np.zeros(256, bool)
 _MAYBE[48:58] = _MAYBE[64] = True
 
@@ -95,38 +115,71 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _entropy(word: str) -> float:
+    """Bits a character, by the word's own characters."""
+    return -sum(n / len(word) * math.log2(n / len(word)) for n in Counter(word).values())
+
+
+def secret_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of secrets outside the spans taken."""
+    found = [m.span(1) for m in _GIVEN.finditer(text) if any(c.isdigit() for c in m[1])]
+    for m in _RUN.finditer(text):
+        run = m.group()
+        digits = sum(c.isdigit() for c in run)
+        if digits >= SECRET_DIGITS and len(run) - digits >= SECRET_LETTERS and _entropy(run) >= SECRET_BITS:
+            found.append(m.span())
+    out, end = [], -1
+    busy = sorted((a, b) for _, a, b in taken)
+    cut = [a for a, _ in busy]
+    reach = 0
+    reaches = [reach := max(reach, b) for _, b in busy]
+    for a, b in sorted(found):
+        k = bisect_left(cut, b)
+        if a >= end and not (k and reaches[k - 1] > a):
+            out.append(("secret", a, b))
+            end = b
+    return out
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     data, offs = _text.buffers(pa.array(words, pa.string()))
     return _text.span_hash(data, offs[:-1], offs[1:]).view(np.int64) if words else np.zeros(0, np.int64)
 
 
-def _trimmed(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """word, start, end of the words of 3 letters or more, without marks at their ends and without spans' own."""
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """word, start, end of the words of 3 letters or more outside the spans."""
     taken = sorted((a, b) for _, a, b in spans)
     cut = [a for a, _ in taken]
     reach = 0
     reaches = [reach := max(reach, b) for _, b in taken]
-    for m in _WORD.finditer(text):
+    for m in _TERM.finditer(text):
         x, y = m.span()
-        while x < y and text[x] in _EDGE:
-            x += 1
-        while x < y and text[y - 1] in _EDGE:
-            y -= 1
         k = bisect_left(cut, y)
         if y - x >= 3 and not (k and reaches[k - 1] > x):
-            yield _lower(text[x:y]), x, y
+            yield _lower(m.group()), x, y
+
+
+def entities(kind: str, value: str) -> list[str]:
+    """The names of a value: its kind, what it generalises to, and itself."""
+    out = [kind, f"{kind}:{value.lower()}"]
+    if kind == "email":
+        out.append(f"email@{value.rsplit('@', 1)[1].lower()}")
+    elif kind == "phone":
+        out.append(f"phone+{re.sub('[^0-9]', ' ', value[1:]).split()[0]}")
+    return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str]]:
-    """entity and context of every span."""
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> dict[str, str]:
+    """One piece of evidence for every name of the spans: the words around a value, the value of a wider name."""
     words = [m.span() for m in _WORD.finditer(text)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
-    out = []
+    out: dict[str, str] = {}
     for kind, a, b in spans:
         lo, hi = bisect_right(ends, a), bisect_left(starts, b)
         around = [*range(max(0, lo - CONTEXT), lo), *range(hi, min(len(words), hi + CONTEXT))]
-        entity = f"{kind}:{text[a:b].lower()}"
-        out.append((entity, entity + "\n" + " ".join(text[words[i][0] : words[i][1]].lower() for i in around)))
+        kind_, value, *wider = entities(kind, text[a:b])
+        for name, new in [(value, " ".join(text[words[i][0] : words[i][1]].lower() for i in around)), (kind_, value), *((w, value) for w in wider)]:
+            out[name] = min(new, out.get(name, new))
     return out
 
 
@@ -137,13 +190,16 @@ def _row_keys(data: np.ndarray, offs: np.ndarray, ids: pa.Array) -> np.ndarray:
     return _text.mix(row ^ _text.mix(ids.view(np.uint64))).view(np.int64)
 
 
-FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entity array<long>, context array<long>, words array<long>"
+FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, marks string, body string, entity array<long>, context array<long>"
 
 
 def find(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id and FOUND, and with whole all columns of docs as the struct doc; row names equal rows."""
+    """doc_id and FOUND, and with whole all columns of docs as the struct doc.
+
+    row names equal rows, marks has the spans of all kinds but term, and body is the text of rows that have any.
+    """
     keep = [F.col("doc_id")] + [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * whole
-    names = ["doc_id", "doc"][: len(keep)]
+    columns = ["doc_id", "doc"][: len(keep)]
 
     @_text.tidy
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,43 +210,53 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
             maybe = np.concatenate([[0], np.cumsum(_MAYBE[data])])
             maybe = np.flatnonzero(maybe[offs[1:]] > maybe[offs[:-1]])
             row = _row_keys(data, offs, batch.column(1))
-            counts = np.zeros((n, 4), np.int64)
-            sha, base = [empty] * n, [""] * n
+            counts = np.zeros((n, 5), np.int64)
+            sha, marks, body = [empty] * n, [""] * n, [None] * n
             pairs, owner = [], np.zeros(n, np.int64)
-            words, held = [], np.zeros(n, np.int64)
             for i in maybe.tolist():
                 text = batch.column(0)[i].as_py()
-                spans = base_spans(text)
+                base = base_spans(text)
+                spans = base + secret_spans(text, base)
                 if not spans:
                     continue
                 for kind, *_ in spans:
-                    counts[i, KINDS.index(kind)] += 1
-                base[i] = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-                sha[i] = hashlib.sha256(base[i].encode()).hexdigest()
+                    counts[i, (*KINDS, "secret").index(kind)] += 1
+                if base:
+                    sha[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
+                marks[i], body[i] = _joined(spans), text
                 near = contexts(text, spans)
-                pairs += near
+                pairs += near.items()
                 owner[i] = len(near)
-                own = {w for w, _, _ in _trimmed(text, spans)}
-                words.append(_hashes([*own]))
-                held[i] = len(own)
-            bounds, ends = (pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)) for k in (owner, held))
-            arrays = [pa.ListArray.from_arrays(bounds, pa.array(_hashes([p[j] for p in pairs]))) for j in range(2)]
-            arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *words]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(row), *(pa.array(c) for c in counts.T), pa.array(sha), pa.array(base), *arrays], [*names, *(c.split()[0] for c in FOUND.split(", "))])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(owner)]).astype(np.int32))
+            names = _hashes([p[0] for p in pairs]) & ~1 | np.array([":" not in p[0] for p in pairs], np.int64)  # odd: a kind or wider entity
+            arrays = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (names, _hashes([p[1] for p in pairs]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(row), *(pa.array(c) for c in counts.T), pa.array(sha), pa.array(marks), pa.array(body, pa.string()), *arrays], [*columns, *(c.split()[0] for c in FOUND.split(", "))])
 
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep)
     schema = ", ".join(f"{c} {t}" for c, t in source.dtypes[1:])
     return source.mapInArrow(found, f"{schema}, {FOUND}")
 
 
-def _bit_table(terms: DataFrame) -> bytes:
-    """A packed table of 2 ** TABLE_BITS bits with the terms' marked."""
+def _joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def _spans_of(marks: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in marks.split(",") if s)]
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _bit_table(values: DataFrame) -> bytes:
+    """A packed table of 2 ** TABLE_BITS bits with the values' marked."""
 
     @_text.tidy
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << TABLE_BITS, bool)
         for batch in batches:
-            seen[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+            seen[_slots(batch.column(0).to_numpy())] = True
         packed = np.packbits(seen).reshape(16, -1)
         use = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(use.astype(np.int32)), pa.array([packed[i].tobytes() for i in use], pa.binary())], ["slice", "bits"])
@@ -200,117 +266,138 @@ def _bit_table(terms: DataFrame) -> bytes:
         return pa.table({"slice": group["slice"][:1], "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
     bits = np.zeros((16, (1 << TABLE_BITS) // 128), np.uint8)
-    for r in terms.mapInArrow(marked, "slice int, bits binary").groupBy("slice").applyInArrow(merged, "slice int, bits binary").collect():  # 128 KB in all
+    for r in values.mapInArrow(marked, "slice int, bits binary").groupBy("slice").applyInArrow(merged, "slice int, bits binary").collect():  # 128 KB in all
         bits[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits.tobytes()
 
 
-def _found_words(seen: np.ndarray, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each slab the hashes of its words that the bit table lets through, and their documents."""
-    for lo, hi in _text.slabs(offs):
-        part = data[offs[lo] : offs[hi]]
-        words = _text.find_words(part, offs[lo : hi + 1] - offs[lo])
-        # Trim the marks at a word's ends, as _trimmed does.
-        start, end = words.start.copy(), words.end.copy()
-        left = np.flatnonzero(_MARK[part[start]]) if len(start) else start
-        while len(left):
-            start[left] += 1
-            left = left[start[left] < end[left]]
-            left = left[_MARK[part[start[left]]]]
-        left = np.flatnonzero((end > start) & _MARK[part[end - 1]]) if len(start) else start
-        while len(left):
-            end[left] -= 1
-            left = left[start[left] < end[left]]
-            left = left[_MARK[part[end[left] - 1]]]
-        hashes = _text.span_hash(part, start, end, lower=True)
-        pick = np.flatnonzero(seen[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        yield hashes[pick], words.doc[pick] + lo
+def _unpacked(sent) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+
+
+def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct combinations of the keys, and the one of each place."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [k[order][new] for k in keys], place
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity and term (hashes) of the words that give an entity away."""
-    occ = found.where("size(entity) > 0").select(F.monotonically_increasing_id().alias("n"), "words", F.explode(F.arrays_zip("entity", "context")).alias("x")).select("n", "words", "x.entity", "x.context").distinct()
-    of = found.where("size(entity) > 0").select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    spark = docs.sparkSession
+    private = found.where("body is not null")
+    of = private.select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # Each context of an entity counts for one row that has it.
+    own = private.select("row", F.explode(F.arrays_zip("entity", "context")).alias("x")).groupBy("x.entity", "x.context").agg(F.min("row").alias("row"))
+    own = written(own.select("entity", "row"), "contexts")
     # Only entities with enough contexts can have a disclosing word.
-    rich = occ.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT).select("entity")
-    occ = written(occ.join(rich, "entity", "left_semi"), "contexts")
-    support = occ.select("entity", "context", F.explode("words").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    both = occ.select("n", "entity", "words").distinct().select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    both = written(both.join(support, ["entity", "term"]).join(of, "entity"), "disclosing")
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(both.select("term").distinct()))
+    least = F.expr(f"if(entity & 1 = 1, {WIDE_SUPPORT}, {SUPPORT})")
+    many = own.groupBy("entity").agg(F.count("*").alias("evidence")).where(F.col("evidence") >= least)
+    rich = spark.sparkContext.broadcast(_bit_table(many.select("entity")))
+    owned = own.groupBy("row", "entity").agg(F.count("*").alias("c")).groupBy("row").agg(F.collect_list("entity").alias("owned"), F.collect_list("c").alias("held"))
+    # Equal rows are one, that many times.
+    rows = private.groupBy("row").agg(F.first("body").alias("body"), F.first("marks").alias("marks"), F.first("entity").alias("entity"), F.count("*").alias("times"))
+    rows = rows.join(owned, "row", "left")
+
+    @_text.tidy
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _unpacked(rich)
+        for batch in batches:
+            entity, term, support, many = [], [], [], []
+            for body, marks, names, times, owns, holds in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                names = np.unique(np.array(names, np.int64))
+                names = names[seen[_slots(names)]]
+                words = _hashes(list({w for w, _, _ in _terms(body, _spans_of(marks))}))
+                have = dict(zip(owns or (), holds or (), strict=True))
+                entity.append(np.repeat(names, len(words)))
+                term.append(np.tile(words, len(names)))
+                many.append(np.full(len(names) * len(words), times))
+                support.append(np.repeat(np.array([have.get(e, 0) for e in names.tolist()], np.int64), len(words)))
+            if entity:
+                (e, t), place = _distinct(np.concatenate(entity), np.concatenate(term))
+                total = lambda x: pa.array(np.bincount(place, weights=np.concatenate(x), minlength=len(e)).astype(np.int64))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(t), total(many), total(support)], ["entity", "term", "both", "support"])
+
+    both = rows.select("body", "marks", "entity", "times", "owned", "held").mapInArrow(met, "entity long, term long, both long, support long")
+    both = both.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("support").alias("support")).where(F.col("support") >= least)
+    both = written(both.join(of.join(many, "entity"), "entity").where(F.col("support") >= COVER * F.col("evidence")), "disclosing")
+    sent = spark.sparkContext.broadcast(_bit_table(both.select("term").distinct()))
 
     @_text.tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        none = np.zeros(0, np.uint64)
+        seen = _unpacked(sent)
         for batch in batches:
             data, offs = _text.buffers(batch.column(0))
-            all_terms = [none]
-            for hashes, doc in _found_words(seen, data, offs):
-                all_terms.append(np.unique(np.stack([hashes, doc.astype(np.uint64)]), axis=1)[0] if len(doc) else none)
-            values, count = np.unique(np.concatenate(all_terms), return_counts=True)
+            terms = [np.zeros(0, np.uint64)]
+            for lo, hi in _text.slabs(offs):
+                part = data[offs[lo] : offs[hi]]
+                words = _text.find_words(part, offs[lo : hi + 1] - offs[lo], _BLANK)
+                hashes = _text.span_hash(part, words.start, words.end, lower=True)
+                pick = np.flatnonzero(seen[_slots(hashes)])
+                if len(pick):
+                    terms.append(_distinct(hashes[pick], words.doc[pick])[0][0])
+            values, count = np.unique(np.concatenate(terms), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["term", "docs"])
 
     have = docs.select("text").mapInArrow(counted, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    total = docs.count()
-    both = both.join(have, "term")
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.greatest("docs", "both") * F.col("with_entity")))
-    worth = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity"))
-    return both.where((worth > 0) & (pmi >= SHARE * worth)).select("entity", "term")
-
+    share = F.col("with_entity") / float(max(docs.count(), 1))
+    told = (F.col("both") + SMOOTH * share) / (F.greatest("docs", "both") + SMOOTH)
+    return both.join(have, "term").where((share < 1) & (F.log2(told / share) >= SHARE * -F.log2(share))).select("entity", "term")
 
-_MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in _EDGE]] = True
 
-
-def term_spans(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row and terms (sorted distinct spans) of documents with words that disclose one of their entities."""
-    told = found.where("size(entity) > 0").select("row", F.explode(F.array_distinct("entity")).alias("entity")).join(pairs, "entity")
-    terms = written(told.select("row", "term").distinct(), "disclosing")
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(terms.select("term").distinct()))
+def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """row and terms (sorted distinct spans) of rows with words that disclose one of their entities."""
+    spark = docs.sparkSession
+    pairs = written(disclosing(docs, found), "pairs")
+    few = pairs.count() <= SENT_PAIRS  # 16 bytes each
+    tables = [spark.sparkContext.broadcast(_bit_table(pairs.select(c).distinct())) for c in ("entity", "term")]
 
     @_text.tidy
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        seen, wanted = map(_unpacked, tables)
         for batch in batches:
-            data, offs = _text.buffers(batch.column(0))
-            row = _row_keys(data, offs, batch.column(1))
-            some = [doc for _, doc in _found_words(seen, data, offs)]
-            for i in np.unique(np.concatenate(some)).tolist() if some else ():
-                text = batch.column(0)[i].as_py()
-                if not (spans := base_spans(text)):
-                    continue
-                words = [*_trimmed(text, spans)]
+            out = [[], [], [], [], []]
+            for row, body, marks, names in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                names = np.unique(np.array(names, np.int64))
+                names = names[seen[_slots(names)]]
+                words = [*_terms(body, _spans_of(marks))] if len(names) else []
                 hashes = _hashes([w for w, _, _ in words])
-                pick = np.flatnonzero(seen[(hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pick), row[i])), pa.array(hashes[pick]), *(pa.array([words[k][j] for k in pick], pa.int32()) for j in (1, 2))], ["row", "term", "first", "last"]
-                )
+                for k in np.flatnonzero(wanted[_slots(hashes)]).tolist():
+                    for name in names.tolist():
+                        for into, value in zip(out, (row, name, int(hashes[k]), *words[k][1:]), strict=True):
+                            into.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:])], ["row", "entity", "term", "first", "last"])
 
-    hits = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").mapInArrow(hit, "row long, term long, first int, last int")
-    return hits.join(terms, ["row", "term"], "left_semi").select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
+    hits = found.where("body is not null").select("row", "body", "marks", "entity").mapInArrow(hit, "row long, entity long, term long, first int, last int")
+    hits = hits.join(F.broadcast(pairs) if few else pairs, ["entity", "term"], "left_semi")
+    return hits.select("row", F.struct("first", "last").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_sha256, and spans: base ones, then terms."""
+    """doc_id, counts of each kind, base_sha256, and spans: base ones, secrets, then terms."""
     bound_batches(docs.sparkSession)
     found = written(find(docs), "found")
-    out = found.join(term_spans(docs, found, disclosing(docs, found)), "row", "left")
+    out = found.drop("body", "entity", "context").join(term_spans(docs, found), "row", "left")
     terms = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["first"], F.lit(":"), t["last"])), ",")
-    both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"))
+    both = F.concat_ws(",", F.when(F.col("marks") != "", F.col("marks")), F.when(F.size("terms") > 0, terms))
+    n_term = F.when(F.col("terms").isNull(), 0).otherwise(F.size("terms")).cast("long")
+    n_spans = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_secret") + n_term
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"), "n_secret", n_term.alias("n_term"), n_spans.alias("n_spans"))
 
 
 def sanitize(docs: DataFrame) -> DataFrame:
-    """docs with base spans generalised to [KIND] and disclosing words removed in text.
+    """docs with base spans and secrets generalised to [KIND] and disclosing words removed in text.
 
-    Only documents with base spans are shuffled; the others go straight through.
+    Texts are searched once, into a written table; only rows with spans are shuffled, the others go straight through.
     A null text stays null.
     """
     bound_batches(docs.sparkSession)
-    found = find(docs, whole=True)
-    listed = written(find(docs), "found")
-    pairs = written(disclosing(docs, listed), "terms")
+    found = written(find(docs, whole=True), "found")
     columns = docs.columns
 
     @_text.tidy
@@ -320,11 +407,11 @@ def sanitize(docs: DataFrame) -> DataFrame:
             fields = doc.flatten()
             at_text = columns.index("text")
             out = []
-            for text, base, terms in zip(fields[at_text].to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in base.split(",") if s)]
-                marks += [(t["first"], t["last"], "") for t in terms or ()]
+            for text, marks, terms in zip(fields[at_text].to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                spots = [(a, b, f"[{k.upper()}]") for k, a, b in _spans_of(marks)]
+                spots += [(t["first"], t["last"], "") for t in terms or ()]
                 parts, at = [], 0
-                for a, b, new in sorted(marks, key=lambda m: (m[0], -m[1])):
+                for a, b, new in sorted(spots, key=lambda m: (m[0], -m[1])):
                     if a >= at:
                         parts += [text[at:a], new]
                     at = max(at, b)
@@ -332,9 +419,9 @@ def sanitize(docs: DataFrame) -> DataFrame:
             fields[at_text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names=columns)], ["doc"])
 
-    plain = found.where("base = ''").select("doc")
-    private = found.where("base <> ''").select("row", "doc", "base").join(term_spans(docs, listed, pairs), "row", "left")
-    private = private.select("doc", "base", "terms").mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
+    plain = found.where("body is null").select("doc")
+    private = found.where("body is not null").select("row", "doc", "marks").join(term_spans(docs, found), "row", "left")
+    private = private.select("doc", "marks", "terms").mapInArrow(masked, f"doc {dict(found.dtypes)['doc']}")
     return plain.unionByName(private).select("doc.*")
 
 
