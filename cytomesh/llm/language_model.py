@@ -1,19 +1,26 @@
 """Op 8, a hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). Classes are ranges of training
-counts with about equal mass; words seen at most once, and unseen ones, are a class of their
-own. P(class | context) is a softmax over hashed features: the word before, the one two
-before (a skip), and both together. P(word | class) has only a bias for each word, whose
-maximum-entropy fit is the word's share of its class (here with one added to each count, and
-one unseen word). So the vocabulary may grow without bound, and the trained weights may not.
-
-Steps, all over every document:
-1. Texts become blocks: each word's place in the block's sorted dictionary. Dictionaries and
-   their training counts are dealt out by hash as packed lists, summed, and sent back, which
-   gives every word of a block its count in the whole training corpus.
-2. ROUNDS of training: every task makes gradient steps over its blocks from the same weights,
-   and the changes are averaged by tokens. Weights have a fixed size (WEIGHT_MB).
+P(word | context) = P(class | context) * P(word | class, context). Both factors look at the
+same hashed features: the word before, the one two before (a skip), and both together. The
+first is a softmax over CLASSES classes. Inside a class the softmax over its words is factored
+again, along LEVELS binary choices: words are ordered by training count, a word's code is its
+place in its class' cumulated count, so that a choice halves what is left, and each choice has
+its own weight for every feature, hashed into `buckets` numbers. Words that still share a leaf
+share it by count. Words seen at most once, and unseen ones, are a class of their own (TAIL)
+without choices, which keeps room for UNSEEN words that training never saw. All P of a context,
+over the seen words and UNSEEN unseen ones, sum to 1.
+
+Steps, each over every document:
+1. Words of the training documents are counted. Words of the larger counts, KNOWN_WORDS at
+   most, are sent to all tasks with their counts and codes.
+2. ROUNDS of training: tasks sum, for every feature, what they observe and what the model
+   expects. The difference is the gradient; weights move by generalised iterative scaling,
+   whose step for a bucket is log(observed / expected) / FEATURES. The sums don't depend on how
+   documents are dealt to tasks, and neither do the scores. Buckets grow with the training
+   tokens, from 2**LEAST_BITS to 2**MOST_BITS numbers.
 3. Scoring in sparse batches of BATCH tokens.
+Counts of words that are not sent (none unless there are more than KNOWN_WORDS) enter a score
+by log10(count + 1) alone; they are joined to each document's such words by a shuffle.
 
 Defined results: a null or empty text is an end token alone; an empty table gives no rows;
 repeated rows each count; a null doc_id is trained on and not held out; other columns are
@@ -22,264 +29,360 @@ ignored. Without training documents every count is 0 and the classes are equally
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomesh.llm import _packed, _text
-from cytomesh.session import bound_batches, drop_written, table, written
+from cytomesh.llm import _text
+from cytomesh.session import bound_batches, table, written
 
-BLOCK_BYTES = 8 << 20
 CLASSES = 16
+TAIL = 0
+LEVELS = 7
+LEAVES = 1 << LEVELS
 FEATURES = 3
-BUCKETS = 1 << 13  # of each feature
-WEIGHT_MB = FEATURES * BUCKETS * CLASSES * 4 / 1e6
+UNSEEN = 1000
+CLASS_BITS = 12  # buckets of each feature for the classes
+LEAST_BITS, MOST_BITS = 14, 20
+#: Training tokens for each bucket of the choices.
+TOKENS_EACH = 8
 BATCH = 1 << 15
 ROUNDS = 2
-RATE = 0.5
-#: Bins of training counts: eight to a doubling.
-BINS = 8 * 48
+#: Weight of the expected share in the observed one.
+SMOOTH = 2.0
+KNOWN_WORDS = 1 << 20
+#: Distinct words that a counting task holds before it passes them on.
+HELD_WORDS = 1 << 19
+SLICES = 16
+#: Bins of counts: eight to a doubling.
+BIN = "cast(floor(8 * log2(count)) as int)"
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0876A9A47)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCK = "block long, group int, n int, keys binary, counts binary, ids binary, lengths binary, tokens binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("group", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "ids", "lengths", "tokens"))])
-CODED = "keys binary, counts binary, ids binary, lengths binary, tokens binary"
 
-
-def held_out(doc_ids: list[int | None], modulus: int, rest: int) -> np.ndarray:
+def held_out(modulus: int, rest: int) -> Column:
     """Whether crc32(doc_id as text) leaves that rest; a null doc_id doesn't."""
-    return np.array([d is not None and zlib.crc32(str(d).encode()) % modulus == rest for d in doc_ids], bool)
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
 
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of some documents (words, then an end), and the tokens before each."""
+    words = _text.find_words(data, offs)
+    first = words.first + np.arange(len(offs))
+    out = np.full(first[-1], END)
+    inner = np.ones(len(out), bool)
+    inner[first[1:] - 1] = False
+    out[inner] = _text.span_hash(data, words.start, words.end, lower=True)
+    return out, first
 
-def _pack_ids(ids: list[int | None]) -> bytes:
-    return np.array([d is None for d in ids], np.uint8).tobytes() + np.array([d or 0 for d in ids], "<i8").tobytes()
 
+def _slabs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offs = _text.buffers(batch.column(1))
+    for lo, hi in _text.slabs(offs):
+        yield lo, hi, *tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
-def _unpack_ids(raw: bytes) -> list[int | None]:
-    n = len(raw) // 9
-    return [None if null else d for null, d in zip(raw[:n], np.frombuffer(raw, "<i8", offset=n).tolist(), strict=True)]
 
+def _train(batch: pa.RecordBatch, lo: int, hi: int, first: np.ndarray) -> np.ndarray:
+    """The tokens that are learnt from."""
+    held = batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(np.repeat(~held, np.diff(first)))
 
-def _blocks(docs: DataFrame, groups: int) -> DataFrame:
-    """For each block a row of documents (group -1), and rows of its dictionary by group."""
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash) and count over all training documents; docs is doc_id, text, held."""
 
     @_text.tidy
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        shift = np.uint64(64 - 24)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            data, offs = _text.buffers(batch.column(1))
-            doc_ids = batch.column(0).to_pylist()
-            for lo, hi in _text.slabs(offs, BLOCK_BYTES):
-                block = (batch.column(2)[lo].as_py() << 32) + number
-                number += 1
-                hashes, lengths = [], []
-                for a, b in _text.slabs(offs[lo : hi + 1]):
-                    part = data[offs[lo + a] : offs[lo + b]]
-                    words = _text.find_words(part, offs[lo + a : lo + b + 1] - offs[lo + a])
-                    with_end = np.full(len(words.start) + b - a, END)
-                    inner = np.ones(len(with_end), bool)
-                    inner[words.first[1:] + np.arange(b - a)] = False
-                    with_end[inner] = _text.span_hash(part, words.start, words.end, lower=True)
-                    hashes.append(with_end)
-                    lengths.append(words.count + 1)
-                hashes, lengths = np.concatenate(hashes), np.concatenate(lengths)
-                keys, tokens = np.unique(hashes, return_inverse=True)
-                ids = doc_ids[lo:hi]
-                train = np.repeat(~held_out(ids, 7, 2), lengths)
-                counts = np.bincount(tokens[train], minlength=len(keys)).astype("<u4")
-                route = (keys >> shift).astype(np.int64) * groups >> 24
-                cuts = np.searchsorted(route, np.arange(groups + 1))
-                used = np.flatnonzero(np.diff(cuts)).tolist()
-                rows = [{"block": block, "group": -1, "n": hi - lo, "ids": _pack_ids(ids), "lengths": lengths.astype("<i4").tobytes(), "tokens": tokens.astype("<u4").tobytes()}]
-                rows += [{"block": block, "group": g, "n": int(cuts[g + 1] - cuts[g]), "keys": _packed.pack_sorted(keys[cuts[g] : cuts[g + 1]]), "counts": counts[cuts[g] : cuts[g + 1]].tobytes()} for g in used]
-                yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
-
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(coded, BLOCK)
-
-
-def bin_of(counts: np.ndarray) -> np.ndarray:
-    """The bin of training counts; 0 for counts of at most 1."""
-    return np.where(counts > 1, 1 + np.floor(8 * np.log2(np.maximum(counts, 1))), 0).astype(np.int64)
-
-
-def _sum_counts(group: pa.Table) -> pa.Table:
-    """Counts over all blocks for each block's part of the dictionary, and the group's totals."""
-    lists = [_packed.unpack_sorted(k.as_buffer()) for k in group["keys"]]
-    keys, place = np.unique(np.concatenate(lists), return_inverse=True)
-    mine = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in group["counts"]])
-    total = np.bincount(place, weights=mine, minlength=len(keys)).astype("<u4")
-    cuts = np.cumsum([0, *map(len, lists)])
-    seen = total[total > 0].astype(np.int64)
-    mass = np.bincount(bin_of(seen), weights=seen, minlength=BINS).astype("<i8")
-    types = np.bincount(bin_of(seen), minlength=BINS).astype("<i8")
-    first = [True] + [False] * (len(lists) - 1)
-    return pa.table({
-        "block": group["block"], "group": group["group"],
-        "keys": group["keys"],
-        "counts": pa.array([total[place[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-        "mass": pa.array([mass.tobytes() if f else None for f in first], pa.binary()),
-        "types": pa.array([types.tobytes() if f else None for f in first], pa.binary()),
-    })
-
-
-def _join_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    counts = counts.sort_by("group")
-    keys = np.concatenate([_packed.unpack_sorted(k.as_buffer()) for k in counts["keys"]])
-    return pa.table({
-        "keys": pa.array([keys.tobytes()], pa.binary()),
-        "counts": pa.array([b"".join(c.as_py() for c in counts["counts"])], pa.binary()),
-        "ids": docs["ids"], "lengths": docs["lengths"], "tokens": docs["tokens"],
-    })
+            for lo, hi, hashes, first in _slabs(batch):
+                new, n = np.unique(hashes[_train(batch, lo, hi, first)], return_counts=True)
+                words, place = np.unique(np.concatenate([words, new]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(words)).astype(np.int64)
+                if len(words) > HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "count"])
+                    words, counts = words[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "count"])
+
+    return docs.mapInArrow(counted, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 class Model:
-    """Classes, their sizes, and the weights."""
-
-    def __init__(self, mass: np.ndarray, types: np.ndarray):
-        self.train_tokens, self.train_types = int(mass.sum()), int(types.sum())
-        common = mass.copy()
-        common[0] = 0
-        before = np.cumsum(common) - common
-        share = before / max(1, common.sum())
-        self.class_of_bin = np.where(np.arange(BINS) == 0, 0, 1 + np.minimum((share * (CLASSES - 1)).astype(np.int64), CLASSES - 2))
-        self.mass = np.bincount(self.class_of_bin, weights=mass, minlength=CLASSES)
-        self.types = np.bincount(self.class_of_bin, weights=types, minlength=CLASSES)
-        self.bias = np.log((self.mass + 1) / (self.mass + 1).sum()).astype(np.float32)
-        self.weights = np.zeros((FEATURES * BUCKETS, CLASSES), np.float32)
-
-    def within(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 P(word | class); only the class of rare words has an unseen one."""
-        return np.log10((counts + 1.0) / (self.mass + self.types + (np.arange(CLASSES) == 0))[classes])
-
-    def logits(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        out = weights[features[0]] + self.bias
-        for f in features[1:]:
-            out += weights[f]
-        out -= out.max(axis=1, keepdims=True)
+    """Words with their counts and codes, and the weights. A code is class * LEAVES + leaf; the tail's is 0."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tail_mass: int, tail_types: int):
+        """words ascending; tail_mass and tail_types are of the seen words that are not among them."""
+        self.words, self.counts = words, counts
+        self.train_tokens, self.train_types = int(counts.sum()) + tail_mass, len(words) + tail_types
+        self.bits = max(1, int(len(words)).bit_length())
+        begin = np.searchsorted(words, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        self.begin = np.append(begin, len(words)).astype(np.int32)
+        often = np.flatnonzero(counts > 1)
+        often = often[np.lexsort((words[often], -counts[often]))]
+        mass = counts[often].astype(np.float64)
+        middle = (np.cumsum(mass) - mass / 2) / max(mass.sum(), 1.0)
+        self.codes = np.zeros(len(words), np.int32)
+        self.codes[often] = LEAVES + np.minimum((middle * (CLASSES - 1) * LEAVES).astype(np.int64), (CLASSES - 1) * LEAVES - 1)
+        leaf_mass = np.bincount(self.codes, weights=counts, minlength=CLASSES * LEAVES).astype(np.float64)
+        leaf_types = np.bincount(self.codes, minlength=CLASSES * LEAVES).astype(np.float64)
+        leaf_mass[0] += tail_mass
+        leaf_types[0] += tail_types + UNSEEN
+        self.leaf_log = np.log10(np.maximum(leaf_mass + leaf_types, 1e-300))
+        share = (leaf_mass + leaf_types).reshape(CLASSES, LEAVES)
+        # Node 2**level + prefix of a class: log odds of its upper half.
+        self.bias = np.zeros((CLASSES, LEAVES), np.float32)
+        self.open = np.zeros((CLASSES, LEAVES), bool)
+        for level in range(LEVELS):
+            halves = share.reshape(CLASSES, 1 << level, 2, -1).sum(axis=3)
+            both = (halves > 0).all(axis=2)
+            at = slice(1 << level, 2 << level)
+            self.open[:, at] = both
+            self.bias[:, at] = np.where(both, np.log(np.maximum(halves[..., 1], 1e-300) / np.maximum(halves[..., 0], 1e-300)), 0)
+        self.bias, self.open = self.bias.ravel(), self.open.ravel()
+        self.salt = _text.mix(np.arange(CLASSES * LEAVES, dtype=np.uint64) + np.uint64(1))
+        total = leaf_mass.reshape(CLASSES, LEAVES).sum(axis=1) + 1
+        self.class_bias = np.log(total / total.sum()).astype(np.float32)
+        self.class_weights = np.zeros((FEATURES << CLASS_BITS, CLASSES), np.float32)
+        self.choice_bits = int(np.clip((max(self.train_tokens, 1) // TOKENS_EACH).bit_length(), LEAST_BITS, MOST_BITS))
+        self.choice_weights = np.zeros(1 << self.choice_bits, np.float32)
+        self.seen: tuple | None = None
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the words, or -1."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.begin[slot].astype(np.int64), self.begin[slot + 1].astype(np.int64)
+        out = np.full(len(hashes), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.words[at[left]] == hashes[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
         return out
 
+    def coded(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts and codes; words that are not known have 0 and the tail's code."""
+        place = self.find(hashes)
+        known = np.flatnonzero(place >= 0)
+        codes, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        codes[known], counts[known] = self.codes[place[known]], self.counts[place[known]]
+        return counts, codes
+
+    def class_logs(self, features: np.ndarray) -> np.ndarray:
+        """log P(class) for each token's context."""
+        out = self.class_weights[_class_rows(features, 0)]
+        out += self.class_bias
+        for i in range(1, FEATURES):
+            out += self.class_weights[_class_rows(features, i)]
+        out -= np.log(np.exp(np.clip(out, -80, 80, out=out)).sum(axis=1, keepdims=True))
+        return out
 
-def features_of(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Hashed features of every token; firsts are the documents' first tokens."""
+    def choices(self, codes: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Of each level: the tokens with a choice, what they chose, the log odds of the upper half, and their buckets."""
+        inner = np.flatnonzero(codes >= LEAVES)
+        codes, features = codes[inner], features[:, inner]
+        base, leaf = codes & ~(LEAVES - 1), codes & (LEAVES - 1)
+        shift = np.uint64(64 - self.choice_bits)
+        for level in range(LEVELS):
+            node = base + (1 << level) + (leaf >> (LEVELS - level))
+            at = np.flatnonzero(self.open[node])
+            if not len(at):
+                continue
+            node = node[at]
+            salt = self.salt[node]
+            logit = self.bias[node]
+            rows = []
+            for f in features:
+                r = (((f[at] ^ salt) * _SPREAD) >> shift).astype(np.int32)
+                logit += self.choice_weights[r]
+                rows.append(r)
+            yield inner[at], ((leaf[at] >> (LEVELS - 1 - level)) & 1).astype(bool), logit, rows
+
+    def log10(self, codes: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """log10 P(leaf of each token | context)."""
+        out = self.class_logs(features)[np.arange(len(codes)), codes >> LEVELS].astype(np.float64)
+        for at, chosen, logit, _ in self.choices(codes, features):
+            out[at] -= np.log1p(np.exp(np.clip(np.where(chosen, -logit, logit), -30, 30)))
+        return out / np.log(10)
+
+
+def _class_rows(features: np.ndarray, i: int) -> np.ndarray:
+    return (features[i] >> np.uint64(64 - CLASS_BITS)).astype(np.int64) + (i << CLASS_BITS)
+
+
+def features_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of every token's features: the word before, the one two before, and both."""
     one, two = np.empty_like(hashes), np.empty_like(hashes)
     one[1:], two[2:] = hashes[:-1], hashes[:-2]
     two[:2] = START
-    one[firsts] = START
-    two[firsts] = START
-    second = firsts + 1
-    second = second[(second < len(hashes))]
-    two[second] = START
-    bucket = lambda h, i: (h >> np.uint64(64 - 13)).astype(np.int64) + i * BUCKETS
-    return np.stack([bucket(_text.mix(one), 0), bucket(_text.mix(two ^ np.uint64(0xABCDEF)), 1), bucket(_text.mix(one * np.uint64(3) + two), 2)])
-
-
-def _decoded(batches: Iterator[pa.RecordBatch], model: Model):
-    """For each block: doc_ids, lengths, first tokens, counts and classes by token, features."""
-    for batch in batches:
-        for row in range(len(batch)):
-            keys, counts, ids, lengths, tokens = (batch.column(i)[row].as_buffer() for i in range(5))
-            lengths = np.frombuffer(lengths, "<i4").astype(np.int64)
-            tokens = np.frombuffer(tokens, "<u4")
-            firsts = np.cumsum(lengths) - lengths
-            counts = np.frombuffer(counts, "<u4").astype(np.int64)
-            classes = model.class_of_bin[np.minimum(bin_of(counts), BINS - 1)]
-            yield _unpack_ids(bytes(ids)), lengths, firsts, counts[tokens], classes[tokens], features_of(np.frombuffer(keys, np.uint64)[tokens], firsts)
-
-
-def train_round(coded: DataFrame, model: Model) -> np.ndarray:
-    """The weights after one pass: each task's own gradient steps, averaged by its tokens."""
-    sent = coded.sparkSession.sparkContext.broadcast(model)
-    slices = 16
+    begin = first[:-1]
+    one[begin] = two[begin] = START
+    second = begin + 1
+    two[second[second < len(hashes)]] = START  # after a one-token document this is the next one's first token
+    return np.stack([_text.mix(one), _text.mix(two ^ np.uint64(0xABCDEF)), _text.mix(one * np.uint64(3) + two)])
+
+
+def fit(docs: DataFrame, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS) -> tuple[Model, DataFrame, bool]:
+    """The trained model, the counts of all words, and whether the model knows all of them."""
+    counts = written(word_counts(docs), "word_counts")
+    bins = sorted((r["bin"], r["types"], r["mass"]) for r in counts.groupBy(F.expr(BIN).alias("bin")).agg(F.count("*").alias("types"), F.sum("count").alias("mass")).collect())
+    types, least = 0, None
+    for bin_, n, _ in reversed(bins):
+        if types + n > known_words:
+            break
+        types, least = types + n, bin_
+    whole = types == sum(n for _, n, _ in bins)
+    sent = counts.where(F.expr(BIN) >= (0 if least is None else least)).toArrow() if types else None  # known_words rows at most
+    words = sent["word"].to_numpy().view(np.uint64) if types else np.zeros(0, np.uint64)
+    number = sent["count"].to_numpy() if types else np.zeros(0, np.int64)
+    order = np.argsort(words)
+    rest = [(n, m) for b, n, m in bins if least is None or b < least]
+    model = Model(words[order], number[order], sum(m for _, m in rest), sum(n for n, _ in rest))
+    for number in range(rounds if model.train_tokens else 0):
+        train_round(docs, model, number == 0)
+    model.seen = None
+    return model, counts, whole
+
+
+def train_round(docs: DataFrame, model: Model, start: bool) -> None:
+    """One step of iterative scaling; before the first one (start) the classes' expectation is their bias."""
+    held_back, model.seen = model.seen, None  # the tasks need the weights alone
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model.seen = held_back
+    shape = model.class_weights.shape
 
     @_text.tidy
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        weights = model.weights.copy()
-        squares = np.full(weights.shape, 1e-2, np.float32)
-        done = 0
-        for ids, lengths, _, _, classes, features in _decoded(batches, model):
-            train = np.flatnonzero(np.repeat(~held_out(ids, 7, 2), lengths))
-            done += len(train)
-            for at in range(0, len(train), BATCH):
-                pick = train[at : at + BATCH]
-                f, y = features[:, pick], classes[pick]
-                p = np.exp(model.logits(f, weights))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                for i in range(FEATURES):
-                    local = f[i] - i * BUCKETS
-                    part = slice(i * BUCKETS, (i + 1) * BUCKETS)
-                    gradient = np.stack([np.bincount(local, weights=p[:, c], minlength=BUCKETS) for c in range(CLASSES)], axis=1).astype(np.float32)
-                    gradient /= np.maximum(np.bincount(local, minlength=BUCKETS), 1).astype(np.float32)[:, None]
-                    squares[part] += gradient * gradient
-                    weights[part] -= RATE / FEATURES * gradient / np.sqrt(squares[part])
+        seen = np.zeros(shape[0] * CLASSES, np.int64)
+        expected = np.zeros(shape)
+        n, upper_n, upper_expected = (np.zeros(len(model.choice_weights), t) for t in (np.int64, np.int64, np.float64))
+        done = False
+        for batch in batches:
+            for lo, hi, hashes, first in _slabs(batch):
+                train = _train(batch, lo, hi, first)
+                _, codes = model.coded(hashes)
+                features = features_of(hashes, first)
+                held: list[list[np.ndarray]] = [[], [], []]
+                for at in range(0, len(train), BATCH):
+                    pick = train[at : at + BATCH]
+                    f, c = features[:, pick], codes[pick]
+                    done = True
+                    p = None if start else np.exp(model.class_logs(f))
+                    for i in range(FEATURES):
+                        rows = _class_rows(f, i) - (i << CLASS_BITS)
+                        part = slice(i << CLASS_BITS, (i + 1) << CLASS_BITS)
+                        if start:
+                            seen.reshape(shape)[part] += np.bincount(rows * CLASSES + (c >> LEVELS), minlength=CLASSES << CLASS_BITS).reshape(-1, CLASSES)
+                        else:
+                            expected[part] += np.stack([np.bincount(rows, weights=p[:, k], minlength=1 << CLASS_BITS) for k in range(CLASSES)], axis=1)
+                    for _, chosen, logit, rows in model.choices(c, f):
+                        upper = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                        for r in rows:
+                            for into, value in zip(held, (r, chosen, upper), strict=True):
+                                into.append(value)
+                if held[0]:
+                    r, chosen, upper = map(np.concatenate, held)
+                    upper_expected += np.bincount(r, weights=upper, minlength=len(n))
+                    if start:
+                        n += np.bincount(r, minlength=len(n))
+                        upper_n += np.bincount(r[chosen], minlength=len(n))
         if done:
-            change = (weights - model.weights) * np.float32(1)
-            parts = np.split(change, slices)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([done] * slices, pa.int64()), pa.array([c.astype(np.float16).tobytes() for c in parts], pa.binary())], ["slice", "n", "change"])
+            sums = [x.reshape(SLICES, -1) for x in (seen, expected, n, upper_n, upper_expected)]
+            use = (start, not start, start, start, True)  # what was seen is summed in the first round
+            packed = [pa.array([x[i].astype("<i4" if x.dtype == np.int64 else "<f8").tobytes() if u else None for i in range(SLICES)], pa.binary()) for u, x in zip(use, sums, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *packed], ["slice", "seen", "expected", "n", "upper_n", "upper_expected"])
+
+    def added(group: pa.Table) -> pa.Table:
+        out = {"slice": group["slice"][:1]}
+        for c in ("seen", "expected", "n", "upper_n", "upper_expected"):
+            total = sum((np.frombuffer(x.as_buffer(), "<i4" if c in ("seen", "n", "upper_n") else "<f8").astype(np.float64) for x in group[c] if x.is_valid), np.float64(0))
+            out[c] = pa.array([np.asarray(total).tobytes() if np.ndim(total) else None], pa.binary())
+        return pa.table(out)
+
+    schema = "slice int, seen binary, expected binary, n binary, upper_n binary, upper_expected binary"
+    rows = sorted(docs.mapInArrow(summed, schema).groupBy("slice").applyInArrow(added, schema).collect(), key=lambda r: r["slice"])  # the sums' fixed size
+    if not rows:
+        return
+    joined = lambda c: np.concatenate([np.frombuffer(bytes(r[c])) for r in rows])
+    if start:
+        model.seen = joined("seen").reshape(shape), joined("n"), joined("upper_n")
+    seen, n, upper = model.seen
+    many = seen.sum(axis=1)
+    used = many > 0
+    many = many[used, None]
+    expected = many * np.exp(model.class_bias.astype(np.float64)) if start else joined("expected").reshape(shape)[used]
+    fill = SMOOTH * expected / many
+    model.class_weights[used] += (np.log((seen[used] + fill) / (expected + fill)) / FEATURES).astype(np.float32)
+    expected = joined("upper_expected")
+    some = n > 0
+    share = np.clip(expected[some] / n[some], 1e-9, 1 - 1e-9)
+    odds = np.log((upper[some] + SMOOTH * share) / (n[some] - upper[some] + SMOOTH * (1 - share)))
+    model.choice_weights[some] += ((odds - np.log(share / (1 - share))) / FEATURES).astype(np.float32)
 
-    def averaged(group: pa.Table) -> pa.Table:
-        n = group["n"].to_numpy().astype(np.float64)
-        total = sum(w * np.frombuffer(c.as_buffer(), np.float16).astype(np.float64) for w, c in zip(n, group["change"], strict=True))
-        return pa.table({"slice": group["slice"][:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    out = model.weights.copy()
-    parts = np.split(out, slices)  # views
-    for row in coded.mapInArrow(steps, "slice int, n long, change binary").groupBy("slice").applyInArrow(averaged, "slice int, change binary").collect():  # WEIGHT_MB in all
-        parts[row["slice"]] += np.frombuffer(bytes(row["change"]), np.float32).reshape(-1, CLASSES)
-    return out
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def rare_parts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """row, known and log: of the words that the model doesn't know, how many are seen, and their log10(count + 1)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @_text.tidy
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, first in _slabs(batch):
+                at = np.flatnonzero(sent.value.find(hashes) < 0)
+                pair, n = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, hashes[at].view(np.int64)]), axis=1, return_counts=True)
+                row = batch.column(3).slice(lo, hi - lo).to_numpy()[pair[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pair[1]), pa.array(n)], ["row", "word", "n"])
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    # Equal rows have one name and equal numbers.
+    found = docs.mapInArrow(unknown, "row long, word long, n long").groupBy("row", "word").agg(F.max("n").alias("n"))
+    return found.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("log"))
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, known_words: int = KNOWN_WORDS) -> DataFrame:
     """See SCORES: base and model log10 probabilities of every document."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(max(1, -(-total // BLOCK_BYTES)))
-    blocks = written(_blocks(docs, groups), "blocks", "zstd")
-    asked = blocks.where("group >= 0").select("block", "group", "keys", "counts")
-    answers = written(asked.groupBy("group").applyInArrow(_sum_counts, "block long, group int, keys binary, counts binary, mass binary, types binary"), "counts", "zstd")
-    mass, types = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
-    for row in answers.where("mass is not null").select("mass", "types").toLocalIterator():  # one row for each group
-        mass += np.frombuffer(bytes(row["mass"]), "<i8")
-        types += np.frombuffer(bytes(row["types"]), "<i8")
-    papers = blocks.where("group < 0").select("block", "ids", "lengths", "tokens")
-    coded = papers.groupBy("block").cogroup(answers.select("block", "group", "keys", "counts").groupBy("block")).applyInArrow(_join_block, CODED)
-    coded = written(coded, "coded", "zstd")
-    drop_written(blocks)
-    drop_written(answers)
-    model = Model(mass, types)
-    for _ in range(rounds if model.train_tokens else 0):
-        model.weights = train_round(coded, model)
+    docs = docs.select("doc_id", "text", held_out(7, 2).alias("held"))
+    model, counts, whole = fit(docs, known_words, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @_text.tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         unseen = np.log10(model.train_tokens + model.train_types + 1)
-        for ids, lengths, firsts, counts, classes, features in _decoded(batches, model):
-            log10 = model.within(counts, classes)
-            for at in range(0, len(counts), BATCH):
-                logits = model.logits(features[:, at : at + BATCH], model.weights)
-                y = classes[at : at + BATCH]
-                log10[at : at + BATCH] += (logits[np.arange(len(y)), y] - np.log(np.exp(logits).sum(axis=1))) / np.log(10)
-            base = np.add.reduceat(np.log10(counts + 1.0), firsts) - lengths * unseen
-            known = np.add.reduceat((counts > 0).astype(np.int64), firsts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held_out(ids, 7, 2)), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), model.train_tokens)), pa.array(base), pa.array(np.add.reduceat(log10, firsts))],
-                [c.split()[0] for c in SCORES.split(", ")],
-            )
-
-    return coded.mapInArrow(scored, SCORES)
+        for batch in batches:
+            for lo, hi, hashes, first in _slabs(batch):
+                counts, codes = model.coded(hashes)
+                features = features_of(hashes, first)
+                own = np.log10(counts + 1.0)
+                log10 = own - model.leaf_log[codes]
+                for at in range(0, len(codes), BATCH):
+                    log10[at : at + BATCH] += model.log10(codes[at : at + BATCH], features[:, at : at + BATCH])
+                begin, length = first[:-1], np.diff(first)
+                base = np.add.reduceat(own, begin) - length * unseen
+                known = np.add.reduceat((counts > 0).astype(np.int64), begin)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(length), pa.array(known), pa.array(np.full(hi - lo, model.train_tokens)), pa.array(base), pa.array(np.add.reduceat(log10, begin)), batch.column(3).slice(lo, hi - lo)],
+                    [*(c.split()[0] for c in SCORES.split(", ")), "row"],
+                )
+
+    docs = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    out = docs.mapInArrow(scored, SCORES + ", row long")
+    if not whole:
+        out = out.join(rare_parts(docs, model, counts), "row", "left")
+        more = F.coalesce("log", F.lit(0.0))
+        out = out.withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base_score": F.col("base_score") + more, "score": F.col("score") + more})
+    return out.select(*[c.split()[0] for c in SCORES.split(", ")])
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
