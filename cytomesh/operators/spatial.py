@@ -6,13 +6,16 @@ is spread over its buckets, and AQE can split a bucket that is dense itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytomesh.session import written
+
 
 def _bucketed(points: DataFrame, size: Column | str, spread: bool) -> DataFrame:
     out = points.withColumn("bx", F.floor(F.col("x") / size).cast("int")).withColumn("by", F.floor(F.col("y") / size).cast("int"))
@@ -39,43 +42,54 @@ def pairs_within(points: DataFrame, radius: Column, group: str = "image_id", key
 def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ("r",)) -> DataFrame:
     """Each point's nearest other point of its group: nn (key), d and the carried columns as c2.
 
-    Buckets hold about two points. A neighbour found no farther than a bucket's side is proven;
-    the few other points are compared with their whole group. Ties go to the smaller key.
-    A group of one point has no row.
+    Ties go to the smaller key. A group of one point has no row.
     """
-    extent = points.groupBy(group).agg(F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
-    extent = extent.select(group, F.greatest(F.lit(1e-6), 1.4 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"))
-    sized = points.select(group, key, "x", "y", *carry).join(extent, group)
-    pick = F.min(F.struct("d", F.col(f"{key}2").alias("nn"), *[f"{c}2" for c in carry])).alias("best")
-    distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("d")
-    near = _sides(sized, group, "_size").where(F.col(key) != F.col(f"{key}2")).select(group, key, "_size", distance, f"{key}2", *[f"{c}2" for c in carry])
-    near = near.groupBy(group, key).agg(pick, F.first("_size").alias("_size")).where("best.d <= _size").select(group, key, "best.*")
-    rest = sized.join(near.select(group, key), [group, key], "left_anti")
-    other = points.select(group, *[F.col(c).alias(f"{c}2") for c in (key, "x", "y", *carry)])
-    far = rest.join(other, group).where(F.col(key) != F.col(f"{key}2")).select(group, key, distance, f"{key}2", *[f"{c}2" for c in carry])
-    far = far.groupBy(group, key).agg(pick).select(group, key, "best.*")
-    return near.unionByName(far)
+    named = points.select(group, F.col(key).alias("_key"), "x", "y", *carry)
+    named = named.join(named.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group), group)
+    out = _nearest(named, named, group, "_key", carry, F.col("_key") != F.col("_key2"), None)
+    return out.select(group, F.col("_key").alias(key), "best.*").withColumnRenamed("_key2", "nn").select(group, key, "d", "nn", *[f"{c}2" for c in carry])
 
 
-def nearest_target(points: DataFrame, targets: DataFrame, group: str, key: str, target: str, digits: int) -> DataFrame:
-    """Each point's nearest target of its group: the target's key and d, rounded to digits; ties go to the smaller key.
+#: Rounds in which the buckets double; points that are still open then are compared with their whole group.
+ROUNDS = 8
 
-    As in nearest, a target within a bucket's side is proven, and only the other points are compared
-    with their whole group. A point of a group without targets has no row.
+
+def _nearest(points: DataFrame, targets: DataFrame, group: str, key: str, carry: tuple[str, ...], other: Column | None, digits: int | None) -> DataFrame:
+    """group, key and best (d, _key2, carried): buckets of about two targets, then of twice the side, until all are proven.
+
+    A target found no farther than a bucket's side is nearer than any beyond the neighbouring buckets.
     """
     extent = targets.groupBy(group).agg(F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
-    extent = extent.select(group, F.greatest(F.lit(1e-6), 1.4 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"))
-    sized = points.select(group, key, "x", "y").join(extent, group)
-    other = targets.select(group, target, F.col("x").alias("x2"), F.col("y").alias("y2"))
-    here = _bucketed(targets.select(group, target, "x", "y").join(extent, group), F.col("_size"), False).select(group, "bx", "by", target, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    extent = extent.select(group, F.greatest(F.lit(1e-6), 1.4 * F.sqrt(F.greatest(F.lit(1e-6), F.col("_w") * F.col("_h")) / F.col("_n"))).alias("_size"), F.hypot("_w", "_h").alias("_most"))
+    there = targets.select(group, F.col(key).alias(f"{key}2"), F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(f"{c}2") for c in carry])
     distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    pick = F.min(F.struct(F.round("d", digits).alias("d"), F.col(target))).alias("best")
-    near = _bucketed(sized, F.col("_size"), True).join(here, [group, "bx", "by"]).withColumn("d", distance)
-    # One unit of the last digit is left, so that no target beyond the buckets can round to the same d.
-    near = near.groupBy(group, key).agg(pick, F.first("_size").alias("_size")).where(F.col("best.d") <= F.col("_size") - 10.0**-digits).select(group, key, "best.*")
-    rest = sized.join(near.select(group, key), [group, key], "left_anti")
-    far = rest.join(other, group).withColumn("d", distance).groupBy(group, key).agg(pick).select(group, key, "best.*")
-    return near.unionByName(far)
+    distance = distance if digits is None else F.round(distance, digits)
+    slack = 0.0 if digits is None else 10.0**-digits  # no target beyond the buckets can round to the same d
+    pick = F.min(F.struct("d", f"{key}2", *[f"{c}2" for c in carry])).alias("best")
+    rest, out = points.select(group, key, "x", "y").join(extent, group), None
+    for _ in range(ROUNDS):
+        here = there.join(extent.drop("_most") if out is None else sizes, group).withColumn("bx", F.floor(F.col("x2") / F.col("_size")).cast("int")).withColumn("by", F.floor(F.col("y2") / F.col("_size")).cast("int")).drop("_size")
+        met = _bucketed(rest, F.col("_size"), True).join(here, [group, "bx", "by"])
+        met = met.where(other) if other is not None else met
+        best = met.withColumn("d", distance).groupBy(group, key).agg(pick, F.first("_size").alias("_size")).where(F.col("best.d") <= F.col("_size") - slack).select(group, key, "best")
+        best = written(best, "nearest")
+        out = best if out is None else out.unionByName(best)
+        rest = written(rest.join(best.select(group, key), [group, key], "left_anti").withColumn("_size", 2 * F.col("_size")), "open")
+        if rest.isEmpty():
+            return out
+        sizes = rest.groupBy(group).agg(F.first("_size").alias("_size"))
+    far = rest.join(there, group)
+    far = far.where(other) if other is not None else far
+    return out.unionByName(far.withColumn("d", distance).groupBy(group, key).agg(pick))
+
+
+def nearest_target(points: DataFrame, targets: DataFrame, group: str, key: str, target: str, digits: int) -> DataFrame:
+    """Each point's nearest target of its group: the target's key and d, rounded to digits; ties go to the smaller key.
+
+    A point of a group without targets has no row.
+    """
+    out = _nearest(points.withColumnRenamed(key, "_key"), targets.withColumnRenamed(target, "_key"), group, "_key", (), None, digits)
+    return out.select(group, F.col("_key").alias(key), F.col("best.d").alias("d"), F.col("best._key2").alias(target))
 
 
 def clipped_union(k: np.ndarray) -> float:
@@ -104,22 +118,21 @@ def clipped_union(k: np.ndarray) -> float:
 def group_components(edges: DataFrame, group: str = "image_id", key: str = "instance_id") -> DataFrame:
     """group, key and component (smallest key) of all points that have an edge.
 
-    A group is one image with some thousand cells, so one task holds its edges.
+    A group is one image with some thousand cells, or one session's grid: one task holds its edges,
+    and labels them by minima over edges and pointer jumping, without a loop over points.
     """
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
-
-        def find(a: int) -> int:
-            while root.setdefault(a, a) != a:
-                root[a] = a = root[root[a]]
-            return a
-
-        for a, b in zip(pdf[key].tolist(), pdf[f"{key}2"].tolist(), strict=True):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        return pd.DataFrame({group: pdf[group].iloc[0], key: nodes, "component": [find(n) for n in nodes]})
+        nodes, ends = np.unique(pdf[[key, f"{key}2"]].to_numpy(), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], least)
+            np.minimum.at(root, root[b], least)
+            while (root[root] != root).any():
+                root = root[root]
+        return pd.DataFrame({group: pdf[group].iloc[0], key: nodes, "component": nodes[root]})
 
     return edges.select(group, key, f"{key}2").groupBy(group).applyInPandas(label, f"{group} long, {key} long, component long")
 
@@ -167,3 +180,62 @@ def greedy_separated(rows: DataFrame, group: str, order: list[str], distance: fl
 
     ordered = rows.repartition(group).sortWithinPartitions(group, *[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order])
     return ordered.mapInPandas(take, rows.schema)
+
+
+#: Queries and vectors that are compared at once.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 1024
+
+
+def two_nearest(queries: DataFrame, vectors: DataFrame, ratio: float = 0.98) -> DataFrame:
+    """child, parent, d1, d2 and good (d1 < ratio * d2) of each query (id, v) and its two nearest vectors of another id.
+
+    The queries' blocks go to every block of vectors, dealt by block number and not broadcast;
+    distances are rounded to 9 digits and ties go to the smaller id.
+    """
+
+    def blocks(side: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    part = batch.slice(at, rows)
+                    ids, v = part.column(0).to_numpy().astype(np.int64), part.column(1).flatten().to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], [f"{side}_ids", f"{side}_v"])
+
+        return packed
+
+    def nearest_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                child, parent = (np.frombuffer(row[c], np.int64) for c in ("c_ids", "p_ids"))
+                c, p = (np.frombuffer(row[k]).reshape(len(ids), -1) for k, ids in (("c_v", child), ("p_v", parent)))
+                found = []
+                for own, one in zip(child, c, strict=True):
+                    d = np.sqrt(((p - one) ** 2).sum(axis=1)).round(9)
+                    few = np.flatnonzero(parent != own)
+                    few = few[np.lexsort((parent[few], d[few]))[:2]] if len(few) <= 64 else few[d[few] <= np.partition(d[few], 1)[1]]
+                    found.append([(d[i], parent[i]) for i in few[np.lexsort((parent[few], d[few]))][:2]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(child, [len(x) for x in found])), pa.array([d for x in found for d, _ in x], pa.float64()), pa.array([i for x in found for _, i in x], pa.int64())],
+                    ["child", "d", "parent"],
+                )
+
+    parent = written(vectors.mapInArrow(blocks("p", VECTOR_BLOCK), "p_ids binary, p_v binary").withColumn("block", F.monotonically_increasing_id()), "vectors")
+    numbers = parent.agg(F.collect_list("block").alias("blocks"))
+    pairs = written(queries.mapInArrow(blocks("c", QUERY_BLOCK), "c_ids binary, c_v binary"), "queries").crossJoin(F.broadcast(numbers)).withColumn("block", F.explode("blocks")).drop("blocks")
+    pairs = pairs.join(parent.hint("shuffle_hash"), "block").drop("block")
+    found = pairs.mapInArrow(nearest_two, "child long, d double, parent long")
+    two = found.groupBy("child").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "parent"))), 1, 2).alias("two")).where("size(two) = 2")
+    one, other = F.col("two")[0], F.col("two")[1]
+    return two.select("child", one["parent"].alias("parent"), one["d"].alias("d1"), other["d"].alias("d2"), (one["d"] < ratio * other["d"]).alias("good"))
+
+
+def global_places(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with place, from 1, in the order of keys: ranges are sorted each by itself and their sizes summed."""
+    from pyspark.sql import Window
+
+    # In a written range, ids ascend with the rows; its high bits are the range.
+    ranged = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    ranged = ranged.withColumns({"_part": F.shiftright("_m", 33), "_at": F.expr("_m & 8589934591")}).drop("_m")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -79,7 +79,7 @@ from (select image_id, n_candidate, case when n_candidate >= 600 then 'MANY' els
 join (select image_id, 2 * count(*) filter (where candidate and instance_id % 2 = 0) as n_half, case when 2 * count(*) filter (where candidate and instance_id % 2 = 0) >= 600 then 'MANY' else 'FEW' end as cls from @flagged group by image_id) b
 on a.image_id = b.image_id"""
 # ---- frames
-SQL["sampled_scan"] = "select session_id, frame_index, t_sec, round(disp, 6) as disp from @frame_steps where frame_index % 10 = 0 and frame_index >= 20 and frame_index < 400"
+SQL["sampled_scan"] = "select session_id, frame_index, t_sec, round(disp, 6) as disp from @frame_steps where frame_index % 10 = 0 and frame_index >= 20"
 SQL["frame_deltas"] = """
 select session_id, frame_index, round(disp, 6) as disp, round(disp - lag(disp) over (partition by session_id order by frame_index), 6) as step,
   round(sum(dx0) over (partition by session_id order by frame_index rows unbounded preceding), 4) as net_x, round(sum(dy0) over (partition by session_id order by frame_index rows unbounded preceding), 4) as net_y,
@@ -106,8 +106,8 @@ SQL["resolution_scaled"] = "select session_id, frame_index, 240.0 * 800 / 1920 a
 # ---- fields on the map
 SQL["field_bounds"] = "select session_id, min(x - w / 2) as x0, min(y - h / 2) as y0, max(x + w / 2) as x1, max(y + h / 2) as y1, count(*) as n from @fields group by session_id"
 SQL["covered_fraction"] = f"""
-select a.session_id, a.job_id, round(least(1, sum({_OVERLAP.format(a='a', b='b')}) / greatest(1, max(a.w * a.h))), 6) as covered
-from @fields a join @fields b on a.session_id = b.session_id and b.job_id < a.job_id and b.raw_class = 'MONOLAYER'
+select a.session_id, a.job_id, round(coalesce(least(1, sum({_OVERLAP.format(a='a', b='b')}) / greatest(1, max(a.w * a.h))), 0), 6) as covered
+from @fields a left join @fields b on a.session_id = b.session_id and b.job_id < a.job_id and b.raw_class = 'MONOLAYER'
   and abs(a.x - b.x) < (a.w + b.w) / 2 and abs(a.y - b.y) < (a.h + b.h) / 2
 group by a.session_id, a.job_id"""
 SQL["layer_overlaps"] = f"""
@@ -185,7 +185,7 @@ from (select id, cast(a as double) as a, cast(b as double) as b, cast(tx as doub
 join (select id, cast(a as double) as a, cast(b as double) as b, cast(tx as double) as tx, cast(c as double) as c, cast(d as double) as d, cast(ty as double) as ty from @transforms) q on q.id = p.id + 1"""
 SQL["natural_sort"] = """
 select p_partkey as id, cast(row_number() over (order by p_partkey % 7, p_partkey % 100, p_partkey) as bigint) as place,
-  concat('img', cast(p_partkey % 7 as varchar(10)), '_', cast(p_partkey % 100 as varchar(10)), '.png') as file_name from @part where p_partkey <= 500"""
+  concat('img', cast(p_partkey % 7 as varchar(10)), '_', cast(p_partkey % 100 as varchar(10)), '.png') as file_name from @part"""
 
 # ---- more ordered, set and scalar operators
 VIEWS |= {
@@ -222,11 +222,7 @@ SQL["feather_weight"] = "select session_id, job_id, round(least(1, least(least(p
 SQL["label_names"] = "select session_id, job_id, case raw_class when 'MONOLAYER' then 'm' when 'TOO_THICK' then 't' when 'TOO_THIN' then 'n' else 'u' end as letter, human_label, coalesce(human_label, raw_class) as effective from @fields"
 SQL["file_names"] = "select session_id, job_id, concat('field_', lpad(cast(job_id as varchar(10)), 5, '0'), '.png') as file_name, cast(regexp_extract(concat('field_', lpad(cast(job_id as varchar(10)), 5, '0'), '.png'), '([0-9]+)', 1) as bigint) as parsed from @fields"
 SQL["asof_positions"] = """
-select session_id, event_id, max(net_x) as net_x from (
-  select a.session_id, a.event_id, a.frame_index, round(sum(b.dx0) over (partition by a.session_id, a.event_id order by b.frame_index rows unbounded preceding), 4) as running, b.frame_index as at_frame,
-    round(sum(b.dx0) over (partition by a.session_id, a.event_id), 4) as net_x
-  from @frames a join @frame_steps b on b.session_id = a.session_id and b.frame_index <= a.frame_index where a.frame_index < 30
-) t group by session_id, event_id"""
+select a.session_id, a.event_id, round(sum(b.dx0), 4) as net_x from @frames a join @frame_steps b on b.session_id = a.session_id and b.frame_index <= a.frame_index group by a.session_id, a.event_id"""
 SQL["sweep_membership"] = """
 select f.session_id, f.job_id, coalesce(max(s.sweep_id), 0) as sweep_id, coalesce(max(s.start_job), 0) as anchor_job from @fields f left join @sweep_starts s on s.session_id = f.session_id and s.start_job <= f.job_id group by f.session_id, f.job_id"""
 SQL["sweep_trails"] = """
@@ -236,10 +232,10 @@ select session_id, sweep_id, count(*) as n, min(job_id) as first_job, max(job_id
 ) t group by session_id, sweep_id"""
 SQL["carried_timings"] = "select c.image_id, n_total, t.ms from @image_counts c left join (select s_suppkey as image_id, round(s_suppkey * 1.5, 3) as ms from @supplier where s_suppkey % 4 <> 0) t on t.image_id = c.image_id"
 SQL["label_lookup"] = "select j.job_id, j.priority, f.session_id, f.raw_class, f.human_label from (select job_id, min(priority) as priority from @jobs group by job_id) j join @fields f on f.job_id = j.job_id and f.session_id = j.job_id % 50"
-SQL["edge_set"] = "select session_id, y - h / 2 as edge from @fields where job_id <= 50 union select session_id, y + h / 2 from @fields where job_id <= 50"
+SQL["edge_set"] = "select session_id, y - h / 2 as edge from @fields union select session_id, y + h / 2 from @fields"
 SQL["uncommitted"] = "select session_id, job_id from @jobs where value > 100 except select session_id, job_id from @jobs where priority = 'AUTO'"
 SQL["both_layers"] = "select session_id, count(*) as both_n from (select session_id, job_id from @fields where raw_class = 'MONOLAYER' intersect select session_id, job_id from @fields where reg_state = 'REGISTRATION_GOOD') t group by session_id"
-SQL["all_logs"] = "select 'field' as kind, session_id, job_id as id from @fields where job_id <= 5 union all select 'job', session_id, job_id from @jobs where job_id <= 50"
+SQL["all_logs"] = "select 'field' as kind, session_id, job_id as id from @fields union all select 'job', session_id, job_id from @jobs"
 SQL["gate_inference"] = "select screen, count(*) as frames, count(*) filter (where screen <> 'LIKELY_THIN' and sharpness >= 5) as analysed from @motion_class group by screen"
 SQL["mosaic_blend"] = """
 select session_id, gx, gy, round(sum(wt * score) / sum(wt), 6) as blended, count(*) as n from (
@@ -250,7 +246,7 @@ SQL["run_performance"] = "select session_id, round(avg(value), 6) as mean_ms, ME
 SQL["superseded_jobs"] = """
 select session_id, job_id, coalesce(next_job is not null and next_at < t_capture + value / 100, false) as superseded from (
   select *, lead(job_id) over (partition by session_id order by job_id) as next_job, lead(t_capture) over (partition by session_id order by job_id) as next_at from @jobs where priority = 'AUTO') t"""
-SQL["revisit_cursor"] = "select session_id, job_id, (job_id * 7) % 6 as target from @fields where job_id <= 30"
+SQL["revisit_cursor"] = "select session_id, job_id, (job_id * 7) % 6 as target from @fields"
 SQL["boundary_evidence"] = """
 select session_id, gx, gy, round(avg(evidence), 6) as evidence, avg(evidence) >= 0.5 as inside from (
   select session_id, cast(floor(x / 100) as bigint) as gx, cast(floor(y / 100) as bigint) as gy, (agree + score) / (agree + disagree + 1) as evidence
@@ -263,20 +259,44 @@ select session_id, job_id from (
 ) t where k = 1"""
 SQL["field_state_counts"] = "select raw_class, reg_state, count(*) as n, min(score) as lo, MEDIAN(score) as mid, max(score) as hi from @fields group by raw_class, reg_state"
 
-# ---- whole tables: the queries whose SQL above compares a prefix of their rows only (ids, frames or images)
-WHOLE: dict[str, str] = {name: SQL[name].replace("@mask_runs", "@all_mask_runs") for name in ("mask_geometry", "instance_count", "roi_mask_coverage")}
-WHOLE["sampled_scan"] = "select session_id, frame_index, t_sec, round(disp, 6) as disp from @frame_steps where frame_index % 10 = 0 and frame_index >= 20"
-# Ids modulo 7 and 100 make 700 groups, so the place is a group's start and the place within it, without one global sort.
-WHOLE["natural_sort"] = """
-select p.id, cast(g.before + row_number() over (partition by p.a, p.b order by p.id) as bigint) as place,
-  concat('img', cast(p.a as varchar(10)), '_', cast(p.b as varchar(10)), '.png') as file_name
-from (select p_partkey as id, p_partkey % 7 as a, p_partkey % 100 as b from @part) p
-join (select a, b, coalesce(sum(n) over (order by a, b rows between unbounded preceding and 1 preceding), 0) as before
-  from (select p_partkey % 7 as a, p_partkey % 100 as b, count(*) as n from @part group by p_partkey % 7, p_partkey % 100) c) g on g.a = p.a and g.b = p.b"""
-WHOLE["asof_positions"] = "select session_id, event_id, round(sum(dx0) over (partition by session_id order by frame_index rows unbounded preceding), 4) as net_x from @frame_steps"
-WHOLE["edge_set"] = "select session_id, y - h / 2 as edge from @fields union select session_id, y + h / 2 from @fields"
-WHOLE["all_logs"] = "select 'field' as kind, session_id, job_id as id from @fields union all select 'job', session_id, job_id from @jobs"
-WHOLE["revisit_cursor"] = "select session_id, job_id, (job_id * 7) % 6 as target from @fields"
+# ---- forms that Spark runs in place of the SQL above
+SPARK: dict[str, str] = {}
+SPARK["asof_positions"] = "select session_id, event_id, round(sum(dx0) over (partition by session_id order by frame_index rows unbounded preceding), 4) as net_x from @frame_steps"
+# Fields of a session meet in buckets as large as its largest field, so no session is compared in full.
+_BUCKETED = """
+select s.*, explode(sequence(floor((x - w / 2) / bw), floor((x + w / 2) / bw))) as bx from (select f.*, b.bw, b.bh from @fields f join (select session_id, max(w) as bw, max(h) as bh from @fields group by session_id) b on b.session_id = f.session_id) s"""
+VIEWS["field_buckets"] = f"select t.*, explode(sequence(floor((y - h / 2) / bh), floor((y + h / 2) / bh))) as by from ({_BUCKETED}) t"
+#: Pairs of fields that overlap, each once: in the bucket of the overlap's least corner.
+VIEWS["field_pairs"] = f"""
+select a.session_id, a.job_id, b.job_id as other, a.raw_class, a.human_label, b.raw_class as other_class, a.w * a.h as area, b.w * b.h as other_area, {_OVERLAP.format(a='a', b='b')} as overlap
+from @field_buckets a join @field_buckets b on a.session_id = b.session_id and a.bx = b.bx and a.by = b.by and a.job_id <> b.job_id
+  and abs(a.x - b.x) < (a.w + b.w) / 2 and abs(a.y - b.y) < (a.h + b.h) / 2
+  and a.bx = floor(greatest(a.x - a.w / 2, b.x - b.w / 2) / a.bw) and a.by = floor(greatest(a.y - a.h / 2, b.y - b.h / 2) / a.bh)"""
+SPARK["covered_fraction"] = """
+select f.session_id, f.job_id, round(coalesce(least(1, p.overlap / greatest(1, f.w * f.h)), 0), 6) as covered from @fields f left join (
+  select session_id, job_id, sum(overlap) as overlap from @field_pairs where other < job_id and other_class = 'MONOLAYER' group by session_id, job_id) p on p.session_id = f.session_id and p.job_id = f.job_id"""
+SPARK["layer_overlaps"] = """
+select session_id, job_id, other as footprint, raw_class = 'MONOLAYER' as affirms, case when human_label is not null then 2 else 1 end as weight, round(overlap / least(area, other_area), 4) as overlap
+from @field_pairs where other_class = 'MONOLAYER' and overlap / least(area, other_area) >= 0.25"""
+VIEWS["near_buckets"] = "select *, 1.3 * sqrt(w * w + h * h) as radius, floor(x / (1.3 * sqrt(w * w + h * h))) as bx, floor(y / (1.3 * sqrt(w * w + h * h))) as by from @fields"
+SPARK["snap_candidates"] = """
+select session_id, job_id, ref, round(d, 6) as distance from (
+  select a.session_id, a.job_id, b.job_id as ref, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.session_id, a.job_id order by b.job_id desc) as k
+  from (select u.*, explode(sequence(by - 1, by + 1)) as ny from (select t.*, explode(sequence(bx - 1, bx + 1)) as nx from @near_buckets t) u) a
+  join @near_buckets b on a.session_id = b.session_id and a.nx = b.bx and a.ny = b.by and b.job_id < a.job_id and b.reg_state = 'REGISTRATION_GOOD'
+    and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.radius
+) t where k <= 8"""
+SPARK["point_in_any"] = """
+select distinct a.session_id, a.job_id from (select *, floor(x / bw) as px, floor(y / bh) as py from (select f.*, b.bw, b.bh from @fields f join (select session_id, max(w) as bw, max(h) as bh from @fields group by session_id) b on b.session_id = f.session_id) g where raw_class = 'TOO_THICK') a
+join @field_buckets b on b.session_id = a.session_id and b.bx = a.px and b.by = a.py and b.raw_class = 'MONOLAYER' and abs(a.x - b.x) <= b.w / 2 and abs(a.y - b.y) <= b.h / 2"""
+# The sweep of a field is the last one begun at or before it: a window over both, not a join of every pair.
+SPARK["sweep_membership"] = """
+select session_id, job_id, sweep_id, anchor_job from (
+  select session_id, job_id, is_field, coalesce(max(sweep_id) over w, 0) as sweep_id, coalesce(max(start_job) over w, 0) as anchor_job from (
+    select session_id, job_id, true as is_field, cast(null as bigint) as sweep_id, cast(null as bigint) as start_job from @fields
+    union all select session_id, start_job, false, sweep_id, start_job from @sweep_starts) u
+  window w as (partition by session_id order by job_id, is_field rows unbounded preceding)
+) t where is_field"""
 
-QUERIES = {name: query(text) for name, text in (SQL | WHOLE).items()}
+QUERIES = {name: query(text) for name, text in (SQL | SPARK).items()}
 ORACLE_SQL = {name: duck(text) for name, text in SQL.items()}

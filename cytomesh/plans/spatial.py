@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,48 +140,13 @@ def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lowe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd vectors matched to their nearest even vector if clearly nearer than the second.
+    """Query vectors (ids divisible by 20) matched to the nearest other vector if clearly nearer than the second.
 
-    Every odd vector meets every even one, block by block; a pair of blocks leaves two parents a child.
+    Every query meets every vector, block by block; a pair of blocks leaves two neighbours a query.
     """
     bound_batches(spark)
     vectors = view(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-
-    def blocks(side: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), rows):
-                    part = batch.slice(at, rows)
-                    ids, v = part.column(0).to_numpy().astype(np.int64), part.column(1).flatten().to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], [f"{side}_ids", f"{side}_v"])
-
-        return packed
-
-    def nearest_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                child, parent = (np.frombuffer(row[c], np.int64) for c in ("c_ids", "p_ids"))
-                c, p = (np.frombuffer(row[k]).reshape(len(ids), -1) for k, ids in (("c_v", child), ("p_v", parent)))
-                out = []
-                for one in c:
-                    d = np.sqrt(((p - one) ** 2).sum(axis=1)).round(9)
-                    few = np.flatnonzero(d <= np.partition(d, 1)[1]) if len(d) > 2 else np.arange(len(d))
-                    out.append([(d[i], parent[i]) for i in few[np.lexsort((parent[few], d[few]))][:2]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(child, [len(x) for x in out])), pa.array([d for x in out for d, _ in x], pa.float64()), pa.array([i for x in out for _, i in x], pa.int64())],
-                    ["child", "d", "parent"],
-                )
-
-    child = vectors.where("id % 2 = 1").mapInArrow(blocks("c", 512), "c_ids binary, c_v binary")
-    parent = vectors.where("id % 2 = 0").mapInArrow(blocks("p", 1024), "p_ids binary, p_v binary")
-    # Dealt by block numbers, not broadcast: each child block goes once to every parent block.
-    parent = written(parent.withColumn("block", F.monotonically_increasing_id()), "parents")
-    numbers = parent.agg(F.collect_list("block").alias("blocks"))
-    pairs = written(child, "children").crossJoin(F.broadcast(numbers)).withColumn("block", F.explode("blocks")).drop("blocks").join(parent.hint("shuffle_hash"), "block").drop("block")
-    found = pairs.mapInArrow(nearest_two, "child long, d double, parent long")
-    two = found.groupBy("child").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "parent"))), 1, 2).alias("two")).where("size(two) = 2")
-    one, other = F.col("two")[0], F.col("two")[1]
-    return two.select("child", one["parent"].alias("parent"), F.round(one["d"], 5).alias("d1"), F.round(other["d"], 5).alias("d2"), (one["d"] < 0.98 * other["d"]).alias("good"))
+    return _rounded(spatial.two_nearest(vectors.where("id % 20 = 0"), vectors), 5)
 
 
 def revisit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +242,7 @@ select image_id, n_candidates, n_valid, round(density, 5) as density, round(cove
   case when thick_signals >= 2 then 'TOO_THICK' when thin_signals >= 2 then 'TOO_THIN' when score >= 0.6 and n_candidates between 560 and 620 then 'MONOLAYER' else 'UNCERTAIN' end as class
 from s"""),
     "union_area": duck("""
-with r as (select session_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields where raw_class = 'MONOLAYER' and job_id <= 120),
+with r as (select session_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields where raw_class = 'MONOLAYER'),
 xs as (select session_id, v, lead(v) over (partition by session_id order by v) as nx from (select session_id, x0 as v from r union select session_id, x1 from r) t),
 ys as (select session_id, v, lead(v) over (partition by session_id order by v) as nx from (select session_id, y0 as v from r union select session_id, y1 from r) t)
 select xs.session_id, round(sum((xs.nx - xs.v) * (ys.nx - ys.v)), 0) as union_area from xs join ys on xs.session_id = ys.session_id
@@ -294,7 +259,7 @@ with {_GRID}, cells as (
   from (select *, greatest(0.1, least(1, reg_confidence)) as wt from grid) g group by session_id, gx, gy)
 select session_id, count(*) as observed, cast(sum(votes) as bigint) as votes, count(*) filter (where conf >= 0.75 or (conf >= 0.65 and mono >= 2)) as green, count(*) filter (where conf < 0.65 and mono > 0 and non > 0) as conflicts from cells group by session_id"""),
     "coverage_eval": duck("""
-with f as (select session_id, job_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields where job_id <= 100),
+with f as (select session_id, job_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields),
 b as (select a.session_id, a.job_id, c.job_id as other, a.x0 as cx0, a.y0 as cy0, a.x1 as cx1, a.y1 as cy1, c.x0, c.y0, c.x1, c.y1,
   greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) as inter,
   sqrt(power(greatest(c.x0 - a.x1, a.x0 - c.x1, 0), 2) + power(greatest(c.y0 - a.y1, a.y0 - c.y1, 0), 2)) as gap from f a join f c on a.session_id = c.session_id and c.job_id < a.job_id),
@@ -309,14 +274,14 @@ o as (select f.session_id, f.job_id, round(coalesce(best, 0) / 358400.0, 6) as o
 select *, case when gap is null then 'FIRST_FIELD' when overlap_total >= 0.9 then 'ALREADY_SCANNED' when overlap_prev > 0.3 or overlap_total > 0.3 then 'TOO_MUCH_OVERLAP' when overlap_prev < 0.2 then 'GAP_RISK' else 'CAPTURE_READY' end as state from o"""),
     "lowe_matches": duck("""
 with p as (select c.vec_id as child, q.vec_id as parent, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(c.embedding[i]::double - q.embedding[i]::double, 2)))), 9) as d
-  from @embeddings c, @embeddings q where c.vec_id % 2 = 1 and c.vec_id < 200 and q.vec_id % 2 = 0),
+  from @embeddings c, @embeddings q where c.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
 k as (select *, row_number() over (partition by child order by d, parent) as k from p)
 select a.child, a.parent, round(a.d, 5) as d1, round(b.d, 5) as d2, a.d < 0.98 * b.d as good from k a join k b on a.child = b.child and a.k = 1 and b.k = 2"""),
     "containment": duck("""
 select session_id, job_id, green, d as distance, case when d <= 100 then 'INSIDE' when d <= 220 then 'NEAR' else 'OUTSIDE' end as state from (
   select f.session_id, f.job_id, g.job_id as green, round(sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)), 6) as d,
     row_number() over (partition by f.session_id, f.job_id order by round(sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)), 6), g.job_id) as k
-  from @fields f join @fields g on f.session_id = g.session_id and g.raw_class = 'MONOLAYER' where f.raw_class = 'TOO_THICK' and f.job_id <= 60
+  from @fields f join @fields g on f.session_id = g.session_id and g.raw_class = 'MONOLAYER' where f.raw_class = 'TOO_THICK'
 ) t where k = 1"""),
     "revisit_points": duck("""
 with recursive m as (select session_id, job_id, x, y, score, row_number() over (partition by session_id order by score desc, job_id) as k from @fields where raw_class = 'MONOLAYER'),

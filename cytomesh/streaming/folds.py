@@ -36,6 +36,7 @@ def run(rows: DataFrame, fold: Fold, key: str, order: tuple[str, ...]) -> DataFr
     types = dict(rows.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in (key, *fold.keep)]) + ", " + fold.columns
     names = [c.split()[0] for c in fold.columns.split(", ")]
+    kinds = {c.split()[0]: {"long": "Int64", "boolean": "boolean"}.get(c.split()[1], object if c.endswith("string") else "float64") for c in fold.columns.split(", ")}
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), {}
@@ -45,7 +46,7 @@ def run(rows: DataFrame, fold: Fold, key: str, order: tuple[str, ...]) -> DataFr
                 if row[key] != current:
                     current, state = row[key], fold.start()
                 out.append(fold.step(state, row))
-            made = pd.DataFrame(out, columns=names, index=pdf.index)
+            made = pd.DataFrame({c: pd.Series([o[c] for o in out], index=pdf.index, dtype=kinds[c]) for c in names})
             yield pd.concat([pdf[[key, *fold.keep]], made], axis=1)
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(folded, schema)
@@ -230,3 +231,123 @@ def commit_gate(timeout: float = 15.0) -> Fold:
         return {"commit_at": round(commit, 6), "out_of_order": bool(late)}
 
     return Fold(lambda: {"done": None}, step, "commit_at double, out_of_order boolean", ("job_id",))
+
+
+# ---- pose chain
+GOOD, WEAK, FAILED = "REGISTRATION_GOOD", "REGISTRATION_WEAK", "REGISTRATION_FAILED"
+
+
+def made_evidence(ref: list, row: dict) -> dict:
+    """Registration evidence of a pair of captures, as a fixed rule of their numbers and true positions."""
+    r, c = ref[0], row["job_id"]
+    x, y = row["tx"] - ref[3], row["ty"] - ref[4]
+    return {
+        "phase": (x + (r * 5 + c * 3) % 7 - 3, y + (r * 3 + c * 5) % 7 - 3, ((r * 37 + c * 11) % 100) / 100.0),
+        "orb": (x + (r * 2 + c) % 5 - 2, y + (r + c * 2) % 5 - 2, ((r * 19 + c * 23) % 100) / 100.0, (r * 7 + c * 13) % 50, ((r * 11 + c * 17) % 100) / 100.0),
+        "ncc": ((r * 29 + c * 31) % 100) / 100.0,
+        "snap": (x + (r * 3 + c) % 5 - 2, y + (r + c * 3) % 5 - 2, ((r * 41 + c * 23) % 100) / 100.0),
+    }
+
+
+def pose_chain(evidence: Callable[[list, dict], dict], keep: int = 30, recent: int = 8, texture_min: float = 3.0, phase_good: float = 0.22, phase_weak: float = 0.12, ncc_min: float = 0.25, jump: float = 1.6, reach: float = 1.3, drift_px: float = 300.0) -> Fold:
+    """Global pose of each capture from the chain of references, with loop closure on recent good fields.
+
+    The state is bounded: the last `keep` fields (job, pose, true position, good). Strong feature
+    evidence wins over phase correlation, which wraps beyond half a frame; an overlap that does not
+    correlate, or too long a jump, is a failure, and a failed field is kept but is no reference.
+    """
+
+    def reference(s: State, row: dict) -> list | None:
+        if row["anchor"] is not None and row["anchor"] == row["anchor"]:
+            s["preferred"] = int(row["anchor"])
+        for f in s["fields"]:
+            if f[0] == s["preferred"] and f[5]:
+                s["preferred"] = None  # for one field only
+                return f
+        by_id = {f[0]: f for f in s["fields"]}
+        return by_id.get(s["last"]) or next((f for f in reversed(s["fields"]) if f[5]), None)
+
+    def judged(e: dict, width: float) -> tuple[float, float, float, str, str]:
+        px, py, response = e["phase"]
+        ox, oy, strength, matches, inliers = e["orb"]
+        wrapped = math.sqrt(px * px + py * py) > 0.45 * width
+        if matches >= 15 and inliers >= 0.5 and strength >= 0.3:
+            agree = response >= phase_good and abs(ox - px) < 25 and abs(oy - py) < 25
+            return ox, oy, max(strength, response) if agree else strength, "ORB_TRANSLATION", GOOD
+        if response >= phase_good and not wrapped and matches > 0:
+            return px, py, response, "PHASE_CORR", GOOD
+        if matches >= 8 and inliers >= 0.35:
+            return ox, oy, max(strength, 0.2), "ORB_TRANSLATION", WEAK
+        if response >= phase_good:
+            return px, py, min(response, 0.45), "PHASE_CORR", WEAK
+        if response >= phase_weak and not wrapped:
+            return px, py, response, "PHASE_CORR", WEAK
+        return px, py, 0.0, "PHASE_CORR", FAILED
+
+    def closure(s: State, row: dict, ref: list, x: float, y: float, radius: float) -> tuple | None:
+        best = None
+        for f in [f for f in s["fields"] if f[5] and f[0] != ref[0]][-recent:]:
+            dx, dy, conf = evidence(f, row)["snap"]
+            if math.sqrt((f[1] - x) ** 2 + (f[2] - y) ** 2) <= radius and conf >= phase_weak and (best is None or conf > best[2]):
+                best = (f[1] + dx, f[2] + dy, conf)
+        return best
+
+    def step(s: State, row: dict) -> dict:
+        ref = reference(s, row)
+        out = {"state": GOOD, "method": "FIRST_FIELD", "conf": 1.0, "gx": 0.0, "gy": 0.0, "ref_job": None if ref is None else ref[0], "drift": False}
+        if row["texture"] < texture_min:
+            return out | {"state": FAILED, "method": "FEATURELESS", "conf": 0.0}
+        if ref is not None:
+            diagonal = math.sqrt(row["w"] ** 2 + row["h"] ** 2)
+            e = evidence(ref, row)
+            dx, dy, conf, method, state = judged(e, row["w"])
+            if e["ncc"] < ncc_min:
+                state, conf = FAILED, min(conf, 0.05)
+            if math.sqrt(dx * dx + dy * dy) > jump * diagonal:
+                state, conf = FAILED, 0.0
+            x, y = ref[1] + dx, ref[2] + dy
+            drift = False
+            if (best := closure(s, row, ref, x, y, reach * diagonal)) is not None:
+                drift = math.sqrt((best[0] - x) ** 2 + (best[1] - y) ** 2) > drift_px
+                if best[2] >= conf or drift:
+                    x, y, conf = best[0], best[1], max(conf, best[2])
+                    method, state = f"MAP_FIELD_SNAP+{method}", GOOD if best[2] >= phase_good else WEAK
+            out |= {"state": state, "method": method, "conf": conf, "gx": x, "gy": y, "drift": drift}
+        s["fields"].append([row["job_id"], out["gx"], out["gy"], row["tx"], row["ty"], out["state"] == GOOD])
+        if out["state"] == GOOD:
+            s["last"] = row["job_id"]
+        if len(s["fields"]) > keep:
+            gone = s["fields"].pop(0)
+            if s["last"] == gone[0]:
+                s["last"] = s["fields"][-1][0]
+        return out | {"conf": round(out["conf"], 6), "gx": round(out["gx"], 3), "gy": round(out["gy"], 3)}
+
+    return Fold(lambda: {"fields": [], "last": None, "preferred": None}, step, "state string, method string, conf double, gx double, gy double, ref_job long, drift boolean", ("job_id",))
+
+
+# ---- bounded manual queue
+def manual_queue(most: int = 20) -> Fold:
+    """Job ids given out; a manual job beyond `most` waiting ones is refused and takes no id."""
+
+    def step(s: State, row: dict) -> dict:
+        given = None
+        if row["kind"] == "TAKE":
+            s["pending"] = max(0, s["pending"] - 1)
+        elif row["kind"] == "MANUAL" and s["pending"] >= most:
+            s["refused"] += 1
+        else:
+            given, s["next"] = s["next"], s["next"] + 1
+            s["pending"] += row["kind"] == "MANUAL"
+        return {"job_id": given, "pending": s["pending"], "refused": s["refused"]}
+
+    return Fold(lambda: {"pending": 0, "next": 1, "refused": 0}, step, "job_id long, pending long, refused long", ("seq",))
+
+
+# ---- capture rate
+def rate_average(keep: float = 0.9) -> Fold:
+    def step(s: State, row: dict) -> dict:
+        if row["dt"] > 0:
+            s["fps"] = 1 / row["dt"] if s["fps"] == 0 else keep * s["fps"] + (1 - keep) * (1 / row["dt"])
+        return {"fps": round(s["fps"], 6)}
+
+    return Fold(lambda: {"fps": 0.0}, step, "fps double", ("frame_index",))
