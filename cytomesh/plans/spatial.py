@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytomesh.operators import field, spatial
@@ -63,7 +63,7 @@ def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rects = view(spark, sf_dir, "fields").join(view(spark, sf_dir, "grid_geometry"), "session_id")
+    rects = view(spark, sf_dir, "fields").withColumn("last_job", F.max("job_id").over(Window.partitionBy("session_id"))).join(view(spark, sf_dir, "grid_geometry"), "session_id")
     box = {"c0": "floor((x - w / 2 - gx0) / cell)", "c1": "ceil((x + w / 2 - gx0) / cell)", "r0": "floor((y - h / 2 - gy0) / cell)", "r1": "ceil((y + h / 2 - gy0) / cell)"}
     rects = rects.withColumns({k: F.expr(f"cast({v} as int)") for k, v in box.items()}).withColumns({"gw": F.expr("cast(ceil((gx1 - gx0) / cell) as int)"), "gh": F.expr("cast(ceil((gy1 - gy0) / cell) as int)")})
     return spatial.raster_cells(rects)
@@ -107,12 +107,19 @@ def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field against the fields before it: best overlap, exact union overlap, state."""
-    fields = view(spark, sf_dir, "fields").selectExpr("session_id", "job_id", "x", "y", "w", "h", "x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1")
-    fields = written(fields, "fields")
+    fields = written(view(spark, sf_dir, "fields").select("session_id", "job_id", "x", "y", "w", "h"), "fields")
+    return coverage(fields, fields)
+
+
+def coverage(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """Each candidate rectangle (session_id, job_id, centre x, y, w, h) against the existing ones of smaller job_id."""
+    corners = ["x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1"]
+    fields = candidates.selectExpr("session_id", "job_id", "x", "y", "w", "h", *corners)
     new = fields.selectExpr("session_id", "job_id", "x", "y", "x0 as cx0", "y0 as cy0", "x1 as cx1", "y1 as cy1")
-    old = fields.selectExpr("session_id", "job_id as other", "x as ox", "y as oy", "x0", "y0", "x1", "y1")
+    old = existing.selectExpr("session_id", "job_id as other", "x as ox", "y as oy", "w", "h", *corners)
     # Buckets as large as a session's largest field: fields that meet are in the same or in neighbouring ones.
-    size = fields.groupBy("session_id").agg(F.max("w").alias("bw"), F.max("h").alias("bh"))
+    size = fields.select("session_id", "w", "h").unionByName(old.select("session_id", "w", "h")).groupBy("session_id").agg(F.max("w").alias("bw"), F.max("h").alias("bh"))
+    old = old.drop("w", "h")
     here = old.join(size, "session_id").withColumns({"bx": F.expr("floor(ox / bw)"), "by": F.expr("floor(oy / bh)")}).drop("ox", "oy", "bw", "bh")
     around = new.join(size, "session_id").withColumn("bx", F.explode(F.expr("sequence(floor(x / bw) - 1, floor(x / bw) + 1)"))).withColumn("by", F.explode(F.expr("sequence(floor(y / bh) - 1, floor(y / bh) + 1)"))).drop("bw", "bh")
     measures = {"ix": F.expr("greatest(0D, least(cx1, x1) - greatest(cx0, x0))"), "iy": F.expr("greatest(0D, least(cy1, y1) - greatest(cy0, y0))"), "gap": F.expr("hypot(greatest(x0 - cx1, cx0 - x1, 0D), greatest(y0 - cy1, cy0 - y1, 0D))")}
@@ -211,6 +218,21 @@ select image_id, count(*) as n_clusters, max(size) as largest, round(coalesce(qu
   round(coalesce(100.0 * sum(size) filter (where size >= 2) / sum(size), 0), 6) as clustered_pct, round(coalesce(100.0 * sum(size) filter (where size >= 30) / sum(size), 0), 6) as large_pct
 from sizes group by image_id"""
 
+#: Every pair of a session; the views that follow can use "coverage".
+_COVERAGE = """f as (select session_id, job_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from {new}),
+e as (select session_id, job_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from {old}),
+b as (select a.session_id, a.job_id, c.job_id as other, a.x0 as cx0, a.y0 as cy0, a.x1 as cx1, a.y1 as cy1, c.x0, c.y0, c.x1, c.y1,
+  greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) as inter,
+  sqrt(power(greatest(c.x0 - a.x1, a.x0 - c.x1, 0), 2) + power(greatest(c.y0 - a.y1, a.y0 - c.y1, 0), 2)) as gap from f a join e c on a.session_id = c.session_id and c.job_id < a.job_id),
+t as (select session_id, job_id, max(inter) as best, min(gap) as gap, arg_min(other, struct_pack(a := -inter, o := other)) as best_id from b group by all),
+i as (select session_id, job_id, greatest(cx0, x0) as x0, greatest(cy0, y0) as y0, least(cx1, x1) as x1, least(cy1, y1) as y1 from b where inter > 0),
+xs as (select session_id, job_id, v, lead(v) over (partition by session_id, job_id order by v) as nx from (select session_id, job_id, x0 as v from i union select session_id, job_id, x1 from i) q),
+ys as (select session_id, job_id, v, lead(v) over (partition by session_id, job_id order by v) as nx from (select session_id, job_id, y0 as v from i union select session_id, job_id, y1 from i) q),
+u as (select xs.session_id, xs.job_id, sum((xs.nx - xs.v) * (ys.nx - ys.v)) as u from xs join ys on xs.session_id = ys.session_id and xs.job_id = ys.job_id
+  where xs.nx is not null and ys.nx is not null and exists (select 1 from i where i.session_id = xs.session_id and i.job_id = xs.job_id and i.x0 <= xs.v and i.x1 >= xs.nx and i.y0 <= ys.v and i.y1 >= ys.nx) group by all),
+o as (select f.session_id, f.job_id, round(coalesce(best, 0) / 358400.0, 6) as overlap_prev, round(coalesce(u, 0) / 358400.0, 4) as overlap_total, case when best > 0 then best_id end as best_job_id, round(gap, 3) as gap
+  from f left join t on t.session_id = f.session_id and t.job_id = f.job_id left join u on u.session_id = f.session_id and u.job_id = f.job_id),
+coverage as (select *, case when gap is null then 'FIRST_FIELD' when overlap_total >= 0.9 then 'ALREADY_SCANNED' when overlap_prev > 0.3 or overlap_total > 0.3 then 'TOO_MUCH_OVERLAP' when overlap_prev < 0.2 then 'GAP_RISK' else 'CAPTURE_READY' end as state from o)"""
 ORACLE_SQL = {
     "nn_features": duck(f"select image_id, count(*) as n_nn, {_R('MEDIAN(d)', 'nn_median')}, {_R('avg(d)', 'nn_mean')}, {_R('stddev_pop(d)', 'nn_std')}, {_R('PCT(10, d)', 'nn_p10')}, {_R('PCT(25, d)', 'nn_p25')}, {_R('PCT(75, d)', 'nn_p75')}, {_R('PCT(90, d)', 'nn_p90')}, {_R('MEDIAN(d) / max(median_diameter)', 'nn_median_norm')}, {_R('MEDIAN(gap)', 'gap_median')}, {_R('MEDIAN(gap) / max(median_diameter)', 'gap_median_norm')} from @nn group by image_id"),
     "contact_ratio": duck("select image_id, n, n_contact, round(contact_ratio, 6) as contact_ratio from @contact"),
@@ -258,20 +280,7 @@ with {_GRID}, cells as (
   select session_id, gx, gy, round(sum(case when raw_class = 'MONOLAYER' then wt * score else 0 end) / sum(wt), 6) as conf, sum(case when raw_class = 'MONOLAYER' then wt else 0 end) as mono, sum(case when raw_class = 'MONOLAYER' then 0 else wt end) as non, count(*) as votes
   from (select *, greatest(0.1, least(1, reg_confidence)) as wt from grid) g group by session_id, gx, gy)
 select session_id, count(*) as observed, cast(sum(votes) as bigint) as votes, count(*) filter (where conf >= 0.75 or (conf >= 0.65 and mono >= 2)) as green, count(*) filter (where conf < 0.65 and mono > 0 and non > 0) as conflicts from cells group by session_id"""),
-    "coverage_eval": duck("""
-with f as (select session_id, job_id, x - w / 2 as x0, y - h / 2 as y0, x + w / 2 as x1, y + h / 2 as y1 from @fields),
-b as (select a.session_id, a.job_id, c.job_id as other, a.x0 as cx0, a.y0 as cy0, a.x1 as cx1, a.y1 as cy1, c.x0, c.y0, c.x1, c.y1,
-  greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) as inter,
-  sqrt(power(greatest(c.x0 - a.x1, a.x0 - c.x1, 0), 2) + power(greatest(c.y0 - a.y1, a.y0 - c.y1, 0), 2)) as gap from f a join f c on a.session_id = c.session_id and c.job_id < a.job_id),
-t as (select session_id, job_id, max(inter) as best, min(gap) as gap, arg_min(other, struct_pack(a := -inter, o := other)) as best_id from b group by all),
-i as (select session_id, job_id, greatest(cx0, x0) as x0, greatest(cy0, y0) as y0, least(cx1, x1) as x1, least(cy1, y1) as y1 from b where inter > 0),
-xs as (select session_id, job_id, v, lead(v) over (partition by session_id, job_id order by v) as nx from (select session_id, job_id, x0 as v from i union select session_id, job_id, x1 from i) q),
-ys as (select session_id, job_id, v, lead(v) over (partition by session_id, job_id order by v) as nx from (select session_id, job_id, y0 as v from i union select session_id, job_id, y1 from i) q),
-u as (select xs.session_id, xs.job_id, sum((xs.nx - xs.v) * (ys.nx - ys.v)) as u from xs join ys on xs.session_id = ys.session_id and xs.job_id = ys.job_id
-  where xs.nx is not null and ys.nx is not null and exists (select 1 from i where i.session_id = xs.session_id and i.job_id = xs.job_id and i.x0 <= xs.v and i.x1 >= xs.nx and i.y0 <= ys.v and i.y1 >= ys.nx) group by all),
-o as (select f.session_id, f.job_id, round(coalesce(best, 0) / 358400.0, 6) as overlap_prev, round(coalesce(u, 0) / 358400.0, 4) as overlap_total, case when best > 0 then best_id end as best_job_id, round(gap, 3) as gap
-  from f left join t on t.session_id = f.session_id and t.job_id = f.job_id left join u on u.session_id = f.session_id and u.job_id = f.job_id)
-select *, case when gap is null then 'FIRST_FIELD' when overlap_total >= 0.9 then 'ALREADY_SCANNED' when overlap_prev > 0.3 or overlap_total > 0.3 then 'TOO_MUCH_OVERLAP' when overlap_prev < 0.2 then 'GAP_RISK' else 'CAPTURE_READY' end as state from o"""),
+    "coverage_eval": duck("with " + _COVERAGE.format(new="@fields", old="@fields") + " select * from coverage"),
     "lowe_matches": duck("""
 with p as (select c.vec_id as child, q.vec_id as parent, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(c.embedding[i]::double - q.embedding[i]::double, 2)))), 9) as d
   from @embeddings c, @embeddings q where c.vec_id % 20 = 0 and q.vec_id <> c.vec_id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.plans import folds, live, relational, spatial
+from cytomesh.plans import folds, live, relational, spatial, survey
 
-QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES, **folds.QUERIES, **live.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **spatial.ORACLE_SQL, **folds.ORACLE_SQL, **live.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES, **folds.QUERIES, **live.QUERIES, **survey.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **spatial.ORACLE_SQL, **folds.ORACLE_SQL, **live.ORACLE_SQL, **survey.ORACLE_SQL}
