@@ -2,43 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges are cut at quantiles of doc_id; so many at most are asked of one aggregate.
-MOST_RANGES = 20_000
+#: Quantiles of doc_id that one aggregate is asked for; more ranges are cut again within these.
+FLAT = 2_000
+NULL = -(2**63)
 
 
-def range_bounds(docs: DataFrame, bytes_each: int, least: int = 1) -> list[int]:
-    """Ascending doc_ids that cut the documents into ranges of about bytes_each text bytes.
+@dataclass
+class Ranges:
+    """Ranges of doc_id in ascending order, nulls first; 16 bytes a range in memory.
 
-    One aggregate over all documents; its result has one number for each range. Rows
-    with the same doc_id, and those without one, share a range.
+    A doc_id (or null) with more rows than a range should have is a range of its own, dealt to
+    several numbers by the row's salt. Numbers ascend with the ranges.
     """
-    total, n = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    ranges = int(min(MOST_RANGES, max(least, -(-(total or 0) // bytes_each))))
+
+    bounds: np.ndarray  # the first doc_id of each range after the first
+    pieces: np.ndarray  # numbers of each range
+
+    def __post_init__(self) -> None:
+        self.first = np.cumsum(self.pieces) - self.pieces
+        self.count = int(self.pieces.sum())
+
+    def of(self, doc_ids: pa.Array, salt: pa.Array) -> np.ndarray:
+        """The number of each row."""
+        ids = doc_ids.fill_null(NULL).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.searchsorted(self.bounds, ids, "right")
+        return (self.first[at] + salt.to_numpy(zero_copy_only=False) % self.pieces[at]).astype(np.int32)
+
+    def range_of(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, number, "right") - 1
+
+
+def cut_ranges(cuts: list[int], null_pieces: int) -> Ranges:
+    """Ranges between quantiles; one that occurs more than once names a doc_id that fills whole ranges."""
+    value, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    pieces = {NULL: max(1, null_pieces)}
+    if null_pieces:
+        pieces[NULL + 1] = 1
+    for v, k in zip(value.tolist(), times.tolist(), strict=True):
+        pieces[v] = k
+        if k > 1:
+            pieces.setdefault(v + 1, 1)
+    starts = sorted(pieces)
+    return Ranges(np.array(starts[1:], np.int64), np.array([pieces[s] for s in starts], np.int64))
+
+
+def range_bounds(docs: DataFrame, bytes_each: int) -> Ranges:
+    """Ranges that hold about bytes_each text bytes where rows are of equal length."""
+    total, rows, n = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+    ranges = int(max(1, -(-(total or 0) // bytes_each)))
+    null_pieces = -(-(rows - n) * ranges // max(rows, 1))
     if ranges < 2 or not n:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
-    return sorted(set(cuts))
-
-
-def range_of(doc_ids, bounds: list[int]) -> np.ndarray:
-    """The range of each doc_id of an Arrow column (nulls in the first)."""
-    ids = doc_ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.searchsorted(np.array(bounds, np.int64), ids, "right").astype(np.int32)
-
-
-def range_column(column: str, bounds: list[int]) -> Column:
-    """The same as a column expression: a search in two steps of the square root of the ranges."""
-    if not bounds:
-        return F.lit(0)
-    x = f"coalesce({column}, {-(2**63) + 1}L)"
-    step = max(1, int(len(bounds) ** 0.5))
-    array = lambda v: "array(" + ",".join(f"{b}L" for b in v) + ")"
-    coarse = f"size(filter({array(bounds[step - 1 :: step])}, b -> b <= {x}))"
-    return F.expr(f"transform(array({coarse}), c -> c * {step} + size(filter(slice({array(bounds)}, c * {step} + 1, {step}), b -> b <= {x})))[0]")
+        return cut_ranges([], null_pieces)
+    quantiles = lambda k: F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 20 * k))
+    cuts = docs.agg(quantiles(min(ranges, FLAT))).first()[0]
+    if ranges > FLAT:
+        coarse, each = cut_ranges(cuts, 0), -(-ranges // FLAT)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(coarse.of(ids, pa.array(np.zeros(len(ids), np.int64))))], ["doc_id", "coarse"])
+
+        fine = docs.where("doc_id is not null").select("doc_id").mapInArrow(dealt, "doc_id long, coarse int").groupBy("coarse").agg(quantiles(each).alias("cuts"))
+        # A doc_id that fills several coarse ranges fills all the finer ones as well.
+        cuts = [*cuts, *(c for r in fine.toLocalIterator() for c in r["cuts"])]
+    return cut_ranges(cuts, null_pieces)
 
 
 def before_each(totals: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -68,7 +68,7 @@ def frames(content, name: str = "") -> Iterator[tuple[int, memoryview]]:
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Tokenise every text and write path/records, one file for each range of doc_id, and path/index."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("salt"))
     bounds = _blocks.range_bounds(docs, file_bytes)
 
     @_text.tidy
@@ -79,9 +79,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
             ids = ids.astype("<u2")
             doc_ids = batch.column(0).to_pylist()
             rows = [frame(struct.pack(_PAYLOAD, _NULL_ID * (d is None), d or 0) + ids[a:b].tobytes()) for d, a, b in zip(doc_ids, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_blocks.range_of(batch.column(0), bounds)), batch.column(0), pa.array(rows, pa.binary())], ["file", "doc_id", "frame"])
+            yield pa.RecordBatch.from_arrays([pa.array(bounds.of(batch.column(0), batch.column(2))), batch.column(0), pa.array(rows, pa.binary())], ["file", "doc_id", "frame"])
 
-    rows = docs.mapInArrow(framed, "file int, doc_id long, frame binary").repartitionById(len(bounds) + 1, F.col("file"))
+    rows = docs.mapInArrow(framed, "file int, doc_id long, frame binary").repartitionById(bounds.count, F.col("file"))
     rows.sortWithinPartitions("file", "doc_id").select("file", F.col("frame").cast("string")).write.partitionBy("file").text(f"{path}/records", lineSep="\n")
     scan = _scan(docs.sparkSession, path).drop("ids_crc32")
     scan = written(scan, "scan")

@@ -142,11 +142,17 @@ def removals(texts: pa.ChunkedArray, doc_ids: np.ndarray, has_id: np.ndarray, bi
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """See REPEATS: the maximal repeats (in words of the input) and the text that is kept."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("salt"))
     bounds = _blocks.range_bounds(docs, block_bytes)
-    groups = len(bounds) + 1
+    groups = bounds.count
     frequent = frequent_prefixes(docs, groups)
-    blocks = docs.select(_blocks.range_column("doc_id", bounds).alias("block"), "doc_id", "text")
+
+    @_text.tidy
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bounds.of(batch.column(0), batch.column(2))), *batch.columns[:2]], ["block", "doc_id", "text"])
+
+    blocks = docs.mapInArrow(dealt, "block int, doc_id long, text string")
 
     def ask(block: pa.Table) -> pa.Table:
         _, starts, keys = _block_keys(block["text"].filter(block["doc_id"].is_valid()), window, groups, frequent)
@@ -170,8 +176,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
         at = _packed.Filter(ordered[1:][ordered[1:] == ordered[:-1]]).members(keys)  # ascending: earlier blocks come first
         seen = np.zeros(len(keys), bool)
         order = at[np.argsort(keys[at], kind="stable")]
-        seen[order[1:][keys[order][1:] == keys[order][:-1]]] = True
         cuts = np.cumsum([0, *map(len, lists)])
+        if len(order):
+            place = bounds.range_of(group["block"].to_numpy())[np.searchsorted(cuts, order, "right") - 1]
+            new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+            seen[order] = place > place[np.flatnonzero(new)][np.cumsum(new) - 1]  # blocks of one doc_id are not earlier than each other
         return pa.table({
             "block": group["block"], "group": group["group"], "n": group["n"],
             "bits": pa.array([np.packbits(seen[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),

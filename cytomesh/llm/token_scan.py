@@ -42,24 +42,24 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids or [np.zeros(0, np.uint16)]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
 
 
-def write_token_files(docs: DataFrame, path: str, encode=word_ids, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> list[int]:
+def write_token_files(docs: DataFrame, path: str, encode=word_ids, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> _blocks.Ranges:
     """Write flat token files in ascending doc_id order, one for each range of doc_id.
 
     encode: from an Arrow string column to 16-bit ids and their bounds, never with end_id.
-    Returns the doc_ids at which the files are cut. The ids are shuffled, not the texts.
+    Returns the ranges; a doc_id that fills several files has them to itself. The ids are shuffled, not the texts.
     Spark's text writer commits the files; its line separator is the end id.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("salt"))
     bounds = _blocks.range_bounds(docs, file_bytes)
 
     @_text.tidy
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.bounded(batches, 1):
             ids, cuts = encode(batch.column(1))
-            file = _blocks.range_of(batch.column(0), bounds)
+            file = bounds.of(batch.column(0), batch.column(2))
             yield pa.RecordBatch.from_arrays([pa.array(file), batch.column(0), _text.pack_binary(ids.astype("<u2"), cuts)], ["file", "doc_id", "ids"])
 
-    out = docs.mapInArrow(encoded, "file int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("file"))
+    out = docs.mapInArrow(encoded, "file int, doc_id long, ids binary").repartitionById(bounds.count, F.col("file"))
     out = out.sortWithinPartitions("file", "doc_id").select("file", F.col("ids").cast("string"))
     separator = int(end_id).to_bytes(2, "little").decode("latin-1")
     if end_id > 127:
@@ -128,10 +128,10 @@ def token_counts(docs: DataFrame, file_bytes: int = FILE_BYTES, encode=word_ids)
     @_text.tidy
     def file_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_blocks.range_of(batch.column(0), bounds))], ["doc_id", "file"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bounds.of(batch.column(0), batch.column(1)))], ["doc_id", "file"])
 
     order = Window.partitionBy("file").orderBy("doc_id")
-    names = docs.select("doc_id").mapInArrow(file_of, "doc_id long, file int").withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    names = docs.select("doc_id", F.xxhash64("text").alias("salt")).mapInArrow(file_of, "doc_id long, file int").withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     return names.join(scan_tokens(spark, path), ["file", "ordinal"]).select("doc_id", "start", "n_tokens")
 
 
