@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ SMOOTH = 2.0
 KNOWN_WORDS = 1 << 20
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 1 << 19
-SLICES = 16
+#: Slices that sums travel in, and tasks whose sums are added at once.
+SLICES, ADDED = 64, 128
 #: Bins of counts: eight to a doubling.
 BIN = "cast(floor(8 * log2(count)) as int)"
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -258,9 +260,12 @@ def train_round(docs: DataFrame, model: Model, start: bool) -> None:
     model.seen = held_back
     shape = model.class_weights.shape
 
+    names = ["slice", "seen", "expected", "n", "upper_n", "upper_expected"]
+
     @_text.tidy
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        number = TaskContext.get().partitionId()
         seen = np.zeros(shape[0] * CLASSES, np.int64)
         expected = np.zeros(shape)
         n, upper_n, upper_expected = (np.zeros(len(model.choice_weights), t) for t in (np.int64, np.int64, np.float64))
@@ -297,18 +302,21 @@ def train_round(docs: DataFrame, model: Model, start: bool) -> None:
         if done:
             sums = [x.reshape(SLICES, -1) for x in (seen, expected, n, upper_n, upper_expected)]
             use = (start, not start, start, start, True)  # what was seen is summed in the first round
-            packed = [pa.array([x[i].astype("<i4" if x.dtype == np.int64 else "<f8").tobytes() if u else None for i in range(SLICES)], pa.binary()) for u, x in zip(use, sums, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *packed], ["slice", "seen", "expected", "n", "upper_n", "upper_expected"])
+            packed = [pa.array([x[i].astype("<f8").tobytes() if u else None for i in range(SLICES)], pa.binary()) for u, x in zip(use, sums, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *packed, pa.array([number] * SLICES, pa.int64())], [*names, "part"])
 
     def added(group: pa.Table) -> pa.Table:
         out = {"slice": group["slice"][:1]}
-        for c in ("seen", "expected", "n", "upper_n", "upper_expected"):
-            total = sum((np.frombuffer(x.as_buffer(), "<i4" if c in ("seen", "n", "upper_n") else "<f8").astype(np.float64) for x in group[c] if x.is_valid), np.float64(0))
+        for c in names[1:]:
+            total = sum((np.frombuffer(x.as_buffer()) for x in group[c] if x.is_valid), np.float64(0))
             out[c] = pa.array([np.asarray(total).tobytes() if np.ndim(total) else None], pa.binary())
-        return pa.table(out)
+        return pa.table(out | {"part": group["part"][:1]})
 
-    schema = "slice int, seen binary, expected binary, n binary, upper_n binary, upper_expected binary"
-    rows = sorted(docs.mapInArrow(summed, schema).groupBy("slice").applyInArrow(added, schema).collect(), key=lambda r: r["slice"])  # the sums' fixed size
+    schema = ", ".join([f"{names[0]} int", *(f"{c} binary" for c in names[1:]), "part long"])
+    sums = docs.mapInArrow(summed, schema)
+    for step in (ADDED, ADDED**2, None):
+        sums = sums.groupBy("slice", *[F.expr(f"part div {step}").alias("g")] * (step is not None)).applyInArrow(added, schema)
+    rows = sorted(sums.collect(), key=lambda r: r["slice"])  # the sums' fixed size
     if not rows:
         return
     joined = lambda c: np.concatenate([np.frombuffer(bytes(r[c])) for r in rows])
