@@ -51,6 +51,8 @@ SMOOTH = 2.0
 TABLE_BITS = 20
 #: Pairs of entity and word that may be broadcast; more are joined by a shuffle.
 SENT_PAIRS = 100_000
+#: Distinct words that a counting task holds before it passes them on.
+HELD_WORDS = 1 << 18
 #: Names whose values are secrets.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key")
 SECRET_LENGTH, SECRET_DIGITS, SECRET_LETTERS, SECRET_BITS = 16, 2, 4, 3.0
@@ -331,18 +333,23 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     @_text.tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _unpacked(sent)
+        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             data, offs = _text.buffers(batch.column(0))
-            terms = [np.zeros(0, np.uint64)]
             for lo, hi in _text.slabs(offs):
                 part = data[offs[lo] : offs[hi]]
                 words = _text.find_words(part, offs[lo : hi + 1] - offs[lo], _BLANK)
                 hashes = _text.span_hash(part, words.start, words.end, lower=True)
                 pick = np.flatnonzero(seen[_slots(hashes)])
-                if len(pick):
-                    terms.append(_distinct(hashes[pick], words.doc[pick])[0][0])
-            values, count = np.unique(np.concatenate(terms), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["term", "docs"])
+                if not len(pick):
+                    continue
+                new, n = np.unique(_distinct(hashes[pick], words.doc[pick])[0][0], return_counts=True)
+                values, place = np.unique(np.concatenate([values, new]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(values)).astype(np.int64)
+            if len(values) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["term", "docs"])
+                values, counts = values[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["term", "docs"])
 
     have = docs.select("text").mapInArrow(counted, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
     share = F.col("with_entity") / float(max(docs.count(), 1))
