@@ -23,7 +23,7 @@ from math import floor, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomesh.session import table
+from cytomesh.session import table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -57,10 +57,10 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[int] | None:
-    """Thousandths of a nat for each bucket; None without trusted text."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")  # at most TRUSTED ids
-    grams = marked.select("good", _codes(_words(F.col("text"))).alias("codes")).select("good", F.explode(_grams("codes")).alias("bucket"))
+def log_ratios(coded: DataFrame, trusted: DataFrame) -> list[int] | None:
+    """Thousandths of a nat for each bucket, from doc_id and codes of all documents; None without trusted text."""
+    marked = coded.select("doc_id", "codes").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")  # at most TRUSTED ids
+    grams = marked.select("good", F.explode(_grams("codes")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
@@ -103,9 +103,12 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> Data
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, *carried: str) -> DataFrame:
-    """Base columns, kept, n_grams and llr (the summed log ratio in thousandths) of every row."""
-    ratios = log_ratios(docs, trusted_ids(labels))
-    out = base_rules(docs.select("doc_id", "text", *carried), *carried)
+    """Base columns, kept, n_grams and llr (the summed log ratio in thousandths) of every row.
+
+    Words are found and hashed once, into a written table that both the counts and the verdicts read.
+    """
+    out = written(base_rules(docs.select("doc_id", "text", *carried), *carried), "coded")
+    ratios = log_ratios(out, trusted_ids(labels))
     out = out.withColumn("grams", _grams("codes")) if ratios else out.withColumn("grams", F.expr("cast(array() as array<int>)"))
     weights = F.from_json(F.lit(str(ratios or [0] * BUCKETS)), "array<int>")
     out = out.withColumn("llr", F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b)))
