@@ -122,7 +122,7 @@ select session_id, job_id, kind, stale, job_id = max(case when kind = 'auto' and
 from (select session_id, job_id, case priority when 'AUTO' then 'auto' else 'manual' end as kind, stale and priority = 'AUTO' as stale from @fresh) f"""
 SQL["raw_light_log"] = "select session_id, frame_index, t_sec, round(disp, 2) as disp_px, round(sharpness, 2) as sharpness, brightness, motion, screen from @motion_class where frame_index % 30 = 0"
 SQL["cycled_keyframes"] = """
-select a.session_id, s.slot, a.frame_index from (select p_partkey as slot from @part where p_partkey <= 400) s join (
+select a.session_id, s.slot, a.frame_index from (select p_partkey + 1 as slot from @part where p_partkey < 400) s join (
   select session_id, frame_index, row_number() over (partition by session_id order by frame_index) as place, count(*) over (partition by session_id) as n from (
     select session_id, frame_index, row_number() over (partition by session_id order by frame_index desc) as back from @accepted) b where back <= 400
 ) a on a.place = (s.slot - 1) % a.n + 1"""

@@ -21,7 +21,7 @@ select image_id, count(*) as n_total, count(*) filter (where candidate) as n_can
 from @flagged group by image_id""",
     "tiles": f"""
 select s.image_id, s.g, s.tx, s.ty, count(p.instance_id) as n from (
-  select image_id, g, tx, ty from @ref_stats, (select p_partkey + 2 as g from @part where p_partkey <= 2) a, (select p_partkey - 1 as tx from @part where p_partkey <= 4) b, (select p_partkey - 1 as ty from @part where p_partkey <= 4) c
+  select image_id, g, tx, ty from @ref_stats, (select p_partkey + 2 as g from @part where p_partkey < 3) a, (select p_partkey as tx from @part where p_partkey < 4) b, (select p_partkey as ty from @part where p_partkey < 4) c
   where tx < g and ty < g
 ) s left join @points p on p.image_id = s.image_id
   and s.tx = least(s.g - 1, cast(floor(p.x * s.g / {WIDTH}) as int)) and s.ty = least(s.g - 1, cast(floor(p.y * s.g / {HEIGHT}) as int))

@@ -68,4 +68,4 @@ select c.image_id, c.label, cast(c.y0 + k.k as bigint) as row_no, cast(c.x0 as b
 from (
   select image_id, instance_id as label, floor(y - sqrt(area) / 2) as y0, ceil(sqrt(area)) as side, floor(x - sqrt(area) / 2) as x0, floor(x - sqrt(area) / 2) + ceil(sqrt(area)) as x1
   from @cells
-) c join (select p_partkey - 1 as k from @part where p_partkey <= 80) k on k.k < c.side"""
+) c join (select p_partkey as k from @part where p_partkey < 80) k on k.k < c.side"""
