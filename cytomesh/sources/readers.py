@@ -28,9 +28,27 @@ def image_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = IMA
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height, channels and pixels by Spark's image source, which fails on broken files."""
+    """path, width, height, channels and pixels by Spark's image source; a file that can't be decoded fails the query."""
     image = spark.read.format("image").option("dropInvalid", "false").load(folder).select("image.*")
-    return image.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), (F.col("width").cast("long") * F.col("height")).alias("pixels"))
+    path = F.when(F.col("nChannels") > 0, F.col("origin")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.col("origin"))))
+    return image.select(path.alias("path"), "width", "height", F.col("nChannels").alias("channels"), (F.col("width").cast("long") * F.col("height")).alias("pixels"))
+
+
+def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """path, width, height and RGB bytes of a folder's images; gray becomes three equal channels, alpha is dropped.
+
+    Spark's decoder does not turn images by their EXIF tag.
+    """
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = []
+            for raw, n in zip(pdf["data"], pdf["nChannels"], strict=True):
+                a = np.frombuffer(raw, np.uint8).reshape(-1, n)
+                data.append((np.repeat(a, 3, axis=1) if n == 1 else a[:, 2::-1]).tobytes())
+            yield pd.DataFrame({"path": pdf["origin"], "width": pdf["width"], "height": pdf["height"], "rgb": data})
+
+    image = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
+    return image.select("origin", "width", "height", "nChannels", "data").mapInPandas(turned, "path string, width int, height int, rgb binary")
 
 
 def decode_png(raw: bytes) -> np.ndarray:
@@ -116,6 +134,36 @@ def scan_map(spark: SparkSession, path: str, field_schema: str) -> DataFrame:
     return spark.read.schema(f"fields array<struct<{field_schema}>>").json(path, multiLine=True).select(F.explode("fields").alias("f")).select("f.*")
 
 
+def scan_maps(spark: SparkSession, path: str, by: str, field_schema: str) -> DataFrame:
+    """The fields of many saved maps, one line each, with their session."""
+    return spark.read.schema(f"{by} long, fields array<struct<{field_schema}>>").json(path).select(by, F.explode("fields").alias("f")).select(by, "f.*")
+
+
+#: Settings of these blocks are also found at the top, under the prefix.
+CONFIG_BLOCKS = {
+    "analysis": ("", {"gpu_workers": 1, "cpu_feature_workers": 2}),
+    "coverage": ("", dict.fromkeys(("target_overlap_min", "target_overlap_max", "duplicate_overlap_threshold", "gap_risk_threshold"))),
+    "semantic": ("semantic_", dict.fromkeys(("cell_fraction", "green_conf_thr", "min_votes", "monolayer_weight", "other_weight"))),
+}
+
+
+def load_config(spark: SparkSession, path: str, overrides: dict | None = None) -> dict:
+    """A settings file (JSON, or YAML where its library is there), flattened; overrides that are not None win."""
+    text = "\n".join(r.value for r in spark.read.text(path).collect())  # one small file
+    try:
+        import yaml
+
+        config = yaml.safe_load(text)
+    except ImportError:
+        import json
+
+        config = json.loads(text)
+    for block, (prefix, defaults) in CONFIG_BLOCKS.items():
+        for name, default in defaults.items():
+            config.setdefault(prefix + name, (config.get(block) or {}).get(name, default))
+    return config | {k: v for k, v in (overrides or {}).items() if v is not None}
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     kind: str

@@ -30,20 +30,44 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def write_scan_map(fields: DataFrame, path: str) -> None:
-    """The fields of one session's map as one JSON document (a session has some thousand fields)."""
-    fields.agg(F.sort_array(F.collect_list(F.struct(*fields.columns))).alias("fields")).coalesce(1).write.mode("overwrite").json(path)
+def write_scan_map(fields: DataFrame, path: str, by: str | None = None) -> None:
+    """The fields of one map as one JSON document, or of each session (by) as a line (a session has some thousand fields)."""
+    columns = [c for c in fields.columns if c != by]
+    fields.groupBy(*[by] * (by is not None)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("fields")).write.mode("overwrite").json(path)
 
 
 def write_survey(grid: DataFrame, placements: DataFrame, manifest: dict, path: str) -> None:
-    """A frozen survey: grid cells, placements and a manifest row."""
+    """A frozen survey: grid cells with their mask (0 to 255) and confidence, placements and a manifest row."""
     grid.write.mode("overwrite").parquet(f"{path}/grid")
     placements.write.mode("overwrite").parquet(f"{path}/placements")
     grid.sparkSession.createDataFrame([{k: str(v) for k, v in manifest.items()}]).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def read_survey(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    return spark.read.parquet(f"{path}/grid"), spark.read.parquet(f"{path}/placements"), spark.read.json(f"{path}/manifest").first().asDict()
+    """Grid (with monolayer: mask over 127), placements and manifest of a frozen survey."""
+    grid = spark.read.parquet(f"{path}/grid")
+    if "mask" in grid.columns:
+        grid = grid.withColumn("monolayer", F.col("mask") > 127)
+    return grid, spark.read.parquet(f"{path}/placements"), spark.read.json(f"{path}/manifest").first().asDict()
+
+
+def run_metadata(spark: SparkSession, extra: dict | None = None) -> dict:
+    """What is needed to repeat a run: versions, platform, the session's settings."""
+    import platform
+    import sys
+    from datetime import datetime
+
+    keep = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")
+    return {"timestamp": datetime.now().isoformat(timespec="seconds"), "platform": platform.platform(), "python": sys.version.split()[0], "spark": spark.version, "master": spark.sparkContext.master} | {k: spark.conf.get(k, None) for k in keep} | (extra or {})
+
+
+def write_report(spark: SparkSession, title: str, summary: dict, path: str) -> None:
+    """A summary as one JSON row and as a Markdown table."""
+    import json
+
+    spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
+    lines = [f"# {title}", "", "| measure | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in sorted(summary.items()))]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
