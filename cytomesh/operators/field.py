@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.operators.spatial import group_components, nearest, pairs_within
+from cytomesh.operators.spatial import group_components, nearest, pairs_to, pairs_within
+from cytomesh.session import written
 
 
 @dataclass(frozen=True)
@@ -64,20 +65,32 @@ def neighbour_features(points: DataFrame, group: str = "image_id") -> DataFrame:
     )
 
 
+#: Cells of more than so many median radii are compared apart, so that one of them doesn't widen every comparison.
+WIDE = 1.5
+
+
 def contact_ratio(points: DataFrame, margin: float = 0.15, group: str = "image_id") -> DataFrame:
     """Share of points in contact: centres within both radii and a margin of the diameter."""
-    widest = points.groupBy(group).agg(F.max("r").alias("r_max"))
+    widest = points.groupBy(group).agg(F.max("r").alias("r_max"), (WIDE * F.percentile("r", F.lit(0.5))).alias("cap"))
     sized = points.join(widest, group)
-    pairs = pairs_within(sized, 2 * F.col("r_max") + margin * F.col("median_diameter"), group)
-    touching = pairs.where(F.col("d") <= F.col("r") + F.col("r2") + margin * F.col("median_diameter"))
-    ends = touching.select(group, F.explode(F.array("instance_id", "instance_id2")).alias("instance_id")).distinct()
+    carry = ("r", "median_diameter")
+    touching = (F.col("d") <= F.col("r") + F.col("r2") + margin * F.col("median_diameter")) & (F.col("instance_id") != F.col("instance_id2"))
+    plain = pairs_within(sized.where("r <= cap"), 2 * F.col("cap") + margin * F.col("median_diameter"), group, carry=carry)
+    wide = pairs_to(sized.where("r > cap"), sized, 2 * F.col("r_max") + margin * F.col("median_diameter"), group, carry=carry)
+    both = plain.unionByName(wide).where(touching)
+    ends = both.select(group, F.explode(F.array("instance_id", "instance_id2")).alias("instance_id")).distinct()
     hit = ends.groupBy(group).agg(F.count("*").alias("n_contact"))
     return points.groupBy(group).agg(F.count("*").alias("n")).join(hit, group, "left").select(group, "n", F.coalesce("n_contact", F.lit(0)).alias("n_contact"), (F.coalesce("n_contact", F.lit(0)) / F.col("n")).alias("contact_ratio"))
 
 
-def degrees(points: DataFrame, near: float = 1.5, group: str = "image_id") -> DataFrame:
+def near_edges(points: DataFrame, near: float = 1.5, group: str = "image_id") -> DataFrame:
+    """Pairs of cells within some diameters of each other."""
+    return pairs_within(points, near * F.col("median_diameter"), group).select(group, "instance_id", "instance_id2")
+
+
+def degrees(points: DataFrame, near: float = 1.5, group: str = "image_id", edges: DataFrame | None = None) -> DataFrame:
     """Close-neighbour counts; forward counts an edge at its smaller end only."""
-    edges = pairs_within(points, near * F.col("median_diameter"), group)
+    edges = near_edges(points, near, group) if edges is None else edges
     ends = edges.select(group, F.col("instance_id"), F.lit(1).alias("forward")).unionAll(edges.select(group, F.col("instance_id2"), F.lit(0)))
     ends = ends.groupBy(group, "instance_id").agg(F.count("*").alias("degree"), F.sum("forward").alias("forward"))
     by = points.select(group, "instance_id").join(ends, [group, "instance_id"], "left").na.fill(0)
@@ -88,9 +101,9 @@ def degrees(points: DataFrame, near: float = 1.5, group: str = "image_id") -> Da
     )
 
 
-def clusters(points: DataFrame, near: float = 1.5, large: int = 30, group: str = "image_id") -> DataFrame:
+def clusters(points: DataFrame, near: float = 1.5, large: int = 30, group: str = "image_id", edges: DataFrame | None = None) -> DataFrame:
     """Components of the close-neighbour graph of each group."""
-    edges = pairs_within(points, near * F.col("median_diameter"), group)
+    edges = near_edges(points, near, group) if edges is None else edges
     label = group_components(edges, group)
     sizes = points.select(group, "instance_id").join(label, [group, "instance_id"], "left").withColumn("component", F.coalesce("component", "instance_id")).groupBy(group, "component").agg(F.count("*").alias("size"))
     big = F.when(F.col("size") >= 2, F.col("size"))
@@ -117,6 +130,8 @@ def field_features(flagged: DataFrame, cfg: FieldConfig = FieldConfig()) -> Data
     area = float((x1 - x0) * (y1 - y0))
     counts = flagged.groupBy("image_id").agg(F.count("*").alias("n_cells"), F.sum(F.col("candidate").cast("int")).alias("n_candidates"), F.max("median_diameter").alias("diameter"))
     points = in_roi(flagged.where("candidate"), cfg).select("image_id", "instance_id", "x", "y", "r", "area", "median_diameter")
+    points = written(points, "valid")
+    edges = written(near_edges(points, cfg.near_diameters), "edges")  # degrees and clusters share them
     base = points.groupBy("image_id").agg(F.count("*").alias("n_valid"), (F.sum("area") / area).alias("coverage"))
     g = cfg.grid
     tile = F.struct(F.least(F.lit(g - 1), F.floor((F.col("x") - x0) * g / (x1 - x0))), F.least(F.lit(g - 1), F.floor((F.col("y") - y0) * g / (y1 - y0))))
@@ -124,7 +139,7 @@ def field_features(flagged: DataFrame, cfg: FieldConfig = FieldConfig()) -> Data
     mean = F.sum("k") / (g * g)
     tiles = tiles.groupBy("image_id").agg((F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * F.col("k")) / (g * g) - mean * mean)) / mean).alias("density_cv"))
     out = counts.join(base, "image_id", "left").join(neighbour_features(points), "image_id", "left").join(contact_ratio(points, cfg.contact_margin).drop("n"), "image_id", "left")
-    out = out.join(degrees(points, cfg.near_diameters), "image_id", "left").join(clusters(points, cfg.near_diameters, cfg.large_cluster), "image_id", "left").join(tiles, "image_id", "left")
+    out = out.join(degrees(points, edges=edges), "image_id", "left").join(clusters(points, large=cfg.large_cluster, edges=edges), "image_id", "left").join(tiles, "image_id", "left")
     return out.withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).withColumn("density", F.col("n_valid") / (area / 1e6))
 
 

@@ -31,8 +31,12 @@ def frame_features(images: DataFrame, width: int) -> DataFrame:
     return images.select("image_id", "height", "width", "pixels").mapInPandas(measured, schema)
 
 
-def shifts(pairs: DataFrame) -> DataFrame:
-    """The shift of each pair of images (pixels and other) by phase correlation, and its overlap's correlation."""
+def shifts(pairs: DataFrame, reach: int = 6, part: int = 32) -> DataFrame:
+    """How far each pair of images (pixels and other) is apart, found in three ways.
+
+    By phase correlation (dx, dy, response), by searching the best correlation of the overlap
+    (search_x, search_y, ncc), and by finding the middle of one in the other (match_x, match_y; null below 0.45).
+    """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -40,11 +44,29 @@ def shifts(pairs: DataFrame) -> DataFrame:
             for (i, ref), other in zip(images_of(pdf), pdf["other"], strict=True):
                 cur = np.asarray(other, float).reshape(ref.shape)
                 dx, dy, response = kernels.phase_shift(ref, cur)
-                out.append((i, round(dx), round(dy), response, kernels.overlap_ncc(ref, cur, -round(dx), -round(dy)), kernels.overlap_ncc(ref, cur, round(dx), round(dy))))
-            frame = pd.DataFrame(out, columns=["image_id", "dx", "dy", "response", "a", "b"])
-            yield frame.assign(ncc=frame[["a", "b"]].max(axis=1))[["image_id", "dx", "dy", "response", "ncc"]]
+                x, y, ncc = kernels.best_shift(ref, cur, reach)
+                at = kernels.relocate(ref, cur[part // 2 : part // 2 + part, part // 2 : part // 2 + part])
+                out.append((i, -round(dx), -round(dy), response, x, y, ncc, *((None, None) if at is None else (at[0] - part // 2, at[1] - part // 2))))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SHIFTS.split(", ")])
+            yield frame.astype({"match_x": "Int64", "match_y": "Int64"})
+
+    return pairs.select("image_id", "height", "width", "pixels", "other").mapInPandas(found, SHIFTS)
+
+
+SHIFTS = "image_id long, dx long, dy long, response double, search_x long, search_y long, ncc double, match_x long, match_y long"
+
+
+def fitted_homographies(points: DataFrame) -> DataFrame:
+    """For each id's point pairs (x, y, u, v): the inliers of a robust fit and the mean distance that it leaves them."""
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+        h, inside = kernels.ransac_homography(src, dst)
+        error = None if h is None else float(np.hypot(*(kernels.apply_homography(h, src[inside]) - dst[inside]).T).mean())
+        spread = kernels.spread_fraction(src[inside], (1080, 1920)) if h is not None else 0.0
+        return pd.DataFrame({"id": pdf["id"].iloc[:1], "n": len(src), "inliers": int(inside.sum()), "reprojection": error, "spread": spread})
 
-    return pairs.select("image_id", "height", "width", "pixels", "other").mapInPandas(found, "image_id long, dx long, dy long, response double, ncc double")
+    return points.groupBy("id").applyInPandas(fitted, "id long, n long, inliers long, reprojection double, spread double")
 
 
 def region_shapes(runs: DataFrame) -> DataFrame:

@@ -175,6 +175,24 @@ def template_match(image: np.ndarray, template: np.ndarray) -> tuple[int, int, f
     return int(x), int(y), float(out[y, x])
 
 
+def relocate(image: np.ndarray, template: np.ndarray, least: float = 0.45) -> tuple[int, int, float] | None:
+    """template_match, or nothing where its best place is not like the template."""
+    x, y, score = template_match(image, template)
+    return (x, y, score) if score >= least else None
+
+
+def first_good(attempt, schedule: list, good, key) -> tuple:
+    """Tries the settings of a schedule in order; the first good result ends it, else the best by key wins."""
+    best = None
+    for setting in schedule:
+        result = attempt(setting)
+        if good(result):
+            return setting, result
+        if best is None or key(result) > key(best[1]):
+            best = (setting, result)
+    return best
+
+
 def distance_peaks(mask: np.ndarray, radius: float) -> int:
     """Local maxima of the distance to the background, at least 0.45 radius deep and a radius apart."""
     inside = np.argwhere(mask)

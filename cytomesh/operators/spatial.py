@@ -24,19 +24,34 @@ def _bucketed(points: DataFrame, size: Column | str, spread: bool) -> DataFrame:
     return out
 
 
-def _sides(points: DataFrame, group: str, size: str) -> DataFrame:
-    """Every ordered pair of points whose buckets touch; the second one's columns end in 2."""
-    left = _bucketed(points, F.col(size), True)
-    right = _bucketed(points, F.col(size), False)
-    right = right.select(group, "bx", "by", *[F.col(c).alias(f"{c}2") for c in points.columns if c not in (group, size)])
-    return left.join(right, [group, "bx", "by"]).drop("bx", "by")
+#: A bucket and half of its neighbours: every pair of touching buckets once.
+FORWARD = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
 
-def pairs_within(points: DataFrame, radius: Column, group: str = "image_id", key: str = "instance_id") -> DataFrame:
-    """Pairs key < key2 of a group at most radius apart; radius is the same for a whole group."""
-    sized = points.withColumn("_size", radius)
-    out = _sides(sized, group, "_size").where(F.col(key) < F.col(f"{key}2"))
-    return out.withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).where(F.col("d") <= F.col("_size")).drop("_size")
+def pairs_within(points: DataFrame, radius: Column, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs key < key2 of a group at most radius apart, with d and the carried columns of both.
+
+    radius is the same for a whole group.
+    """
+    own = [key, "x", "y", *carry]
+    sized = _bucketed(points.select(group, *own, radius.alias("_size")), F.col("_size"), False)
+    there = sized.select(group, "bx", "by", *[F.col(c).alias(f"{c}2") for c in own])
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in FORWARD]))
+    here = sized.withColumn("_step", step).withColumns({"bx": F.col("bx") + F.col("_step.i"), "by": F.col("by") + F.col("_step.j"), "_same": F.expr("_step.i = 0 and _step.j = 0")}).drop("_step")
+    met = here.join(there, [group, "bx", "by"]).where(~F.col("_same") | (F.col(key) < F.col(f"{key}2")))
+    met = met.withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).where(F.col("d") <= F.col("_size"))
+    first = F.col(key) < F.col(f"{key}2")
+    sides = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(a) for c in own for a, b in ((c, f"{c}2"), (f"{c}2", c))]
+    return met.select(group, *sides, "d")
+
+
+def pairs_to(few: DataFrame, points: DataFrame, radius: Column, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each of a few points with every point of its group at most radius away (itself included), columns as in pairs_within."""
+    own = [key, "x", "y", *carry]
+    here = _bucketed(few.select(group, *own, radius.alias("_size")), F.col("_size"), True)
+    there = _bucketed(points.select(group, *own, radius.alias("_size")), F.col("_size"), False).drop("_size").select(group, "bx", "by", *[F.col(c).alias(f"{c}2") for c in own])
+    met = here.join(there, [group, "bx", "by"]).withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).where(F.col("d") <= F.col("_size"))
+    return met.select(group, *[a for c in own for a in (c, f"{c}2")], "d")
 
 
 def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ("r",)) -> DataFrame:
@@ -50,12 +65,12 @@ def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id"
     return out.select(group, F.col("_key").alias(key), "best.*").withColumnRenamed("_key2", "nn").select(group, key, "d", "nn", *[f"{c}2" for c in carry])
 
 
-#: Rounds in which the buckets double; points that are still open then are compared with their whole group.
-ROUNDS = 8
+#: Rounds, and how the buckets' side grows with each; points that are still open then are compared with their whole group.
+ROUNDS, WIDER = 4, 4
 
 
 def _nearest(points: DataFrame, targets: DataFrame, group: str, key: str, carry: tuple[str, ...], other: Column | None, digits: int | None) -> DataFrame:
-    """group, key and best (d, _key2, carried): buckets of about two targets, then of twice the side, until all are proven.
+    """group, key and best (d, _key2, carried): buckets of about two targets, then of WIDER times the side, until all are proven.
 
     A target found no farther than a bucket's side is nearer than any beyond the neighbouring buckets.
     """
@@ -74,7 +89,7 @@ def _nearest(points: DataFrame, targets: DataFrame, group: str, key: str, carry:
         best = met.withColumn("d", distance).groupBy(group, key).agg(pick, F.first("_size").alias("_size")).where(F.col("best.d") <= F.col("_size") - slack).select(group, key, "best")
         best = written(best, "nearest")
         out = best if out is None else out.unionByName(best)
-        rest = written(rest.join(best.select(group, key), [group, key], "left_anti").withColumn("_size", 2 * F.col("_size")), "open")
+        rest = written(rest.join(best.select(group, key), [group, key], "left_anti").withColumn("_size", WIDER * F.col("_size")), "open")
         if rest.isEmpty():
             return out
         sizes = rest.groupBy(group).agg(F.first("_size").alias("_size"))

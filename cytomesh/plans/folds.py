@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
@@ -10,6 +10,9 @@ from cytomesh.plans.sql import duck, view
 from cytomesh.streaming import folds
 
 
+TIMEOUT = 15.0
+
+
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(view(spark, sf_dir, "frames"), folds.keyframes(), "session_id", ("frame_index",))
 
@@ -47,8 +50,15 @@ def raster_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = view(spark, sf_dir, "jobs").withColumn("done_at", F.col("t_capture") + F.col("value") / 10)
-    return folds.run(jobs, folds.commit_gate(), "session_id", ("job_id",))
+    """When each job commits: after all jobs before it, but it waits no longer than TIMEOUT.
+
+    A running maximum, so a window; streaming/folds.py has the same rule as a fold for streams.
+    """
+    jobs = view(spark, sf_dir, "jobs").select("session_id", "job_id", (F.col("t_capture") + F.col("value") / 10).alias("done_at"))
+    before = Window.partitionBy("session_id").orderBy("job_id").rowsBetween(Window.unboundedPreceding, -1)
+    wait = F.coalesce(F.max("done_at").over(before) - F.col("done_at"), F.lit(0.0))
+    commit = F.when(wait > TIMEOUT, F.col("done_at") + TIMEOUT).when(wait > 0, F.max("done_at").over(before)).otherwise(F.col("done_at"))
+    return jobs.select("session_id", "job_id", F.round(commit, 6).alias("commit_at"), (wait > TIMEOUT).alias("out_of_order"))
 
 
 QUERIES = {f.__name__: f for f in (keyframes, keyframe_histogram, accepted_keyframes, field_controller, temporal_smoothing, nav_state, nav_transitions, monolayer_layer, raster_guidance, commit_order)}
@@ -89,6 +99,31 @@ with recursive walk as (
       from walk w join @fields f on f.session_id = w.session_id and f.job_id = w.job_id + 1) a
   ) b
 )"""
+_LAYER = """
+with recursive walk as (
+  select session_id, cast(0 as bigint) as job_id, cast([] as struct(x double, y double, a bigint, d bigint, dem boolean)[]) as layer, cast(0 as bigint) as affirmed, cast(0 as bigint) as contradicted, cast(0 as bigint) as demoted, cast(0 as bigint) as restored, false as joined
+  from (select distinct session_id from @fields) s
+  union all
+  select session_id, job_id, case when mono then list_append(l4, struct_pack(x := x, y := y, a := cast(joins as bigint), d := cast(0 as bigint), dem := false)) else l4 end,
+    case when mono then n_hit else 0 end, case when mono then 0 else n_hit end, n_dem, n_res, mono and joins
+  from (
+    select *, list_transform(l3, lambda f: struct_pack(x := f.x, y := f.y, a := f.a, d := f.d, dem := f.now)) as l4, len(list_filter(l3, lambda f: f.hit)) as n_hit, len(list_filter(l3, lambda f: f.now and not f.was)) as n_dem, len(list_filter(l3, lambda f: f.was and not f.now)) as n_res,
+      least(1, coalesce(list_sum(list_transform(list_filter(l3, lambda f: not f.now), lambda f: f.part)), 0) / (800.0 * 448)) < 0.8 as joins
+    from (
+      select *, list_transform(l2, lambda f: struct_pack(x := f.x, y := f.y, a := f.a, d := f.d, was := f.dem, hit := f.hit, part := f.part,
+        now := case when f.hit and mono and f.dem and f.a > f.d then false when f.hit and not mono and not f.dem and f.d >= 2 and f.d > f.a then true else f.dem end)) as l3
+      from (
+        select *, list_transform(l1, lambda f: struct_pack(x := f.x, y := f.y, dem := f.dem, part := f.part, hit := f.part > 0 and f.part / (800.0 * 448) >= 0.25,
+          a := f.a + case when mono and f.part > 0 and f.part / (800.0 * 448) >= 0.25 then weight else 0 end, d := f.d + case when not mono and f.part > 0 and f.part / (800.0 * 448) >= 0.25 then weight else 0 end)) as l2
+        from (
+          select c.session_id, c.job_id, c.x, c.y, c.raw_class = 'MONOLAYER' as mono, case when c.human_label is null then 1 else 2 end as weight,
+            list_transform(w.layer, lambda f: struct_pack(x := f.x, y := f.y, a := f.a, d := f.d, dem := f.dem, part := greatest(0, 800 - abs(f.x - c.x)) * greatest(0, 448 - abs(f.y - c.y)))) as l1
+          from walk w join @fields c on c.session_id = w.session_id and c.job_id = w.job_id + 1
+        ) a
+      ) b
+    ) d
+  ) e
+) select session_id, job_id, affirmed, contradicted, demoted, restored, joined from walk where job_id > 0"""
 ORACLE_SQL = {
     "keyframes": duck(_KEYFRAMES + " select session_id, frame_index, status, since, cumulative from walk where frame_index >= 0"),
     "keyframe_histogram": duck(_KEYFRAMES + " select status, count(*) as n from walk where frame_index >= 0 group by status"),
@@ -107,6 +142,7 @@ with recursive walk as (
     "temporal_smoothing": duck(_SMOOTH),
     "nav_state": duck(_NAV + " select session_id, job_id, from_state, to_state from walk where job_id > 0"),
     "nav_transitions": duck(_NAV + " select session_id, from_state, to_state, count(*) as n from walk where job_id > 0 and from_state <> to_state group by all"),
+    "monolayer_layer": duck(_LAYER),
     "raster_guidance": duck("""
 with recursive walk as (
   select session_id, job_id, y as base, cast(0 as bigint) as sweep, cast('ROW_SWEEP' as varchar) as hint from @fields where job_id = 1

@@ -168,7 +168,16 @@ def capture_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(rows, folds.rate_average(), "session_id", ("frame_index",))
 
 
-QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (pose_chain, registration_summary, fresh_smoothing, manual_queue, capture_rate)}
+def running_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile's 8-bit value and weight as fields are blended into it one after another."""
+    return folds.run(view(spark, sf_dir, "placements"), folds.blend(), "tile", ("job_id",))
+
+
+VIEWS["placements"] = """
+select session_id * 1000000 + cast(floor(x / 400) as bigint) * 1000 + cast(floor(y / 224) as bigint) as tile, job_id, cast(floor(score * 255) as bigint) as pixel, (abs(x / 400 - floor(x / 400) - 0.5) + 0.02) * least(1, greatest(0.05, reg_confidence)) as weight
+from @fields where reg_state <> 'REGISTRATION_FAILED'"""
+
+QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (running_mosaic, pose_chain, registration_summary, fresh_smoothing, manual_queue, capture_rate)}
 
 _CHAIN = """
 with recursive walk as (
@@ -249,6 +258,12 @@ with recursive walk as (
     case when kind = 'AUTO' or (kind = 'MANUAL' and pending < 20) then next_id end
   from walk w join @queue_events e on e.session_id = w.session_id and e.seq = w.seq + 1
 ) select session_id, seq, job_id, pending, refused from walk where seq >= 0"""),
+    "running_mosaic": duck("""
+with recursive p as (select *, row_number() over (partition by tile order by job_id) as k from @placements), walk as (
+  select tile, k, job_id, floor(pixel * weight / (weight + 0.000001)) as value, weight as total from p where k = 1
+  union all
+  select p.tile, p.k, p.job_id, floor((w.value * w.total + p.pixel * p.weight) / (w.total + p.weight + 0.000001)), w.total + p.weight from walk w join p on p.tile = w.tile and p.k = w.k + 1
+) select tile, job_id, cast(value as bigint) as value, round(total, 6) as total from walk"""),
     "capture_rate": duck("""
 with recursive r as (select session_id, frame_index, 0.02 + (event_id % 13) / 200.0 as dt from @frames), walk as (
   select session_id, frame_index, 1 / dt as fps from r where frame_index = 0

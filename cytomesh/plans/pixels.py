@@ -31,7 +31,15 @@ def frame_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops of one texture, moved by a known shift."""
     rows = view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id")
     rows = rows.selectExpr("id as image_id", f"{SIDE} as height", f"{SIDE} as width", f"{_array(_NOISE, SIDE, SIDE, '20', '20')} as pixels", f"{_array(_NOISE, SIDE, SIDE, '20 + id % 9 - 4', '20 + id % 7 - 3')} as other")
-    return frames.shifts(rows).select("image_id", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), F.round("ncc", 6).alias("ncc"))
+    return frames.shifts(rows).drop("response").withColumn("ncc", F.round("ncc", 6))
+
+
+def fitted_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 points of each transform, 9 of them wrong: the robust fit finds the others."""
+    points = view(spark, sf_dir, "homographies").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(29)))).selectExpr("*", "cast((n * 173) % 500 as double) as x", "cast((n * 311) % 400 as double) as y")
+    points = points.selectExpr("id", "x", "y", "(a * x + b * y + tx) / (g * x + k * y + 1) + if(n % 10 < 3, 60 + 7 * n, 0) as u", "(c * x + d * y + ty) / (g * x + k * y + 1) - if(n % 10 < 3, 90 + 5 * n, 0) as v")
+    out = frames.fitted_homographies(points)
+    return out.select("id", "n", "inliers", (F.col("reprojection") < 0.001).alias("exact"), (F.col("spread") > 0).alias("spread"))
 
 
 def region_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +80,7 @@ from (
   ) s
 ) t"""
 
-QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (frame_measures, frame_shifts, region_shape, green_regions, outer_contours)}
+QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (frame_measures, frame_shifts, fitted_homographies, region_shape, green_regions, outer_contours)}
 
 _REFLECT = lambda v, n: f"case when {v} < 0 then -({v}) when {v} >= {n} then 2 * {n} - 2 - ({v}) else {v} end"
 _MASK = "with recursive " + survey._GREEN + ", cells as (select session_id, node, gx, gy, x, y from mask)"
@@ -96,7 +104,8 @@ bright as (select id, avg(v) as brightness, stddev_pop(v) as raw_std from small
 select q.id as image_id, round(sharpness, 6) as sharpness, round(q.brightness, 6) as brightness, round(contrast, 6) as contrast, cast(0 as double) as saturation, round(over_pct, 6) as over_pct, round(under_pct, 6) as under_pct, round(occupancy, 6) as screen_occupancy,
   round(texture, 6) as screen_texture, round(b.brightness, 6) as screen_brightness, case when occupancy >= 0.62 then 'CLEARLY_THICK' when occupancy <= 0.25 then 'CLEARLY_THIN' else 'UNCERTAIN' end as screen_verdict, round(raw_std, 6) as raw_std
 from quality q join screen s on s.id = q.id join bright b on b.id = q.id"""),
-    "frame_shifts": duck("select s_suppkey as image_id, s_suppkey % 9 - 4 as dx, s_suppkey % 7 - 3 as dy, cast(1 as double) as ncc from @supplier"),
+    "frame_shifts": duck("select image_id, dx, dy, dx as search_x, dy as search_y, cast(1 as double) as ncc, dx as match_x, dy as match_y from (select s_suppkey as image_id, s_suppkey % 9 - 4 as dx, s_suppkey % 7 - 3 as dy from @supplier) s"),
+    "fitted_homographies": duck("select s_suppkey as id, cast(30 as bigint) as n, cast(21 as bigint) as inliers, true as exact, true as spread from @supplier"),
     "region_shape": duck("""
 select image_id, instance_id as label, cast(s * s as bigint) as area_px, 4 * (s - 1) as perimeter, round(4 * pi() * s * s / (16 * (s - 1) * (s - 1)), 6) as circularity, cast(1 as double) as solidity, round(4 * s / sqrt(12), 6) as axis_major, round(4 * s / sqrt(12), 6) as axis_minor,
   cast(0 as double) as eccentricity, cast(1 as double) as elongation from (select image_id, instance_id, ceil(sqrt(area)) as s from @cells) c"""),

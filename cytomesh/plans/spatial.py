@@ -51,9 +51,20 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(counts.join(field.neighbour_features(points).select("image_id", "nn_median", "gap_median_norm"), "image_id", "left").join(field.contact_ratio(points).select("image_id", "contact_ratio"), "image_id", "left"))
 
 
+_CLASSED = ("image_id", "n_candidates", "n_valid", "density", "coverage", "density_cv", "largest_fraction", "mean_degree", "score", "thick_signals", "thin_signals", "class")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field.score(field.field_features(written(view(spark, sf_dir, "flagged"), "flagged"), CONFIG), CONFIG)
+
+
 def classify_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = field.classify(field.score(field.field_features(written(view(spark, sf_dir, "flagged"), "flagged"), CONFIG), CONFIG), CONFIG)
-    return _rounded(out.select("image_id", "n_candidates", "n_valid", "density", "coverage", "density_cv", "largest_fraction", "mean_degree", "score", "thick_signals", "thin_signals", "class"), 5)
+    return _rounded(field.classify(_scored(spark, sf_dir), CONFIG).select(*_CLASSED), 5)
+
+
+def classify_dark_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the screen's occupancy: a mostly dark frame is thick whatever else holds."""
+    return _rounded(field.classify(_scored(spark, sf_dir), CONFIG, F.expr("(image_id * 31) % 100 / 100D")).select(*_CLASSED), 5)
 
 
 def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +181,7 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("session_id", "job_id", "green", F.col("d").alias("distance"), F.when(F.col("d") <= 100, "INSIDE").when(F.col("d") <= 220, "NEAR").otherwise("OUTSIDE").alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (nn_features, contact_ratio, degree_distribution, clusters, image_features, classify_field, union_area, coverage_grid, semantic_grid, holes, coverage_eval, lowe_matches, revisit_points, containment)}
+QUERIES = {f.__name__: f for f in (nn_features, contact_ratio, degree_distribution, clusters, image_features, classify_field, classify_dark_field, union_area, coverage_grid, semantic_grid, holes, coverage_eval, lowe_matches, revisit_points, containment)}
 
 VIEWS |= {
     "nn": f"""
@@ -302,3 +313,4 @@ walk as (
   join m on m.session_id = z.session_id and m.k = z.mk)
 select session_id, job_id, score from walk where took"""),
 }
+ORACLE_SQL["classify_dark_field"] = ORACLE_SQL["classify_field"].replace("case when thick_signals >= 2 then", "case when (image_id * 31) % 100 / 100e0 >= 0.55e0 or thick_signals >= 2 then")

@@ -351,3 +351,15 @@ def rate_average(keep: float = 0.9) -> Fold:
         return {"fps": round(s["fps"], 6)}
 
     return Fold(lambda: {"fps": 0.0}, step, "fps double", ("frame_index",))
+
+
+# ---- incremental mosaic
+def blend() -> Fold:
+    """The weighted mean of what a tile holds and a new field, kept as 8 bits after every step."""
+
+    def step(s: State, row: dict) -> dict:
+        mixed = (s["value"] * s["total"] + row["pixel"] * row["weight"]) / (s["total"] + row["weight"] + 1e-6)
+        s["value"], s["total"] = math.floor(min(255.0, max(0.0, mixed))), s["total"] + row["weight"]
+        return {"value": s["value"], "total": round(s["total"], 6)}
+
+    return Fold(lambda: {"value": 0, "total": 0.0}, step, "value long, total double", ("job_id",))

@@ -112,3 +112,69 @@ def test_csv_and_map_round_trips(spark, tmp_path):
     sinks.write_survey(fields, fields, {"cell": 50}, f"{tmp_path}/survey")
     grid, places, manifest = sinks.read_survey(spark, f"{tmp_path}/survey")
     assert grid.count() == places.count() == 2 and manifest == {"cell": "50"}
+
+
+def test_small_copies():
+    image = np.arange(24.0).reshape(4, 6)
+    assert kernels.area_resize(image, 3).tolist() == [[4, 6, 8], [16, 18, 20]]  # means 3.5, 5.5, ... rounded up
+    assert kernels.area_resize(np.full((9, 7), 5.0), 3).tolist() == [[5, 5, 5]] * 4
+    assert (kernels.blur(np.full((8, 8), 9)) == 9).all()
+    spot = np.zeros((9, 9), int)
+    spot[4, 4] = 256
+    assert kernels.blur(spot)[4, 4] == 36 and kernels.blur(spot)[4, 2] == 6 and kernels.blur(spot).sum() == 256
+    prep, spread = kernels.prepared(scene(40, 60), 30)
+    assert prep.mean() == pytest.approx(0) and prep.std() == pytest.approx(1) and spread > 1
+    assert kernels.prepared(np.full((10, 10), 3.0), 5)[0].tolist() == [[0] * 5] * 5
+    assert (kernels.stretched(prep).min(), kernels.stretched(prep).max()) == (0, 255) and not kernels.stretched(np.ones((4, 4))).any()
+
+
+def test_screen_of_a_dark_and_a_bright_frame():
+    dark = np.full((40, 60), 30.0)
+    dark[:6] = 220
+    bright = 250 - dark
+    assert kernels.fast_screen(dark, 30)["verdict"] == "CLEARLY_THICK" and kernels.fast_screen(bright, 30)["verdict"] == "CLEARLY_THIN"
+
+
+def test_borders():
+    square = np.ones((5, 5), bool)
+    assert kernels.perimeter(square) == 16 and kernels.perimeter(np.eye(5, dtype=bool)) > 4
+    labels = np.array([[1, 1, 2], [1, 1, 2], [0, 0, 0]])
+    assert kernels.label_edges(labels).tolist() == [[False, True, True], [True, True, True], [False, False, False]]
+    assert kernels.spread_fraction(np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float), (20, 20)) == 0.25
+    assert kernels.spread_fraction(np.zeros((2, 2)), (20, 20)) == 0
+
+
+def test_schedules_and_relocation():
+    big = scene(120, 150)
+    assert kernels.relocate(big, big[30:70, 45:95])[:2] == (45, 30) and kernels.relocate(big, scene(40, 50, 9)) is None
+    tried = []
+    attempt = lambda x: tried.append(x) or x * 10
+    assert kernels.first_good(attempt, [1, 5, 3, 9], lambda r: r >= 50, lambda r: r) == (5, 50) and tried == [1, 5]
+    assert kernels.first_good(attempt, [1, 4, 3], lambda r: r >= 50, lambda r: r) == (4, 40)
+
+
+def test_settings_and_reports(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"analysis": {"gpu_workers": 3}, "coverage": {"target_overlap_min": 0.2}, "source": "a"}')
+    config = readers.load_config(spark, f"{tmp_path}/c.json", {"source": "b", "backend": None})
+    assert (config["gpu_workers"], config["cpu_feature_workers"], config["target_overlap_min"], config["semantic_min_votes"], config["source"]) == (3, 2, 0.2, None, "b")
+    assert "backend" not in config
+    sinks.write_report(spark, "Run", {"inliers": 12, "state": "GOOD"}, f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report/json").first().asDict() == {"inliers": 12, "state": "GOOD"}
+    assert "| inliers | 12 |" in [r.value for r in spark.read.text(f"{tmp_path}/report/markdown").collect()]
+    assert sinks.run_metadata(spark, {"seed": 1})["seed"] == 1
+
+
+def gray_png(image):
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    lines = b"".join(b"\0" + bytes(line) for line in image.astype(np.uint8).tolist())
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_image_pixels_and_broken_files(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(gray_png(np.array([[1, 2, 3], [4, 5, 6]])))
+    got = readers.rgb_pixels(spark, str(tmp_path)).first()
+    assert (got.width, got.height, bytes(got.rgb)) == (3, 2, bytes(x for p in range(1, 7) for x in (p, p, p)))
+    assert readers.image_sizes(spark, str(tmp_path)).first().pixels == 6
+    (tmp_path / "b.png").write_bytes(b"broken")
+    with pytest.raises(Exception, match="not an image"):
+        readers.image_sizes(spark, str(tmp_path)).collect()
