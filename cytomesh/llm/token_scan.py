@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cytomesh.llm import _blocks, _text
+from cytomesh.llm import _blocks, _text, _tokenize
 from cytomesh.session import bound_batches, scratch_path, table
 
 END_ID = 1
@@ -42,6 +42,18 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids or [np.zeros(0, np.uint16)]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
 
 
+def library_ids(tokenizer: str):
+    """An encoder of the tokenizers library's ids, two higher, so that 0 and the end id stay free."""
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, cuts = _tokenize.coder(tokenizer).encode(texts)
+        if len(ids) and ids.max() > 65533:
+            raise ValueError("the tokenizer's ids need more than 16 bits")
+        return (ids + 2).astype(np.uint16), cuts
+
+    return encode
+
+
 def write_token_files(docs: DataFrame, path: str, encode=word_ids, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> _blocks.Ranges:
     """Write flat token files in ascending doc_id order, one for each range of doc_id.
 

@@ -29,6 +29,10 @@ def test_token_counts(docs, rows, empty):
     assert sorted(n for _, n in got) == sorted(len(words(r[1])) + 1 for r in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
     assert token_scan.token_counts(empty).count() == 0
+    encode = token_scan.library_ids(records.tokenizer_path(packing.TOKENIZER))
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_scan.token_counts(docs, 2000, encode).collect())
+    assert collections.Counter((d, n) for _, d, n in got) == collections.Counter((r[0], len(i)) for r, i in zip(rows, tokens(rows, packing.TOKENIZER)))
+    assert [d is not None and d for _, d, _ in got] == sorted(d is not None and d for _, d, _ in got)
 
 
 def test_scan_stitches_blocks_and_files(spark, tmp_path):
@@ -427,6 +431,34 @@ def test_toxicity_learns_subwords(spark, empty):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_scores_word_by_word(docs, rows):
+    """Scores of the awkward rows against subwords spelt out one by one."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Classifier(-0.3)
+    model.direction, model.bias = rng.normal(size=toxicity.DIMENSIONS), 0.2
+    along = model.along()
+    letters, mask = toxicity._LETTER.tolist(), 2**64 - 1
+
+    def bucket(gram):
+        h = letters[gram[0]]
+        for c in gram[1:]:
+            h = (h * int(toxicity._STEP) + letters[c]) & mask
+        return (h * int(toxicity._LAST) & mask) >> (64 - toxicity.BITS)
+
+    def want(text):
+        found = []
+        for w in (text or "").encode().split():
+            found += [bucket(w[i : i + k]) for k in (3, 4, 5) for i in range(len(w) - k + 1)]
+            data = np.frombuffer(w, np.uint8)
+            found.append(int(toxicity._text.span_hash(data, np.array([0]), np.array([len(w)]), lower=True)[0] >> np.uint64(64 - toxicity.BITS)))
+        logit = along[found].astype(np.float32).astype(float).mean() + model.bias + model.prior if found else model.prior
+        return 1 / (1 + math.exp(-max(-700, min(700, logit))))
+
+    got = toxicity.score(docs, model).collect()
+    pairs = collections.Counter((r.doc_id, round(r.score, 5), r.predicted, r.held_out) for r in got)
+    assert pairs == collections.Counter((i, round(want(t), 5), int(want(t) >= 0.5), i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, t, *_ in rows)
+
+
 def test_substring_dedup(docs, rows, empty, block_bytes=1500):
     first = {}
     for doc_id, text, *_ in rows:
