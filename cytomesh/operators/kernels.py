@@ -6,6 +6,8 @@ and synthetic cases within tolerances, not bit by bit.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: BT.601 weights of blue, green and red.
@@ -193,20 +195,78 @@ def first_good(attempt, schedule: list, good, key) -> tuple:
     return best
 
 
-def distance_peaks(mask: np.ndarray, radius: float) -> int:
-    """Local maxima of the distance to the background, at least 0.45 radius deep and a radius apart."""
-    inside = np.argwhere(mask)
-    outside = np.argwhere(~np.pad(mask, 1)) - 1
-    if not len(inside):
-        return 0
-    depth = np.array([np.sqrt(((outside - p) ** 2).sum(axis=1).min()) for p in inside])
+def depth(mask: np.ndarray) -> np.ndarray:
+    """Distance of every pixel of a region to the nearest one outside; beyond the image is not outside."""
+    inside, outside = np.argwhere(mask), np.argwhere(~mask)
+    out = np.zeros(mask.shape)
+    if not len(outside):
+        return np.where(mask, np.inf, 0.0)
+    for at in range(0, len(inside), 4096):
+        part = inside[at : at + 4096]
+        gap = ((part[:, None, :] - outside[None]) ** 2).sum(axis=2).min(axis=1) if len(outside) < 20_000 else np.array([((outside - p) ** 2).sum(axis=1).min() for p in part])
+        out[part[:, 0], part[:, 1]] = np.sqrt(gap)
+    return out
+
+
+def smoothed(image: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur, cut off at four sigma, mirrored at the edges."""
+    reach = int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    for axis in (0, 1):
+        p = np.pad(image, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        image = sum(t * np.take(p, np.arange(i, i + image.shape[axis]), axis=axis) for i, t in enumerate(taps))
+    return image
+
+
+def peak_places(mask: np.ndarray, radius: float) -> np.ndarray:
+    """Row and column of the maxima of the smoothed depth: at least 0.45 radius deep, 0.6 radius apart."""
+    if not mask.any():
+        return np.zeros((0, 2), int)
+    soft = smoothed(depth(np.pad(mask, 1))[1:-1, 1:-1], max(1.0, 0.25 * radius))
+    apart = max(2, round(0.6 * radius))
+    p = np.pad(soft, apart, constant_values=-1.0)
+    top = np.max([p[i : i + soft.shape[0], j : j + soft.shape[1]] for i in range(2 * apart + 1) for j in range(2 * apart + 1)], axis=0)
+    found = np.argwhere(mask & (soft == top) & (soft >= 0.45 * radius))
     taken: list[np.ndarray] = []
-    for i in np.argsort(-depth, kind="stable"):
-        if depth[i] < 0.45 * radius:
-            break
-        if all(((inside[i] - t) ** 2).sum() >= radius**2 for t in taken):
-            taken.append(inside[i])
-    return len(taken)
+    for place in found[np.argsort(-soft[found[:, 0], found[:, 1]], kind="stable")]:
+        if all(np.abs(place - t).max() >= apart for t in taken):
+            taken.append(place)
+    return np.array(taken, int).reshape(-1, 2)
+
+
+def distance_peaks(mask: np.ndarray, radius: float) -> int:
+    return len(peak_places(mask, radius))
+
+
+def split_region(mask: np.ndarray, radius: float) -> np.ndarray | None:
+    """Labels of a region flooded from its depth's peaks; None where the parts aren't plausible cells.
+
+    Each part must have 0.35 to 2.5 times the area of one cell, and their number must be within one of what
+    the whole area holds.
+    """
+    peaks = peak_places(mask, radius)
+    if len(peaks) < 2:
+        return None
+    deep = depth(np.pad(mask, 1))[1:-1, 1:-1]
+    labels = np.zeros(mask.shape, np.int32)
+    queue = [(-deep[r, c], n, r, c) for n, (r, c) in enumerate(peaks.tolist())]
+    for n, (r, c) in enumerate(peaks.tolist(), 1):
+        labels[r, c] = n
+    heapq.heapify(queue)
+    count = len(queue)
+    while queue:
+        _, _, r, c = heapq.heappop(queue)
+        for y, x in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+            if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and not labels[y, x]:
+                labels[y, x] = labels[r, c]
+                heapq.heappush(queue, (-deep[y, x], count, y, x))
+                count += 1
+    one = np.pi * radius**2
+    areas = np.bincount(labels.ravel())[1:]
+    if (areas < 0.35 * one).any() or (areas > 2.5 * one).any() or abs(len(areas) - max(1, round(mask.sum() / one))) > 1:
+        return None
+    return labels
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

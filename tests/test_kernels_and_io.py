@@ -178,3 +178,13 @@ def test_image_pixels_and_broken_files(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"broken")
     with pytest.raises(Exception, match="not an image"):
         readers.image_sizes(spark, str(tmp_path)).collect()
+
+
+def test_merged_cells_are_split():
+    y, x = np.mgrid[:40, :70]
+    two = ((x - 20) ** 2 + (y - 20) ** 2 <= 144) | ((x - 42) ** 2 + (y - 20) ** 2 <= 144)
+    parts = kernels.split_region(two, 12)
+    assert parts.max() == 2 and parts[20, 12] != parts[20, 50] and (parts > 0).sum() == two.sum()
+    assert abs(int((parts == 1).sum()) - int((parts == 2).sum())) < 40
+    assert kernels.split_region((x - 20) ** 2 + (y - 20) ** 2 <= 144, 12) is None and kernels.split_region(two, 5) is None
+    assert kernels.depth(np.array([[0, 1, 1, 1, 0]], bool)).tolist() == [[0, 1, 2, 1, 0]]
