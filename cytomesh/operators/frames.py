@@ -44,7 +44,7 @@ def shifts(pairs: DataFrame, reach: int = 6, part: int = 32) -> DataFrame:
             for (i, ref), other in zip(images_of(pdf), pdf["other"], strict=True):
                 cur = np.asarray(other, float).reshape(ref.shape)
                 dx, dy, response = kernels.phase_shift(ref, cur)
-                x, y, ncc = kernels.best_shift(ref, cur, reach)
+                x, y, ncc = kernels.best_shift(ref, cur, reach, 1)
                 at = kernels.relocate(ref, cur[part // 2 : part // 2 + part, part // 2 : part // 2 + part])
                 out.append((i, -round(dx), -round(dy), response, x, y, ncc, *((None, None) if at is None else (at[0] - part // 2, at[1] - part // 2))))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SHIFTS.split(", ")])

@@ -263,7 +263,7 @@ with recursive p as (select *, row_number() over (partition by tile order by job
   select tile, k, job_id, floor(pixel * weight / (weight + 0.000001)) as value, weight as total from p where k = 1
   union all
   select p.tile, p.k, p.job_id, floor((w.value * w.total + p.pixel * p.weight) / (w.total + p.weight + 0.000001)), w.total + p.weight from walk w join p on p.tile = w.tile and p.k = w.k + 1
-) select tile, job_id, cast(value as bigint) as value, round(total, 6) as total from walk"""),
+) select tile, job_id, cast(value as bigint) as value, round(total, 9) as total from walk"""),
     "capture_rate": duck("""
 with recursive r as (select session_id, frame_index, 0.02 + (event_id % 13) / 200.0 as dt from @frames), walk as (
   select session_id, frame_index, 1 / dt as fps from r where frame_index = 0

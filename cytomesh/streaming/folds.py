@@ -360,6 +360,6 @@ def blend() -> Fold:
     def step(s: State, row: dict) -> dict:
         mixed = (s["value"] * s["total"] + row["pixel"] * row["weight"]) / (s["total"] + row["weight"] + 1e-6)
         s["value"], s["total"] = math.floor(min(255.0, max(0.0, mixed))), s["total"] + row["weight"]
-        return {"value": s["value"], "total": round(s["total"], 6)}
+        return {"value": s["value"], "total": round(s["total"], 9)}
 
     return Fold(lambda: {"value": 0, "total": 0.0}, step, "value long, total double", ("job_id",))
