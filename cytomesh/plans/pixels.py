@@ -68,7 +68,9 @@ def outer_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 SQL["label_palette"] = "select image_id, label, cast(floor((label * 137.508) - 180 * floor(label * 137.508 / 180)) as bigint) as hue, 200 as saturation, 255 as brightness from (select distinct image_id, label from @mask_runs) l"
-SQL["upscaled_labels"] = "select image_id, label, 2 * row_no + k.k as row_no, 2 * x0 as x0, 2 * x1 as x1 from @mask_runs r, (select p_partkey as k from @part where p_partkey < 2) k"
+SQL["upscaled_labels"] = """
+select image_id, label, cast(sum(x1 - x0) as bigint) as area_px, min(x0) as x_min, max(x1) as x_max, min(row_no) as y_min, max(row_no) as y_max
+from (select image_id, label, 2 * row_no + k.k as row_no, 2 * x0 as x0, 2 * x1 as x1 from @mask_runs r, (select p_partkey as k from @part where p_partkey < 2) k) u group by image_id, label"""
 SQL["mask_axes"] = """
 select image_id, label, round(4 * sqrt((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cv * cv)), 4) as axis_major, round(4 * sqrt(greatest(0, (vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + cv * cv))), 4) as axis_minor
 from (
