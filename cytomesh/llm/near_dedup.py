@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cytomesh.llm import _packed, _text
 from cytomesh.llm.components import components
-from cytomesh.session import bound_batches, table, written
+from cytomesh.session import bound_batches, drop_written, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -159,11 +159,11 @@ def neighbours(tree: np.ndarray, near: np.ndarray, deep: np.ndarray, node: np.nd
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs u < v of classes that are neighbours in some order, and in how many (met).
 
     The second table has the rows tree, near and class of all regions too large at the first
-    depth, and of some smaller ones.
+    depth, and of some smaller ones. The third is the written table behind both.
     """
     order = ["tree", "near", "deep", "class"]
     rows = _orders(classes).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -209,7 +209,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # At most 2 * REGION rows of each step; a region's rows at the ends of steps meet in one group.
     across = edges.groupBy("tree").applyInArrow(stitched, "u long, v long, met long").where("u <> v")
     pairs = found.where("v is not null and u <> v").select("u", "v", "met").unionByName(across).groupBy("u", "v").agg(F.sum("met").alias("met"))
-    return pairs, found.where("v is null and deep is null").select("tree", "near", F.col("u").alias("class"))
+    return pairs, found.where("v is null and deep is null").select("tree", "near", F.col("u").alias("class")), found
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def dense_links(classes: DataFrame, sets: DataFrame, dense: DataFrame, groups: D
     mixed = rows.groupBy(*key, "root").agg(F.count("*").alias("k")).groupBy(*key).agg(F.sum("k").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("largest"))
     mixed = mixed.where((F.col("n") > REGION) & (F.col("roots") > 1)).select(*key, "largest")
     rows = rows.join(mixed, key).join(classes.select("class", "sig"), "class").join(sets, "class")
-    rows = written(rows, "dense")
+    rows = rows_written = written(rows, "dense")
     blocks = rows.groupBy(*key).agg(F.ceil(F.sum(bytes_of) / BLOCK_BYTES).cast("int").alias("blocks"))
     rows = rows.join(blocks, key).withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
     packed = lambda p: [F.collect_list(F.struct("class", "root", "sig", "set")).alias(p)]
@@ -291,7 +291,9 @@ def dense_links(classes: DataFrame, sets: DataFrame, dense: DataFrame, groups: D
                 u, v = block_links(batch.column(0)[i].as_py(), *(side(batch.column(c)[i].values) for c in (1, 2)))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return both.mapInArrow(compared, "u long, v long").distinct()
+    out = written(both.mapInArrow(compared, "u long, v long").distinct(), "late")
+    drop_written(rows_written)
+    return out
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -336,6 +338,21 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return rows.join(needed.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose set sizes allow the similarity and that agree in AGREE MinHash values."""
+
+    @_text.tidy
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(_text.buffers(batch.column(i))[0], np.uint16).reshape(len(batch), HASHES) for i in (4, 5))
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            mask = pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((a == b).sum(axis=1) >= AGREE))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+
+    side = lambda c, n, s: classes.select(F.col("class").alias(c), F.col("n").alias(n), F.col("sig").alias(s))
+    return pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b").mapInArrow(checked, "u long, v long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
@@ -358,8 +375,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(checked, "u long, v long")
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, root, n_shingles, component_id for every document.
+def labelled(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, text_key, root, n_shingles, component_id for every document, and the written tables it still reads.
 
     text_key tells the texts of a doc_id apart. Components of one doc_id differ by root, which is
     null for texts without shingles.
@@ -367,9 +384,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     signed = written(signatures(docs), "signatures")
     named = signed.where("class <> 0 and doc_id is not null")
-    classes = written(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
-    pairs, dense = candidates(classes)
+    classes = written(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    pairs, dense, found = candidates(classes)
     pairs = written(pairs, "pairs")
+    dense = written(dense.distinct(), "regions")
+    drop_written(found)
     sets = written(_sets_of(docs, classes, pairs), "sets")
     ends = pairs.select("u", "v", "met").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "met"))
     # The two best neighbours of each class, found with a bounded state for each class.
@@ -378,29 +397,29 @@ def labelled(docs: DataFrame) -> DataFrame:
     chosen = best.select("u", F.col("v1").alias("v")).unionByName(second.select("u", F.col("v2").alias("v")))
     chosen = written(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "chosen")
     links = written(confirm(chosen, sets), "links")
-    groups = components(links)
+    groups = written(components(links), "groups")
     root = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     left = pairs.select("u", "v").join(chosen, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
     left = left.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    links = links.unionByName(written(confirm(left, sets), "links"))
-    groups = written(components(links), "groups")
-    dense = written(dense.distinct(), "regions")
-    for some in (f"tree < {FIRST_TREES}", f"tree >= {FIRST_TREES}"):
-        late = written(dense_links(classes, sets, dense.where(some), groups), "late")
-        if not late.isEmpty():
-            links = links.unionByName(late)
+    later = (lambda: confirm(plausible(left, classes), sets), lambda: dense_links(classes, sets, dense.where(f"tree < {FIRST_TREES}"), groups), lambda: dense_links(classes, sets, dense.where(f"tree >= {FIRST_TREES}"), groups))
+    for step in later:
+        more = written(step(), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
             groups = written(components(links), "groups")
+    for table_ in (pairs, dense, sets, chosen):
+        drop_written(table_)
     label = classes.select("class", "doc_id").join(groups.withColumnRenamed("node", "class"), "class", "left")
     label = label.select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "root").select("class", "root", "component_id")
     out = signed.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull() & (F.col("class") != 0), F.col("class")).alias("class")).join(label, "class", "left")
-    return out.select("doc_id", "text_key", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), [signed, classes, groups]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    out = labelled(docs).select("doc_id", "n_shingles", "component_id")
+    out = labelled(docs)[0].select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -411,7 +430,10 @@ def survivors(docs: DataFrame) -> DataFrame:
     Texts without shingles of one doc_id are alike. Of rows with equal doc_id and text the one
     whose columns come first as JSON stays.
     """
-    rows = written(labelled(docs).where("doc_id is not null").groupBy("doc_id", "component_id", "text_key", F.coalesce("root", F.lit(0)).alias("root")).agg(F.count("*").alias("n")), "labelled")
+    every, used = labelled(docs)
+    rows = written(every.where("doc_id is not null").groupBy("doc_id", "component_id", "text_key", F.coalesce("root", F.lit(0)).alias("root")).agg(F.count("*").alias("n")), "labelled")
+    for table_ in used:
+        drop_written(table_)
     kept = rows.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key"))
     key = ["doc_id", "text_key"]
     gone = rows.join(kept, [*key, "root"], "left_anti").select(key)

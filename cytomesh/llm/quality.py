@@ -105,9 +105,11 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> Data
 def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, *carried: str) -> DataFrame:
     """Base columns, kept, n_grams and llr (the summed log ratio in thousandths) of every row.
 
-    Words are found and hashed once, into a written table that both the counts and the verdicts read.
+    Words are found and hashed once, into a written table that both the counts and the verdicts read;
+    with carried columns, which may be whole documents, they are found twice instead of written.
     """
-    out = written(base_rules(docs.select("doc_id", "text", *carried), *carried), "coded")
+    out = base_rules(docs.select("doc_id", "text", *carried), *carried)
+    out = out if carried else written(out, "coded")
     ratios = log_ratios(out, trusted_ids(labels))
     out = out.withColumn("grams", _grams("codes")) if ratios else out.withColumn("grams", F.expr("cast(array() as array<int>)"))
     weights = F.from_json(F.lit(str(ratios or [0] * BUCKETS)), "array<int>")
