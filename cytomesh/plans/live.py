@@ -98,17 +98,17 @@ from (
   ) d
 ) e"""
 SQL["commands"] = """
-select session_id, frame_index, kind, sum(case when kind = 'start_sweep' then 1 else 0 end) over (partition by session_id, epoch order by frame_index rows unbounded preceding) as sweep,
-  sum(case when kind = 'label' then 1 else 0 end) over (partition by session_id, epoch order by frame_index rows unbounded preceding) as labels, epoch
+select session_id, frame_index, kind, cast(sum(case when kind = 'start_sweep' then 1 else 0 end) over (partition by session_id, epoch order by frame_index rows unbounded preceding) as bigint) as sweep,
+  cast(sum(case when kind = 'label' then 1 else 0 end) over (partition by session_id, epoch order by frame_index rows unbounded preceding) as bigint) as labels, epoch
 from (
-  select *, sum(case when kind = 'reset' then 1 else 0 end) over (partition by session_id order by frame_index rows unbounded preceding) as epoch from (
+  select *, cast(sum(case when kind = 'reset' then 1 else 0 end) over (partition by session_id order by frame_index rows unbounded preceding) as bigint) as epoch from (
     select session_id, frame_index, case when event_id % 251 = 0 then 'reset' when event_id % 31 = 0 then 'start_sweep' when event_id % 11 = 0 then 'label' when event_id % 97 = 1 then 'anchor' end as kind from @frames) k where kind is not null
 ) c"""
 
 # ---- counters, workers, densities
 SQL["score_streaks"] = """
-select session_id, job_id, case when score >= 0.65 then row_number() over (partition by session_id, good_island order by job_id) - case when good_island > 0 then 1 else 0 end else 0 end as good_streak,
-  case when score <= 0.45 then row_number() over (partition by session_id, bad_island order by job_id) - case when bad_island > 0 then 1 else 0 end else 0 end as bad_streak
+select session_id, job_id, cast(case when score >= 0.65 then row_number() over (partition by session_id, good_island order by job_id) - case when good_island > 0 then 1 else 0 end else 0 end as bigint) as good_streak,
+  cast(case when score <= 0.45 then row_number() over (partition by session_id, bad_island order by job_id) - case when bad_island > 0 then 1 else 0 end else 0 end as bigint) as bad_streak
 from (select *, sum(case when score < 0.65 then 1 else 0 end) over (partition by session_id order by job_id rows unbounded preceding) as good_island, sum(case when score > 0.45 then 1 else 0 end) over (partition by session_id order by job_id rows unbounded preceding) as bad_island from @fields) s"""
 SQL["worker_pool"] = """
 select worker, count(*) as jobs, round(sum(value) / 1000, 6) as busy_s, round(count(*) / nullif(max(t_capture + value / 1000) - min(t_capture), 0), 6) as jobs_per_s, round(avg(value), 6) as mean_ms, MEDIAN(value) as median_ms, min(t_capture + value / 1000) as first_done
