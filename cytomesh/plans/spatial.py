@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cytomesh.operators import field, spatial
+from cytomesh.operators import field, sessions, spatial
 from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
 from cytomesh.plans.sql import VIEWS, duck, view
 from cytomesh.session import bound_batches, written
@@ -118,41 +118,19 @@ def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field against the fields before it: best overlap, exact union overlap, state."""
-    fields = written(view(spark, sf_dir, "fields").select("session_id", "job_id", "x", "y", "w", "h"), "fields")
+    fields = view(spark, sf_dir, "fields")
     return coverage(fields, fields)
 
 
 def coverage(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Each candidate rectangle (session_id, job_id, centre x, y, w, h) against the existing ones of smaller job_id."""
-    corners = ["x - w / 2 as x0", "y - h / 2 as y0", "x + w / 2 as x1", "y + h / 2 as y1"]
-    fields = candidates.selectExpr("session_id", "job_id", "x", "y", "w", "h", *corners)
-    new = fields.selectExpr("session_id", "job_id", "x", "y", "x0 as cx0", "y0 as cy0", "x1 as cx1", "y1 as cy1")
-    old = existing.selectExpr("session_id", "job_id as other", "x as ox", "y as oy", "w", "h", *corners)
-    # Buckets as large as a session's largest field: fields that meet are in the same or in neighbouring ones.
-    size = fields.select("session_id", "w", "h").unionByName(old.select("session_id", "w", "h")).groupBy("session_id").agg(F.max("w").alias("bw"), F.max("h").alias("bh"))
-    old = old.drop("w", "h")
-    here = old.join(size, "session_id").withColumns({"bx": F.expr("floor(ox / bw)"), "by": F.expr("floor(oy / bh)")}).drop("ox", "oy", "bw", "bh")
-    around = new.join(size, "session_id").withColumn("bx", F.explode(F.expr("sequence(floor(x / bw) - 1, floor(x / bw) + 1)"))).withColumn("by", F.explode(F.expr("sequence(floor(y / bh) - 1, floor(y / bh) + 1)"))).drop("bw", "bh")
-    measures = {"ix": F.expr("greatest(0D, least(cx1, x1) - greatest(cx0, x0))"), "iy": F.expr("greatest(0D, least(cy1, y1) - greatest(cy0, y0))"), "gap": F.expr("hypot(greatest(x0 - cx1, cx0 - x1, 0D), greatest(y0 - cy1, cy0 - y1, 0D))")}
-    met = around.join(here, ["session_id", "bx", "by"]).where("other < job_id").withColumns(measures).where("gap = 0")
-    clip = F.when(F.expr("ix > 0 and iy > 0"), F.expr("array(greatest(cx0, x0), greatest(cy0, y0), least(cx1, x1), least(cy1, y1))"))
-    met = written(met.groupBy("session_id", "job_id").agg(F.max(F.struct(F.expr("ix * iy").alias("a"), F.expr("-other").alias("o"))).alias("best"), F.flatten(F.collect_list(clip)).alias("clips")), "met")
-
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clips = batch.column(2)
-            flat, at = clips.values.to_numpy(), clips.offsets.to_numpy()
-            area = [spatial.clipped_union(flat[a:b].reshape(-1, 4)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(area, pa.float64())], ["session_id", "job_id", "u"])
-
-    union = met.select("session_id", "job_id", "clips").mapInArrow(united, "session_id long, job_id long, u double")
-    # Fields that meet none before them, the first ones of a session and those on new ground, are compared with all before them.
-    apart = new.join(met.select("session_id", "job_id"), ["session_id", "job_id"], "left_anti").join(old, "session_id").where("other < job_id").withColumns(measures)
-    apart = apart.groupBy("session_id", "job_id").agg(F.min("gap").alias("gap"))
-    gap = met.select("session_id", "job_id", F.lit(0.0).alias("gap")).unionByName(apart)
-    out = new.select("session_id", "job_id").join(met.drop("clips"), ["session_id", "job_id"], "left").join(union, ["session_id", "job_id"], "left").join(gap, ["session_id", "job_id"], "left")
+    columns = ["session_id", "job_id", "x", "y", "w", "h"]
+    rows = candidates.select(*columns, F.lit(True).alias("new"), F.lit(candidates is existing).alias("old"))
+    if candidates is not existing:
+        rows = rows.unionByName(existing.select(*columns, F.lit(False).alias("new"), F.lit(True).alias("old")))
+    met = sessions.by_session(rows, sessions.coverage, sessions.COVERAGE)
     area = 800.0 * 448.0
-    out = out.select("session_id", "job_id", F.round(F.coalesce(F.col("best.a"), F.lit(0.0)) / area, 6).alias("overlap_prev"), F.round(F.coalesce("u", F.lit(0.0)) / area, 4).alias("overlap_total"), F.when(F.col("best.a") > 0, -F.col("best.o")).alias("best_job_id"), F.round("gap", 3).alias("gap"))
+    out = met.select("session_id", "job_id", F.round(F.col("a") / area, 6).alias("overlap_prev"), F.round(F.col("u") / area, 4).alias("overlap_total"), F.when(F.col("a") > 0, F.col("o")).alias("best_job_id"), F.round("gap", 3).alias("gap"))
     state = F.when(F.col("gap").isNull(), "FIRST_FIELD").when(F.col("overlap_total") >= 0.9, "ALREADY_SCANNED").when((F.col("overlap_prev") > 0.3) | (F.col("overlap_total") > 0.3), "TOO_MUCH_OVERLAP").when(F.col("overlap_prev") < 0.2, "GAP_RISK").otherwise("CAPTURE_READY")
     return out.withColumn("state", state)
 
