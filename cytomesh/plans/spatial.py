@@ -122,15 +122,18 @@ def coverage_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(fields, fields)
 
 
-def coverage(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Each candidate rectangle (session_id, job_id, centre x, y, w, h) against the existing ones of smaller job_id."""
-    columns = ["session_id", "job_id", "x", "y", "w", "h"]
+def coverage(candidates: DataFrame, existing: DataFrame, carry: str | None = None) -> DataFrame:
+    """Each candidate rectangle (session_id, job_id, centre x, y, w, h) against the existing ones of smaller job_id.
+
+    carry: a column of doubles of the existing ones, returned as best_carry for the best of them.
+    """
+    columns = ["session_id", "job_id", "x", "y", "w", "h", *[carry] * (carry is not None)]
     rows = candidates.select(*columns, F.lit(True).alias("new"), F.lit(candidates is existing).alias("old"))
     if candidates is not existing:
         rows = rows.unionByName(existing.select(*columns, F.lit(False).alias("new"), F.lit(True).alias("old")))
-    met = sessions.by_session(rows, sessions.coverage, sessions.COVERAGE)
+    met = sessions.by_session(rows.withColumnRenamed(carry, "carry") if carry else rows, sessions.coverage, sessions.COVERAGE + ", best_carry double" * (carry is not None))
     area = 800.0 * 448.0
-    out = met.select("session_id", "job_id", F.round(F.col("a") / area, 6).alias("overlap_prev"), F.round(F.col("u") / area, 4).alias("overlap_total"), F.when(F.col("a") > 0, F.col("o")).alias("best_job_id"), F.round("gap", 3).alias("gap"))
+    out = met.select("session_id", "job_id", F.round(F.col("a") / area, 6).alias("overlap_prev"), F.round(F.col("u") / area, 4).alias("overlap_total"), F.when(F.col("a") > 0, F.col("o")).alias("best_job_id"), F.round("gap", 3).alias("gap"), *["best_carry"] * (carry is not None))
     state = F.when(F.col("gap").isNull(), "FIRST_FIELD").when(F.col("overlap_total") >= 0.9, "ALREADY_SCANNED").when((F.col("overlap_prev") > 0.3) | (F.col("overlap_total") > 0.3), "TOO_MUCH_OVERLAP").when(F.col("overlap_prev") < 0.2, "GAP_RISK").otherwise("CAPTURE_READY")
     return out.withColumn("state", state)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytomesh.operators import spatial as ops
-from cytomesh.plans import live, spatial
+from cytomesh.plans import live
 from cytomesh.plans.spatial import _COVERAGE, _GRID, _grid, _rounded, coverage
 from cytomesh.plans.sql import VIEWS, duck, view
 from cytomesh.session import written
@@ -19,9 +19,8 @@ ANCHOR = (3000.0, 2000.0)
 # ---- coverage of candidates
 def duplicate_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic fields that would be skipped: already scanned, and the best earlier field was surely placed."""
-    seen = spatial.coverage_eval(spark, sf_dir)
-    best = view(spark, sf_dir, "fields").select("session_id", F.col("job_id").alias("best_job_id"), F.col("reg_confidence").alias("best_conf"))
-    out = seen.join(best, ["session_id", "best_job_id"], "left")
+    fields = view(spark, sf_dir, "fields")
+    out = coverage(fields, fields, "reg_confidence").withColumnRenamed("best_carry", "best_conf")
     return out.select("session_id", "job_id", "state", ((F.col("state") == "ALREADY_SCANNED") & (F.coalesce("best_conf", F.lit(1.0)) >= 0.5)).alias("skipped"), F.col("state").isin("GAP_RISK", "TOO_MUCH_OVERLAP", "ALREADY_SCANNED").alias("against_guidance"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def six_digits(column: str) -> Column:
-    """A double as text of six significant digits without trailing zeros; undefined is null."""
-    text = F.format_string("%.6g", F.col(column))
-    plain = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")).otherwise(text)
-    return F.when(F.col(column).isNull() | F.isnan(column), None).otherwise(plain)
+    """A double as text of six significant digits without trailing zeros, as C's %.6g (ties by the exact binary value); undefined is null."""
+
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or v != v else f"{v:.6g}" for v in values.to_pylist()], pa.string())
+
+    return text(F.col(column))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

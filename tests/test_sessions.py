@@ -49,3 +49,20 @@ def test_coverage_writes_no_clips(spark, monkeypatch):
     rows = spark.createDataFrame(list(zip([1] * 20000, range(20000), x.tolist(), y.tolist(), w.tolist(), h.tolist(), strict=True)), "session_id long, job_id long, x double, y double, w double, h double")
     got = {r.state: r["count"] for r in spatial.coverage(rows, rows).groupBy("state").count().collect()}
     assert got["FIRST_FIELD"] == 1 and got["ALREADY_SCANNED"] > 19000 and sum(got.values()) == 20000
+
+
+def test_duplicate_skip_reads_the_fields_once(spark):
+    from cytomesh.plans import survey
+
+    plan = survey.duplicate_skip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def test_six_digits_round_as_the_sql(spark):
+    import duckdb
+
+    from cytomesh.sources import sinks
+
+    values = [100000.5, 100001.5, 250000.5, 0.1234565, 1234565.0, 1e6, 1e-5, 123456.5, 0.5, -2.5, 100.0, 0.0]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(sinks.six_digits("v").alias("t")).collect()]
+    assert got == [duckdb.execute("select format('{:.6g}', ?::double)", [v]).fetchone()[0] for v in values]
