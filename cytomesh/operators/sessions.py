@@ -22,11 +22,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(200, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
-def by_session(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, group: str = "session_id", order: str = "job_id") -> DataFrame:
+def by_session(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, group: str = "session_id", order: str | None = "job_id") -> DataFrame:
     """kernel over the columns of each session in order; a missing session has no fields to compare with (its columns hold "lone")."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
+        table = table.sort_by(order) if order else table
         columns = {c: table.column(c).to_numpy() for c in table.column_names if c != group}
         out = kernel(columns | {"lone": np.array(table.column(group)[0].as_py() is None)})
         n = len(next(iter(out.values())))
@@ -309,3 +309,101 @@ def coverage(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 COVERAGE = "session_id long, job_id long, a double, o long, u double, gap double"
+
+
+def outlined(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    kept = outline(np.stack([v[k].astype(float) for k in ("x0", "y0", "x1", "y1")]))
+    return {k: v[k][kept] for k in ("x0", "y0", "x1", "y1")}
+
+
+def covered(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """covered: the summed overlaps of each row with the earlier rows with mono, over its area, 1 at most; a row with 1 looks no further.
+
+    A row that meets none before it has 1 too: the query's SQL says so (least(1, null) is 1).
+    """
+    x, y, w, h = (v[k].astype(float) for k in "xywh")
+    sure = np.isfinite(np.stack([x, y, w, h])).all(axis=0)
+    p = np.flatnonzero(v["mono"].astype(bool) & sure & ~v["lone"])
+    limit, total = np.maximum(1.0, w * h), np.zeros(len(x))
+    if len(p):
+        b = boxes(x, y, w, h)
+        before = np.searchsorted(v["job_id"][p], v["job_id"])
+        todo = sure.copy()
+        for _, pairs in earlier(x, y, before, x[p], y[p], float(w[sure].max()) or 1.0, float(h[sure].max()) or 1.0, todo):
+            for i, k in pairs:
+                total += np.bincount(i, _shared(tuple(b[:, i]), tuple(b[:, p[k]])), len(x))
+            todo &= total < limit * (1 + 1e-9)
+    return {"job_id": v["job_id"], "covered": np.where(total > 0, np.minimum(1.0, total / limit), 1.0)}
+
+
+def latest_near(v: dict[str, np.ndarray], most: int = 8) -> dict[str, np.ndarray]:
+    """job_id, ref and distance: the last earlier rows with good, most at most, within a row's radius."""
+    x, y, radius = (v[k].astype(float) for k in ("x", "y", "radius"))
+    sure = np.isfinite(np.stack([x, y, radius])).all(axis=0)
+    p = np.flatnonzero(v["good"].astype(bool) & sure & ~v["lone"])
+    found, out = np.zeros(len(x), np.int64), []
+    if len(p):
+        before = np.searchsorted(v["job_id"][p], v["job_id"])
+        reach, todo = float(radius[sure].max()) or 1.0, sure.copy()
+        for _, pairs in earlier(x, y, before, x[p], y[p], reach, reach, todo):
+            for i, k in pairs:
+                dx, dy = x[i] - x[p[k]], y[i] - y[p[k]]
+                d = np.sqrt(dx * dx + dy * dy)
+                near = np.flatnonzero(d <= radius[i])
+                near = near[np.lexsort((-k[near], i[near]))]
+                i, k, d = i[near], k[near], d[near]
+                if len(i):
+                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+                    few = found[i] + rank < most
+                    out.append((i[few], p[k[few]], d[few]))
+                    found += np.bincount(i[few], minlength=len(x))
+            todo &= found < most
+    i, k, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return {"job_id": v["job_id"][i], "ref": v["job_id"][k], "distance": d}
+
+
+def layer(v: dict[str, np.ndarray], overlap_min: float = 0.25, demote: int = 2, covered_max: float = 0.8) -> dict[str, np.ndarray]:
+    """streaming.folds.layer over a whole session: footprints lie by grid cells of the largest field, and a field meets those of 3 x 3 cells.
+
+    One step is linear in the footprints that lie there, since each of them changes its counts.
+    """
+    x, y, w, h = (v[k].astype(float) for k in "xywh")
+    mono, weight = v["mono"].astype(bool), v["weight"]
+    n, f = len(x), np.flatnonzero(v["mono"].astype(bool))
+    out = {c: np.zeros(n, np.int64) for c in ("affirmed", "contradicted", "demoted", "restored")} | {"joined": np.zeros(n, bool)}
+    if len(f):
+        grid = Grid(x[f], y[f], float(w.max()), float(h.max()))
+        lo, hi = grid.window(x, y)
+        at = np.zeros(n, np.int64)
+        at[f[grid.order]] = np.arange(len(f))
+        box = boxes(x, y, w, h)
+        area = w * h
+        x0, y0, x1, y1 = np.full((4, len(f)), np.inf) * np.array([1, 1, -1, -1])[:, None]  # not there yet
+        size, agree, against, low = area[f[grid.order]], np.zeros(len(f), np.int64), np.zeros(len(f), np.int64), np.zeros(len(f), bool)
+        for j in range(n):
+            under = 0.0
+            for a, z in zip(lo[j].tolist(), hi[j].tolist(), strict=True):
+                if a == z:
+                    continue
+                part = np.maximum(0.0, np.minimum(box[2, j], x1[a:z]) - np.maximum(box[0, j], x0[a:z])) * np.maximum(0.0, np.minimum(box[3, j], y1[a:z]) - np.maximum(box[1, j], y0[a:z]))
+                hit = a + np.flatnonzero((part > 0) & (part / np.minimum(area[j], size[a:z]) >= overlap_min))
+                if mono[j]:
+                    agree[hit] += weight[j]
+                    back = hit[low[hit] & (agree[hit] > against[hit])]
+                    low[back] = False
+                    out["affirmed"][j] += len(hit)
+                    out["restored"][j] += len(back)
+                    under += float(part[~low[a:z]].sum())
+                else:
+                    against[hit] += weight[j]
+                    gone = hit[~low[hit] & (against[hit] >= demote) & (against[hit] > agree[hit])]
+                    low[gone] = True
+                    out["contradicted"][j] += len(hit)
+                    out["demoted"][j] += len(gone)
+            if mono[j]:
+                out["joined"][j] = min(1.0, under / max(1.0, area[j])) < covered_max
+                k = at[j]
+                x0[k], y0[k], x1[k], y1[k] = box[:, j]
+                agree[k] = int(out["joined"][j])
+    return {"job_id": v["job_id"]} | out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytomesh.operators import sessions
 from cytomesh.plans import views  # noqa: F401  (fills VIEWS)
-from cytomesh.plans.sql import VIEWS, duck, query
+from cytomesh.plans.sql import VIEWS, duck, query, view
 from cytomesh.plans.views import HEIGHT, MPX, WIDTH
 
 _OVERLAP = "greatest(0, least({a}.x + {a}.w / 2, {b}.x + {b}.w / 2) - greatest({a}.x - {a}.w / 2, {b}.x - {b}.w / 2)) * greatest(0, least({a}.y + {a}.h / 2, {b}.y + {b}.h / 2) - greatest({a}.y - {a}.h / 2, {b}.y - {b}.h / 2))"
@@ -272,20 +276,9 @@ select a.session_id, a.job_id, b.job_id as other, a.raw_class, a.human_label, b.
 from @field_buckets a join @field_buckets b on a.session_id = b.session_id and a.bx = b.bx and a.by = b.by and a.job_id <> b.job_id
   and abs(a.x - b.x) < (a.w + b.w) / 2 and abs(a.y - b.y) < (a.h + b.h) / 2
   and a.bx = floor(greatest(a.x - a.w / 2, b.x - b.w / 2) / a.bw) and a.by = floor(greatest(a.y - a.h / 2, b.y - b.h / 2) / a.bh)"""
-SPARK["covered_fraction"] = """
-select f.session_id, f.job_id, round(coalesce(least(1, p.overlap / greatest(1, f.w * f.h)), 0), 6) as covered from @fields f left join (
-  select session_id, job_id, sum(overlap) as overlap from @field_pairs where other < job_id and other_class = 'MONOLAYER' group by session_id, job_id) p on p.session_id = f.session_id and p.job_id = f.job_id"""
 SPARK["layer_overlaps"] = """
 select session_id, job_id, other as footprint, raw_class = 'MONOLAYER' as affirms, case when human_label is not null then 2 else 1 end as weight, round(overlap / least(area, other_area), 4) as overlap
 from @field_pairs where other_class = 'MONOLAYER' and overlap / least(area, other_area) >= 0.25"""
-VIEWS["near_buckets"] = "select *, 1.3 * sqrt(w * w + h * h) as radius, floor(x / (1.3 * sqrt(w * w + h * h))) as bx, floor(y / (1.3 * sqrt(w * w + h * h))) as by from @fields"
-SPARK["snap_candidates"] = """
-select session_id, job_id, ref, round(d, 6) as distance from (
-  select a.session_id, a.job_id, b.job_id as ref, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.session_id, a.job_id order by b.job_id desc) as k
-  from (select u.*, explode(sequence(by - 1, by + 1)) as ny from (select t.*, explode(sequence(bx - 1, bx + 1)) as nx from @near_buckets t) u) a
-  join @near_buckets b on a.session_id = b.session_id and a.nx = b.bx and a.ny = b.by and b.job_id < a.job_id and b.reg_state = 'REGISTRATION_GOOD'
-    and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.radius
-) t where k <= 8"""
 SPARK["point_in_any"] = """
 select distinct a.session_id, a.job_id from (select *, floor(x / bw) as px, floor(y / bh) as py from (select f.*, b.bw, b.bh from @fields f join (select session_id, max(w) as bw, max(h) as bh from @fields group by session_id) b on b.session_id = f.session_id) g where raw_class = 'TOO_THICK') a
 join @field_buckets b on b.session_id = a.session_id and b.bx = a.px and b.by = a.py and b.raw_class = 'MONOLAYER' and abs(a.x - b.x) <= b.w / 2 and abs(a.y - b.y) <= b.h / 2"""
@@ -298,5 +291,17 @@ select session_id, job_id, sweep_id, anchor_job from (
   window w as (partition by session_id order by job_id, is_field rows unbounded preceding)
 ) t where is_field"""
 
-QUERIES = {name: query(text) for name, text in (SQL | SPARK).items()}
+
+
+def covered_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = view(spark, sf_dir, "fields").selectExpr("session_id", "job_id", "x", "y", "w", "h", "coalesce(raw_class = 'MONOLAYER', false) as mono")
+    return sessions.by_session(fields, sessions.covered, "session_id long, job_id long, covered double").select("session_id", "job_id", F.round("covered", 6).alias("covered"))
+
+
+def snap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = view(spark, sf_dir, "fields").selectExpr("session_id", "job_id", "x", "y", "1.3D * sqrt(w * w + h * h) as radius", "coalesce(reg_state = 'REGISTRATION_GOOD', false) as good")
+    return sessions.by_session(fields, sessions.latest_near, "session_id long, job_id long, ref long, distance double").withColumn("distance", F.round("distance", 6))
+
+
+QUERIES = {name: query(text) for name, text in (SQL | SPARK).items()} | {f.__name__: f for f in (covered_fraction, snap_candidates)}
 ORACLE_SQL = {name: duck(text) for name, text in SQL.items()}

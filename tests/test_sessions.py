@@ -66,3 +66,47 @@ def test_six_digits_round_as_the_sql(spark):
     values = [100000.5, 100001.5, 250000.5, 0.1234565, 1234565.0, 1e6, 1e-5, 123456.5, 0.5, -2.5, 100.0, 0.0]
     got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(sinks.six_digits("v").alias("t")).collect()]
     assert got == [duckdb.execute("select format('{:.6g}', ?::double)", [v]).fetchone()[0] for v in values]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_rows_before_by_blocks(shape):
+    """Covered fractions and the last rows near, against all pairs."""
+    n = 300
+    x, y, w, h = some_fields(8, n, **shape)
+    flag, b = np.arange(n) % 3 > 0, sessions.boxes(x, y, w, h)
+    base = {"job_id": np.arange(5, 5 + n), "x": x, "y": y, "w": w, "h": h, "lone": np.array(False)}
+    got = sessions.covered(base | {"mono": flag})["covered"]
+    near = sessions.latest_near(base | {"good": flag, "radius": 1.3 * np.sqrt(w * w + h * h)})
+    near = set(zip(near["job_id"].tolist(), near["ref"].tolist(), strict=True))
+    want = set()
+    for j in range(n):
+        total = sum(sessions._shared(tuple(b[:, j]), tuple(b[:, k])) for k in range(j) if flag[k])
+        assert got[j] == pytest.approx(min(1.0, total / max(1.0, w[j] * h[j])) if total else 1.0)
+        refs = [k for k in range(j) if flag[k] and np.sqrt((x[j] - x[k]) ** 2 + (y[j] - y[k]) ** 2) <= 1.3 * np.sqrt(w[j] * w[j] + h[j] * h[j])]
+        want |= {(5 + j, 5 + k) for k in refs[-8:]}
+    assert near == want
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_layer_equals_its_fold(shape):
+    from cytomesh.streaming import folds
+
+    n = 300
+    x, y, w, h = some_fields(9, n, **shape)
+    mono, human = np.arange(n) % 5 < 3, np.arange(n) % 7 == 0
+    got = sessions.layer({"job_id": np.arange(n), "x": x, "y": y, "w": w, "h": h, "mono": mono, "weight": np.where(human, 2, 1), "lone": np.array(False)})
+    fold = folds.layer()
+    state = fold.start()
+    for j in range(n):
+        row = fold.step(state, {"x": x[j], "y": y[j], "w": w[j], "h": h[j], "raw_class": "MONOLAYER" if mono[j] else "X", "human_label": "M" if human[j] else None})
+        assert all(got[c][j] == v for c, v in row.items())
+
+
+def test_outline_has_the_union_of_all():
+    """Few of many boxes on one map: bands and boxes met in numbers that grew with their square."""
+    x, y, w, h = some_fields(2, 4000)
+    b = sessions.boxes(x, y, w, h)
+    kept = sessions.outline(b)
+    assert len(kept) < 400
+    inside = lambda c: sessions.united(b, np.full(4000, c.shape[1]), c)
+    assert np.allclose(inside(b[:, kept]), w * h)
