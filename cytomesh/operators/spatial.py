@@ -155,11 +155,16 @@ def group_components(edges: DataFrame, group: str = "image_id", key: str = "inst
 def union_bands(rects: DataFrame, group: str) -> DataFrame:
     """Disjoint rectangles (x0, y0, x1, y1) that cover the union of each group's rectangles.
 
-    Bands between neighbouring y edges; in a band, x intervals that meet are merged. Bands meet
-    rectangles by buckets along y, as high as the group's highest rectangle.
+    Rectangles on ground that others cover are left out first. Bands between neighbouring y edges; in a band,
+    x intervals that meet are merged. Bands meet rectangles by buckets along y, as high as the group's highest rectangle.
     """
     from pyspark.sql import Window
 
+    from cytomesh.operators import sessions
+
+    types = dict(rects.dtypes)
+    corners = rects.select(group, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).dropna()
+    rects = written(sessions.by_session(corners, sessions.outlined, f"{group} {types[group]}, x0 double, y0 double, x1 double, y1 double", group, None), "outline")
     edges = rects.select(group, F.explode(F.array("y0", "y1")).alias("b0")).distinct()
     bands = edges.withColumn("b1", F.lead("b0").over(Window.partitionBy(group).orderBy("b0"))).where("b1 is not null")
     side = rects.groupBy(group).agg(F.greatest(F.lit(1e-6), F.max(F.col("y1") - F.col("y0"))).alias("_side"))
