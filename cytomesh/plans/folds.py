@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cytomesh.operators import sessions
 from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
 from cytomesh.plans.sql import duck, view
 from cytomesh.streaming import folds
@@ -42,7 +43,9 @@ def nav_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monolayer_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.run(view(spark, sf_dir, "fields"), folds.layer(), "session_id", ("job_id",))
+    """The fold of streaming/folds.py over whole sessions, whose footprints lie in a grid."""
+    fields = view(spark, sf_dir, "fields").selectExpr("session_id", "job_id", "x", "y", "w", "h", "coalesce(raw_class = 'MONOLAYER', false) as mono", "if(human_label is null, 1L, 2L) as weight")
+    return sessions.by_session(fields, sessions.layer, "session_id long, job_id long, affirmed long, contradicted long, demoted long, restored long, joined boolean")
 
 
 def raster_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
