@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cytomesh.operators import kernels
+from cytomesh.operators.sessions import dealt
 
 
 def images_of(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,31 +68,52 @@ def fitted_homographies(points: DataFrame) -> DataFrame:
         spread = kernels.spread_fraction(src[inside], (1080, 1920)) if h is not None else 0.0
         return pd.DataFrame({"id": pdf["id"].iloc[:1], "n": len(src), "inliers": int(inside.sum()), "reprojection": error, "spread": spread})
 
-    return points.groupBy("id").applyInPandas(fitted, "id long, n long, inliers long, reprojection double, spread double")
+    return dealt(points, "id").groupBy("id").applyInPandas(fitted, "id long, n long, inliers long, reprojection double, spread double")
 
 
 def region_shapes(runs: DataFrame) -> DataFrame:
     """Perimeter, circularity, solidity, axes, eccentricity and elongation of every labelled region of mask_runs."""
 
-    def shaped(pdf: pd.DataFrame) -> pd.DataFrame:
+    known: dict[bytes, tuple] = {}  # measures of a shape, wherever it lies
+
+    def measured(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        mask = np.zeros((y.max() + 1, b.max()), bool)
+        for row, x0, x1 in zip(y, a, b, strict=True):
+            mask[row, x0:x1] = True
+        corners = np.concatenate([np.stack([x, y + k], axis=1) for x in (a, b) for k in (0, 1)])
+        ys, xs = np.nonzero(mask)
+        n, length = len(xs), kernels.perimeter(mask)
+        vx, vy, cov = xs.var() + 1 / 12, ys.var() + 1 / 12, ((xs - xs.mean()) * (ys - ys.mean())).mean()
+        root = np.hypot((vx - vy) / 2, cov)
+        major, minor = 4 * np.sqrt((vx + vy) / 2 + root), 4 * np.sqrt(max((vx + vy) / 2 - root, 0))
+        circularity = 4 * np.pi * n / length**2 if length > 0 else None
+        return n, length, circularity, n / kernels.polygon_area(kernels.convex_hull(corners)), major, minor, np.sqrt(max(0.0, 1 - (minor / major) ** 2)), major / minor if minor > 0 else np.inf
+
+    def shaped(table: pa.Table) -> pa.Table:
+        label, *run = (table.column(c).to_numpy() for c in ("label", "row_no", "x0", "x1"))
+        order = np.lexsort((run[1], run[0], label))
+        label, y, a, b = label[order], *(c[order] for c in run)
+        starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        each = np.diff(np.r_[starts, len(label)])
+        top, left = (np.repeat(np.minimum.reduceat(c, starts), each) for c in (y, a))
+        runs = np.stack([y - top, a - left, b - left], axis=1)
         out = []
-        for label, part in pdf.groupby("label", sort=False):
-            y, a, b = (part[c].to_numpy() for c in ("row_no", "x0", "x1"))
-            y, left = y - y.min(), a.min()
-            mask = np.zeros((y.max() + 1, b.max() - left), bool)
-            for row, x0, x1 in zip(y, a - left, b - left, strict=True):
-                mask[row, x0:x1] = True
-            corners = np.concatenate([np.stack([x, y + k], axis=1) for x in (a, b) for k in (0, 1)])
-            ys, xs = np.nonzero(mask)
-            n, length = len(xs), kernels.perimeter(mask)
-            vx, vy, cov = xs.var() + 1 / 12, ys.var() + 1 / 12, ((xs - xs.mean()) * (ys - ys.mean())).mean()
-            root = np.hypot((vx - vy) / 2, cov)
-            major, minor = 4 * np.sqrt((vx + vy) / 2 + root), 4 * np.sqrt(max((vx + vy) / 2 - root, 0))
-            circularity = 4 * np.pi * n / length**2 if length > 0 else None
-            out.append((pdf["image_id"].iloc[0], label, n, length, circularity, n / kernels.polygon_area(kernels.convex_hull(corners)), major, minor, np.sqrt(max(0.0, 1 - (minor / major) ** 2)), major / minor if minor > 0 else np.inf))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SHAPES.split(", ")])
-
-    return runs.groupBy("image_id").applyInPandas(shaped, SHAPES)
-
-
+        for at, n in zip(starts.tolist(), each.tolist(), strict=True):
+            one = runs[at : at + n]
+            key = one.tobytes()
+            if key not in known:
+                if len(known) >= MOST_SHAPES:
+                    known.clear()
+                known[key] = measured(*one.T)
+            out.append(known[key])
+        columns = dict(zip([c.split()[0] for c in SHAPES.split(", ")][2:], zip(*out, strict=True), strict=True))
+        types = [c.split()[1] for c in SHAPES.split(", ")][2:]
+        image = table.column("image_id")[:1].to_pylist() * len(starts)
+        return pa.table({"image_id": pa.array(image, pa.int64()), "label": pa.array(label[starts])} | {c: pa.array(v, pa.int64() if t == "long" else pa.float64()) for (c, v), t in zip(columns.items(), types, strict=True)})
+
+    return runs.groupBy("image_id").applyInArrow(shaped, SHAPES)
+
+
+#: Different shapes that a task remembers.
+MOST_SHAPES = 10_000
 SHAPES = "image_id long, label long, area_px long, perimeter double, circularity double, solidity double, axis_major double, axis_minor double, eccentricity double, elongation double"

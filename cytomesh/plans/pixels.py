@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.operators import frames, spatial
+from cytomesh.operators.sessions import dealt
 from cytomesh.plans import relational, survey  # noqa: F401  (fill VIEWS)
 from cytomesh.plans.spatial import _rounded
 from cytomesh.plans.sql import duck, query, view
@@ -22,14 +23,14 @@ def _array(rule: str, width: int, height: int, ox: str = "0", oy: str = "0") ->
 
 
 def frame_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id").selectExpr("id as image_id", f"{H} as height", f"{W} as width", f"{_array(_PIXEL, W, H)} as pixels")
+    images = dealt(view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id"), "id").selectExpr("id as image_id", f"{H} as height", f"{W} as width", f"{_array(_PIXEL, W, H)} as pixels")
     out = frames.frame_features(images, W // 2)
     return _rounded(out.select("image_id", "sharpness", "brightness", "contrast", "saturation", "over_pct", "under_pct", "screen_occupancy", "screen_texture", "screen_brightness", "screen_verdict", "raw_std"))
 
 
 def frame_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops of one texture, moved by a known shift."""
-    rows = view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id")
+    rows = dealt(view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id"), "id")  # few bytes, much work
     rows = rows.selectExpr("id as image_id", f"{SIDE} as height", f"{SIDE} as width", f"{_array(_NOISE, SIDE, SIDE, '20', '20')} as pixels", f"{_array(_NOISE, SIDE, SIDE, '20 + id % 9 - 4', '20 + id % 7 - 3')} as other")
     return frames.shifts(rows).drop("response").withColumn("ncc", F.round("ncc", 6))
 

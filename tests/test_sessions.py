@@ -110,3 +110,20 @@ def test_outline_has_the_union_of_all():
     assert len(kept) < 400
     inside = lambda c: sessions.united(b, np.full(4000, c.shape[1]), c)
     assert np.allclose(inside(b[:, kept]), w * h)
+
+
+def test_images_of_a_small_table_are_dealt(spark):
+    """One file of suppliers was one task, whatever the images cost."""
+    from cytomesh.plans import pixels
+
+    for f in (pixels.frame_shifts, pixels.frame_measures):
+        assert f(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 200
+
+
+def test_shapes_of_runs_in_any_order(spark):
+    from cytomesh.operators import frames
+
+    runs = [(1, label, label + y, 3 * label, 3 * label + 5 - label % 2 * (y == 4)) for label in range(50) for y in range(5)]
+    rows = spark.createDataFrame(runs[::-1], "image_id long, label long, row_no long, x0 long, x1 long")
+    shapes = {r.label: (r.area_px, r.perimeter, r.solidity) for r in frames.region_shapes(rows).collect()}
+    assert len(shapes) == 50 and all(v[0] == 25 - k % 2 and (v == (25, 16.0, 1.0)) == (k % 2 == 0) for k, v in shapes.items())
