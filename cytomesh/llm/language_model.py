@@ -313,7 +313,8 @@ def train_round(docs: DataFrame, model: Model, start: bool) -> None:
         return pa.table(out | {"part": group["part"][:1]})
 
     schema = ", ".join([f"{names[0]} int", *(f"{c} binary" for c in names[1:]), "part long"])
-    sums = docs.mapInArrow(summed, schema)
+    # A task's sums have a fixed size, however few rows it has: two tasks a core, not one for each piece of a file.
+    sums = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(summed, schema)
     for step in (ADDED, ADDED**2, None):
         sums = sums.groupBy("slice", *[F.expr(f"part div {step}").alias("g")] * (step is not None)).applyInArrow(added, schema)
     rows = sorted(sums.collect(), key=lambda r: r["slice"])  # the sums' fixed size
