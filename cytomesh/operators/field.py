@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.operators.spatial import group_components, nearest, pairs_to, pairs_within
-from cytomesh.session import written
+from cytomesh.operators import images
 
 
 @dataclass(frozen=True)
@@ -48,71 +48,43 @@ class FieldConfig:
         return mx, my, self.width - mx, self.height - my
 
 
-def in_roi(points: DataFrame, cfg: FieldConfig) -> DataFrame:
-    x0, y0, x1, y1 = cfg.roi
-    return points.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+_POINT = ("x", "y", "r", "median_diameter")
 
 
 def neighbour_features(points: DataFrame, group: str = "image_id") -> DataFrame:
     """Nearest-neighbour distances and edge gaps of each group (points carry r and median_diameter)."""
-    nn = nearest(points, group, carry=("r",)).join(points.select(group, "instance_id", "r", "median_diameter"), [group, "instance_id"])
-    nn = nn.withColumn("gap", F.col("d") - F.col("r") - F.col("r2"))
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return nn.groupBy(group).agg(
-        F.count("*").alias("n_nn"), p("d", 0.5).alias("nn_median"), F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("nn_std"),
-        p("d", 0.1).alias("nn_p10"), p("d", 0.25).alias("nn_p25"), p("d", 0.75).alias("nn_p75"), p("d", 0.9).alias("nn_p90"),
-        (p("d", 0.5) / F.max("median_diameter")).alias("nn_median_norm"), p("gap", 0.5).alias("gap_median"), (p("gap", 0.5) / F.max("median_diameter")).alias("gap_median_norm"),
-    )
-
-
-#: Cells of more than so many median radii are compared apart, so that one of them doesn't widen every comparison.
-WIDE = 1.5
+    return images.by_image(points.select(group, "instance_id", *_POINT), images.neighbours, images.NEIGHBOURS, group)
 
 
 def contact_ratio(points: DataFrame, margin: float = 0.15, group: str = "image_id") -> DataFrame:
     """Share of points in contact: centres within both radii and a margin of the diameter."""
-    widest = points.groupBy(group).agg(F.max("r").alias("r_max"), (WIDE * F.percentile("r", F.lit(0.5))).alias("cap"))
-    sized = points.join(widest, group)
-    carry = ("r", "median_diameter")
-    touching = (F.col("d") <= F.col("r") + F.col("r2") + margin * F.col("median_diameter")) & (F.col("instance_id") != F.col("instance_id2"))
-    plain = pairs_within(sized.where("r <= cap"), 2 * F.col("cap") + margin * F.col("median_diameter"), group, carry=carry)
-    wide = pairs_to(sized.where("r > cap"), sized, 2 * F.col("r_max") + margin * F.col("median_diameter"), group, carry=carry)
-    both = plain.unionByName(wide).where(touching)
-    ends = both.select(group, F.explode(F.array("instance_id", "instance_id2")).alias("instance_id")).distinct()
-    hit = ends.groupBy(group).agg(F.count("*").alias("n_contact"))
-    return points.groupBy(group).agg(F.count("*").alias("n")).join(hit, group, "left").select(group, "n", F.coalesce("n_contact", F.lit(0)).alias("n_contact"), (F.coalesce("n_contact", F.lit(0)) / F.col("n")).alias("contact_ratio"))
+    return images.by_image(points.select(group, *_POINT), lambda v: images.contacts(v, margin), images.CONTACTS, group)
 
 
-def near_edges(points: DataFrame, near: float = 1.5, group: str = "image_id") -> DataFrame:
-    """Pairs of cells within some diameters of each other."""
-    return pairs_within(points, near * F.col("median_diameter"), group).select(group, "instance_id", "instance_id2")
+def degrees(points: DataFrame, near: float = 1.5, group: str = "image_id") -> DataFrame:
+    """Close-neighbour counts; forward counts an edge at its smaller end only."""
+    return images.by_image(points.select(group, "instance_id", "x", "y", "median_diameter"), lambda v: images.graph(v, near, 1), images.DEGREES, group)
 
 
-def degrees(points: DataFrame, near: float = 1.5, group: str = "image_id", edges: DataFrame | None = None) -> DataFrame:
-    """Close-neighbour counts; forward counts an edge at its smaller end only."""
-    edges = near_edges(points, near, group) if edges is None else edges
-    ends = edges.select(group, F.col("instance_id"), F.lit(1).alias("forward")).unionAll(edges.select(group, F.col("instance_id2"), F.lit(0)))
-    ends = ends.groupBy(group, "instance_id").agg(F.count("*").alias("degree"), F.sum("forward").alias("forward"))
-    by = points.select(group, "instance_id").join(ends, [group, "instance_id"], "left").na.fill(0)
-    share = lambda cond: 100 * F.avg(cond.cast("double"))
-    return by.groupBy(group).agg(
-        share(F.col("degree") == 0).alias("pct_0"), share(F.col("degree") == 1).alias("pct_1"), share(F.col("degree") == 2).alias("pct_2"), share(F.col("degree") >= 3).alias("pct_3plus"),
-        F.avg("degree").alias("mean_degree"), F.percentile("degree", F.lit(0.5)).alias("median_degree"), share(F.col("forward") == 0).alias("graph_isolated_pct"), F.avg("forward").alias("graph_mean_degree"),
-    )
-
-
-def clusters(points: DataFrame, near: float = 1.5, large: int = 30, group: str = "image_id", edges: DataFrame | None = None) -> DataFrame:
+def clusters(points: DataFrame, near: float = 1.5, large: int = 30, group: str = "image_id") -> DataFrame:
     """Components of the close-neighbour graph of each group."""
-    edges = near_edges(points, near, group) if edges is None else edges
-    label = group_components(edges, group)
-    sizes = points.select(group, "instance_id").join(label, [group, "instance_id"], "left").withColumn("component", F.coalesce("component", "instance_id")).groupBy(group, "component").agg(F.count("*").alias("size"))
-    big = F.when(F.col("size") >= 2, F.col("size"))
-    n = F.sum("size")
-    return sizes.groupBy(group).agg(
-        F.count("*").alias("n_clusters"), F.max("size").alias("largest"), F.coalesce(F.percentile(big, F.lit(0.5)), F.lit(0.0)).alias("median_cluster"),
-        (100 * F.avg((F.col("size") == 1).cast("double"))).alias("isolated_pct"), (F.max("size") / n).alias("largest_fraction"),
-        (100 * F.coalesce(F.sum(big), F.lit(0)) / n).alias("clustered_pct"), (100 * F.coalesce(F.sum(F.when(F.col("size") >= large, F.col("size"))), F.lit(0)) / n).alias("large_pct"),
-    )
+    return images.by_image(points.select(group, "x", "y", "median_diameter"), lambda v: images.graph(v, near, large), images.CLUSTERS, group)
+
+
+def image_features(flagged: DataFrame, margin: float = 0.15, group: str = "image_id") -> DataFrame:
+    """Counts, spacing and contact of the candidates of each group, all from one pass over its flagged cells."""
+
+    def kernel(v: dict[str, np.ndarray]) -> dict:
+        points = {c: a[v["candidate"]] for c, a in v.items()}
+        n = len(points["x"])
+        return {"n_total": len(v["x"]), "n_candidate": n} | (images.neighbours(points) or {}) | (images.contacts(points, margin) if n else {})
+
+    rows = flagged.select(group, "instance_id", *_POINT, _sure("candidate"))
+    return images.by_image(rows, kernel, "n_total long, n_candidate long, nn_median double, gap_median_norm double, contact_ratio double", group)
+
+
+def _sure(flag: str) -> Column:
+    return F.coalesce(F.col(flag), F.lit(False)).alias(flag)
 
 
 def _tri(x: Column, lo: float, hi: float, wing: float) -> Column:
@@ -122,25 +94,28 @@ def _tri(x: Column, lo: float, hi: float, wing: float) -> Column:
 
 
 def field_features(flagged: DataFrame, cfg: FieldConfig = FieldConfig()) -> DataFrame:
-    """One row of features for each image of flagged cells.
+    """One row of features for each image of flagged cells, all from one pass over them.
 
     Coverage is the candidates' area inside the valid region (by centroid) over its area.
     """
     x0, y0, x1, y1 = cfg.roi
-    area = float((x1 - x0) * (y1 - y0))
-    counts = flagged.groupBy("image_id").agg(F.count("*").alias("n_cells"), F.sum(F.col("candidate").cast("int")).alias("n_candidates"), F.max("median_diameter").alias("diameter"))
-    points = in_roi(flagged.where("candidate"), cfg).select("image_id", "instance_id", "x", "y", "r", "area", "median_diameter")
-    points = written(points, "valid")
-    edges = written(near_edges(points, cfg.near_diameters), "edges")  # degrees and clusters share them
-    base = points.groupBy("image_id").agg(F.count("*").alias("n_valid"), (F.sum("area") / area).alias("coverage"))
-    g = cfg.grid
-    tile = F.struct(F.least(F.lit(g - 1), F.floor((F.col("x") - x0) * g / (x1 - x0))), F.least(F.lit(g - 1), F.floor((F.col("y") - y0) * g / (y1 - y0))))
-    tiles = points.groupBy("image_id", tile.alias("tile")).agg(F.count("*").alias("k"))
-    mean = F.sum("k") / (g * g)
-    tiles = tiles.groupBy("image_id").agg((F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * F.col("k")) / (g * g) - mean * mean)) / mean).alias("density_cv"))
-    out = counts.join(base, "image_id", "left").join(neighbour_features(points), "image_id", "left").join(contact_ratio(points, cfg.contact_margin).drop("n"), "image_id", "left")
-    out = out.join(degrees(points, edges=edges), "image_id", "left").join(clusters(points, large=cfg.large_cluster, edges=edges), "image_id", "left").join(tiles, "image_id", "left")
-    return out.withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).withColumn("density", F.col("n_valid") / (area / 1e6))
+    area, g = float((x1 - x0) * (y1 - y0)), cfg.grid
+
+    def kernel(v: dict[str, np.ndarray]) -> dict:
+        x, y = v["x"], v["y"]
+        points = {c: a[v["candidate"] & (x >= x0) & (x < x1) & (y >= y0) & (y < y1)] for c, a in v.items()}
+        n = len(points["x"])
+        out = {"n_cells": len(x), "n_candidates": int(v["candidate"].sum()), "diameter": v["median_diameter"].max(), "n_valid": n, "density": n / (area / 1e6)}
+        if not n:
+            return out
+        tx, ty = (np.minimum(g - 1, np.floor((points[c] - lo) * g / (hi - lo))).astype(np.int64) for c, lo, hi in (("x", x0, x1), ("y", y0, y1)))
+        k = np.bincount(tx * g + ty)
+        mean = n / (g * g)
+        out |= {"coverage": points["area"].sum() / area, "density_cv": max(0.0, float((k * k).sum()) / (g * g) - mean * mean) ** 0.5 / mean}
+        return out | (images.neighbours(points) or {}) | images.contacts(points, cfg.contact_margin) | images.graph(points, cfg.near_diameters, cfg.large_cluster)
+
+    columns = ["n_cells long, n_candidates long, diameter double, n_valid long, coverage double", images.NEIGHBOURS, images.CONTACTS.removeprefix("n long, "), images.DEGREES, images.CLUSTERS, "density_cv double, density double"]
+    return images.by_image(flagged.select("image_id", "instance_id", *_POINT, "area", _sure("candidate")), kernel, ", ".join(columns))
 
 
 def score(features: DataFrame, cfg: FieldConfig = FieldConfig()) -> DataFrame:

@@ -45,15 +45,6 @@ def pairs_within(points: DataFrame, radius: Column, group: str = "image_id", key
     return met.select(group, *sides, "d")
 
 
-def pairs_to(few: DataFrame, points: DataFrame, radius: Column, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each of a few points with every point of its group at most radius away (itself included), columns as in pairs_within."""
-    own = [key, "x", "y", *carry]
-    here = _bucketed(few.select(group, *own, radius.alias("_size")), F.col("_size"), True)
-    there = _bucketed(points.select(group, *own, radius.alias("_size")), F.col("_size"), False).drop("_size").select(group, "bx", "by", *[F.col(c).alias(f"{c}2") for c in own])
-    met = here.join(there, [group, "bx", "by"]).withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).where(F.col("d") <= F.col("_size"))
-    return met.select(group, *[a for c in own for a in (c, f"{c}2")], "d")
-
-
 def nearest(points: DataFrame, group: str = "image_id", key: str = "instance_id", carry: tuple[str, ...] = ("r",)) -> DataFrame:
     """Each point's nearest other point of its group: nn (key), d and the carried columns as c2.
 

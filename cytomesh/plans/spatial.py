@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cytomesh.operators import field, sessions, spatial
 from cytomesh.plans import relational  # noqa: F401  (fills VIEWS)
 from cytomesh.plans.sql import VIEWS, duck, view
-from cytomesh.session import bound_batches, written
+from cytomesh.session import bound_batches
 
 #: For the queries on fields: counts of this data's images, about 300 in the valid region.
 CONFIG = field.FieldConfig(count_min=560, count_max=620, density=(180.0, 320.0, 100.0), coverage=(0.15, 0.25, 0.1), thin_coverage=0.12, thin_spacing=1.2)
@@ -24,38 +24,31 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates as a table: every spatial operator reads them several times."""
-    return written(view(spark, sf_dir, "points"), "points")
-
-
 def nn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(field.neighbour_features(_points(spark, sf_dir)))
+    return _rounded(field.neighbour_features(view(spark, sf_dir, "points")))
 
 
 def contact_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(field.contact_ratio(_points(spark, sf_dir)))
+    return _rounded(field.contact_ratio(view(spark, sf_dir, "points")))
 
 
 def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(field.degrees(_points(spark, sf_dir)))
+    return _rounded(field.degrees(view(spark, sf_dir, "points")))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(field.clusters(_points(spark, sf_dir)))
+    return _rounded(field.clusters(view(spark, sf_dir, "points")))
 
 
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = view(spark, sf_dir, "image_counts").select("image_id", "n_total", "n_candidate")
-    points = _points(spark, sf_dir)
-    return _rounded(counts.join(field.neighbour_features(points).select("image_id", "nn_median", "gap_median_norm"), "image_id", "left").join(field.contact_ratio(points).select("image_id", "contact_ratio"), "image_id", "left"))
+    return _rounded(field.image_features(view(spark, sf_dir, "flagged")))
 
 
 _CLASSED = ("image_id", "n_candidates", "n_valid", "density", "coverage", "density_cv", "largest_fraction", "mean_degree", "score", "thick_signals", "thin_signals", "class")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field.score(field.field_features(written(view(spark, sf_dir, "flagged"), "flagged"), CONFIG), CONFIG)
+    return field.score(field.field_features(view(spark, sf_dir, "flagged"), CONFIG), CONFIG)
 
 
 def classify_field(spark: SparkSession, sf_dir: str) -> DataFrame:
