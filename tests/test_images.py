@@ -88,3 +88,7 @@ def test_graph_is_united_over_pieces(monkeypatch):
     whole = images.graph({"x": x, "y": y, "median_diameter": np.full(len(x), 14.0)}, 1.5, 5)
     monkeypatch.setattr(sessions, "PAIRS", 10)
     assert images.graph({"x": x, "y": y, "median_diameter": np.full(len(x), 14.0)}, 1.5, 5) == whole and 1 < whole["largest"] < len(x)
+
+
+def test_image_features_of_odd_cells(spark, odd):
+    agrees(spark, odd, "image_features")
