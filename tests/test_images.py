@@ -92,3 +92,7 @@ def test_graph_is_united_over_pieces(monkeypatch):
 
 def test_image_features_of_odd_cells(spark, odd):
     agrees(spark, odd, "image_features")
+
+
+def test_classify_field_of_odd_cells(spark, odd):
+    agrees(spark, odd, "classify_field")
