@@ -96,3 +96,7 @@ def test_image_features_of_odd_cells(spark, odd):
 
 def test_classify_field_of_odd_cells(spark, odd):
     agrees(spark, odd, "classify_field")
+
+
+def test_classify_dark_field_of_odd_cells(spark, odd):
+    agrees(spark, odd, "classify_dark_field")
