@@ -100,3 +100,7 @@ def test_classify_field_of_odd_cells(spark, odd):
 
 def test_classify_dark_field_of_odd_cells(spark, odd):
     agrees(spark, odd, "classify_dark_field")
+
+
+def test_contact_ratio_of_odd_cells(spark, odd):
+    agrees(spark, odd, "contact_ratio")
