@@ -104,3 +104,7 @@ def test_classify_dark_field_of_odd_cells(spark, odd):
 
 def test_contact_ratio_of_odd_cells(spark, odd):
     agrees(spark, odd, "contact_ratio")
+
+
+def test_clusters_of_odd_cells(spark, odd):
+    agrees(spark, odd, "clusters")
