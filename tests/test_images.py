@@ -108,3 +108,7 @@ def test_contact_ratio_of_odd_cells(spark, odd):
 
 def test_clusters_of_odd_cells(spark, odd):
     agrees(spark, odd, "clusters")
+
+
+def test_degree_distribution_of_odd_cells(spark, odd):
+    agrees(spark, odd, "degree_distribution")
