@@ -202,3 +202,17 @@ def graph(v: dict[str, np.ndarray], near: float, large: int) -> dict:
 
 DEGREES = "pct_0 double, pct_1 double, pct_2 double, pct_3plus double, mean_degree double, median_degree double, graph_isolated_pct double, graph_mean_degree double"
 CLUSTERS = "n_clusters long, largest long, median_cluster double, isolated_pct double, largest_fraction double, clustered_pct double, large_pct double"
+
+
+def matches(v: dict[str, np.ndarray]) -> dict | None:
+    """Cells without r matched to the nearest one with r: a match lies within 0.75 of the median r, 2 at least."""
+    x, y, r = v["x"], v["y"], v["r"].astype(float)
+    to = ~np.isnan(r)
+    if to.all() or not to.any():
+        return None
+    d = nearest(x[~to], y[~to], x[to], y[to])[0].round(6)
+    hit = d <= max(2.0, 0.75 * float(np.median(r[to])))
+    return {"n_parent": int(to.sum()), "n_child": len(d), "n_matched": int(hit.sum()), "match_pct": 100 * int(hit.sum()) / len(d), "median_error": _at(d[hit], 0.5)[0]}
+
+
+MATCHES = "n_parent long, n_child long, n_matched long, match_pct double, median_error double"

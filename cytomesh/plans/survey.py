@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cytomesh.operators import images
 from cytomesh.operators import spatial as ops
 from cytomesh.plans import live
 from cytomesh.plans.spatial import _COVERAGE, _GRID, _grid, _rounded, coverage
@@ -136,14 +137,9 @@ def layer_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroid_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each even image, brought into the frame of the image before it, matched to its nearest cells."""
-    points = written(view(spark, sf_dir, "points").select("image_id", "instance_id", "x", "y", "r"), "points")
-    parent = points.where("image_id % 2 = 1").withColumnRenamed("image_id", "pair")
-    child = points.where("image_id % 2 = 0").selectExpr("image_id - 1 as pair", "instance_id", "480 + x / 2 as x", "270 + y / 2 as y")
-    near = ops.nearest_target(child, parent.withColumnRenamed("instance_id", "parent"), "pair", "instance_id", "parent", 6)
-    size = parent.groupBy("pair").agg(F.count("*").alias("n_parent"), F.greatest(0.75 * F.percentile("r", 0.5), F.lit(2.0)).alias("threshold"))
-    hit = F.col("d") <= F.col("threshold")
-    out = near.join(F.broadcast(size), "pair").groupBy("pair").agg(F.max("n_parent").alias("n_parent"), F.count("*").alias("n_child"), F.sum(hit.cast("long")).alias("n_matched"), (F.sum(hit.cast("long")) * 100.0 / F.count("*")).alias("match_pct"), F.percentile(F.when(hit, F.col("d")), 0.5).alias("median_error"))
-    return _rounded(out)
+    points = view(spark, sf_dir, "points").where("image_id % 2 in (0, 1)")
+    cells = points.selectExpr("if(image_id % 2 = 1, image_id, image_id - 1) as pair", "if(image_id % 2 = 1, x, 480 + x / 2) as x", "if(image_id % 2 = 1, y, 270 + y / 2) as y", "if(image_id % 2 = 1, r, null) as r")
+    return _rounded(images.by_image(cells, images.matches, images.MATCHES, "pair"))
 
 
 QUERIES = {f.__name__: f for f in (duplicate_skip, live_preview, semantic_hysteresis, closed_cells, pose_containment, exploration, grid_revisit, layer_iou, centroid_matches)}

@@ -112,3 +112,7 @@ def test_clusters_of_odd_cells(spark, odd):
 
 def test_degree_distribution_of_odd_cells(spark, odd):
     agrees(spark, odd, "degree_distribution")
+
+
+def test_centroid_matches_of_odd_cells(spark, odd):
+    agrees(spark, odd, "centroid_matches", 2)
