@@ -83,7 +83,25 @@ from (
   ) s
 ) t"""
 
-QUERIES = {name: query(text) for name, text in SQL.items()} | {f.__name__: f for f in (frame_measures, frame_shifts, fitted_homographies, region_shape, green_regions, outer_contours)}
+# ---- forms that Spark runs in place of the SQL above
+SPARK: dict[str, str] = {}
+# Sums over the runs as they come, in integers, and moved to the region's corner afterwards: the runs are read once.
+SPARK["mask_axes"] = """
+select image_id, label, round(4 * sqrt((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cv * cv)), 4) as axis_major, round(4 * sqrt(greatest(0, (vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + cv * cv))), 4) as axis_minor
+from (
+  select image_id, label, sxx / n - (sx / n) * (sx / n) + 1 / 12.0 as vx, syy / n - (sy / n) * (sy / n) + 1 / 12.0 as vy, sxy / n - (sx / n) * (sy / n) as cv
+  from (
+    select image_id, label, cast(n as double) as n, (m - 2 * cx * n) / 2.0 as sx, cast(y - cy * n as double) as sy, (mm - 4 * cx * m + 4 * cx * cx * n) / 4.0 + w3 / 12.0 as sxx,
+      cast(yy - 2 * cy * y + cy * cy * n as double) as syy, (ym - 2 * cx * y - cy * m + 2 * cx * cy * n) / 2.0 as sxy
+    from (
+      select image_id, label, min(x0) as cx, min(row_no) as cy, sum(w) as n, sum(w * m) as m, sum(w * m * m) as mm, sum(w * (w * w - 1)) as w3, sum(w * row_no) as y, sum(w * row_no * row_no) as yy, sum(w * row_no * m) as ym
+      from (select image_id, label, row_no, x0, x1 - x0 as w, x0 + x1 - 1 as m from @mask_runs) r group by image_id, label
+    ) a
+  ) s
+) t
+where image_id is not null"""
+
+QUERIES = {name: query(text) for name, text in (SQL | SPARK).items()} | {f.__name__: f for f in (frame_measures, frame_shifts, fitted_homographies, region_shape, green_regions, outer_contours)}
 
 _REFLECT = lambda v, n: f"case when {v} < 0 then -({v}) when {v} >= {n} then 2 * {n} - 2 - ({v}) else {v} end"
 _MASK = "with recursive " + survey._GREEN + ", cells as (select session_id, node, gx, gy, x, y from mask)"

@@ -116,3 +116,7 @@ def test_degree_distribution_of_odd_cells(spark, odd):
 
 def test_centroid_matches_of_odd_cells(spark, odd):
     agrees(spark, odd, "centroid_matches", 2)
+
+
+def test_mask_axes_of_odd_cells(spark, odd):
+    agrees(spark, odd, "mask_axes")
