@@ -12,7 +12,9 @@ def six_digits(column: str) -> Column:
 
     @F.arrow_udf("string")
     def text(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None or v != v else f"{v:.6g}" for v in values.to_pylist()], pa.string())
+        known = values.dictionary_encode()  # a value that comes again is formatted once
+        few = pa.array([None if v is None or v != v else f"{v:.6g}" for v in known.dictionary.to_pylist()], pa.string())
+        return few.take(known.indices)
 
     return text(F.col(column))
 

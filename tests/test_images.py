@@ -120,3 +120,10 @@ def test_centroid_matches_of_odd_cells(spark, odd):
 
 def test_mask_axes_of_odd_cells(spark, odd):
     agrees(spark, odd, "mask_axes")
+
+
+def test_cells_csv_formats_a_value_once(spark, odd):
+    agrees(spark, odd, "cells_csv", 0)  # reads the files; the shuffle was before
+    from cytomesh.plans.sql import view
+
+    one_shuffle(spark, view(spark, odd, "flagged"))
