@@ -26,7 +26,7 @@ def cells_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell table in a folder for each image; image_id comes back from the folder names."""
     path = scratch_path(spark, "cells")
     sinks.write_cells(view(spark, sf_dir, "flagged").select("image_id", "instance_id", "area", "candidate"), path)
-    return spark.read.parquet(path).select(F.col("image_id").cast("long").alias("image_id"), "instance_id", "area", "candidate")
+    return readers.cells_by_image(spark, path, "instance_id long, area double, candidate boolean, image_id long").select("image_id", "instance_id", "area", "candidate")
 
 
 def images_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,17 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, nullValue="", enforceSchema=True)
 
 
+def cells_by_image(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table with a folder for each image. Folders are listed some to a task, and no file is opened for its columns."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(200, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def scan_map(spark: SparkSession, path: str, field_schema: str) -> DataFrame:
     """The fields of a saved scan map, one row each."""
     return spark.read.schema(f"fields array<struct<{field_schema}>>").json(path, multiLine=True).select(F.explode("fields").alias("f")).select("f.*")

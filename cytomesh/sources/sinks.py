@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,34 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 
 def write_cells(df: DataFrame, path: str, by: str = "image_id") -> None:
-    """The cell table, one folder for each image."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """The cell table, one folder for each image.
+
+    In a shared folder of scheme file a task writes the files of its images itself: there the JVM starts a process for the rights of
+    every file, which takes longer than the file. A file has one name and is moved to it when whole, so a task can be repeated.
+    """
+    from pyspark.sql.types import IntegerType, LongType
+
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file" or not isinstance(df.schema[by].dataType, (IntegerType, LongType)):
+        df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+        return
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    folder = target.toUri().getPath()
+
+    def save(table: pa.Table) -> pa.Table:
+        key = table.column(by)[0].as_py()
+        own = os.path.join(folder, f"{by}={'__HIVE_DEFAULT_PARTITION__' if key is None else key}")
+        os.makedirs(own, exist_ok=True)
+        part = os.path.join(own, f".{uuid.uuid4().hex}")  # readers pass over such names
+        pq.write_table(table.drop_columns([by]), part)
+        os.replace(part, os.path.join(own, "part-0.parquet"))
+        return pa.table({"n": [len(table)]})
+
+    df.groupBy(by).applyInArrow(save, "n long").agg(F.sum("n")).collect()
+    fs.create(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")).close()
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -127,3 +127,19 @@ def test_cells_csv_formats_a_value_once(spark, odd):
     from cytomesh.plans.sql import view
 
     one_shuffle(spark, view(spark, odd, "flagged"))
+
+
+def test_cells_by_image_of_odd_cells(spark, odd):
+    agrees(spark, odd, "cells_by_image", 0)
+
+
+def test_cells_are_written_again_over_old_ones(spark, tmp_path):
+    from cytomesh.sources import readers, sinks
+
+    path = f"file://{tmp_path}/cells"
+    for keys in ((1, 2, None), (3, None)):
+        sinks.write_cells(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "image_id long, n long"), path)
+        got = readers.cells_by_image(spark, path, "n long, image_id long").collect()
+        assert sorted((r.n, r.image_id) for r in got) == list(enumerate(keys))
+    sinks.write_cells(spark.createDataFrame([("a/b", 1)], "image_id string, n long"), path)
+    assert [tuple(r) for r in readers.cells_by_image(spark, path, "n long, image_id string").collect()] == [(1, "a/b")]
