@@ -127,3 +127,47 @@ def test_shapes_of_runs_in_any_order(spark):
     rows = spark.createDataFrame(runs[::-1], "image_id long, label long, row_no long, x0 long, x1 long")
     shapes = {r.label: (r.area_px, r.perimeter, r.solidity) for r in frames.region_shapes(rows).collect()}
     assert len(shapes) == 50 and all(v[0] == 25 - k % 2 and (v == (25, 16.0, 1.0)) == (k % 2 == 0) for k, v in shapes.items())
+
+
+def links_of_all_pairs(x, y, w, h, mono, least=0.25):
+    x0, y0, x1, y1 = sessions.boxes(x, y, w, h)
+    out = {}
+    for j in range(len(x)):
+        part = np.maximum(0, np.minimum(x1[j], x1) - np.maximum(x0[j], x0)) * np.maximum(0, np.minimum(y1[j], y1) - np.maximum(y0[j], y0)) / np.minimum(w[j] * h[j], w * h)
+        out |= {(j, int(k)): part[k] for k in np.flatnonzero(mono & (part >= least)) if k != j}
+    return out
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("room", [2**15, 50])
+def test_links_are_all_pairs(shape, room, monkeypatch):
+    monkeypatch.setattr(sessions, "COMPARED", room)
+    n = 700
+    x, y, w, h = some_fields(4, n, **shape)
+    mono = np.arange(n) % 5 < 3
+    v = {"job_id": np.arange(n), "x": x, "y": y, "w": w, "h": h}
+    b = {c: v[c][mono] for c in v}
+    got = [(v["job_id"][j], b["job_id"][k], s) for m, each, ks, parts in sessions.links(v, b, 0.25) for j, k, s in zip(np.repeat(m, each), ks, parts, strict=True)]
+    assert len(got) == len({(j, k) for j, k, _ in got}) and {(j, k): s for j, k, s in got} == links_of_all_pairs(x, y, w, h, mono)
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_layer_links_over_tiles(spark, shape, monkeypatch):
+    """Below zero and over tiles' edges, with a field's links in several lists; a missing session or place has none."""
+    n = 500
+    x, y, w, h = some_fields(6, n, **shape)
+    x, y, mono = x - 2000, y - 900, np.arange(n) % 2 == 0
+    rows = [(1, j, float(x[j]), float(y[j]), float(w[j]), float(h[j]), bool(mono[j]), 1 + j % 2) for j in range(n)]
+    rows += [(None, 1, 0.0, 0.0, 800.0, 448.0, True, 1), (None, 2, 0.0, 0.0, 800.0, 448.0, True, 1), (1, n, None, 0.0, 800.0, 448.0, True, 1), (2, 0, 0.0, 0.0, 800.0, 448.0, True, 1), (2, 1, 0.0, 0.0, 800.0, 448.0, False, 2)]
+    fields = spark.createDataFrame(rows, "session_id long, job_id long, x double, y double, w double, h double, mono boolean, weight int")
+    want = [(1, j, k, bool(mono[j]), 1 + j % 2, pytest.approx(s, abs=5.1e-5)) for (j, k), s in links_of_all_pairs(x, y, w, h, mono).items()] + [(2, 1, 0, False, 2, 1.0)]
+    got = [(r.session_id, r.job_id, r.footprint, r.affirms, r.weight, r.overlap) for r in sessions.layer_links(fields).collect()]
+    assert sorted(got) == sorted(want, key=lambda r: r[:3]) and all(r[5] == round(r[5], 4) for r in got)
+
+
+def test_layer_overlaps_joins_no_buckets(spark):
+    """Fields met in the buckets of a join, ten candidates for a row, and a field lay in up to four."""
+    from cytomesh import registry
+
+    plan = registry.QUERIES["layer_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
