@@ -171,3 +171,22 @@ def test_layer_overlaps_joins_no_buckets(spark):
 
     plan = registry.QUERIES["layer_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation") == 1
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_points_inside_any(shape):
+    n = 900
+    x, y, w, h = some_fields(7, n, **shape)
+    mono, thick = np.arange(n) % 3 == 0, np.arange(n) % 3 == 1
+    x[1], y[1], x[4], y[4] = x[0] + w[0] / 2, y[0], x[3], y[3] - h[3] / 2  # on a border
+    v = {"job_id": np.arange(n), "x": x, "y": y, "w": w, "h": h, "mono": mono, "thick": thick}
+    got = sessions.inside_any(v | {"lone": np.array(False)})["job_id"].tolist()
+    assert got == [j for j in np.flatnonzero(thick) if (mono & (np.abs(x[j] - x) <= w / 2) & (np.abs(y[j] - y) <= h / 2)).any()]
+    assert not len(sessions.inside_any(v | {"lone": np.array(True)})["job_id"])
+
+
+def test_point_in_any_joins_no_buckets(spark):
+    from cytomesh import registry
+
+    plan = registry.QUERIES["point_in_any"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
