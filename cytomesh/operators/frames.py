@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -58,17 +59,45 @@ def shifts(pairs: DataFrame, reach: int = 6, part: int = 32) -> DataFrame:
 SHIFTS = "image_id long, dx long, dy long, response double, search_x long, search_y long, ncc double, match_x long, match_y long"
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches in which equal keys lie together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(key)
+        if held and held[-1].column(key)[-1].as_py() != ids[0].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        missing, values = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((values[1:] != values[:-1]) | (missing[1:] != missing[:-1])) + 1
+        for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
+            if held and start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fitted_homographies(points: DataFrame) -> DataFrame:
-    """For each id's point pairs (x, y, u, v): the inliers of a robust fit and the mean distance that it leaves them."""
+    """For each id's point pairs (x, y, u, v): the inliers of a robust fit and the mean distance that it leaves them. A task walks through ids that lie in order."""
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+    def fitted(table: pa.Table) -> tuple:
+        x, y, u, v = (table.column(c).to_numpy() for c in "xyuv")
+        src, dst = np.stack([x, y], axis=1).astype(float), np.stack([u, v], axis=1).astype(float)
         h, inside = kernels.ransac_homography(src, dst)
         error = None if h is None else float(np.hypot(*(kernels.apply_homography(h, src[inside]) - dst[inside]).T).mean())
         spread = kernels.spread_fraction(src[inside], (1080, 1920)) if h is not None else 0.0
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "n": len(src), "inliers": int(inside.sum()), "reprojection": error, "spread": spread})
+        return table.column("id")[0].as_py(), len(src), int(inside.sum()), error, spread
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"id": pa.int64(), "n": pa.int64(), "inliers": pa.int64(), "reprojection": pa.float64(), "spread": pa.float64()})
+        rows = (fitted(table) for table in _groups(batches, "id"))
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-    return dealt(points, "id").groupBy("id").applyInPandas(fitted, "id long, n long, inliers long, reprojection double, spread double")
+    return dealt(points.select("id", "x", "y", "u", "v"), "id").sortWithinPartitions("id").mapInArrow(run, "id long, n long, inliers long, reprojection double, spread double")
 
 
 def region_shapes(runs: DataFrame) -> DataFrame:
