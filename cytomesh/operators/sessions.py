@@ -506,47 +506,228 @@ def latest_near(v: dict[str, np.ndarray], most: int = 8) -> dict[str, np.ndarray
     return {"job_id": v["job_id"][i], "ref": v["job_id"][k], "distance": d}
 
 
-def layer(v: dict[str, np.ndarray], overlap_min: float = 0.25, demote: int = 2, covered_max: float = 0.8) -> dict[str, np.ndarray]:
-    """streaming.folds.layer over a whole session: footprints lie by grid cells of the largest field, and a field meets those of 3 x 3 cells.
+# ---- the evidence layer
+#: Fields that come at once in counts and in evidence; cells of the evidence map in a side of the largest field, and their most.
+COUNTED, STEPS, RASTER, MOST_CELLS = 8192, 1024, 32, 2**18
+
+
+def _hits(box: np.ndarray, area: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shared areas of the fields a and b (numbers, broadcast), and which are at least this part of the smaller."""
+    part = _shared(tuple(box[:, a]), tuple(box[:, b]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return part, (part > 0) & (part / np.minimum(area[a], area[b]) >= least)
+
 
-    One step is linear in the footprints that lie there, since each of them changes its counts.
+def hits_before(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono: np.ndarray, least: float) -> np.ndarray:
+    """How many fields with mono before each field share at least this part of the smaller with it.
+
+    They lie in thin bands, sorted by x. In a band those near enough whatever their height are counted by two searches; only those
+    in a strip on either side, whose width goes with the band's height, are looked at one by one.
     """
-    x, y, w, h = (v[k].astype(float) for k in "xywh")
-    mono, weight = v["mono"].astype(bool), v["weight"]
-    n, f = len(x), np.flatnonzero(v["mono"].astype(bool))
-    out = {c: np.zeros(n, np.int64) for c in ("affirmed", "contradicted", "demoted", "restored")} | {"joined": np.zeros(n, bool)}
-    if len(f):
-        grid = Grid(x[f], y[f], float(w.max()), float(h.max()))
-        lo, hi = grid.window(x, y)
-        at = np.zeros(n, np.int64)
-        at[f[grid.order]] = np.arange(len(f))
-        box = boxes(x, y, w, h)
+    n, box, area = len(x), boxes(x, y, w, h), w * h
+    wide, high, narrow, low, large, small = (float(c) for c in (w.max(), h.max(), w.min(), h.min(), area.max(), area.min()))
+    left, top = float(x.min()) - wide, float(y.min())
+    length = float(x.max()) + wide - left
+    band = float(np.clip(np.sqrt(3.0 * max(np.ptp(x), wide) * max(np.ptp(y), high) / max(1, mono.sum())), high / 128, high / 2))
+    row = np.floor((y - top) / band)
+    key = row * length + (x - left)
+    slack = 1e-6 * (wide + length * 1e-3)
+    out = np.zeros(n, np.int64)
+    reach = int(np.ceil(high / band)) + 1
+
+    def count(s: int, q: np.ndarray, keys: np.ndarray, who: np.ndarray, all_before: bool) -> None:
+        for o in range(-reach, reach + 1):
+            r = row[q] + o
+            lower = top + r * band
+            near = np.maximum(0.0, np.maximum(lower - y[q], y[q] - lower - band)) - 1e-9 * high
+            far = np.maximum(np.abs(lower - y[q]), np.abs(lower + band - y[q])) + 1e-9 * high
+            with np.errstate(divide="ignore", invalid="ignore"):
+                most = np.where(near < high, wide - least * small / (high - near), -1.0) + slack
+                safe = np.where(far < low, narrow - least * large / (low - far), -1.0) - slack
+            mine = np.flatnonzero(most > 0)
+            if not len(mine):
+                continue
+            at, base, most, safe = x[q[mine]] - left, r[mine] * length, np.minimum(most[mine], wide), safe[mine]
+            first, last = np.searchsorted(keys, base + np.maximum(at - most, 0)), np.searchsorted(keys, base + np.minimum(at + most, length), "right")
+            if all_before:
+                has = safe > 0
+                safe = np.maximum(safe, 0)
+                second, third = np.searchsorted(keys, base + at - safe), np.searchsorted(keys, base + at + safe, "right")
+                second, third = np.where(has, second, last), np.where(has, third, last)
+                out[q[mine]] += third - second
+                lo, hi = np.r_[first, third], np.r_[second, last]
+                mine = np.r_[mine, mine]
+            else:
+                lo, hi = first, last
+            each = hi - lo
+            ends = np.cumsum(each)
+            i = 0
+            while i < len(each):
+                to = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                some = each[i:to]
+                total = int(some.sum())
+                if total:
+                    k = who[np.repeat(lo[i:to] - (np.cumsum(some) - some), some) + np.arange(total)]
+                    j = np.repeat(q[mine[i:to]], some)
+                    if not all_before:
+                        j, k = j[k < j], k[k < j]
+                    hit = _hits(box, area, j, k, least)[1]
+                    out[s : s + len(q)] += np.bincount(j[hit] - s, minlength=len(q))
+                i = to
+
+    keys, who = np.zeros(0), np.zeros(0, np.int64)
+    for s in range(0, n, COUNTED):
+        q = np.arange(s, min(n, s + COUNTED))
+        q = q[np.argsort(key[q], kind="stable")]  # searches near each other are fast
+        new = q[mono[q]]
+        if len(keys):
+            count(s, q, keys, who, True)
+        if len(new):
+            count(s, q, key[new], new, False)
+            at = np.searchsorted(keys, key[new])
+            keys, who = np.insert(keys, at, key[new]), np.insert(who, at, new)
+    return out
+
+
+class Reach:
+    """Sums of fields' weights over a map's cells: of all fields that may meet a footprint of a cell (most), and of those that surely do."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, least: float) -> None:
+        gx, gy = float(w.max()) / RASTER, float(h.max()) / RASTER
+        more = max(1.0, np.sqrt((np.ptp(x) / gx + 1) * (np.ptp(y) / gy + 1) / MOST_CELLS))
+        self.gx, self.gy = max(gx * more, np.ptp(x) / MOST_CELLS), max(gy * more, np.ptp(y) / MOST_CELLS)
+        self.x, self.y = (x - x.min()) / self.gx, (y - y.min()) / self.gy
+        column, self.row = np.floor(self.x).astype(np.int64), np.floor(self.y).astype(np.int64)
+        self.nx, self.ny = int(column.max()) + 2, int(self.row.max()) + 1
+        self.cell = self.row * self.nx + column
         area = w * h
-        x0, y0, x1, y1 = np.full((4, len(f)), np.inf) * np.array([1, 1, -1, -1])[:, None]  # not there yet
-        size, agree, against, low = area[f[grid.order]], np.zeros(len(f), np.int64), np.zeros(len(f), np.int64), np.zeros(len(f), bool)
-        for j in range(n):
-            under = 0.0
-            for a, z in zip(lo[j].tolist(), hi[j].tolist(), strict=True):
-                if a == z:
+        self.most = (float(w.max()) * (1 + 1e-9), float(h.max()) * (1 + 1e-9), least * float(area.min()))
+        self.surely = (float(w.min()) * (1 - 1e-9), float(h.min()) * (1 - 1e-9), least * float(area.max()))
+
+    def sums(self, fields: np.ndarray, weight: np.ndarray, most: bool) -> np.ndarray:
+        """For each cell; a field adds its weight from the first to the last cell of its reach in each row."""
+        wide, high, size = self.most if most else self.surely
+        rows = int(high / self.gy) + 1
+        x, y, row = self.x[fields][:, None], self.y[fields][:, None], self.row[fields][:, None] + np.arange(-rows, rows + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if most:
+                left = high - self.gy * np.maximum(0.0, np.maximum(row - y, y - row - 1))
+                half = (wide - size / left) / self.gx + 1e-6
+                first, end = np.floor(x - half), np.floor(x + half) + 1
+            else:
+                left = high - self.gy * np.maximum(np.abs(row - y), np.abs(row + 1 - y))
+                half = (wide - size / left) / self.gx - 1e-6
+                first, end = np.ceil(x - half), np.floor(x + half)
+            there = (left > 0) & (half > 0) & (row >= 0) & (row < self.ny)
+        first, end = np.clip(first[there], 0, self.nx - 1), np.clip(end[there], 0, self.nx - 1)
+        some, base = first < end, row[there] * self.nx
+        each = np.broadcast_to(weight[:, None], there.shape)[there][some]
+        places = np.r_[(base + first)[some], (base + end)[some]].astype(np.int64)
+        steps = np.bincount(places, np.r_[each, -each], self.nx * self.ny)
+        return np.cumsum(steps.reshape(self.ny, self.nx), axis=1).ravel()
+
+
+def evidence(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono: np.ndarray, weight: np.ndarray, least: float, demote: int, covered_max: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """demoted, restored and joined of layer(), from blocks of fields.
+
+    A footprint that is low is left alone while its agreement cannot pass what speaks against it: the bound on their difference takes all fields
+    with mono that may meet its cell of a map and those without that surely do. One that could pass is counted again from where it was left.
+    """
+    n, box, area = len(x), boxes(x, y, w, h), w * h
+    wide, high = float(w.max()), float(h.max())
+    reach = Reach(x, y, w, h, least)
+    cell, signed = reach.cell, np.where(mono, weight, -weight).astype(np.int32)
+    tx, ty = np.floor((x - x.min()) / (3 * wide)).astype(np.int64) + 1, np.floor((y - y.min()) / high).astype(np.int64) + 1
+    across = int(tx.max()) + 2
+    tile = ty * across + tx
+    demoted, restored, joined = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    ahead, against, low, left_at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64)
+    passed = np.zeros(reach.nx * reach.ny)
+    awake, asleep, base = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def walk(k: np.ndarray, j: np.ndarray, start: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ends of ahead and against, whether low after each field, and where it became low or not."""
+        with_mono = mono[j]
+        d = start[:, None] + np.cumsum(hit * signed[j], axis=1, dtype=np.int32)
+        c = against[k][:, None] + np.cumsum(hit * np.where(with_mono, 0, -signed[j]), axis=1, dtype=np.int32)
+        down = hit & ~with_mono & (c >= demote) & (d < 0)
+        up = hit & with_mono & (d > 0)
+        turn = np.where(down | up, np.arange(2, 2 * len(j) + 2, 2, dtype=np.int32) + down, low[k][:, None])  # odd: low from here
+        after = (np.maximum.accumulate(turn, axis=1) & 1).astype(bool)
+        before = np.concatenate([low[k][:, None], after[:, :-1]], axis=1)
+        return d[:, -1], c[:, -1], after, down & ~before, up & before
+
+    for s in range(0, n, STEPS):
+        q = np.arange(s, min(n, s + STEPS))
+        new = q[mono[q]]
+        could = reach.sums(new, weight[new], True)
+        other = q[~mono[q]]
+        surely = reach.sums(other, weight[other], False)
+        wake = base + passed[cell[asleep]] + could[cell[asleep]] > 0
+        if wake.any():
+            for k in asleep[wake].tolist():
+                since = np.arange(left_at[k], s)
+                net = since[_hits(box, area, np.array([k]), since, least)[1]]
+                ahead[k] += signed[net].sum()
+                against[k] += weight[net[~mono[net]]].sum()
+            awake, asleep, base = np.r_[awake, asleep[wake]], asleep[~wake], base[~wake]
+        awake = np.r_[awake, new]
+        awake = awake[np.argsort(tile[awake], kind="stable")]
+        touched = np.unique((tile[q][:, None] + np.array([i * across + j for i in (-1, 0, 1) for j in (-1, 0, 1)])).ravel())
+        under, held = np.zeros(len(q)), {}
+        for a, z in _ranges(tile[awake]):
+            t = tile[awake[a]]
+            at = np.searchsorted(touched, t)
+            if at == len(touched) or touched[at] != t:
+                continue
+            k = awake[a:z]
+            x0, x1, y0, y1 = x[k].min() - wide, x[k].max() + wide, y[k].min() - high, y[k].max() + high
+            j = q[(x[q] >= x0) & (x[q] <= x1) & (y[q] >= y0) & (y[q] <= y1)]
+            if not len(j):
+                continue
+            fresh = k >= s
+            for k in (k[~fresh], k[fresh]):
+                if not len(k):
                     continue
-                part = np.maximum(0.0, np.minimum(box[2, j], x1[a:z]) - np.maximum(box[0, j], x0[a:z])) * np.maximum(0.0, np.minimum(box[3, j], y1[a:z]) - np.maximum(box[1, j], y0[a:z]))
-                hit = a + np.flatnonzero((part > 0) & (part / np.minimum(area[j], size[a:z]) >= overlap_min))
-                if mono[j]:
-                    agree[hit] += weight[j]
-                    back = hit[low[hit] & (agree[hit] > against[hit])]
-                    low[back] = False
-                    out["affirmed"][j] += len(hit)
-                    out["restored"][j] += len(back)
-                    under += float(part[~low[a:z]].sum())
-                else:
-                    against[hit] += weight[j]
-                    gone = hit[~low[hit] & (against[hit] >= demote) & (against[hit] > agree[hit])]
-                    low[gone] = True
-                    out["contradicted"][j] += len(hit)
-                    out["demoted"][j] += len(gone)
-            if mono[j]:
-                out["joined"][j] = min(1.0, under / max(1.0, area[j])) < covered_max
-                k = at[j]
-                x0[k], y0[k], x1[k], y1[k] = box[:, j]
-                agree[k] = int(out["joined"][j])
+                part, hit = _hits(box, area, k[:, None], j[None], least)
+                if k[0] < s:
+                    ahead[k], against[k], after, gone, back = walk(k, j, ahead[k], hit)
+                    low[k] = after[:, -1]
+                    demoted[j] += gone.sum(axis=0)
+                    restored[j] += back.sum(axis=0)
+                    under[j - s] += (part * ~after).sum(axis=0)
+                else:  # whether they join is not known yet: both ways
+                    later = j[None] > k[:, None]
+                    part, hit = part * later, hit & later
+                    ways = [walk(k, j, np.full(len(k), way), hit) for way in (0, 1)]
+                    seen = [part * ~w[2] for w in ways]
+                    held |= {one: (i, j, ways, seen) for i, one in enumerate(k.tolist())}
+        for k in new.tolist():
+            joined[k] = min(1.0, under[k - s] / max(1.0, area[k])) < covered_max
+            i, j, ways, seen = held[k]
+            d, c, after, gone, back = ways[int(joined[k])]
+            ahead[k], against[k], low[k] = d[i], c[i], after[i, -1]
+            if gone[i].any():
+                demoted[j] += gone[i]
+                restored[j] += back[i]
+            under[j - s] += seen[int(joined[k])][i]
+        passed += could - surely
+        rest = low[awake] & (ahead[awake] + could[cell[awake]] + 4 <= 0)
+        sleep = awake[rest]
+        left_at[sleep] = s + len(q)
+        asleep, base, awake = np.r_[asleep, sleep], np.r_[base, ahead[sleep] - passed[cell[sleep]]], awake[~rest]
+    return demoted, restored, joined
+
+
+def layer(v: dict[str, np.ndarray], overlap_min: float = 0.25, demote: int = 2, covered_max: float = 0.8) -> dict[str, np.ndarray]:
+    """streaming.folds.layer over a whole session, without its steps: hits are counted in bands, and evidence is kept of the footprints that it can change."""
+    x, y, w, h = (v[k].astype(float) for k in "xywh")
+    mono, weight = v["mono"].astype(bool), v["weight"].astype(np.int64)
+    out = {c: np.zeros(len(x), np.int64) for c in ("affirmed", "contradicted", "demoted", "restored")} | {"joined": mono.copy()}
+    sure = np.flatnonzero(np.isfinite(np.stack([x, y, w, h])).all(axis=0))
+    x, y, w, h, mono, weight = (c[sure] for c in (x, y, w, h, mono, weight))
+    if mono.any() and w.max() > 0 and h.max() > 0:
+        hits = hits_before(x, y, w, h, mono, overlap_min)
+        out["affirmed"][sure], out["contradicted"][sure] = np.where(mono, hits, 0), np.where(mono, 0, hits)
+        out["demoted"][sure], out["restored"][sure], out["joined"][sure] = evidence(x, y, w, h, mono, weight, overlap_min, demote, covered_max)
     return {"job_id": v["job_id"]} | out

@@ -102,6 +102,57 @@ def test_layer_equals_its_fold(shape):
         assert all(got[c][j] == v for c, v in row.items())
 
 
+@pytest.mark.parametrize("share", [0.35, 0.5, 0.65])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_layer_over_blocks(shape, share, monkeypatch):
+    """Footprints that are left alone and counted again, in blocks and cells of any size; a field without a place has no part in it."""
+    from cytomesh.streaming import folds
+
+    n = 600
+    x, y, w, h = some_fields(11, n, **shape)
+    rng = np.random.default_rng(12)
+    mono, human = rng.random(n) < share, rng.random(n) < 0.2
+    fold = folds.layer()
+    state = fold.start()
+    want = [fold.step(state, {"x": x[j], "y": y[j], "w": w[j], "h": h[j], "raw_class": "MONOLAYER" if mono[j] else "X", "human_label": "M" if human[j] else None}) for j in range(n)]
+    at = [100, 300]
+    x, y, w, h, mono, human = (np.insert(c, at, v) for c, v in ((x, [np.nan, 5.0]), (y, 5.0), (w, 800.0), (h, [448.0, np.nan]), (mono, [True, False]), (human, False)))
+    for steps, counted, raster, most in ((16, 64, 6, 2**18), (64, 16, 40, 2**18), (1024, 8192, 32, 50)):
+        for name, value in (("STEPS", steps), ("COUNTED", counted), ("RASTER", raster), ("MOST_CELLS", most)):
+            monkeypatch.setattr(sessions, name, value)
+        got = sessions.layer({"job_id": np.arange(n + 2), "x": x, "y": y, "w": w, "h": h, "mono": mono, "weight": np.where(human, 2, 1), "lone": np.array(False)})
+        alone = [got[c][[100, 301]].tolist() for c in ("affirmed", "contradicted", "demoted", "restored", "joined")]
+        assert alone == [[0, 0]] * 4 + [[True, False]]
+        for c in want[0]:
+            assert np.delete(got[c], [100, 301]).tolist() == [row[c] for row in want]
+
+
+def test_layer_does_not_meet_all_footprints(monkeypatch):
+    """A step compared its field with every footprint about it, so work grew with the square of a session."""
+
+    class Counting:
+        seen = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def minimum(self, *a, **b):
+            out = np.minimum(*a, **b)
+            self.seen += np.size(out)
+            return out
+
+    def work(n):
+        x, y, w, h = some_fields(13, n, wide=6000.0)
+        count = Counting()
+        monkeypatch.setattr(sessions, "np", count)
+        sessions.layer({"job_id": np.arange(n), "x": x, "y": y, "w": w, "h": h, "mono": np.random.default_rng(14).random(n) < 0.4, "weight": np.ones(n, np.int64), "lone": np.array(False)})
+        monkeypatch.setattr(sessions, "np", np)
+        return count.seen
+
+    few, many = work(10_000), work(40_000)
+    assert many < 7 * few
+
+
 def test_outline_has_the_union_of_all():
     """Few of many boxes on one map: bands and boxes met in numbers that grew with their square."""
     x, y, w, h = some_fields(2, 4000)
