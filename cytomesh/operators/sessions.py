@@ -524,7 +524,8 @@ def hits_before(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono
     They lie in thin bands, sorted by x. In a band those near enough whatever their height are counted by two searches; only those
     in a strip on either side, whose width goes with the band's height, are looked at one by one.
     """
-    n, box, area = len(x), boxes(x, y, w, h), w * h
+    n, area = len(x), w * h
+    every = np.concatenate([boxes(x, y, w, h), area[None]])
     wide, high, narrow, low, large, small = (float(c) for c in (w.max(), h.max(), w.min(), h.min(), area.max(), area.min()))
     left, top = float(x.min()) - wide, float(y.min())
     length = float(x.max()) + wide - left
@@ -535,7 +536,9 @@ def hits_before(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono
     out = np.zeros(n, np.int64)
     reach = int(np.ceil(high / band)) + 1
 
-    def count(s: int, q: np.ndarray, keys: np.ndarray, who: np.ndarray, all_before: bool) -> None:
+    def count(s: int, q: np.ndarray, keys: np.ndarray, there: np.ndarray, who: np.ndarray | None) -> None:
+        """Among footprints by key (there: their boxes and areas); who: their numbers where not all come before the fields q."""
+        here = every[:, q]
         for o in range(-reach, reach + 1):
             r = row[q] + o
             lower = top + r * band
@@ -549,7 +552,7 @@ def hits_before(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono
                 continue
             at, base, most, safe = x[q[mine]] - left, r[mine] * length, np.minimum(most[mine], wide), safe[mine]
             first, last = np.searchsorted(keys, base + np.maximum(at - most, 0)), np.searchsorted(keys, base + np.minimum(at + most, length), "right")
-            if all_before:
+            if who is None:
                 has = safe > 0
                 safe = np.maximum(safe, 0)
                 second, third = np.searchsorted(keys, base + at - safe), np.searchsorted(keys, base + at + safe, "right")
@@ -567,25 +570,30 @@ def hits_before(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, mono
                 some = each[i:to]
                 total = int(some.sum())
                 if total:
-                    k = who[np.repeat(lo[i:to] - (np.cumsum(some) - some), some) + np.arange(total)]
-                    j = np.repeat(q[mine[i:to]], some)
-                    if not all_before:
-                        j, k = j[k < j], k[k < j]
-                    hit = _hits(box, area, j, k, least)[1]
+                    at = np.repeat(lo[i:to] - (np.cumsum(some) - some), some) + np.arange(total)
+                    j = np.repeat(mine[i:to], some)
+                    if who is not None:
+                        early = who[at] < q[j]
+                        at, j = at[early], j[early]
+                    own, other = here[:, j], there[:, at]
+                    part = _shared(tuple(own), tuple(other))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        hit = (part > 0) & (part / np.minimum(own[4], other[4]) >= least)
+                    j = q[j]
                     out[s : s + len(q)] += np.bincount(j[hit] - s, minlength=len(q))
                 i = to
 
-    keys, who = np.zeros(0), np.zeros(0, np.int64)
+    keys, there = np.zeros(0), np.zeros((5, 0))
     for s in range(0, n, COUNTED):
         q = np.arange(s, min(n, s + COUNTED))
         q = q[np.argsort(key[q], kind="stable")]  # searches near each other are fast
         new = q[mono[q]]
         if len(keys):
-            count(s, q, keys, who, True)
+            count(s, q, keys, there, None)
         if len(new):
-            count(s, q, key[new], new, False)
+            count(s, q, key[new], every[:, new], new)
             at = np.searchsorted(keys, key[new])
-            keys, who = np.insert(keys, at, key[new]), np.insert(who, at, new)
+            keys, there = np.insert(keys, at, key[new]), np.insert(there, at, every[:, new], axis=1)
     return out
 
 
